@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontamination
 from .ngram_join import op3_ngram_join
 from .packing import op1_packing
+from .repeats import op7_repeats
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_join": op3_ngram_join,
+    "op7_repeats": op7_repeats,
 }
 ORACLES: dict[str, str] = {}
