@@ -5,12 +5,16 @@ from __future__ import annotations
 from .decontaminate import op2_decontamination
 from .ngram_join import op3_ngram_join
 from .packing import op1_packing
+from .pii import op8_pii
+from .quality import op4_quality
 from .repeats import op7_repeats
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality": op4_quality,
     "op7_repeats": op7_repeats,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {}
