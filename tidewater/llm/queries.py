@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat
 from .decontaminate import op2_decontamination
+from .embedding_dedup import op10_embedding_dedup
 from .ngram_join import op3_ngram_join
 from .packing import op1_packing
 from .pii import op8_pii
 from .quality import op4_quality
 from .repeats import op7_repeats
+from .urls import OP5_SQL, op5_urls
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
+    "op5_urls": op5_urls,
     "op7_repeats": op7_repeats,
     "op8_pii": op8_pii,
+    "op9_chat": op9_chat,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op9_chat": OP9_SQL}
