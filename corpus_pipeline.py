@@ -2,15 +2,67 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidewater.llm import decontaminate, ngram_join, packing, pii, quality
+from tidewater.llm.common import written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality discriminant, learned from the labels outside the held-out fold, doesn't reject."""
+    model = quality.fit(docs, quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.where(quality.score_column(spark, model) >= quality.CUT)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the smallest doc_id; of rows that repeat an id and its
+    text one stays, rows without an id all stay."""
+    gone = ngram_join.ngram_jaccard_join(docs).where("not kept").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = written(docs.select("doc_id", F.xxhash64("text").alias("version")).where("doc_id is not null").groupBy("doc_id", "version").count().where("count > 1"))
+    if again.isEmpty():
+        return kept
+    repeated = kept.withColumn("version_", F.xxhash64("text"))
+    on = [repeated["doc_id"] == again["doc_id"], repeated["version_"] == again["version"]]
+    once = repeated.join(again, on, "left_semi").dropDuplicates(["doc_id", "version_"])
+    return repeated.join(again, on, "left_anti").unionByName(once).drop("version_")
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by its kind; n_chars is that of the new text."""
+    masked = docs.withColumn("text", pii.mask_column(spark, pii.fit(docs)))
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document's pieces with their token ids, laid out in sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", keep_unleaked),
+    ("personal data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Learned scores, alignments and tokens are beyond SQL; tests/llm holds brute-force versions against the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table."""
+    """All stages in order over the documents table, each on what the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
     return docs

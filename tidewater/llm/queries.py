@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import op2_decontamination
 from .embedding_dedup import op10_embedding_dedup
+from .html_text import op6_html
 from .ngram_join import op3_ngram_join
 from .packing import op1_packing
 from .pii import op8_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
     "op5_urls": op5_urls,
+    "op6_html": op6_html,
     "op7_repeats": op7_repeats,
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
