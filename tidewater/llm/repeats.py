@@ -12,16 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpoint, mix
+from .common import MIX, checkpoint, mix, written
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
+TEXT_BITS = 1 << 24
 GROUP_ROWS = 20_000
 
 
@@ -86,7 +88,7 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
 def _filter_of(repeated: DataFrame, bits: int) -> np.ndarray:
     """A bit for each hash modulo `bits`: a sieve of fixed size whatever the corpus. What it lets through wrongly is
     compared and found unique, so its size bears on speed alone."""
-    words = repeated.select(F.pmod("anchor", F.lit(bits)).alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    words = repeated.toDF("h").select(F.pmod("h", F.lit(bits)).alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
     sieve = np.zeros(bits // 64, np.int64)
     got = words.toPandas()
     sieve[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
@@ -269,7 +271,7 @@ def repeated_spans(
     `length` bytes covers; spans may overlap."""
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
     sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(_anchor_counts(texts, length), filter_bits))
-    classes = checkpoint(_classes(texts, sieve, filter_bits, length))
+    classes = written(_classes(texts, sieve, filter_bits, length))
     whole = classes.where("n > 1").select("anchor", "context", F.octet_length("left").cast("long").alias("before"), F.octet_length("right").cast("long").alias("after"))
     groups = classes.select(F.col("anchor").alias("group"), "anchor", "context", "left", "right")
     groups, early = _split_hot(groups, group_rows, length)
@@ -304,8 +306,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all of it, repeated rows and ids included; rows with a null id are documents as well. An empty table gives no rows;
     other columns are ignored. Very long texts are scanned in overlapping segments.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, **options)
-    rows = _texts(docs, id_col, text_col).join(spans, ["hi", "lo"], "left").select("doc_id", "text", "starts", "ends")
+    spans = written(repeated_spans(docs, id_col, text_col, length, **options))
+    # texts that the sieve rules out have no spans and need not move
+    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(spans.select("hi"), TEXT_BITS))
+
+    def passes(hi: pd.Series) -> pd.Series:
+        return pd.Series(_passes(sieve.value, hi.to_numpy(np.int64), TEXT_BITS))
+
+    texts = _texts(docs, id_col, text_col).withColumn("moves", F.pandas_udf(passes, "boolean")("hi"))
+    none = F.lit(None).cast("array<long>")
+    rows = texts.where("not moves").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    rows = rows.unionByName(texts.where("moves").join(spans, ["hi", "lo"], "left").select("doc_id", "text", "starts", "ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
