@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ..operators import indicators
+from . import decisions, market
+from .common import hourly, shown
+
+QUERIES: dict = market.QUERIES | decisions.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | decisions.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the bar operators are in."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Hourly bars with their mean, bands and confirmed body swings."""
+    bars = indicators.body_swings(indicators.bollinger(hourly(spark, sf_dir)))
+    return shown(bars, "symbol", "ts", "o", "h", "l", "c", "v", "mid", "upper", "lower", "body_high", "body_low")

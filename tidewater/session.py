@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_timestamp(df: DataFrame, *cols: str) -> DataFrame:
     """Casts zone-less columns to instants under the session zone (UTC)."""
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder that spark.checkpoint.dir names; in one of our own only where none is set."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
