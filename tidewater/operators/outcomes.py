@@ -19,6 +19,11 @@ def _first(condition) -> Column:
     return F.when(at > 0, at)
 
 
+def _beyond(field: str, d: int, entry: Column, distance: str):
+    """Has a later bar gone at least `distance` from the entry in direction d?"""
+    return lambda x: d * (x[field] - entry) >= F.col(distance)
+
+
 def trade_labels(bars: DataFrame, stop: Column, target: Column, spread: Column, horizon: int) -> DataFrame:
     """For a purchase and a sale at each close: does the target come before the stop within the horizon (a tie is a
     stop), and the result in units of the stop, net of the spread; what times out counts by its last close. best names
@@ -28,8 +33,8 @@ def trade_labels(bars: DataFrame, stop: Column, target: Column, spread: Column,
     c = F.col("c")
     for side, d in (("buy", 1), ("sell", -1)):
         low, high = ("l", "h") if d > 0 else ("h", "l")
-        hit_stop = _first(lambda x, k=low, d=d: d * (x[k] - c) <= -F.col("stop_"))
-        hit_target = _first(lambda x, k=high, d=d: d * (x[k] - c) >= F.col("target_"))
+        hit_stop = _first(_beyond(low, -d, c, "stop_"))
+        hit_target = _first(_beyond(high, d, c, "target_"))
         won = hit_target.isNotNull() & (hit_stop.isNull() | (hit_target < hit_stop))
         gain = F.when(won, F.col("target_")).when(hit_stop.isNotNull(), -F.col("stop_")).otherwise(d * (F.element_at("ahead_", -1)["c"] - c))
         rows = rows.withColumns({side: F.when(whole, won.cast("int")), f"r_{side}": F.when(whole, (gain - F.col("cost_")) / F.col("stop_"))})

@@ -62,13 +62,13 @@ _T = ", ".join(map(str, cal.T_95))
 
 
 @query(
-    f"""WITH {SCORED}, g AS (SELECT seg, ntile(20) OVER (PARTITION BY seg ORDER BY l_orderkey, l_linenumber) AS b, (base - y) ** 2 - (p - y) ** 2 AS gain FROM t), m AS (SELECT seg, b, avg(gain) AS m FROM g GROUP BY 1, 2),
-    k AS (SELECT seg, avg(m) AS mean_gain, stddev_samp(m) AS sd, count(*) AS blocks FROM m GROUP BY 1), l AS (SELECT *, mean_gain - [{_T}]::DOUBLE[][least(greatest(blocks - 1, 1), 19)] * sd / sqrt(blocks) AS lower FROM k)
+    f"""WITH {SCORED}, g AS (SELECT seg, ntile(20) OVER (PARTITION BY seg ORDER BY l_orderkey, l_linenumber, p, y) AS b, (base - y) ** 2 - (p - y) ** 2 AS gain FROM t), m AS (SELECT seg, b, avg(gain) AS m FROM g GROUP BY 1, 2),
+    k AS (SELECT seg, avg(m) AS mean_gain, stddev_samp(m) AS sd, count(*) AS blocks FROM m GROUP BY 1), l AS (SELECT *, mean_gain - ([{_T}])[least(greatest(blocks - 1, 1), 19)] * sd / sqrt(blocks) AS lower FROM k)
     SELECT seg, round(mean_gain, 6) AS mean_gain, blocks, round(lower, 6) AS lower, mean_gain > 0 AND lower > 0 AS skilled FROM l"""
 )
 def skill_blocks(spark, d):
     rows = _scored(spark, d).withColumn("gain", F.pow(F.col("base") - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2))
-    return shown(cal.block_skill(rows, ["seg"], "gain", ["l_orderkey", "l_linenumber"]), "seg", "mean_gain", "blocks", "lower", "skilled")
+    return shown(cal.block_skill(rows, ["seg"], "gain", ["l_orderkey", "l_linenumber", "p", "y"]), "seg", "mean_gain", "blocks", "lower", "skilled")
 
 
 @query(
@@ -112,9 +112,9 @@ def kelly(spark, d):
     return shown(rows.select("l_orderkey", "l_linenumber", cal.kelly(p, b).alias("kelly"), cal.stake(p, b).alias("stake"), cal.log_growth(p, b, cal.stake(p, b)).alias("growth")))
 
 
-@query(f"WITH {SCORED} SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, {BIN} AS bin, sum(y) AS wins, sum(1 - y) AS losses FROM t GROUP BY 1, 2")
+@query(f"WITH {SCORED} SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, {BIN} AS bin, sum(y) AS wins, sum(1 - y) AS losses FROM (SELECT DISTINCT l_orderkey, l_linenumber, p, y FROM t) GROUP BY 1, 2")
 def ledger_bins(spark, d):
-    rows = _scored(spark, d).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), F.when(F.col("l_linenumber") % 2 == 0, "buy").otherwise("sell").alias("side"), "p", (F.col("y") == 1).alias("won"))
+    rows = _scored(spark, d).select(F.concat_ws(":", "l_orderkey", "l_linenumber", "p", "y").alias("decision_id"), F.when(F.col("l_linenumber") % 2 == 0, "buy").otherwise("sell").alias("side"), "p", (F.col("y") == 1).alias("won"))
     return cal.ledger(rows.unionByName(rows.where("side = 'buy'")))  # reported twice, counted once
 
 
@@ -133,7 +133,7 @@ def binomial_test(spark, d):
 
 
 @query(
-    f"""WITH {WINS}, e AS (SELECT w.*, unnest(range(0, wins + 1)) AS i FROM w), m AS (SELECT k, sum(exp(lgamma(n + 2) - lgamma(i + 1) - lgamma(n + 1 - i + 1) + i * ln(0.4::DOUBLE) + (n + 1 - i) * ln(0.6::DOUBLE))) AS p FROM e GROUP BY 1) SELECT k, round(p, 6) AS above FROM m"""
+    f"""WITH {WINS}, e AS (SELECT w.*, unnest(range(0, wins::BIGINT + 1)) AS i FROM w), m AS (SELECT k, sum(exp(lgamma(n + 2) - lgamma(i + 1) - lgamma(n + 1 - i + 1) + i * ln(0.4::DOUBLE) + (n + 1 - i) * ln(0.6::DOUBLE))) AS p FROM e GROUP BY 1) SELECT k, round(p, 6) AS above FROM m"""
 )
 def posterior(spark, d):
     return shown(_wins(spark, d).select("k", cal.posterior_above(F.col("wins"), F.col("n") - F.col("wins"), F.lit(0.4)).alias("above")))
@@ -277,7 +277,7 @@ def dag_ready(spark, d):
     return graph.schedule_step(nodes)
 
 
-@query("WITH RECURSIVE w(key, at, depth) AS (SELECT s_suppkey, s_suppkey // 3, 0 FROM supplier UNION ALL SELECT w.key, s.s_suppkey // 3, w.depth + 1 FROM w JOIN supplier s ON s.s_suppkey = w.at WHERE w.depth < 8), h AS (SELECT key, max(depth) AS d, arg_max(at, depth) AS at FROM w GROUP BY 1) SELECT key, least(8, d + 1)::INTEGER AS depth FROM h")
+@query("WITH RECURSIVE w(key, up, depth) AS (SELECT s_suppkey, s_suppkey // 3, 0 FROM supplier UNION ALL SELECT w.key, s.s_suppkey // 3, w.depth + 1 FROM w JOIN supplier s ON s.s_suppkey = w.up WHERE w.depth < 8), h AS (SELECT key, max(depth) AS d, arg_max(up, depth) AS up FROM w GROUP BY 1) SELECT key, least(8, d + 1)::INTEGER AS depth FROM h")
 def hire_depth(spark, d):
     return graph.chain_depth(table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.floor(F.col("s_suppkey") / 3).alias("boss")), "key", "boss")
 

@@ -144,14 +144,16 @@ def asof_trend(spark, d):
 
 @query(f"""WITH {HOURLY}, news AS (SELECT event_type AS symbol, ts AS at, event_id FROM events WHERE event_id % 50 = 0),
 p AS (SELECT b.symbol, b.ts, k.at AS last_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts >= k.at), q AS (SELECT b.symbol, b.ts, k.at AS next_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts <= k.at)
-SELECT symbol, ts, round(least(epoch(ts - last_at) / 60, 1440), 6) AS since, round(least(epoch(next_at - ts) / 60, 1440), 6) AS until FROM p JOIN q USING (symbol, ts)""")
+SELECT symbol, ts, round(CASE WHEN last_at IS NOT NULL THEN least(epoch(ts - last_at) / 60, 1440) END, 3) AS since, round(CASE WHEN next_at IS NOT NULL THEN least(epoch(next_at - ts) / 60, 1440) END, 3) AS until FROM p JOIN q USING (symbol, ts)""")
 def news_next_last(spark, d):
     b = hourly(spark, d).select("symbol", "ts")
     news = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
     rows = asof.asof_join(b, news, ["symbol"], "ts", "at", ["at"]).withColumnRenamed("at", "last_at")
     rows = asof.asof_join(rows, news, ["symbol"], "ts", "at", ["at"], direction="forward").withColumnRenamed("at", "next_at")
     minutes = lambda a, b: F.least((F.unix_micros(a) - F.unix_micros(b)) / 60e6, F.lit(1440.0))
-    return shown(rows.select("symbol", "ts", F.when(F.col("last_at").isNotNull(), minutes(F.col("ts"), F.col("last_at"))).alias("since"), F.when(F.col("next_at").isNotNull(), minutes(F.col("next_at"), F.col("ts"))).alias("until")))
+    since = F.when(F.col("last_at").isNotNull(), F.round(minutes(F.col("ts"), F.col("last_at")), 3))
+    until = F.when(F.col("next_at").isNotNull(), F.round(minutes(F.col("next_at"), F.col("ts")), 3))
+    return shown(rows.select("symbol", "ts", since.alias("since"), until.alias("until")))
 
 
 @query(f"""WITH {HOURLY}, grid AS (SELECT t.ts, s.symbol FROM (SELECT DISTINCT ts FROM bars) t, (SELECT DISTINCT symbol FROM bars) s), g AS (SELECT grid.symbol, grid.ts, b.c FROM grid LEFT JOIN bars b ON b.symbol = grid.symbol AND b.ts = grid.ts)
@@ -423,15 +425,15 @@ def continuation(spark, d):
 
 def _trades(spark, d):
     """Line items as trades: result in units of risk, by return flag, in order of ship date and key."""
-    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), "l_shipdate", "l_orderkey", "l_linenumber", ((F.col("l_discount") - 0.05) * 20 + F.col("l_tax")).alias("r"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ((F.col("l_discount") - 0.05) * 20 + F.col("l_tax")).alias("r"))
 
 
-T = "t AS (SELECT l_returnflag AS kind, l_shipdate, l_orderkey, l_linenumber, (l_discount - 0.05) * 20 + l_tax AS r FROM lineitem)"
-ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
+T = "t AS (SELECT l_returnflag AS kind, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_discount - 0.05) * 20 + l_tax AS r FROM lineitem)"
+ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r"]
 
 
 @query(
-    f"""WITH {T}, c AS (SELECT *, row_number() OVER w AS n, sum(r) OVER (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS cum FROM t WINDOW w AS (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber)),
+    f"""WITH {T}, c AS (SELECT *, row_number() OVER w AS n, sum(r) OVER (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, r ROWS UNBOUNDED PRECEDING) AS cum FROM t WINDOW w AS (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, r)),
     p AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY kind ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, n - row_number() OVER (PARTITION BY kind, r <= 0 ORDER BY n) AS run FROM c),
     s AS (SELECT kind, max(k) AS longest FROM (SELECT kind, run, count(*) AS k FROM p WHERE r <= 0 GROUP BY 1, 2) GROUP BY 1),
     g AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, avg(r) AS expectancy, sum(r) AS total, sum(r) FILTER (WHERE r > 0) / sum(-r) FILTER (WHERE r < 0) AS pf, max(peak - cum) AS dd FROM p GROUP BY 1),
@@ -444,18 +446,18 @@ def backtest_summary(spark, d):
 
 
 @query(
-    f"""WITH {T}, c AS (SELECT kind, row_number() OVER w AS n, sum(r) OVER (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS equity, count(*) OVER (PARTITION BY kind) AS k FROM t WINDOW w AS (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber))
+    f"""WITH {T}, c AS (SELECT kind, row_number() OVER w AS n, sum(r) OVER (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, r ROWS UNBOUNDED PRECEDING) AS equity, count(*) OVER (PARTITION BY kind) AS k FROM t WINDOW w AS (PARTITION BY kind ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, r))
     SELECT kind, n, round(equity, 3) AS equity FROM c WHERE (n - 1) % ceil(k / 200)::BIGINT = 0 OR n = k"""
 )
 def equity_curve(spark, d):
     return outcomes.equity_curve(_trades(spark, d), ["kind"], order=ORDER).select("kind", "n", F.round("equity", 3).alias("equity"))
 
 
-@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::TINYINT AS g1, grouping(l_linestatus)::TINYINT AS g2, count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag)::TINYINT AS g1, grouping(l_linestatus)::TINYINT AS g2, count(*) AS n, round(avg(l_discount), 4) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def grouping_sets(spark, d):
     t = table(spark, d, "lineitem")
     rows = t.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")], []], F.col("l_returnflag"), F.col("l_linestatus"))
-    return rows.agg(F.grouping("l_returnflag").alias("g1"), F.grouping("l_linestatus").alias("g2"), F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"))
+    return rows.agg(F.grouping("l_returnflag").alias("g1"), F.grouping("l_linestatus").alias("g2"), F.count("*").alias("n"), F.round(F.avg("l_discount"), 4).alias("mean"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -470,7 +472,7 @@ def rollup(spark, d):
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
 def pivot(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).fillna(0)
+    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).fillna(0)
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.75, 0.9, 0.95)) + " FROM lineitem GROUP BY 1")
@@ -480,7 +482,7 @@ def percentiles(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS n FROM lineitem) WHERE n % 7 = 0")
 def stride_thin(spark, d):
-    return outcomes.thin(table(spark, d, "lineitem"), ["l_returnflag"], ORDER, 7).select("l_orderkey", "l_linenumber")
+    return outcomes.thin(table(spark, d, "lineitem"), ["l_returnflag"], ORDER[:3], 7).select("l_orderkey", "l_linenumber")
 
 
 @query(
@@ -574,7 +576,7 @@ def gex(spark, d):
 
 @query(
     f"""WITH {GEX}, c AS (SELECT *, sum(gex) OVER (PARTITION BY ticker ORDER BY strike ROWS UNBOUNDED PRECEDING) AS cum FROM gex), p AS (SELECT *, lag(cum) OVER (PARTITION BY ticker ORDER BY strike) AS c0, lag(strike) OVER (PARTITION BY ticker ORDER BY strike) AS k0 FROM c),
-    x AS (SELECT ticker, spot, k0 + (strike - k0) * -c0 / (cum - c0) AS at FROM p WHERE c0 * cum < 0) SELECT ticker, round(arg_min(at, (abs(at - spot), at)), 5) AS flip FROM x GROUP BY 1"""
+    x AS (SELECT ticker, spot, k0 + (strike - k0) * -c0 / (cum - c0) AS x FROM p WHERE c0 * cum < 0) SELECT ticker, round(arg_min(x, (abs(x - spot), x)), 5) AS flip FROM x GROUP BY 1"""
 )
 def gamma_flip(spark, d):
     return options.gamma_flip(options.gamma_exposure(_chain(spark, d))).select("ticker", F.round("flip", 5).alias("flip"))
