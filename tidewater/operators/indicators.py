@@ -6,11 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("symbol").orderBy("ts")
+def by_symbol():
+    """Rows of a symbol in time order; made on use, since a window needs a running session."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def rolling(n: int):
-    return OWN.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, n: int, of: str = "c") -> Column:
@@ -31,7 +33,7 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 
 def log_return(n: int = 1) -> Column:
-    return F.log(F.col("c") / F.lag("c", n).over(OWN))
+    return F.log(F.col("c") / F.lag("c", n).over(by_symbol()))
 
 
 def realized_vol(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -44,7 +46,7 @@ def realized_vol(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def true_range() -> Column:
-    before = F.lag("c").over(OWN)
+    before = F.lag("c").over(by_symbol())
     return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before))
 
 
@@ -77,7 +79,7 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's strength index: 100 without losses, 50 without moves, null until n moves."""
-    move = F.col("c") - F.lag("c").over(OWN)
+    move = F.col("c") - F.lag("c").over(by_symbol())
     rows = bars.withColumns({"gain": F.greatest(move, F.lit(0.0) * move), "loss": F.greatest(-move, F.lit(0.0) * move)})
     rows = smoothed(rows, {"up": ("gain", 1 / n, n), "down": ("loss", 1 / n, n)})
     value = F.when((F.col("down") == 0) & (F.col("up") == 0), 50.0).when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("up") / F.when(F.col("down") != 0, F.col("down"))))
@@ -97,7 +99,7 @@ def trend_regime(bars: DataFrame, fast: int = 50, slow: int = 200, back: int = 1
     short = count < slow + back
     a = F.when(short, sma("c", 20)).otherwise(sma("c", fast))
     b = F.when(short, sma("c", 50)).otherwise(sma("c", slow))
-    out = bars.withColumns({"fast": a, "slow": b}).withColumn("slope", F.col("fast") - F.lag("fast", back).over(OWN)).withColumn("ready", F.row_number().over(OWN) >= F.when(short, 50).otherwise(slow) + back + 1)
+    out = bars.withColumns({"fast": a, "slow": b}).withColumn("slope", F.col("fast") - F.lag("fast", back).over(by_symbol())).withColumn("ready", F.row_number().over(by_symbol()) >= F.when(short, 50).otherwise(slow) + back + 1)
     up = (F.col("c") > F.col("fast")) & (F.col("fast") > F.col("slow")) & (F.col("slope") > 0)
     down = (F.col("c") < F.col("fast")) & (F.col("fast") < F.col("slow")) & (F.col("slope") < 0)
     return out.withColumn("regime", F.when(~F.col("ready"), "unknown").when(up, "up").when(down, "down").otherwise("range")).drop("ready")
@@ -105,7 +107,7 @@ def trend_regime(bars: DataFrame, fast: int = 50, slow: int = 200, back: int = 1
 
 def swing_points(bars: DataFrame, k: int = 3) -> DataFrame:
     """Centred windows of 2k + 1 bars, complete ones only: is the bar's high (low) their highest (lowest)."""
-    own = OWN.rowsBetween(-k, k)
+    own = by_symbol().rowsBetween(-k, k)
     whole = F.count("*").over(own) == 2 * k + 1
     return bars.withColumns({"swing_high": whole & (F.col("h") == F.max("h").over(own)), "swing_low": whole & (F.col("l") == F.min("l").over(own))})
 
@@ -113,8 +115,8 @@ def swing_points(bars: DataFrame, k: int = 3) -> DataFrame:
 def body_swings(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """Extremes of bodies: strictly beyond the `left` bodies before and not beaten by the `right` after; known `right`
     bars later (confirmed)."""
-    rows = bars.withColumns({"top": F.greatest("o", "c"), "bottom": F.least("o", "c"), "i": F.row_number().over(OWN) - 1})
-    before, after = OWN.rowsBetween(-left, -1), OWN.rowsBetween(1, right)
+    rows = bars.withColumns({"top": F.greatest("o", "c"), "bottom": F.least("o", "c"), "i": F.row_number().over(by_symbol()) - 1})
+    before, after = by_symbol().rowsBetween(-left, -1), by_symbol().rowsBetween(1, right)
     whole = (F.count("*").over(before) == left) & (F.count("*").over(after) == right)
     high = whole & (F.col("top") > F.max("top").over(before)) & (F.col("top") >= F.max("top").over(after))
     low = whole & (F.col("bottom") < F.min("bottom").over(before)) & (F.col("bottom") <= F.min("bottom").over(after))
@@ -125,7 +127,7 @@ def impulses(bars_with_atr: DataFrame, body: float = 1.5, outer: float = 0.25) -
     """Bodies of at least `body` times the last bar's average range that close in the outer share of their range."""
     spread = F.col("h") - F.col("l")
     move = F.col("c") - F.col("o")
-    big = F.abs(move) >= body * F.lag("atr").over(OWN)
+    big = F.abs(move) >= body * F.lag("atr").over(by_symbol())
     up = big & (move > 0) & (F.col("c") >= F.col("h") - outer * spread)
     down = big & (move < 0) & (F.col("c") <= F.col("l") + outer * spread)
     return bars_with_atr.withColumns({"impulse_up": F.coalesce(up, F.lit(False)), "impulse_down": F.coalesce(down, F.lit(False))})
@@ -142,7 +144,7 @@ def candle_shape(bars_with_atr: DataFrame) -> DataFrame:
         "close_pos": (F.col("c") - F.col("l")) / spread,
         "range_atr": (F.col("h") - F.col("l")) / a,
     }
-    return bars_with_atr.withColumns(cols | {f"move_{n}": (F.col("c") - F.lag("c", n).over(OWN)) / a for n in (4, 16, 96)})
+    return bars_with_atr.withColumns(cols | {f"move_{n}": (F.col("c") - F.lag("c", n).over(by_symbol())) / a for n in (4, 16, 96)})
 
 
 def returns(bars: DataFrame, lags=(1, 2, 3, 5, 10, 20), ahead: int = 5) -> DataFrame:
@@ -157,7 +159,7 @@ def returns(bars: DataFrame, lags=(1, 2, 3, 5, 10, 20), ahead: int = 5) -> DataF
             "range_pos_20": full((F.col("c") - low) / F.nullif(high - low, F.lit(0.0)), 20),
             "dow": F.weekday("ts"),
             "hour": F.hour("ts"),
-            "target": F.log(F.lead("c", ahead).over(OWN) / F.col("c")),
+            "target": F.log(F.lead("c", ahead).over(by_symbol()) / F.col("c")),
         }
     )
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import OWN
+from .indicators import by_symbol
 
 
 def _ahead(bars: DataFrame, horizon: int) -> DataFrame:
     """Bars with what follows within the horizon; an array of bounded length for each row, no join."""
-    return bars.withColumn("ahead_", F.collect_list(F.struct("h", "l", "c")).over(OWN.rowsBetween(1, horizon)))
+    return bars.withColumn("ahead_", F.collect_list(F.struct("h", "l", "c")).over(by_symbol().rowsBetween(1, horizon)))
 
 
 def _first(condition) -> Column:
@@ -57,7 +57,7 @@ def exits(bars: DataFrame, stop: Column, target: Column, horizon: int) -> DataFr
 
 def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     """Largest adverse and favourable move from each close over the next bars of the horizon, as far as there are any."""
-    own = OWN.rowsBetween(1, horizon)
+    own = by_symbol().rowsBetween(1, horizon)
     return bars.withColumns({"mae": F.greatest(F.col("c") - F.min("l").over(own), F.lit(0.0)), "mfe": F.greatest(F.max("h").over(own) - F.col("c"), F.lit(0.0))})
 
 

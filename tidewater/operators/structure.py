@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import OWN, body_swings
+from .indicators import body_swings, by_symbol
 
 RUN_SCHEMA = "symbol string, ts timestamp, i int, kind string, event string, level double, level_i int, label string, trend string"
 
@@ -91,8 +91,8 @@ def run_structure(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
 def boxes(bars: DataFrame, least_inside: int = 2, most_back: int = 30) -> DataFrame:
     """For each bar the earliest of the `most_back` bars before it whose body holds every close since: mother (its
     number), low, high and inside (closes held); null where there is none."""
-    rows = bars.withColumns({"i": F.row_number().over(OWN) - 1, "top": F.greatest("o", "c"), "bottom": F.least("o", "c")})
-    back = OWN.rowsBetween(-most_back, -1)
+    rows = bars.withColumns({"i": F.row_number().over(by_symbol()) - 1, "top": F.greatest("o", "c"), "bottom": F.least("o", "c")})
+    back = by_symbol().rowsBetween(-most_back, -1)
     rows = rows.withColumns({"past_": F.collect_list(F.struct("i", "top", "bottom", "c")).over(back)})
     # the closes from the bar after a candidate to this one: its later neighbours in the array, and this bar's own
     n = F.size("past_")
@@ -105,8 +105,8 @@ def boxes(bars: DataFrame, least_inside: int = 2, most_back: int = 30) -> DataFr
 def candlesticks(bars_with_atr: DataFrame) -> DataFrame:
     """Signed flags (1 bullish, -1 bearish, 0 none) of two- and three-bar patterns, in units of the last bar's average
     range; null inputs give 0."""
-    lag = lambda x, k=1: F.lag(x, k).over(OWN)
-    rows = bars_with_atr.withColumns({"a": F.when(lag("atr") > 0, lag("atr")), "body_": F.col("c") - F.col("o"), "range_": F.col("h") - F.col("l"), "i_": F.row_number().over(OWN)})
+    lag = lambda x, k=1: F.lag(x, k).over(by_symbol())
+    rows = bars_with_atr.withColumns({"a": F.when(lag("atr") > 0, lag("atr")), "body_": F.col("c") - F.col("o"), "range_": F.col("h") - F.col("l"), "i_": F.row_number().over(by_symbol())})
     rows = rows.withColumns({"b1": lag("body_"), "b2": lag("body_", 2), "o1": lag("o"), "c1": lag("c"), "h1": lag("h"), "l1": lag("l"), "o2": lag("o", 2), "c2": lag("c", 2), "h2": lag("h", 2), "l2": lag("l", 2)})
     o, h, l, c, a, b, b1, b2 = (F.col(k) for k in ("o", "h", "l", "c", "a", "body_", "b1", "b2"))
     o1, c1, h1, l1, o2, c2 = (F.col(k) for k in ("o1", "c1", "h1", "l1", "o2", "c2"))
@@ -125,7 +125,7 @@ def candlesticks(bars_with_atr: DataFrame) -> DataFrame:
     star = lambda d: (d * b2 < 0) & (F.abs(b2) >= 0.5 * a) & small & (d * b > 0) & (d * (c - (o2 + c2) / 2) > 0)
     rows = rows.withColumn("firm_", F.when(F.abs(b) >= 0.3 * a, F.signum(b)).otherwise(0.0))
     three = lambda d: (F.col("firm_") == d) & (lag("firm_") == d) & (lag("firm_", 2) == d) & (d * (c - c1) > 0) & (d * (c1 - c2) > 0) & (d * (o - o1) >= 0) & (d * (c1 - o) >= 0) & (d * (o1 - o2) >= 0) & (d * (c2 - o1) >= 0)
-    ten = OWN.rowsBetween(-9, 0)
+    ten = by_symbol().rowsBetween(-9, 0)
     known = F.col("i_") >= 10
     bottoms = two(1) & (F.abs(l - l1) <= 0.1 * a) & known & (F.least(l, l1) <= F.min("l").over(ten))
     tops = two(-1) & (F.abs(h - h1) <= 0.1 * a) & known & (F.greatest(h, h1) >= F.max("h").over(ten))
@@ -146,7 +146,7 @@ def retests(bars: DataFrame, levels: DataFrame, tolerance: float, max_wait: int)
     """For each level (symbol, level_id, price, kind H or L, known_i): the first bar after known_i whose close crosses it
     from the other side (break_i), then within max_wait bars the first that comes back within the tolerance (touch_i)
     and to the level itself (fill_i), and whether the touching bar closed on the broken side (rejected)."""
-    rows = bars.withColumns({"i": F.row_number().over(OWN) - 1, "before": F.lag("c").over(OWN)}).select("symbol", "i", "h", "l", "c", "before")
+    rows = bars.withColumns({"i": F.row_number().over(by_symbol()) - 1, "before": F.lag("c").over(by_symbol())}).select("symbol", "i", "h", "l", "c", "before")
     d = F.when(F.col("kind") == "H", 1).otherwise(-1)
     both = levels.withColumn("d", d).join(rows, "symbol").where("i > known_i")
     crossed = both.where((F.col("d") * (F.col("c") - F.col("price")) > 0) & (F.col("d") * (F.col("before") - F.col("price")) <= 0))

@@ -351,7 +351,7 @@ LEVELS = "lv AS (SELECT symbol, i AS level_id, CASE WHEN i % 2 = 0 THEN h ELSE l
 
 
 def _levels(b):
-    rows = b.withColumn("i", F.row_number().over(indicators.OWN) - 1).where("i % 40 = 0 or i % 40 = 21")
+    rows = b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1).where("i % 40 = 0 or i % 40 = 21")
     return rows.select("symbol", F.col("i").alias("level_id"), F.when(F.col("i") % 2 == 0, F.col("h")).otherwise(F.col("l")).alias("price"), F.when(F.col("i") % 2 == 0, "H").otherwise("L").alias("kind"), F.col("i").alias("known_i"))
 
 
