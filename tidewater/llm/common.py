@@ -85,6 +85,13 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(ngram_hashes(word_hashes(text.lower().split()), n)) if text else np.zeros(0, np.uint64)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task holds of their results stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow where fn turns one RecordBatch into one or more."""
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpoint, mix, written
+from .common import MIX, checkpoint, in_slices, mix, written
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
@@ -76,7 +76,7 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
     """Hashes of anchors that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             held = [anchors(d, length)[0] for d in _bytes(b.column(0))]
             if held:
                 seen, n = np.unique(np.concatenate(held), return_counts=True)
@@ -113,7 +113,7 @@ def _classes(texts: DataFrame, sieve, bits: int, length: int) -> DataFrame:
     """Distinct contexts of repeated anchors, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             seen: dict[tuple[int, int], list] = {}
             for d in _bytes(b.column(0)):
                 for a, c, _, left, right in _contexts(d, sieve.value, bits, length):
@@ -260,8 +260,9 @@ def _split_hot(groups: DataFrame, group_rows: int, length: int) -> tuple[DataFra
         by_left = rows.where(F.octet_length("left") > F.col("l")).withColumn("group", F.xxhash64("anchor", F.substring("left", one, F.col("l") + 1), F.substring("right", one, F.col("r"))))
         by_right = rows.where(F.octet_length("right") > F.col("r")).withColumn("group", F.xxhash64("anchor", F.substring("left", one, F.col("l")), F.substring("right", one, F.col("r") + 1)))
         cold = groups.join(hot.select("group"), "group", "left_anti")
-        split = by_left.unionByName(by_right).drop("l", "r").dropDuplicates(["group", "anchor", "context"])
-        groups = checkpoint(cold.select("group", "anchor", "context", "left", "right").unionByName(split.select("group", "anchor", "context", "left", "right")))
+        columns = ["group", "anchor", "context", "left", "right"]
+        split = by_left.unionByName(by_right).unionByName(cold, allowMissingColumns=True).select(*columns)
+        groups = checkpoint(split.dropDuplicates(columns[:3]))
 
 
 def repeated_spans(
@@ -278,10 +279,11 @@ def repeated_spans(
     found = groups.repartition("group").sortWithinPartitions("group", "right").mapInArrow(_scan(length), _FOUND)
     for more in (whole, early):
         found = found if more is None else found.unionByName(more)
-    found = found.groupBy("anchor", "context").agg(F.collect_set(F.struct("before", "after")).alias("reach"))
+    # a table of its own leaves the join below free to split a context that very many places share
+    found = written(found.groupBy("anchor", "context").agg(F.collect_set(F.struct("before", "after")).alias("reach")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             out: list[list[int]] = [[], [], [], [], []]
             for hi, lo, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _bytes(b.column(2)), strict=True):
                 for a, c, p, _, _ in _contexts(d, sieve.value, filter_bits, length):
@@ -319,7 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.unionByName(texts.where("moves").join(spans, ["hi", "lo"], "left").select("doc_id", "text", "starts", "ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             out: list[list] = [[], [], [], [], []]
             for d, a, e in zip(_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 gone = np.zeros(len(d) + 2, np.int8)
