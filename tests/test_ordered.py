@@ -147,3 +147,32 @@ def test_walk_forward_never_tests_on_training_rows(spark):
     for _, f in out.groupby("fold"):
         assert f[f.part == "train"].t.max() + 3 < f[f.part == "test"].t.min()
     assert pd.concat([f[f.part == "test"] for _, f in out.groupby("fold")]).t.tolist() == list(range(50, 100))
+
+
+def test_zone_touches_in_turn(spark):
+    from tidewater.operators import reactions
+
+    path = [(101, 100.5), (100.4, 99.9), (101.5, 100.6), (102, 101), (101, 99.2), (99.5, 98.5), (99.9, 99), (98.9, 98.6)]
+    bars_ = [(("s"), START + dt.timedelta(hours=i), c, float(h), float(min(c, l)), float(c), 1.0, 1.0) for i, (h, l, c) in enumerate((h, l, (h + l) / 2) for h, l in path)]
+    b = spark.createDataFrame(bars_, BARS + ", atr double")
+    zone = spark.createDataFrame([("s", 0, 100.0, 0.2, 0, 200), ("s", 1, 500.0, 0.2, 0, 200), ("t", 0, 1.0, 0.1, 0, 9)], "symbol string, zone int, price double, tol double, known_i int, expires_i int")
+    got = [(r["i"], r["kind"], r["side"]) for r in reactions.zone_reactions(b, zone).orderBy("i").collect()]
+    assert got[0] == (1, "rejection", 1) and [k for _, k, _ in got[1:]] == ["in_progress"] or [k for _, k, _ in got[1:]][0] == "break"
+    assert reactions.zone_reactions(b.where("false"), zone).count() == 0
+
+
+def test_shapes_of_swings(spark):
+    from tidewater.operators import reactions
+
+    def shapes(points):
+        rows = [("s", 5 * i, "H" if (i % 2 == 0) == (points[0] > points[1]) else "L", float(p), 1.0) for i, p in enumerate(points)]
+        return reactions.swing_shapes(spark.createDataFrame(rows, "symbol string, swing_i int, kind string, price double, atr double")).orderBy("swing_i").collect()[-1]
+
+    assert shapes([9, 13, 10, 13.2])["double"] == -1
+    assert shapes([13, 9, 12, 8.9])["double"] == 1
+    assert shapes([13, 10, 13.1, 10.2, 13.2])["triple"] == -1
+    assert shapes([12, 10, 14, 10, 12.3])["head_shoulders"] == -1
+    assert shapes([8, 12, 9, 12.1])["triangle"] == 1
+    assert shapes([12, 8, 11, 9])["triangle"] == 0
+    assert shapes([5, 10, 8, 11])["wedge"] == -1
+    assert shapes([5, 20, 6, 30])["double"] is None

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import indicators
-from . import decisions, market
+from . import decisions, market, reactions
 from .common import hourly, shown
 
-QUERIES: dict = market.QUERIES | decisions.QUERIES
-ORACLES: dict[str, str] = market.ORACLES | decisions.ORACLES
+QUERIES: dict = market.QUERIES | decisions.QUERIES | reactions.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | decisions.ORACLES | reactions.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
