@@ -101,11 +101,11 @@ def coverage(spark, d):
     return shown(bars.coverage(hourly(spark, d), "3 hours"))
 
 
-ISLANDS = "t AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS run FROM t), s AS (SELECT symbol, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM g GROUP BY symbol, run)"
+ISLANDS = "t AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 250000), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS run FROM t), s AS (SELECT symbol, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM g GROUP BY symbol, run)"
 
 
 def _days(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day"))
+    return table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day"))
 
 
 @query(f"WITH {ISLANDS} SELECT * FROM s")
@@ -127,10 +127,10 @@ def stitch(spark, d):
     return shown(bars.stitch(b.where("ts < '1999-01-01'"), recent), *OHLC)
 
 
-@query(f"WITH {DAILY} SELECT {SEL} FROM (SELECT * FROM bars WHERE day(ts) % 2 = 0 UNION ALL SELECT symbol, ts, o + 1, h + 1, l + 1, c + 1, v FROM bars WHERE day(ts) % 2 = 1)")
+@query(f"WITH {DAILY} SELECT {SEL} FROM (SELECT * FROM bars WHERE c >= o UNION ALL SELECT symbol, ts, o + 1, h + 1, l + 1, c + 1, v FROM bars WHERE c < o)")
 def union_priority(spark, d):
     b = daily(spark, d)
-    return shown(bars.prefer(b.where("day(ts) % 2 = 0"), b.select("symbol", "ts", *((F.col(x) + 1).alias(x) for x in "ohlc"), "v"), ["symbol", "ts"]), *OHLC)
+    return shown(bars.prefer(b.where("c >= o"), b.select("symbol", "ts", *((F.col(x) + 1).alias(x) for x in "ohlc"), "v"), ["symbol", "ts"]), *OHLC)
 
 
 # ---- ordered joins -------------------------------------------------------------------------------------------------
@@ -142,12 +142,12 @@ def asof_trend(spark, d):
     return shown(asof.asof_join(b.select("symbol", "ts", "c"), coarse, ["symbol"], "ts", "closes", ["hc"]))
 
 
-@query(f"""WITH {HOURLY}, news AS (SELECT event_type AS symbol, ts AS at, event_id FROM events WHERE event_id % 50 = 0),
+@query(f"""WITH {HOURLY}, news AS (SELECT event_type AS symbol, ts AS at, event_id FROM events WHERE value > 480),
 p AS (SELECT b.symbol, b.ts, k.at AS last_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts >= k.at), q AS (SELECT b.symbol, b.ts, k.at AS next_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts <= k.at)
 SELECT symbol, ts, round(CASE WHEN last_at IS NOT NULL THEN least(epoch(ts - last_at) / 60, 1440) END, 3) AS since, round(CASE WHEN next_at IS NOT NULL THEN least(epoch(next_at - ts) / 60, 1440) END, 3) AS until FROM p JOIN q USING (symbol, ts)""")
 def news_next_last(spark, d):
     b = hourly(spark, d).select("symbol", "ts")
-    news = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
+    news = table(spark, d, "events").where("value > 480").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
     rows = asof.asof_join(b, news, ["symbol"], "ts", "at", ["at"]).withColumnRenamed("at", "last_at")
     rows = asof.asof_join(rows, news, ["symbol"], "ts", "at", ["at"], direction="forward").withColumnRenamed("at", "next_at")
     minutes = lambda a, b: F.least((F.unix_micros(a) - F.unix_micros(b)) / 60e6, F.lit(1440.0))
@@ -347,12 +347,16 @@ def candlesticks(spark, d):
     return shown(structure.candlesticks(indicators.atr(hourly(spark, d))), "symbol", "ts", "engulfing", "outside_bar", "star", "tweezer")
 
 
-LEVELS = "lv AS (SELECT symbol, i AS level_id, CASE WHEN i % 2 = 0 THEN h ELSE l END AS price, CASE WHEN i % 2 = 0 THEN 'H' ELSE 'L' END AS kind, i AS known_i FROM z WHERE i % 40 = 0 OR i % 40 = 21)"
+#: Confirmed body swings as levels.
+LEVELS = """w AS (SELECT symbol, i, greatest(o, c) AS t, least(o, c) AS m FROM z), s AS (SELECT *, count(*) OVER p = 2 AND count(*) OVER f = 2 AS whole, t > max(t) OVER p AND t >= max(t) OVER f AS hi, m < min(m) OVER p AND m <= min(m) OVER f AS lo FROM w
+  WINDOW p AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)),
+lv AS (SELECT symbol, i * 2 AS level_id, t AS price, 'H' AS kind, i + 2 AS known_i FROM s WHERE whole AND hi UNION ALL SELECT symbol, i * 2 + 1, m, 'L', i + 2 FROM s WHERE whole AND lo)"""
 
 
 def _levels(b):
-    rows = b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1).where("i % 40 = 0 or i % 40 = 21")
-    return rows.select("symbol", F.col("i").alias("level_id"), F.when(F.col("i") % 2 == 0, F.col("h")).otherwise(F.col("l")).alias("price"), F.when(F.col("i") % 2 == 0, "H").otherwise("L").alias("kind"), F.col("i").alias("known_i"))
+    rows = indicators.body_swings(b)
+    part = lambda flag, price, kind, k: rows.where(flag).select("symbol", (F.col("i") * 2 + k).alias("level_id"), F.col(price).alias("price"), F.lit(kind).alias("kind"), F.col("confirmed").alias("known_i"))
+    return part("body_high", "top", "H", 0).unionByName(part("body_low", "bottom", "L", 1))
 
 
 @query(
@@ -376,12 +380,12 @@ def zones(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {HOURLY}, p AS (SELECT symbol, h AS x, row_number() OVER (PARTITION BY symbol ORDER BY h) AS k FROM bars WHERE day(ts) <= 6),
+    f"""WITH RECURSIVE {HOURLY}, p AS (SELECT symbol, h AS x, row_number() OVER (PARTITION BY symbol ORDER BY h) AS k FROM bars),
     w(symbol, k, x, first, c) AS (SELECT symbol, k, x, x, 1 FROM p WHERE k = 1 UNION ALL SELECT p.symbol, p.k, p.x, CASE WHEN p.x - w.first <= 6 THEN w.first ELSE p.x END, CASE WHEN p.x - w.first <= 6 THEN w.c ELSE w.c + 1 END FROM w JOIN p ON p.symbol = w.symbol AND p.k = w.k + 1)
     SELECT symbol, {r6('min(x) AS low', 'max(x) AS high', 'avg(x) AS mean')}, count(*)::INTEGER AS n FROM w GROUP BY symbol, c"""
 )
 def cluster_levels(spark, d):
-    return shown(structure.cluster_levels(hourly(spark, d).where("day(ts) <= 6"), "symbol", "h", F.lit(6.0)))
+    return shown(structure.cluster_levels(hourly(spark, d), "symbol", "h", F.lit(6.0)))
 
 
 # ---- outcomes ------------------------------------------------------------------------------------------------------

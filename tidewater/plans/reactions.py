@@ -71,7 +71,7 @@ def basis_adjusted(spark, d):
 
 
 PRED = """pr AS (SELECT row_number() OVER (ORDER BY symbol, ts) AS id, symbol, CASE epoch(ts)::BIGINT // 86400 % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'neutral' END AS direction, 0.6::DOUBLE AS p, c AS reference,
-  CASE WHEN epoch(ts)::BIGINT // 86400 % 3 = 0 THEN c * 0.9 ELSE c * 1.1 END AS stop, CASE WHEN epoch(ts)::BIGINT // 86400 % 4 = 3 THEN NULL WHEN epoch(ts)::BIGINT // 86400 % 3 = 0 THEN c * 1.2 ELSE c * 0.8 END AS target, ts AS start_ts, ts + INTERVAL 5 days AS end_ts FROM bars WHERE day(ts) = 10)"""
+  CASE WHEN epoch(ts)::BIGINT // 86400 % 3 = 0 THEN c * 0.9 ELSE c * 1.1 END AS stop, CASE WHEN epoch(ts)::BIGINT // 86400 % 4 = 3 THEN NULL WHEN epoch(ts)::BIGINT // 86400 % 3 = 0 THEN c * 1.2 ELSE c * 0.8 END AS target, ts AS start_ts, ts + INTERVAL 5 days AS end_ts FROM bars)"""
 
 
 @query(
@@ -85,7 +85,7 @@ def score_predictions(spark, d):
     b = daily(spark, d)
     day = F.floor(F.unix_timestamp("ts") / 86400)
     up = day % 3 == 0
-    rows = b.where(F.day("ts") == 10).select(
+    rows = b.select(
         F.concat_ws("/", "symbol", F.unix_timestamp("ts")).alias("id"), "symbol", F.when(up, "long").when(day % 3 == 1, "short").otherwise("neutral").alias("direction"), F.lit(0.6).alias("p"), F.col("c").alias("reference"),
         F.when(up, F.col("c") * 0.9).otherwise(F.col("c") * 1.1).alias("stop"), F.when(day % 4 == 3, None).when(up, F.col("c") * 1.2).otherwise(F.col("c") * 0.8).alias("target"), F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 5 days")).alias("end_ts"),
     )
@@ -109,4 +109,4 @@ def breakdown(spark, d):
 
 @query()
 def edges_against_null(spark, d):
-    return shown(reactions.edges(_breakdown(spark, d, "l_orderkey % 2 = 0"), _breakdown(spark, d, "l_orderkey % 2 = 1")))
+    return shown(reactions.edges(_breakdown(spark, d, "l_linestatus = 'O'"), _breakdown(spark, d, "l_linestatus = 'F'")))
