@@ -142,25 +142,47 @@ def candlesticks(bars_with_atr: DataFrame) -> DataFrame:
     return rows.withColumns(flags).select(*bars_with_atr.columns, *flags)
 
 
+RETEST_SCHEMA = "symbol string, level_id long, price double, break_i long, touch_i long, fill_i long, rejected boolean"
+
+
 def retests(bars: DataFrame, levels: DataFrame, tolerance: float, max_wait: int) -> DataFrame:
     """For each level (symbol, level_id, price, kind H or L, known_i): the first bar after known_i whose close crosses it
     from the other side (break_i), then within max_wait bars the first that comes back within the tolerance (touch_i)
-    and to the level itself (fill_i), and whether the touching bar closed on the broken side (rejected)."""
-    rows = bars.withColumns({"i": F.row_number().over(by_symbol()) - 1, "before": F.lag("c").over(by_symbol())}).select("symbol", "i", "h", "l", "c", "before")
-    d = F.when(F.col("kind") == "H", 1).otherwise(-1)
-    both = levels.withColumn("d", d).join(rows, "symbol").where("i > known_i")
-    crossed = both.where((F.col("d") * (F.col("c") - F.col("price")) > 0) & (F.col("d") * (F.col("before") - F.col("price")) <= 0))
-    broken = crossed.groupBy("symbol", "level_id", "price", "d").agg(F.min("i").alias("break_i"))
-    back = broken.join(rows, "symbol").where((F.col("i") > F.col("break_i")) & (F.col("i") <= F.col("break_i") + max_wait))
-    near = F.when(F.col("d") > 0, F.col("l") - F.col("price")).otherwise(F.col("price") - F.col("h"))
-    back = back.withColumn("near", near)
-    touched = back.where(F.col("near") <= tolerance)
-    hits = touched.groupBy("symbol", "level_id").agg(
-        F.min("i").alias("touch_i"),
-        F.min(F.when(F.col("near") <= 0, F.col("i"))).alias("fill_i"),
-        F.min_by(F.col("d") * (F.col("c") - F.col("price")) > 0, "i").alias("rejected"),
-    )
-    return broken.join(hits, ["symbol", "level_id"], "left").select("symbol", "level_id", "price", "break_i", "touch_i", "fill_i", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+    and to the level itself (fill_i), and whether the touching bar closed on the broken side (rejected).
+
+    One pass over a symbol's bars with its unbroken levels in order of price: a bar takes those that its close passes
+    over, so levels and bars are never paired. Levels that nothing breaks give no row."""
+    rows = bars.withColumn("i", F.row_number().over(by_symbol()) - 1).select("symbol", "i", "h", "l", "c")
+
+    def run(key, bars: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("i")
+        h, l, c = (bars[k].to_numpy(float) for k in "hlc")
+        own = own.sort_values(["known_i", "level_id"])
+        todo, k = list(own[["known_i", "level_id", "price", "kind"]].itertuples(index=False)), 0
+        open_: dict[str, list[tuple[float, int]]] = {"H": [], "L": []}
+        out = []
+        for i in range(1, len(c)):
+            while k < len(todo) and todo[k].known_i < i:
+                bisect.insort(open_[todo[k].kind], (float(todo[k].price), int(todo[k].level_id)))
+                k += 1
+            for kind, d in (("H", 1), ("L", -1)):
+                low, high = sorted((c[i - 1], c[i]))
+                if d * (c[i] - c[i - 1]) <= 0:
+                    continue
+                # the close before is not yet beyond the level, this one is
+                side = open_[kind]
+                first = bisect.bisect_left(side, (low,)) if d > 0 else bisect.bisect_right(side, (low, float("inf")))
+                last = bisect.bisect_left(side, (high,)) if d > 0 else bisect.bisect_right(side, (high, float("inf")))
+                for price, level in side[first:last]:
+                    near = (l - price if d > 0 else price - h)[i + 1 : i + 1 + max_wait]
+                    touch, fill = np.flatnonzero(near <= tolerance)[:1] + i + 1, np.flatnonzero(near <= min(0.0, tolerance))[:1] + i + 1
+                    rejected = bool(len(touch) and d * (c[touch[0]] - price) > 0)
+                    out.append((key[0], level, price, i, touch[0] if len(touch) else None, fill[0] if len(fill) else None, rejected))
+                del side[first:last]
+        columns = ["symbol", "level_id", "price", "break_i", "touch_i", "fill_i", "rejected"]
+        return pd.DataFrame(out, columns=columns).astype({"touch_i": "Int64", "fill_i": "Int64"})
+
+    return rows.groupBy("symbol").cogroup(levels.select("symbol", "level_id", "price", "kind", "known_i").groupBy("symbol")).applyInPandas(run, RETEST_SCHEMA)
 
 
 ZONE_SCHEMA = "symbol string, zone int, price double, tol double, members int, known_i int, expires_i int"
