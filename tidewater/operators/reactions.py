@@ -153,11 +153,14 @@ def without_basis(bars: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.withColumn("basis", basis).select("symbol", "ts", *((F.col(k) - F.col("basis")).alias(k) for k in "ohlc"), "v", "basis")
 
 
-def score_predictions(predictions: DataFrame, bars: DataFrame) -> DataFrame:
+def score_predictions(predictions: DataFrame, bars: DataFrame, bucket_seconds: float = 5 * 86400.0) -> DataFrame:
     """Outcome, signed return in percent and Brier score of predictions (id, symbol, direction long, short or neutral, p,
     reference, stop, target, start_ts, end_ts) on the bars between start and end: stop or target, whichever a bar reaches
-    first (a tie is a stop), else correct, flat (within 0.02%; for neutral within 0.15%) or wrong. Without bars, no row."""
-    path = predictions.join(bars.select("symbol", "ts", "h", "l", "c"), "symbol").where("ts > start_ts and ts <= end_ts")
+    first (a tie is a stop), else correct, flat (within 0.02%; for neutral within 0.15%) or wrong. Without bars, no row.
+    Bars meet predictions by equality on time buckets; choose one near the usual span."""
+    from .asof import range_join
+
+    path = range_join(bars.select("symbol", "ts", "h", "l", "c"), predictions, ["symbol"], "ts", "start_ts", "end_ts", bucket_seconds, inclusive_end=True).where("ts > start_ts")
     long, short = F.col("direction") == "long", F.col("direction") == "short"
     stopped = (long & (F.col("l") <= F.col("stop"))) | (short & (F.col("h") >= F.col("stop")))
     hit = (long & (F.col("h") >= F.col("target"))) | (short & (F.col("l") <= F.col("target")))
