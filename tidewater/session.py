@@ -42,6 +42,6 @@ def as_timestamp(df: DataFrame, *cols: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder that spark.checkpoint.dir names; in one of our own only where none is set."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
