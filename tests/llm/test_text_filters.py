@@ -218,3 +218,9 @@ def test_aliases_share_blocks_and_allows_win(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block"}
     edges = spark.createDataFrame([("http://w.fr/alone", "http://bad.com/en/5"), (None, "x")], "src_url string, dst_url string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, list(urls.RULES), edges).collect()}[7] == "block"
+
+
+def test_the_field_learns_the_same_however_rows_are_cut(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text rlike '[0-9@]'")
+    a, b = (pii.sample_windows(x, "text", 5) for x in (docs.coalesce(1), docs.repartition(7)))
+    assert a == b and all(sum(k == kind for k, _ in a) <= 5 for kind in range(-1, 4))

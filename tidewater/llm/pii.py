@@ -14,12 +14,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 15
-SAMPLE_ROWS, TRAIN_WINDOWS, EPOCHS = 4000, 160, 8
+TRAIN_WINDOWS, EPOCHS = 160, 8
+WINDOW, MARGIN = 160, 12
 
 # possessive forms of the contract's patterns: a run that fails is passed once, so long runs take linear time
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -79,7 +83,7 @@ FEATURES = (
 ).split()
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=10_000)
 def _span_features(s: str, before: str, after: str, tokens: int) -> tuple[int, ...]:
     """Indices of the features that hold for a whole span."""
     digits = _digits(s)
@@ -239,22 +243,44 @@ def altered(text: str, span: tuple[int, int, int]) -> tuple[str, list[tuple[int,
     return text[:a] + s + text[e:], [(a, k, a + len(s))]
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, train_windows: int = TRAIN_WINDOWS) -> np.ndarray:
-    """Trains on a bounded sample: of sample_rows texts with digits or at signs (least hashes first), train_windows
-    windows, a quarter as many of each kind and of none, and altered copies of those that can be altered."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t")).orderBy("h").limit(sample_rows).select(F.substring("t", 1, 20_000).alias("t")).toPandas()
-    by_kind: dict[int, list] = {k: [] for k in range(-1, len(KINDS))}
-    limit = max(1, train_windows // (len(KINDS) + 1))
-    for t in rows["t"]:
-        spans = base_spans(t)
-        for a, b in windows(t):
-            a, b = max(0, a - 12), min(len(t), b + 12)
-            own = [(x - a, k, y - a) for x, k, y in spans if a <= x and y <= b]
-            kind = own[0][1] if own else -1
-            if b - a <= 160 and len(by_kind[kind]) < limit and not any(x < y2 and x2 < y for (x, _, y) in own for (x2, _, y2) in own if (x, y) != (x2, y2)):
-                by_kind[kind].append((t[a:b], own))
-    samples = [s for k in sorted(by_kind) for s in by_kind[k]]
+def labelled_windows(text: str) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(kind of the first fixed span or -1, window, its fixed spans) of the short windows of a text in which no fixed
+    spans overlap."""
+    spans = base_spans(text)
+    for a, b in windows(text):
+        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+        own = [(x - a, k, y - a) for x, k, y in spans if a <= x and y <= b]
+        if b - a <= WINDOW and all(own[i][2] <= own[i + 1][0] for i in range(len(own) - 1)):
+            yield own[0][1] if own else -1, text[a:b], own
+
+
+def sample_windows(docs: DataFrame, text_col: str, each: int) -> list[tuple[int, str]]:
+    """Of all windows of all texts the `each` with the least hashes of each kind: tasks keep their own least ones, so
+    the driver sees a bounded few whatever the corpus, and the same ones however it is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, dict[int, str]] = {k: {} for k in range(-1, len(KINDS))}
+        for b in batches:
+            for t in b.column(0):
+                text = t.as_py()
+                if text and _MARK.search(text):
+                    for kind, window, _ in labelled_windows(text):
+                        least[kind][xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1] = window
+            for kind, own in least.items():
+                if len(own) > each:
+                    least[kind] = {h: own[h] for h in sorted(own)[:each]}
+        rows = [(k, h, w) for k, own in least.items() for h, w in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "h", "window"])
+
+    rows = checkpoint(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, h long, window string").distinct())
+    return [(k, r["window"]) for k in range(-1, len(KINDS)) for r in rows.where(F.col("kind") == k).orderBy("h").limit(each).collect()]
+
+
+def fit(docs: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WINDOWS) -> np.ndarray:
+    """Trains on a bounded sample, train_windows in all: equally many windows of each kind and of none, those with the
+    least hashes in the corpus, and altered copies of those that can be altered."""
+    found = sample_windows(docs, text_col, max(1, train_windows // (len(KINDS) + 1)))
+    samples = [(w, own) for _, w in found for own in [base_spans(w)] if all(own[i][2] <= own[i + 1][0] for i in range(len(own) - 1))]
     samples += [x for t, own in samples if len(own) == 1 and (x := altered(t, own[0]))]
     order = np.random.default_rng(8).permutation(len(samples))
     return train([samples[i] for i in order])
