@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, ngram_join, packing, pii, quality
-from tidewater.llm.common import written
+from tidewater.llm.common import bounded_batches, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality discriminant, learned from the labels outside the held-out fold, doesn't reject."""
+    bounded_batches(spark)
     model = quality.fit(docs, quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return docs.where(quality.score_column(spark, model) >= quality.CUT)
 
@@ -19,6 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest doc_id; of rows that repeat an id and its
     text one stays, rows without an id all stay."""
+    bounded_batches(spark)
     gone = ngram_join.ngram_jaccard_join(docs).where("not kept").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     again = written(docs.select("doc_id", F.xxhash64("text").alias("version")).where("doc_id is not null").groupBy("doc_id", "version").count().where("count > 1"))
@@ -32,17 +34,20 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item."""
+    bounded_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by its kind; n_chars is that of the new text."""
+    bounded_batches(spark)
     masked = docs.withColumn("text", pii.mask_column(spark, pii.fit(docs)))
     return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document's pieces with their token ids, laid out in sequences."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

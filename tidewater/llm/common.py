@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORD_CACHE = 1_500_000
+WORD_CACHE = 250_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where the session names none."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -47,6 +47,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A worker serves stages of several operators in turn; what one has cached goes when another's work begins.
+_caches: list = []
+_holder: list = [None]
+
+
+def claim(cache) -> None:
+    if _holder[0] is not cache:
+        if not any(c is cache for c in _caches):
+            _caches.append(cache)
+        for c in _caches:
+            if c is not cache:
+                c.clear()
+        _holder[0] = cache
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, bounded; the value depends on the word alone, so every worker agrees."""
 
@@ -61,6 +76,7 @@ _words = WordHashes()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
+    claim(_words)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
@@ -85,6 +101,13 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(ngram_hashes(word_hashes(text.lower().split()), n)) if text else np.zeros(0, np.uint64)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most `rows`: the default of ten thousand holds tens of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a task holds of their results stays small."""
     for b in batches:

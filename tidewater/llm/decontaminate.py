@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, ngram_hashes
+from .common import WORD_CACHE, claim, ngram_hashes
 
 SEED_WORDS, RARE, LEAST_SHARE = 3, 1e-7, 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -36,6 +36,7 @@ _bare = BareWords()
 
 
 def words_of(text: str | None) -> np.ndarray:
+    claim(_bare)
     words = text.split() if text else []
     return np.fromiter(map(_bare.__getitem__, words), np.uint64, len(words))
 

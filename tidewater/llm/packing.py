@@ -12,11 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import claim
+
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END_OF_DOCUMENT = 1
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 450_000
 #: The letters that stand for the bytes of a byte-level vocabulary: printable ones for themselves, others from 256 on.
 _plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_plain))}
@@ -26,7 +28,8 @@ SCHEMA = "doc_id long, start long, length long, tokens binary, doc_tokens long,
 
 class WordTokens(dict):
     """Tokens of each word, found once per worker: the vocabulary never joins over white space, so a text's
-    tokens are those of its words in order. Bounded: it starts anew after WORDS_KEPT words."""
+    tokens are those of its words in order. Bounded: once it holds WORDS_KEPT words, among them the frequent ones, a
+    text's new words are forgotten with it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,13 +40,9 @@ class WordTokens(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids if m else [] for m in ["", *".,;:!?|"]}
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -57,9 +56,9 @@ class WordTokens(dict):
         flat, sizes = self._tokens_of(self.new)
         total = self.used + len(flat)
         if total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * total)
+            self.flat = np.resize(self.flat, 3 * total // 2)
         if len(self) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self)), np.resize(self.size, 2 * len(self))
+            self.at, self.size = np.resize(self.at, 3 * len(self) // 2), np.resize(self.size, 3 * len(self) // 2)
         self.flat[self.used : total] = flat
         self.size[first : len(self)] = sizes
         self.at[first : len(self)] = self.used + np.cumsum(sizes) - sizes
@@ -88,15 +87,19 @@ class WordTokens(dict):
             text = text.lower()  # as the tokenizer does; fewer words to learn
         words = text.replace("\n", " ").split(" ") if text else []
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        late = self.new if len(self) > WORDS_KEPT else []
+        used = self.used
         self.learn()
-        sizes = self.size[codes]
+        sizes = self.size[codes].astype(np.int64)
         ends = np.cumsum(sizes)
         n = int(ends[-1]) if len(ends) else 0
         out = np.empty(n + 1, np.uint32)
         out[:n] = self.flat[np.repeat(self.at[codes] - ends + sizes, sizes) + np.arange(n)]
         out[n] = END_OF_DOCUMENT
-        if len(self) > WORDS_KEPT:
-            self.reset()
+        for w in late:
+            del self[w]
+        if late:
+            self.used = used
         return out
 
 
@@ -167,6 +170,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_tokens)
         words = _tokens.get(tokenizer_path) or _tokens.setdefault(tokenizer_path, WordTokens(tokenizer_path))
         task, number = TaskContext.get().partitionId() << 40, count()
         ids: list = []
