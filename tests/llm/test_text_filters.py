@@ -171,6 +171,18 @@ def test_line_blocks_without_an_article():
     assert html_text.main_text(page) == ("words of the text " * 12).strip() + "\nend."
 
 
+def test_windows_decide_on_pages_with_articles():
+    body, more, lead = ("words of the body " * 20).strip(), ("and the second part " * 12).strip(), "What the story says in short."
+    links = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    main = html_text.main_text
+    assert main(f"<p>Mon 3</p><main><h1>Head</h1><p>{lead}</p><article><h2><a href=c>Sub</a></h2><p>{body}</p></article>{links}</main><p>End</p>") == f"Head\n{lead}\nSub\n{body}"
+    assert main(f"<main><p>{body}</p><article><p>{lead}</p></article></main>") == f"{body}\n{lead}"
+    assert main(f"<article><p>{body}</p></article>{links}<p>Part 2</p><article><p>{more}</p></article>") == f"{body}\n{more}"
+    long = f"<p>{body}</p><p>{more}</p>"
+    assert main(f"{links}<div>{long}</div><article><p>Teaser</p></article>{links}").startswith(f"{body}\n{more}")
+    assert main(f"{long}{links}<article><p>{body}</p></article><p>By line</p>") == f"{body}\n{more}\n{body}"
+
+
 def test_extract_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>" + "x" * 200_000), (2, "u", "<article>a</article>"), (2, "u", "<article>a</article>")], "page_id long, url string, html string")
     got = html_text.extract_text(rows).collect()

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: What a character counts inside articles and mains, and outside them, on pages that have any.
+INSIDE, OUTSIDE = 4, 0.25
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title|canvas|audio|video"
 _PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.DOTALL | re.IGNORECASE)
@@ -50,11 +52,11 @@ def _aside(tag: str, attributes: str) -> bool:
     return False
 
 
-def line_blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters that count, article) of each block with text, in page order: text outside asides, references
-    decoded and white space squeezed; what stands in links doesn't count; article is the number of the innermost
-    article or main element around, 0 for none."""
-    out: list[tuple[str, int, int]] = []
+def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
+    """(text, characters that count, articles) of each block with text, in page order: text outside asides, references
+    decoded and white space squeezed; what stands in links doesn't count; articles are the numbers of the article and
+    main elements around, the outermost first."""
+    out: list[tuple[str, int, tuple[int, ...]]] = []
     parts: list[str] = []
     linked: list[bool] = []
     links = 0
@@ -67,7 +69,7 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
             text = " ".join("".join(parts).split())
             if text:
                 free = " ".join("".join(p for p, a in zip(parts, linked, strict=True) if not a).split())
-                out.append((text, len(free), articles[-1] if articles else 0))
+                out.append((text, len(free), tuple(articles)))
             parts.clear()
             linked.clear()
 
@@ -128,37 +130,53 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def weighed(blocks: list[tuple[str, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(what each block counts, whether it is inside): characters in an article or main count INSIDE each, nested ones
+    with the outer one, all others OUTSIDE. Where what is outside still counts more, all count alike and none is inside."""
+    size = np.array([n for _, n, _ in blocks], float)
+    inside = np.array([bool(around) for _, _, around in blocks])
+    held: dict[int, int] = {}
+    for text, _, around in blocks:
+        if around:
+            held[around[-1]] = held.get(around[-1], 0) + len(text)
+    # links are part of an article's sentences, but lists of them stand beside the articles of a main
+    outer = {a for _, _, around in blocks for a in around[:-1]}
+    most: dict[int, int] = {}
+    for _, _, around in blocks:
+        if around and held[around[-1]] > held.get(most.get(around[0], 0), 0):
+            most[around[0]] = around[-1]
+    full = np.array([len(t) if around and (around[-1] not in outer or around[-1] == most[around[0]]) else n for t, n, around in blocks], float)
+    if inside.any() and full[inside].sum() * INSIDE >= size[~inside].sum() * OUTSIDE:
+        return full * np.where(inside, INSIDE, OUTSIDE), inside
+    return size, np.zeros(len(blocks), bool)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between the surge and dive points of the blocks' length distribution.
 
-    Where the page has articles, blocks outside the one with most text count nothing, and any text is a surge; else a
-    window of lines must hold `surge` characters. A stretch starts at the first line with text of a window that reaches
-    it and ends with the last line of its last such window. A page without a surge keeps the lines that aren't mostly links.
+    A window of lines must hold `surge` characters as weighed, all inside articles or all outside. A stretch starts at
+    the first line with text of a window that reaches it, inside articles at the first line with text before, and ends
+    with the last line of its last such window or where the articles begin or end. A page without a surge keeps the
+    lines that aren't mostly links, of its articles if it has any.
     """
     blocks = line_blocks(page) if page else []
     if not blocks:
         return ""
-    size = np.array([n for _, n, _ in blocks])
-    inside = np.array([a for _, _, a in blocks])
-    if inside.any():
-        best = np.bincount(inside, weights=size)
-        best[0] = -1
-        own = inside == best.argmax()
-        # in the article links count as well: they are part of its sentences
-        size = np.where(own, np.maximum(size, [len(t) for t, _, _ in blocks]), 0)
-        surge = 1
-        window = 1
-    sums = np.convolve(size, np.ones(window, np.int64))[window - 1 :]  # of each line and those that follow it
+    size, inside = weighed(blocks)
+    ahead = lambda x: np.convolve(x, np.ones(window))[window - 1 :]  # of each line and those that follow it
+    sums = np.where(inside, ahead(size * inside), ahead(size * ~inside))
     keep = np.zeros(len(blocks), bool)
     i = 0
     while i < len(blocks):
         if sums[i] < surge or not size[i]:
             i += 1
             continue
-        dive = i
-        while dive < len(blocks) and (sums[dive] >= surge or size[dive] > 0 and dive > i):
+        start = dive = i
+        while dive < len(blocks) and inside[dive] == inside[i] and (sums[dive] >= surge or size[dive] > 0):
             dive += 1
-        keep[i:dive] = size[i:dive] > 0
+        while inside[i] and start and inside[start - 1] and size[start - 1]:
+            start -= 1
+        keep[start:dive] = size[start:dive] > 0
         i = dive
     if not keep.any():  # a short page: what isn't mostly links
         keep = size * 2 >= np.array([len(t) for t, _, _ in blocks])
