@@ -183,6 +183,17 @@ def test_windows_decide_on_pages_with_articles():
     assert main(f"{long}{links}<article><p>{body}</p></article><p>By line</p>") == f"{body}\n{more}\n{body}"
 
 
+def test_names_alone_do_not_drop_the_text():
+    body, lead, talk = ("words of the body " * 20).strip(), "What the story says in short.", ("I say so " * 90).strip()
+    main = html_text.main_text
+    assert main(f'<div class="page has-sidebar"><div id="content" class="no-comments"><p>{body}</p></div></div>') == body
+    assert main(f'<article class="post comment-status-open" data-comment-count=3><h1>Head</h1><div class="entry-content widget"><p>{body}</p></div></article>') == f"Head\n{body}"
+    assert main(f'<div class="header"><p>{lead}</p></div><div class="widget"><p class="notice">{lead}<p>{body}</p></div><p>{lead}</p>') == f"{body}\n{lead}"
+    assert main(f'<article><p>{body}</p><div class="comment-list"><article><p>{talk}</p></article></div></article>') == body
+    assert main(f'<article><p>{body}</p></article><div class="sidebar-left"><p>{talk}</p></div>') == body
+    assert main(f'<div class="social share">never closed<article><p>{body}</p><span class="share">Share <span>it</span> now</span></article>') == body
+
+
 def test_extract_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>" + "x" * 200_000), (2, "u", "<article>a</article>"), (2, "u", "<article>a</article>")], "page_id long, url string, html string")
     got = html_text.extract_text(rows).collect()

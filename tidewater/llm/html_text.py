@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,28 @@ ASIDE_WORDS = frozenset(
         "recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription taboola teaser toolbar widget"
     ).split()
 )
+#: Words that may stand beside these in one name, as in comment-list or sidebar-left.
+PLACES = frozenset("area bar block box buttons container inner left links list posts right section site top bottom wrap wrapper".split())
+#: What readers or others wrote: as long as a main text at times, so length alone doesn't make it one.
+TALK = frozenset("comment comments disqus related replies respond".split())
 _WORD = re.compile(r"[a-z]+")
+_ENDS_ITSELF = frozenset("p li dt dd option tr td th".split())
+
+
+def _names(attributes: str) -> set[str]:
+    """The aside words of those class and id names that consist of nothing else."""
+    out: set[str] = set()
+    for m in _ATTR.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or "").strip("\"'").lower().split():
+                words = set(_WORD.findall(name))
+                if words & ASIDE_WORDS and words <= ASIDE_WORDS | PLACES:
+                    out |= words & ASIDE_WORDS
+    return out
 
 
 def _aside(tag: str, attributes: str) -> bool:
-    """Whether an element stands beside the main text, by its tag, role, class or id words, or as hidden."""
+    """Whether an element stands beside the main text by its tag or role, or is hidden."""
     if tag in ASIDES:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -47,11 +65,46 @@ def _aside(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in ASIDE_ROLES or name in ("class", "id") and not ASIDE_WORDS.isdisjoint(_WORD.findall(value)):
+        if name == "role" and value in ASIDE_ROLES:
             return True
     return False
 
 
+class _Named:
+    """An element whose class or id says that it stands beside the main text, which the lengths of its blocks decide."""
+
+    def __init__(self, up: _Named | None, begin: int, talk: bool):
+        self.up, self.begin, self.talk = up, begin, talk
+        self.closed = False
+        self.article: int | None = None  # the block at which the first article in it opens
+        self.holds = 0.0
+        self.kept = True
+
+    def at(self, block: int) -> _Named | None:
+        """The named element around a block: one that was never closed ends where an article opens."""
+        x: _Named | None = self
+        while x and not x.closed and x.article is not None and block >= x.article:
+            x = x.up
+        return x
+
+
+def _without_asides(blocks: list, around: list[_Named | None], named: list[_Named]) -> list:
+    """The blocks but those in named elements. One that holds more than half of what its surroundings hold, as weighed,
+    stays; one of comments or the like only if the rest is too short for a surge."""
+    page = _Named(None, 0, False)
+    for x in named:
+        x.up = (x.up and x.up.at(x.begin)) or page
+    own = [(x and x.at(i)) or page for i, x in enumerate(around)]
+    for x, (_, n, articles) in zip(own, blocks, strict=True):
+        x.holds += n * (INSIDE if articles else OUTSIDE)
+    for x in reversed(named):
+        x.up.holds += x.holds
+    for x in named:
+        rest = x.up.holds - x.holds
+        x.kept = x.up.kept and x.holds > rest and (not x.talk or rest < SURGE * INSIDE)
+    return [b for b, x in zip(blocks, own, strict=True) if x.kept]
+
+
 def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
     """(text, characters that count, articles) of each block with text, in page order: text outside asides, references
     decoded and white space squeezed; what stands in links doesn't count; articles are the numbers of the article and
@@ -63,6 +116,30 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
     aside: list[str] = []  # open elements from the aside on
     articles: list[int] = []
     seen = 0
+    opened: list[tuple[str, _Named | None]] = []
+    depth: Counter[str] = Counter()
+    names: list[_Named] = []  # the named ones of those
+    named: list[_Named] = []
+    around: list[_Named | None] = []
+
+    def enter(tag: str, words: set[str]) -> None:
+        x = None
+        if words:
+            x = _Named(names[-1] if names else None, len(out), not TALK.isdisjoint(words))
+            names.append(x)
+            named.append(x)
+        opened.append((tag, x))
+        depth[tag] += 1
+
+    def leave(tag: str) -> None:
+        while depth[tag]:
+            t, x = opened.pop()
+            depth[t] -= 1
+            if x:
+                names.pop()
+                x.closed = t == tag or t in _ENDS_ITSELF
+            if t == tag:
+                break
 
     def end_block() -> None:
         if parts:
@@ -70,6 +147,7 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             if text:
                 free = " ".join("".join(p for p, a in zip(parts, linked, strict=True) if not a).split())
                 out.append((text, len(free), tuple(articles)))
+                around.append(names[-1] if names else None)
             parts.clear()
             linked.clear()
 
@@ -102,32 +180,52 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                 aside.clear()
             elif not closing and tag in ("article", "main", "body"):
                 aside.clear()  # an aside that was never closed
-                articles.append(seen := seen + 1) if tag != "body" else None
-            elif not closing and tag == aside[0] or not closing and tag not in VOID and tag not in INLINE and tag not in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
+            elif not closing and tag == aside[0] or not closing and tag not in VOID and tag not in INLINE and tag not in _ENDS_ITSELF:
                 aside.append(tag)
-            continue
+            if closing or tag not in ("article", "main"):
+                continue
         if tag == "a":
             links = max(0, links - 1) if closing else 1
             continue
         if tag in INLINE:
-            if not closing and tag != "img" and _aside(tag, m[4]):
-                end_block()
-                aside.append(tag)
+            if closing:
+                if depth[tag]:
+                    if opened[-1][1]:
+                        end_block()
+                    leave(tag)
+            elif tag not in VOID:
+                words = _names(m[4])
+                if _aside(tag, m[4]):
+                    end_block()
+                    aside.append(tag)
+                elif words or depth[tag]:
+                    if words:
+                        end_block()
+                    enter(tag, words)
             continue
         end_block()
         links = 0
         if closing:
+            leave(tag)
             if tag in ("article", "main") and articles:
                 articles.pop()
-        elif tag in ("article", "main"):
+            continue
+        if opened and (opened[-1][0] == "p" or opened[-1][0] == tag and tag in _ENDS_ITSELF):
+            leave(opened[-1][0])
+        if tag in ("article", "main"):
+            for x in reversed(names):
+                if x.article is not None:
+                    break
+                x.article = len(out)
             articles.append(seen := seen + 1)
-            if _aside(tag, m[4]) or ASIDE_WORDS & set(_WORD.findall((m[4] or "").lower())) & {"comment", "comments", "related", "teaser", "promo", "sponsored"}:
-                articles.pop()
+            enter(tag, _names(m[4]) & {"comment", "comments", "related", "teaser", "promo", "sponsored"})
+        elif tag not in VOID:
+            if _aside(tag, m[4]):
                 aside.append(tag)
-        elif tag not in VOID and _aside(tag, m[4]):
-            aside.append(tag)
+            else:
+                enter(tag, _names(m[4]) if tag not in ("html", "body") else set())
     end_block()
-    return out
+    return _without_asides(out, around, named) if named else out
 
 
 def weighed(blocks: list[tuple[str, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
