@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
 K1, B, RRF = 1.2, 0.75, 60
+#: Bytes of a block of rows and of queries that meet in one task, and rows of it compared at a time.
+ROW_BYTES, QUERY_BYTES, CHUNK = 16_000_000, 4_000_000, 4096
 
 
 def tokens(text: Column) -> Column:
@@ -43,13 +48,117 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "q", max_queries: int = 10_000) -> DataFrame:
-    """The k nearest vectors of each query by cosine, exactly: a stated query set against all rows. The queries are
-    broadcast after their number is checked; more are refused, to be given in parts."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"over {max_queries} queries: give them in parts")
-    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v_")).join(F.broadcast(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q_"))))
-    return top(rows.select("query_id", "doc_id", cosine(F.col("v_"), F.col("q_")).alias("score")), k)
+class ByCosine:
+    """Cosines of a block's queries with its rows: rough ones at once, and those of `cosine`, sums in order, for a few."""
+
+    def __init__(self, queries: pa.Array, rows: pa.Array):
+        self.queries, self.rows = ([None if x is None or None in x else np.array(x, float) for x in c.to_pylist()] for c in (queries, rows))
+        self.width = next((len(x) for x in self.queries if x is not None), 0)
+        self.q, self.v = self._units(self.queries), self._units(self.rows)
+
+    def _units(self, vectors: list) -> np.ndarray:
+        """Vectors of length 1; nan, which says nothing, for those that have none or another number of components."""
+        out = np.full((len(vectors), self.width), np.nan)
+        with np.errstate(all="ignore"):
+            for i, x in enumerate(vectors):
+                if x is not None and len(x) == self.width and np.isfinite(n := np.sqrt(x @ x)) and n > 1e-100:
+                    out[i] = x / n
+        return out
+
+    def rough(self, queries: slice, rows: slice) -> np.ndarray:
+        if not self.width:
+            return np.full((len(self.q[queries]), len(self.v[rows])), np.nan)
+        return self.q[queries] @ self.v[rows].T
+
+    def exact(self, query: int, rows: np.ndarray) -> list[float | None]:
+        q = self.queries[query]
+        out: list[float | None] = [None] * len(rows)
+        same = [n for n, i in enumerate(rows) if q is not None and self.rows[i] is not None and len(self.rows[i]) == len(q)]
+        if not same or not len(q):
+            return out
+        v = np.array([self.rows[rows[n]] for n in same])
+        total = lambda x: np.add.accumulate(x, axis=1)[:, -1] + 0.0
+        with np.errstate(all="ignore"):
+            size = np.sqrt(total(v * v)) * np.sqrt(total((q * q)[None]))
+            for n, dot, of in zip(same, total(v * q), size, strict=True):
+                out[n] = None if of == 0 else float(dot / of)
+        return out
+
+
+class ByDistance:
+    """Numbers, scored by their distance: 0 for equal ones, less for others, null if either is null."""
+
+    def __init__(self, queries: pa.Array, rows: pa.Array):
+        self.queries, self.rows = queries.to_pylist(), rows.to_pylist()
+        self.q, self.v = (np.array([np.nan if x is None else x for x in c], float) for c in (self.queries, self.rows))
+
+    def rough(self, queries: slice, rows: slice) -> np.ndarray:
+        return -np.abs(self.q[queries, None] - self.v[None, rows])
+
+    def exact(self, query: int, rows: np.ndarray) -> list[float | int | None]:
+        q = self.queries[query]
+        return [None if q is None or self.rows[i] is None else -abs(self.rows[i] - q) for i in rows]
+
+
+def block_top(rows: DataFrame, queries: DataFrame, k: int, scorer: type, row_bytes: int = ROW_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k best rows (doc_id, v_) of each query (query_id, q_) with their rank, exactly, whatever the number of either.
+
+    Both are cut by hash into blocks of bounded bytes. Each pair of blocks is one small group that keeps the k best of
+    its queries; these are merged. Scores order as Spark orders them: nan first, null last, ties by id."""
+
+    def blocks(df: DataFrame, value: str, size: int) -> int:
+        wide = F.size(value) if df.schema[value].dataType.typeName() == "array" else F.lit(1)
+        return max(1, -(-int(df.agg(F.sum(F.greatest(wide, F.lit(0)) * 8 + 16)).first()[0] or 0) // size))
+
+    n_rows, n_queries = blocks(rows, "v_", row_bytes), blocks(queries, "q_", query_bytes)
+    part = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(part(["doc_id", "v_"], n_rows).alias("rows_"), each(n_queries).alias("queries_"), "doc_id", "v_")
+    right = queries.select(each(n_rows).alias("rows_"), part(["query_id", "q_"], n_queries).alias("queries_"), "query_id", "q_")
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        own = own.sort_by("doc_id") if not own["doc_id"].null_count else own.take(pa.compute.sort_indices(own, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))
+        score = scorer(asked["q_"], own["v_"])
+        # (class, score, place by id) of the best so far: nan is class 0, null 2
+        best: list[list[tuple[int, float, int]]] = [[] for _ in range(asked.num_rows)]
+        at_least = np.full(asked.num_rows, -np.inf)
+        for a in range(0, own.num_rows, CHUNK):
+            for b in range(0, asked.num_rows, CHUNK // 8):
+                rough = score.rough(slice(b, b + CHUNK // 8), slice(a, a + CHUNK))
+                with np.errstate(all="ignore"):
+                    least = at_least[b : b + CHUNK // 8]
+                    maybe = ~(rough < (least - 1e-9 * (1 + np.abs(least)))[:, None])
+                for i in np.flatnonzero(maybe.any(axis=1)):
+                    near = np.flatnonzero(maybe[i])
+                    known = rough[i, near]
+                    if len(near) > 4 * k and not np.isnan(known).any():
+                        cut = np.partition(known, -k)[-k]
+                        near = near[known >= cut - 1e-9 * (1 + abs(cut))]
+                    for j, s in zip(near + a, score.exact(b + i, near + a), strict=True):
+                        best[b + i].append((2, 0.0, j) if s is None else (0, 0.0, j) if s != s else (1, -s, j))
+                    best[b + i] = sorted(best[b + i])[:k]
+                    if len(best[b + i]) == k:
+                        c, s, _ = best[b + i][-1]
+                        at_least[b + i] = -np.inf if c == 2 else np.inf if c == 0 else -s
+        found = [(i, j, None if c == 2 else np.nan if c == 0 else -s) for i, x in enumerate(best) for c, s, j in x]
+        to = lambda n, t: pa.array([x[n] for x in found], t)
+        ids, docs = asked["query_id"].take(to(0, pa.int64())), own["doc_id"].take(to(1, pa.int64()))
+        return pa.table({"query_id": ids, "doc_id": docs, "score": pa.array([None if x[2] is None else float(x[2]) for x in found], pa.float64())})
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
+    return top(left.groupBy("rows_", "queries_").cogroup(right.groupBy("rows_", "queries_")).applyInArrow(run, schema), k)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "q", **sizes: int) -> DataFrame:
+    """The k nearest vectors of each query by cosine, exactly, for any number of queries."""
+    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v_"))
+    return block_top(rows, queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q_")), k, ByCosine, **sizes)
+
+
+def value_top(rows: DataFrame, queries: DataFrame, k: int, id_col: str, value_col: str, query_id: str, query_value: str, **sizes: int) -> DataFrame:
+    """The k rows of each query whose number is nearest to its own, exactly, for any number of queries."""
+    own = rows.select(F.col(id_col).alias("doc_id"), F.col(value_col).alias("v_"))
+    return block_top(own, queries.select(F.col(query_id).alias("query_id"), F.col(query_value).alias("q_")), k, ByDistance, **sizes)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = RRF) -> DataFrame:

@@ -199,8 +199,7 @@ def rrf(spark, d):
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0")
     first = retrieval.vector_top(v, q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 20)
-    by_label = v.select(F.col("vec_id").alias("doc_id"), "label").join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))))
-    second = retrieval.top(by_label.select("query_id", "doc_id", (-F.abs(F.col("label") - F.col("own"))).alias("score")), 20)
+    second = retrieval.value_top(v, q, 20, "vec_id", "label", "vec_id", "label")
     return shown(retrieval.fuse(first, second))
 
 
