@@ -33,3 +33,24 @@ def test_any_number_of_queries_is_answered(spark):
     q = spark.range(10_500).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id")).alias("q"))
     got = retrieval.vector_top(v, q, 2)
     assert got.count() == 21_000 and got.where("rank = 1 and query_id < 40 and query_id <> doc_id").count() == 0
+
+
+def test_packing_gathers_no_more_rows_than_the_budget_allows(spark):
+    r = random.Random(5)
+    rows = [(g, i, r.choice([0, 1, 3, 7, 30, 60, 200, None]) if i % 40 else 5) for g in ("a", "b", None) for i in range(400)]
+    rows += [("big", 0, 101), ("big", 1, 0), ("big", 2, 5), ("null", 0, None), ("null", 1, 1), ("zero", 0, 0), ("zero", 1, 100), ("zero", 2, 0), ("zero", 3, 1)]
+    expect = []
+    for g in {g for g, _, _ in rows}:
+        used, some = 0, False
+        for _, i, n in sorted((i % 17, i, n) for x, i, n in rows if x == g):
+            if not some or used is not None and n is not None and used + n <= 100:
+                used = None if n is None else used + n
+                expect.append((str(g), i))
+            some = True
+    df = spark.createDataFrame(rows, "source string, doc_id long, n int")
+    pack = lambda x: retrieval.pack_budget(x, "source", [F.col("doc_id") % 17, F.col("doc_id")], "n", 100)
+    assert sorted((str(x["source"]), x["doc_id"]) for x in pack(df).select("source", "doc_id").collect()) == sorted(expect)
+    # a group of any number of rows: what would not fit into one cell
+    many = spark.range(200_000).select(F.lit("s").alias("source"), F.col("id").alias("doc_id"), F.lit(1).alias("n"))
+    assert pack(many).count() == 100
+    assert "collect_list" not in pack(many)._jdf.queryExecution().optimizedPlan().toString()

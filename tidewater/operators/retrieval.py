@@ -218,15 +218,34 @@ def collapse_runs(text: Column) -> Column:
 
 
 def pack_budget(rows: DataFrame, by: str, order: list[Column], size: str, budget: int) -> DataFrame:
-    """Greedy by order: the first always goes in, later ones if they still fit, larger ones are passed over."""
-    items = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[F.col(c) for c in rows.columns if c != by]).alias("row")))).alias("items_"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("takes"))
-
-    def step(s, x):
-        n = x["row"][size].cast("long")
-        fits = (F.size(s["takes"]) == 0) | (s["used"] + n <= budget)
-        return F.struct((s["used"] + F.when(fits, n).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(s["takes"], F.array(fits)).alias("takes"))
-
-    rows_ = items.withColumn("takes_", F.aggregate("items_", start, step)["takes"])
-    both = rows_.select(by, F.explode(F.arrays_zip("items_", "takes_")).alias("z")).where("z.takes_")
-    return both.select(by, "z.items_.row.*")
+    """Greedy by order: the first always goes in, later ones if they still fit, larger ones are passed over.
+
+    Room only shrinks, so of the rows of one size those that go in are the first ones, budget / size at most: only these
+    few, whatever the number of rows, meet in one pass over a group. Rows of no size need no pass. Sizes below 0 are an
+    error; a null one fits nowhere but in the first place, where nothing can follow it."""
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c != by]
+    n = F.col(size).cast("long")
+    keyed = rows.select(F.col(by).alias("by_"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row")).alias("at_"), n.alias("n_"))
+    keyed = keyed.withColumn("n_", F.when(F.col("n_") < 0, F.raise_error(F.lit("a size below 0")).cast("long")).otherwise(F.col("n_")))
+    first = keyed.groupBy("by_").agg(F.min(F.struct("at_", "n_")).alias("first_")).select("by_", "first_.*")
+    opens = F.coalesce(F.col("n_") <= budget, F.lit(False))
+    alone = first.where(~opens).select("by_", "at_")
+    opened = first.where(opens).select(F.col("by_").alias("opened_"))
+    inside = keyed.where((F.col("n_") >= 0) & (F.col("n_") <= budget)).join(opened, F.col("by_").eqNullSafe(F.col("opened_")), "left_semi")
+    few = inside.where("n_ > 0").withColumn("part_", F.pmod(F.xxhash64("at_"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    for key in (["by_", "n_", "part_"], ["by_", "n_"]):  # a common size is first thinned in parts
+        few = few.withColumn("k_", F.row_number().over(Window.partitionBy(*key).orderBy("at_"))).where(F.col("k_") <= F.floor(F.lit(budget) / F.col("n_")))
+    few = few.withColumn("k_", F.row_number().over(Window.partitionBy("by_").orderBy("at_"))).select("by_", "at_", "n_", "k_")
+
+    def run(own: pa.Table) -> pa.Table:
+        own = own.sort_by("k_")
+        room, takes = budget, []
+        for x in own["n_"].to_pylist():
+            takes.append(x <= room)
+            room -= x if takes[-1] else 0
+        return own.filter(pa.array(takes, pa.bool_())).select(["by_", "at_"])
+
+    kept = few.groupBy("by_").applyInArrow(run, few.select("by_", "at_").schema)
+    none = inside.where("n_ = 0").select("by_", "at_")
+    return kept.unionByName(none).unionByName(alone).select(F.col("by_").alias(by), "at_.row.*")
