@@ -148,6 +148,17 @@ def test_pii_query_digest(spark, data):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(k == pii.KINDS[x] for _, x, _ in own) for k in pii.KINDS]
 
 
+def test_long_windows_lose_nothing_at_any_character():
+    card = "4111.1111.1111.1111"
+    weights = np.zeros((len(pii.KINDS), len(pii.FEATURES)))
+    names = ("bias", "luhn", "open_left", "open_right", "spaces")
+    weights[pii.KINDS.index("card"), [pii.FEATURES.index(x) for x in names]] = -1, 3, -5, -5, -10
+    for at in (3984, 3990, 3998, 7990):
+        text = "1 " * (at // 2) + card + " 5" * 3000
+        assert next(pii.windows(text)) == (0, len(text))
+        assert pii.spans_of(text, weights)[1] == [(at, pii.KINDS.index("card"), at + len(card))]
+
+
 # ---- html ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("page", "text"),
