@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .indicators import by_symbol
 
 
@@ -141,17 +142,64 @@ def walk_forward(rows: DataFrame, order: list[str], by: list[str], folds: int, f
     return rows.withColumn("part", part).where("part is not null").drop("i_", "of_")
 
 
-def non_overlapping(signals: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Greedy choice by time: a signal is taken if the one taken before it has ended. One pass for each key."""
-    import pandas as pd
+def non_overlapping(signals: DataFrame, by: str, start: str, end: str, range_rows: int = 100_000) -> DataFrame:
+    """Greedy choice by time: a signal is taken if the one taken before it has ended.
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([start, end], kind="stable")
-        taken, free = [], None
-        for a, b in zip(own[start], own[end], strict=True):
-            ok = free is None or a >= free
-            taken.append(ok)
-            free = b if ok else free
-        return own[taken]
+    Rows lie in ranges of (by, start, end); a task streams its range and keeps only the key and the end of the last one
+    taken. What a range passes on to the next is found in rounds, until no range starts from another state than the round
+    before: two or three rounds where signals end within a range, as many as there are ranges at worst."""
+    import pickle
+
+    import pyarrow as pa
+    from pyspark import TaskContext
 
-    return signals.groupBy(by).applyInPandas(run, signals.schema)
+    order = [F.col(by), F.asc_nulls_last(start), F.asc_nulls_last(end), F.xxhash64(*signals.columns)]
+    ranges = signals.count() // range_rows + 1  # long ranges: signals seldom reach over one
+    rows = checkpointed(signals.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
+
+    def walk(batch: pa.RecordBatch, state: tuple | None) -> tuple[list[bool], tuple | None]:
+        taken = []
+        for k, a, b in zip(*(batch.column(c).to_pylist() for c in (by, start, end)), strict=True):
+            if state is None or state[0] != k:
+                state = (k, False, None)
+            ok = not state[1] or a is not None and state[2] is not None and a >= state[2]
+            taken.append(ok)
+            state = (k, True, b) if ok else state
+        return taken, state
+
+    def last(came: dict[int, bytes], known: frozenset[int]):
+        def run(batches):
+            at = TaskContext.get().partitionId()
+            if at in known:
+                return
+            state = pickle.loads(came[at]) if at in came else None
+            for batch in batches:
+                _, state = walk(batch, state)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "state": pa.array([pickle.dumps(state)], pa.binary())})
+
+        return run
+
+    def chosen(came: dict[int, bytes]):
+        def run(batches):
+            at = TaskContext.get().partitionId()
+            state = pickle.loads(came[at]) if at in came else None
+            for batch in batches:
+                taken, state = walk(batch, state)
+                yield batch.filter(pa.array(taken, pa.bool_()))
+
+        return run
+
+    came: dict[int, bytes] = {}
+    left: dict[int, bytes] = {}
+    known: frozenset[int] = frozenset()
+    while True:
+        left |= {r["part"]: bytes(r["state"]) for r in rows.mapInArrow(last(came, known), "part int, state binary").collect()}
+        now, carried = {}, None
+        for part in range(max(left, default=-1) + 1):
+            if carried is not None:
+                now[part] = carried
+            carried = left.get(part, carried)
+        if now == came:
+            return rows.mapInArrow(chosen(came), signals.schema)
+        known = frozenset(part for part in left if now.get(part) == came.get(part))
+        came = now
