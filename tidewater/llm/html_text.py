@@ -18,9 +18,11 @@ SURGE = 80
 INSIDE, OUTSIDE = 4, 0.25
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title|canvas|audio|video"
-_PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.DOTALL | re.IGNORECASE)
+# attributes as a browser reads them: quotes count after = alone, and a page may end within a tag; each part is passed once
+_BODY = r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)"
+_PIECE = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({_RAW})(?![^\s/>]){_BODY}|<(/?)([a-zA-Z][^\s/>]*+){_BODY}", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in _RAW.split("|")}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for t in _RAW.split("|")}
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,16 +164,18 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             break
         at = m.end()
         if m[1]:
+            if m[2].endswith("/") and m[1].lower() in ("svg", "math"):
+                continue
             close = _CLOSE[m[1].lower()].search(page, at)
             # one that never ends holds the rest, as in a browser
             at = close.end() if close else size
             if not aside and m[1].lower() in ("title", "textarea", "select", "iframe", "object", "audio", "video"):
                 end_block()
             continue
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
             continue
-        closing = bool(m[2])
+        closing = bool(m[3])
         if aside:
             if closing and tag in aside:
                 while aside.pop() != tag:
@@ -194,8 +198,8 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                         end_block()
                     leave(tag)
             elif tag not in VOID:
-                words = _names(m[4])
-                if _aside(tag, m[4]):
+                words = _names(m[5])
+                if _aside(tag, m[5]):
                     end_block()
                     aside.append(tag)
                 elif words or depth[tag]:
@@ -218,12 +222,12 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                     break
                 x.article = len(out)
             articles.append(seen := seen + 1)
-            enter(tag, _names(m[4]) & {"comment", "comments", "related", "teaser", "promo", "sponsored"})
+            enter(tag, _names(m[5]) & {"comment", "comments", "related", "teaser", "promo", "sponsored"})
         elif tag not in VOID:
-            if _aside(tag, m[4]):
+            if _aside(tag, m[5]):
                 aside.append(tag)
             else:
-                enter(tag, _names(m[4]) if tag not in ("html", "body") else set())
+                enter(tag, _names(m[5]) if tag not in ("html", "body") else set())
     end_block()
     return _without_asides(out, around, named) if named else out
 
