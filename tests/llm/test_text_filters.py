@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -153,12 +155,71 @@ def test_long_windows_lose_nothing_at_any_character():
     weights = np.zeros((len(pii.KINDS), len(pii.FEATURES)))
     names = ("bias", "luhn", "open_left", "open_right", "spaces")
     weights[pii.KINDS.index("card"), [pii.FEATURES.index(x) for x in names]] = -1, 3, -5, -5, -10
-    for at in (3984, 3990, 3998, 7990):
-        text = "1 " * (at // 2) + card + " 5" * 3000
+    for at in [*range(3980, 4021), 7990]:
+        text = "1 " * (at // 2 - at % 2) + "22 " * (at % 2) + card + " 5" * 500
         assert next(pii.windows(text)) == (0, len(text))
         assert pii.spans_of(text, weights)[1] == [(at, pii.KINDS.index("card"), at + len(card))]
 
 
+def test_digits_of_no_number_break_nothing():
+    weights = np.random.default_rng(3).normal(0, 1, (len(pii.KINDS), len(pii.FEATURES)))
+    odd = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isdigit()]
+    assert "²" in odd and "①" in odd
+    for c in odd:
+        for t in (f"server 10.0.0.1{c} was down", f"{c}{c}.1.2.{c} a{c}@b.cd", f"4111 1111 1111 111{c} +{c} 1{c}(2)"):
+            base, spans = pii.spans_of(t, weights)
+            assert base == plain_spans(t) and set(base) <= set(spans)
+    assert pii.base_spans("server 10.0.0.1² was down") == [(7, 1, 15)]
+
+
+def labellings(text, weights):
+    """All ways to choose entities among a window's segments: (score, entities)."""
+    tokens, by_end = pii._lattice(text, 0, len(text))
+
+    def upto(j):
+        if j < 0:
+            return [(0.0, ())]
+        out = list(upto(j - 1))
+        for i, f in by_end[j]:
+            for k in range(len(pii.KINDS)):
+                s = weights[k, list(f)].sum()
+                out += [(score + s, (*own, (tokens[i][0], k, tokens[j][1]))) for score, own in upto(i - 1)]
+        return out
+
+    return upto(len(tokens) - 1)
+
+
+@pytest.mark.parametrize("text", ["a 12 b@c.d", "+1 (2) 3", "1.2.3", "x@ 5", "7 8²"])
+def test_decoding_and_gradient_match_enumeration(text):
+    r = np.random.default_rng(len(text))
+    for _ in range(5):
+        w = r.normal(0, 0.5, (len(pii.KINDS), len(pii.FEATURES)))
+        ways = labellings(text, w)
+        score, best = max(ways)
+        assert sum(s for s, own in ways if list(own) == pii.decode(text, 0, len(text), w)) == pytest.approx(score)
+        gold = list(ways[len(ways) // 2][1])
+        likelihood, change = pii.ascent(*pii._lattice(text, 0, len(text)), gold, w)
+        total = lambda w: next(s for s, own in labellings(text, w) if list(own) == gold) - np.logaddexp.reduce([s for s, _ in labellings(text, w)])
+        assert likelihood == pytest.approx(total(w))
+        for k, f in r.integers(0, w.shape, (4, 2)):
+            step = np.zeros_like(w)
+            step[k, f] = 1e-5
+            assert change[k, f] == pytest.approx((total(w + step) - total(w - step)) / 2e-5, abs=1e-4)
+
+
+def test_the_field_is_right_on_windows_it_has_not_seen(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    seen = [w for _, w in pii.sample_windows(docs, "text", 9)]
+    weights = pii.train(pii.learned_from(seen))
+    right = wrong = missed = 0
+    for t, gold in pii.learned_from([w for _, w in pii.sample_windows(docs, "text", 60) if w not in seen]):
+        found = set(pii.decode(t, 0, len(t), weights))
+        right, wrong, missed = right + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
+    assert right > 30 and wrong <= 0.05 * right and missed <= 0.05 * right
+    for t, expect in (("call 030 1234567 now", ["030 1234567"]), ("in 030 1234567 parts", []), ("user@localhost", []), ("from 10[.]20[.]30[.]40", ["10[.]20[.]30[.]40"]), ("4337.1665.9846.4398", [])):
+        assert [t[a:e] for a, _, e in pii.spans_of(t, weights)[1]] == expect
+
+
 # ---- html ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("page", "text"),
@@ -205,6 +266,127 @@ def test_names_alone_do_not_drop_the_text():
     assert main(f'<div class="social share">never closed<article><p>{body}</p><span class="share">Share <span>it</span> now</span></article>') == body
 
 
+@pytest.mark.parametrize("page", ["<p>kept</p><a " + "title=\"x\" '" * 5_000, "<p>kept</p><a " + "\"" * 9_999, "<p>kept</p>" + "<a '" * 5_000, "<p>kept</p>" + "<a href=\"x" * 5_000, "<p>kept</p><b " + "=" * 50_000, "<p>kept</p>" + "<!-" * 20_000, "<p>kept</p><script " + "'\"" * 5_000])
+def test_truncated_tags_take_linear_time(page):
+    start = time.perf_counter()
+    assert html_text.main_text(page) == "kept"
+    assert time.perf_counter() - start < 1
+
+
+def test_tags_end_where_a_browser_ends_them():
+    main = html_text.main_text
+    assert main('<p title="a > b">one</p><p title=\'it"s > \' x>two<p "quoted>three</p>') == "one\ntwo\nthree"
+    assert main("<article><p>one <!--> two <!-- no --!> three</p></article>") == "one two three"
+    assert main("<article><script>no</script  ><p>yes <svg/> too</p><style>no</style x></article>") == "yes too"
+    body = ("words of the body " * 20).strip()
+    assert main(f'<article><p>{body}</p><div class="related-work"><p>Related work is long.</p></div></article>') == f"{body}\nRelated work is long."
+
+
+def random_page(r, depth=0):
+    """A well-formed page as a tree: texts, or (tag, children)."""
+    out = []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["text", "p", "p", "p", "a", "b"] + ["div", "article", "main", "nav", "ul", "script", "aside"] * (depth < 3))
+        text = " ".join(["word"] * r.choice([1, 2, 5, 12, 30]))
+        if kind == "text":
+            out.append(text + r.choice(["", " ", "&amp;", "  \n "]))
+        elif kind in ("p", "script"):
+            out.append((kind, [text, *([("a", [text]), "end"] if kind == "p" and r.random() < 0.3 else [])]))
+        elif kind in ("a", "b"):
+            out.append((kind, [text]))
+        else:
+            out.append((kind, [("li", [x]) for x in random_page(r, 9)] if kind == "ul" else random_page(r, depth + 1)))
+    return out
+
+
+def as_html(nodes):
+    return "".join(x if isinstance(x, str) else f"<{x[0]}>{as_html(x[1])}</{x[0]}>" for x in nodes)
+
+
+def plain_main_text(nodes, window=html_text.WINDOW, surge=html_text.SURGE):
+    blocks, parts, seen = [], [], [0]
+
+    def close(articles):
+        text = " ".join("".join(t for t, _ in parts).split())
+        if text:
+            blocks.append((text, len(" ".join("".join(t for t, a in parts if not a).split())), list(articles)))
+        parts.clear()
+
+    def walk(nodes, articles, link):
+        for x in nodes:
+            if isinstance(x, str):
+                parts.append((x.replace("&amp;", "&"), link))
+            elif x[0] in ("a", "b"):
+                walk(x[1], articles, link or x[0] == "a")
+            elif x[0] != "script":
+                close(articles)
+                if x[0] in ("nav", "aside"):
+                    continue
+                own = articles
+                if x[0] in ("article", "main"):
+                    seen[0] += 1
+                    own = [*articles, seen[0]]
+                walk(x[1], own, False)
+                close(own)
+
+    walk(nodes, [], False)
+    close([])
+    if not blocks:
+        return ""
+    held = {}
+    for t, _, a in blocks:
+        if a:
+            held[a[-1]] = held.get(a[-1], 0) + len(t)
+    outer = {n for _, _, a in blocks for n in a[:-1]}
+    inside_size = []
+    for t, n, a in blocks:
+        family = [b[-1] for _, _, b in blocks if a and b and b[0] == a[0]]
+        largest = a and a[-1] == max(family, key=lambda k: (held[k], -family.index(k)))
+        inside_size.append(len(t) if a and (a[-1] not in outer or largest) else n)
+    within, without = sum(s for s, (_, _, a) in zip(inside_size, blocks, strict=True) if a), sum(n for _, n, a in blocks if not a)
+    if any(a for _, _, a in blocks) and within * html_text.INSIDE >= without * html_text.OUTSIDE:
+        size = [s * html_text.INSIDE if a else s * html_text.OUTSIDE for s, (_, _, a) in zip(inside_size, blocks, strict=True)]
+        inside = [bool(a) for _, _, a in blocks]
+    else:
+        size, inside = [n for _, n, _ in blocks], [False] * len(blocks)
+    n = len(blocks)
+    reaches = [sum(size[j] for j in range(i, min(n, i + window)) if inside[j] == inside[i]) >= surge for i in range(n)]
+    keep = set()
+    for i in range(n):  # from each surge down to its dive
+        if reaches[i] and size[i]:
+            j = i
+            while j < n and inside[j] == inside[i] and (reaches[j] or size[j]):
+                keep |= {j} if size[j] else set()
+                j += 1
+            j = i
+            while inside[i] and j and inside[j - 1] and size[j - 1]:
+                j -= 1
+                keep.add(j)
+    if not keep:
+        keep = {i for i in range(n) if size[i] * 2 >= len(blocks[i][0])}
+    return "\n".join(blocks[i][0] for i in sorted(keep))
+
+
+def holds(node):
+    return not isinstance(node, str) and (node[0] in ("article", "main") or any(map(holds, node[1])))
+
+
+def test_pages_match_a_plain_reading_of_the_rule():
+    r = random.Random(12)
+    decided = 0
+    for _ in range(3000):
+        page = random_page(r)
+        stack = [page]
+        while stack:  # no articles inside asides
+            nodes = stack.pop()
+            nodes[:] = [x for x in nodes if isinstance(x, str) or x[0] not in ("nav", "aside") or not any(map(holds, x[1]))]
+            stack += [x[1] for x in nodes if not isinstance(x, str)]
+        text = plain_main_text(page)
+        assert html_text.main_text(as_html(page)) == text, as_html(page)
+        decided += 0 < len(text) < len(plain_main_text(page, surge=0))
+    assert decided > 300
+
+
 def test_extract_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>" + "x" * 200_000), (2, "u", "<article>a</article>"), (2, "u", "<article>a</article>")], "page_id long, url string, html string")
     got = html_text.extract_text(rows).collect()

@@ -17,14 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 15
-TRAIN_WINDOWS, EPOCHS = 160, 8
+#: Windows learned from at most: as many of each kind, and twice as many with nothing in them.
+TRAIN_WINDOWS, EPOCHS = 280, 4
 WINDOW, MARGIN = 160, 12
 
 # possessive forms of the contract's patterns: a run that fails is passed once, so long runs take linear time
@@ -35,6 +36,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]+")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
+#: What announces a telephone number, right before it.
+_CUE = re.compile(r"\b(?:call|tel|phone|fax|mobile|cell|dial|ring|telefon|handy|tél|téléphone|teléfono|móvil)[.:]?\s+$", re.IGNORECASE)
+CUE_REACH = 12
 
 
 def luhn(digits: str) -> bool:
@@ -47,8 +51,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _digit(c: str) -> bool:
+    """One of 0 to 9: raised, circled and other scripts' digits are no numbers here."""
+    return "0" <= c <= "9"
+
+
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(filter(_digit, s))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,18 +90,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 FEATURES = (
     "bias one_at at_local at_domain_dot at_space digits_1_8 digits_9_11 digits_12_15 digits_16_19 digits_20 dots_3 parts_255 "
-    "luhn plus brackets phone_marks digits_only letters digit_ends letter_end open_left open_right tokens_1 tokens_2_5 tokens_6 spaces letters_digits"
+    "luhn plus brackets phone_marks digits_only letters digit_ends letter_end open_left open_right tokens_1 tokens_2_5 tokens_6 spaces letters_digits "
+    "cue zero_first"
 ).split()
 
 
 @lru_cache(maxsize=10_000)
-def _span_features(s: str, before: str, after: str, tokens: int) -> tuple[int, ...]:
-    """Indices of the features that hold for a whole span."""
+def _span_features(s: str, before: str, after: str, tokens: int, cue: bool) -> tuple[int, ...]:
+    """Indices of the features that hold for a whole span after one character and before up to two, announced or not."""
     digits = _digits(s)
     n = len(digits)
     letters = any(c.isalpha() for c in s)
     local, _, domain = s.partition("@")
-    dotted = s.split(".")
+    dotted = re.split(r"\[?\.\]?", s)
+    numbers = len(dotted) == 4 and all(p.isascii() and p.isdigit() for p in dotted)
     marks = not letters and all(c in " +().-0123456789" for c in s)
     on = (
         True,
@@ -105,41 +116,44 @@ def _span_features(s: str, before: str, after: str, tokens: int) -> tuple[int, .
         12 <= n <= 15,
         16 <= n <= 19,
         n >= 20,
-        len(dotted) == 4 and all(p.isdigit() for p in dotted),
-        len(dotted) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in dotted),
+        numbers,
+        numbers and all(len(p) < 4 and int(p) < 256 for p in dotted),
         12 <= n <= 19 and not letters and luhn(digits),
         s[0] == "+",
         "(" in s and ")" in s,
         marks and any(c in "()-. " for c in s),
         not letters and all(c in " -0123456789" for c in s),
         letters,
-        s[0].isdigit() and s[-1].isdigit(),
+        _digit(s[0]) and _digit(s[-1]),
         s[-1].isalpha(),
         before.isalnum() or before in tuple("@._+-"),
-        after.isalnum() or after in tuple("@_-"),
+        after[0].isalnum() or after[0] in "@_-" or after[0] == "." and after[1:].isalnum(),
         tokens == 1,
         2 <= tokens <= 5,
         tokens >= 6,
         any(c.isspace() for c in s),
         letters and n > 0,
+        cue and not letters,
+        not letters and digits.startswith("0"),
     )
     return tuple(i for i, x in enumerate(on) if x)
 
 
 def _segments(text: str, start: int, end: int):
     """Of each token of a window its bounds and the candidate segments that end there: (first token, features)."""
-    last: deque[tuple[int, bool, bool]] = deque(maxlen=LONGEST)  # start, solid, marked
+    last: deque[tuple[int, bool, bool, bool]] = deque(maxlen=LONGEST)  # start, solid, marked, announced
     for j, m in enumerate(_TOKEN.finditer(text, start, end)):
         a, e = m.span()
-        last.append((a, not text[a].isspace(), text[a].isdigit() or text[a] == "@"))
+        number = _digit(text[a]) or text[a] in "+("
+        last.append((a, not text[a].isspace(), _digit(text[a]) or text[a] == "@", number and bool(_CUE.search(text[max(0, a - CUE_REACH) : a]))))
         own = []
         if last[-1][1]:
             first = j + 1 - len(last)
             marked = max((n for n, x in enumerate(last) if x[2]), default=-1)
             for n in range(marked + 1):
-                x, solid, _ = last[n]
+                x, solid, _, cue = last[n]
                 if solid and (text[x].isalnum() or text[x] in "+("):
-                    own.append((first + n, _span_features(text[x:e], text[x - 1 : x] if x else " ", text[e : e + 1] or " ", len(last) - n)))
+                    own.append((first + n, _span_features(text[x:e], text[x - 1 : x] if x else " ", text[e : e + 2] or " ", len(last) - n, cue)))
         yield a, e, own
 
 
@@ -200,58 +214,80 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def train(samples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
-    """Weights (kind, feature) that raise the likelihood of the labelled windows, by stochastic gradient ascent.
+def ascent(tokens, by_end, gold: list[tuple[int, int, int]], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """(log likelihood, its gradient by weights) of the labelled entities of one window.
 
     Expected feature counts come from the segment lattice's forward and backward sums.
     """
+    n = len(tokens)
+    scored = _segment_scores(by_end, w)
+    ahead = np.zeros(n + 1)
+    for j in range(n):
+        terms = [ahead[j], *(ahead[i] + x for i, s, _ in scored[j] for x in s)]
+        m = max(terms)
+        ahead[j + 1] = m + np.log(np.exp(np.array(terms) - m).sum())
+    by_start: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+    for j, own in enumerate(scored):
+        for i, s, _ in own:
+            by_start[i].append((j, s))
+    behind = np.zeros(n + 1)
+    for i in range(n - 1, -1, -1):
+        terms = [behind[i + 1], *(behind[j + 1] + x for j, s in by_start[i] for x in s)]
+        m = max(terms)
+        behind[i] = m + np.log(np.exp(np.array(terms) - m).sum())
+    truth = {(a, e): k for a, k, e in gold}
+    likelihood, change = -ahead[n], np.zeros_like(w)
+    for j, own in enumerate(scored):
+        for i, s, f in own:
+            p = -np.exp(np.minimum(0, ahead[i] + s + behind[j + 1] - ahead[n]))
+            k = truth.get((tokens[i][0], tokens[j][1]))
+            if k is not None:
+                likelihood += s[k]
+                p[k] += 1
+            change[:, list(f)] += p[:, None]
+    return float(likelihood), change
+
+
+def train(samples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
+    """Weights (kind, feature) that raise the likelihood of the labelled windows, by stochastic gradient ascent."""
     w = np.zeros((len(KINDS), len(FEATURES)))
     lattices = [(*_lattice(t, 0, len(t)), y) for t, y in samples]
     for epoch in range(epochs):
+        step = rate / (1 + 0.3 * epoch)
         for tokens, by_end, gold in lattices:
-            n = len(tokens)
-            scored = _segment_scores(by_end, w)
-            ahead = np.zeros(n + 1)
-            for j in range(n):
-                terms = [ahead[j], *(ahead[i] + x for i, s, _ in scored[j] for x in s)]
-                m = max(terms)
-                ahead[j + 1] = m + np.log(np.exp(np.array(terms) - m).sum())
-            by_start: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
-            for j, own in enumerate(scored):
-                for i, s, _ in own:
-                    by_start[i].append((j, s))
-            behind = np.zeros(n + 1)
-            for i in range(n - 1, -1, -1):
-                terms = [behind[i + 1], *(behind[j + 1] + x for j, s in by_start[i] for x in s)]
-                m = max(terms)
-                behind[i] = m + np.log(np.exp(np.array(terms) - m).sum())
-            step = rate / (1 + 0.3 * epoch)
-            truth = {(a, e): k for a, k, e in gold}
-            change = np.zeros_like(w)
-            for j, own in enumerate(scored):
-                for i, s, f in own:
-                    p = np.exp(np.minimum(0, ahead[i] + s + behind[j + 1] - ahead[n]))
-                    k = truth.get((tokens[i][0], tokens[j][1]))
-                    if k is not None:
-                        p = p.copy()
-                        p[k] -= 1
-                    if np.abs(p).max() > 1e-4:
-                        change[:, list(f)] -= p[:, None]
-            w += step * np.clip(change, -2, 2) - step * decay * w
+            w += step * np.clip(ascent(tokens, by_end, gold, w)[1], -2, 2) - step * decay * w
     return w
 
 
-def altered(text: str, span: tuple[int, int, int]) -> tuple[str, list[tuple[int, int, int]]] | None:
-    """A labelled window rewritten so that the fixed patterns miss it: another separator in a card or phone number."""
+def altered(text: str, span: tuple[int, int, int]) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled windows made of one with one fixed span: forms that the fixed patterns miss, and near ones that are none."""
     a, k, e = span
-    s = text[a:e]
-    if KINDS[k] == "card" and s.isdigit() and len(s) >= 12:
-        s = ".".join(s[i : i + 4] for i in range(0, len(s), 4))
-    elif KINDS[k] == "phone" and "(" in s:
-        s = s[s.index("(") :]
-    else:
-        return None
-    return text[:a] + s + text[e:], [(a, k, a + len(s))]
+    s, kind = text[a:e], KINDS[k]
+    digits = _digits(s)
+    out = []
+
+    def put(new: str, labelled: bool = True, cue: str = "") -> None:
+        at = a + len(cue)
+        out.append((text[:a] + cue + new + text[e:], [(at, k, at + len(new))] if labelled else []))
+
+    if kind == "card" and s == digits:
+        wrong = digits[:-1] + str((int(digits[-1]) + 5) % 10)
+        for x in (digits, wrong):
+            put(".".join(x[i : i + 4] for i in range(0, len(x), 4)), x == digits)
+        put(wrong, False)
+    elif kind == "ip":
+        put(s.replace(".", "[.]"))
+        put(".".join(["700", *s.split(".")[1:]]), False)
+    elif kind == "email":
+        put(s[: s.index("@")] + "@" + s[s.index("@") + 1 :].split(".")[0], False)
+    elif kind == "phone":
+        local = f"0{digits[-10:-7]} {digits[-7:]}"
+        if "(" in s:
+            put(s[s.index("(") :])
+        put(f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:]}")
+        put(local, True, "Tel. " if int(digits[-1]) % 2 else "call ")
+        put(local, False)
+    return out
 
 
 def labelled_windows(text: str) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
@@ -266,8 +302,9 @@ def labelled_windows(text: str) -> Iterator[tuple[int, str, list[tuple[int, int,
 
 
 def sample_windows(docs: DataFrame, text_col: str, each: int) -> list[tuple[int, str]]:
-    """Of all windows of all texts the `each` with the least hashes of each kind: tasks keep their own least ones, so
-    the driver sees a bounded few whatever the corpus, and the same ones however it is cut."""
+    """Of all windows of all texts the `each` with the least hashes of each kind, twice as many of those with no span:
+    tasks keep their own least ones, so the driver sees a bounded few whatever the corpus, the same ones however cut."""
+    most = {k: each * (1 + (k < 0)) for k in range(-1, len(KINDS))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, dict[int, str]] = {k: {} for k in range(-1, len(KINDS))}
@@ -278,21 +315,27 @@ def sample_windows(docs: DataFrame, text_col: str, each: int) -> list[tuple[int,
                     for kind, window, _ in labelled_windows(text):
                         least[kind][xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1] = window
             for kind, own in least.items():
-                if len(own) > each:
-                    least[kind] = {h: own[h] for h in sorted(own)[:each]}
+                if len(own) > most[kind]:
+                    least[kind] = {h: own[h] for h in sorted(own)[: most[kind]]}
         rows = [(k, h, w) for k, own in least.items() for h, w in own.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "h", "window"])
 
     rows = checkpoint(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, h long, window string").distinct())
-    return [(k, r["window"]) for k in range(-1, len(KINDS)) for r in rows.where(F.col("kind") == k).orderBy("h").limit(each).collect()]
+    best = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    rows = rows.withColumn("n", best).where(F.col("n") <= F.when(F.col("kind") < 0, 2 * each).otherwise(each))
+    return [(r["kind"], r["window"]) for r in rows.orderBy("kind", "h").collect()]
+
+
+def learned_from(windows_: list[str]) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows labelled by the fixed patterns, and the altered copies of those with one span."""
+    samples = [(w, own) for w in windows_ for own in [base_spans(w)] if all(own[i][2] <= own[i + 1][0] for i in range(len(own) - 1))]
+    return samples + [x for t, own in samples if len(own) == 1 for x in altered(t, own[0])]
 
 
 def fit(docs: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WINDOWS) -> np.ndarray:
-    """Trains on a bounded sample, train_windows in all: equally many windows of each kind and of none, those with the
-    least hashes in the corpus, and altered copies of those that can be altered."""
-    found = sample_windows(docs, text_col, max(1, train_windows // (len(KINDS) + 1)))
-    samples = [(w, own) for _, w in found for own in [base_spans(w)] if all(own[i][2] <= own[i + 1][0] for i in range(len(own) - 1))]
-    samples += [x for t, own in samples if len(own) == 1 and (x := altered(t, own[0]))]
+    """Trains on a bounded sample, about train_windows in all: the windows with the least hashes in the corpus, and
+    altered copies of those that can be altered."""
+    samples = learned_from([w for _, w in sample_windows(docs, text_col, max(1, train_windows // (len(KINDS) + 3)))])
     order = np.random.default_rng(8).permutation(len(samples))
     return train([samples[i] for i in order])
 
