@@ -5,6 +5,7 @@ import random
 import re
 import sys
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -436,6 +437,116 @@ def test_aliases_share_blocks_and_allows_win(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, list(urls.RULES), edges).collect()}[7] == "block"
 
 
+class PlainLinks(HTMLParser):
+    """Targets of canonical links and refreshes as the standard library reads tags."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.found, self.base, self.quiet = [], None, 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        own = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
+        self.quiet += tag in ("noscript", "template")
+        if self.quiet:
+            return
+        if tag == "base" and self.base is None:
+            self.base = own.get("href")
+        if tag == "link" and "canonical" in own.get("rel", "").lower().split():
+            self.found.append(own.get("href", ""))
+        if tag == "meta" and own.get("http-equiv", "").lower() == "refresh":
+            self.found.append(own.get("content", "").partition(";")[2].strip().removeprefix("url=").strip("'"))
+
+    def handle_endtag(self, tag):
+        self.quiet -= tag in ("noscript", "template")
+
+
+def resolved(base, target):
+    """RFC 3986, section 5.2, for targets with neither a scheme nor an authority of their own."""
+    if "://" in target.split("?")[0]:
+        return target
+    if target.startswith("//"):
+        return "x:" + target
+    scheme, rest = base.split("://")
+    rest = rest.split("#")[0]
+    path, q, query = rest.partition("?")
+    host, slash, path = path.partition("/")
+    target = target.split("#")[0]
+    to, q2, query2 = target.partition("?")
+    if not to:
+        return f"{scheme}://{host}{slash}{path}{q2 or q}{query2 if q2 else query}"
+    full = to[1:].split("/") if to.startswith("/") else [*path.split("/")[:-1], *to.split("/")]
+    out = []
+    for n, part in enumerate(full):
+        last = n == len(full) - 1
+        if part == "..":
+            out = out[:-1]
+        if part not in (".", ".."):
+            out.append(part)
+        elif last:
+            out.append("")
+    return f"{scheme}://{host}/{'/'.join(out)}{q2}{query2}"
+
+
+def plain_node(url):
+    m = re.match(r"(?s)^.*?://([^/?#]+)([^#]*)", url or "")
+    return re.sub("[A-Z]", lambda x: x[0].lower(), m[1]) + m[2] if m else None
+
+
+def plain_verdicts(rows):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _, url, page in rows:
+        if plain_node(url):
+            seen = PlainLinks(page or "")
+            for t in seen.found:
+                node = plain_node(resolved(resolved(url, seen.base) if seen.base else url, t)) if t else None
+                if node:
+                    up[find(plain_node(url))] = find(node)
+    shared = {}
+    for x in list(up):
+        shared.setdefault(find(x), set()).add(plain_verdict("x://" + x)[3] if plain_verdict("x://" + x)[2] else None)
+    out = []
+    for i, url, _ in rows:
+        host, path, rule, verdict = plain_verdict(url)
+        kinds = shared.get(find(plain_node(url)), set()) if plain_node(url) else set()
+        if rule is None:
+            verdict = "allow" if "allow" in kinds or "block" not in kinds else "block"
+        out.append((str(i), host, path, str(rule), verdict))
+    return sorted(out)
+
+
+def test_chains_hubs_and_cycles_match_plain_components(spark):
+    r = random.Random(6)
+    link = lambda u: r.choice(['<link rel="canonical" href="{}">', "<link href='{}' rel='nofollow Canonical'>", "<LINK REL=canonical HREF={}>", '<meta http-equiv="refresh" content="0; url={}">', "<meta content='5;url={}' http-equiv=Refresh>"]).format(u)
+    rows = [(n, f"http://c.fr/{n}", link(f"http://c.fr/{n + 1}")) for n in range(12)] + [(12, "http://c.fr/12", link("http://www.bad.com/en/x"))]
+    rows += [(100 + n, f"http://h{n}.fr/", link("https://HUB.fr/all#top")) for n in range(20)] + [(120, "http://hub.fr/all", link("http://example.com/en/7"))]
+    rows += [(200 + n, f"http://ring.fr/{n}", link(f"http://ring.fr/{(n + 1) % 5}")) for n in range(5)] + [(210, "http://ring.fr/in", link("/3")), (211, "http://ring.fr/3", link("//org/es/"))]
+    rows += [
+        (300, "http://q.fr/a/b?x=1", link("../c?u=1&amp;v=2")), (301, "http://q.fr/c?u=1&v=2", link("http://bad.com/en/1")),
+        (302, "http://q.fr/d", "<!-- " + link("http://bad.com/en/2") + " -->"), (303, "http://q.fr/e", "<script>'" + link("http://bad.com/en/2") + "'</script>"),
+        (304, "http://q.fr/f", link("?to=http://bad.com/en/3")), (305, "http://q.fr/f?to=http://bad.com/en/3", "canonical"),
+        (306, "http://q.fr/g/", '<base href="/base/">' + link("x/./y/..")), (307, "http://q.fr/base/x/", link("http://bad.com/en/4")),
+        (308, "not a url", link("http://bad.com/en/5")), (309, "also none", None), (310, None, link("http://bad.com/en/5")), (311, "", "refresh"),
+        (312, "http://q.fr/h", link("mailto:x@bad.com")), (313, "http://q.fr/i", link("http://[bad/")), (314, "http://q.fr/j", "<link rel=canonical-not href=http://bad.com/en/6>"),
+        (315, "http://q.fr/k", link("http://bad.com/en/7") * 2), (315, "http://q.fr/k", link("http://bad.com/en/7")), (316, "http://q.fr/" + "l" * 50_000, "x" * 100_000 + link("/m")),
+    ]
+    pages = spark.createDataFrame([(i, u, h, "h", "p") for i, u, h in rows], "page_id long, url string, html string, host string, path string")
+    got = sorted(tuple(map(str, r)) for r in urls.judge_urls(pages, list(urls.RULES)).collect())
+    expect = plain_verdicts(rows)
+    assert got == expect
+    by_id = {x[0]: x[4] for x in got}
+    assert [by_id[str(k)] for k in (0, 100, 200, 301, 300, 302, 303, 304, 305, 306, 308, 309, 310, 311, 312, 313, 314, 315)] == ["block", "allow", "block", "block", "block", "allow", "allow", "allow", "allow", "block", *["allow"] * 7, "block"]
+
+
 def test_the_field_learns_the_same_however_rows_are_cut(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("text rlike '[0-9@]'")
     a, b = (pii.sample_windows(x, "text", 5) for x in (docs.coalesce(1), docs.repartition(7)))

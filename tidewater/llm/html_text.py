@@ -19,10 +19,10 @@ INSIDE, OUTSIDE = 4, 0.25
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title|canvas|audio|video"
 # attributes as a browser reads them: quotes count after = alone, and a page may end within a tag; each part is passed once
-_BODY = r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)"
-_PIECE = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({_RAW})(?![^\s/>]){_BODY}|<(/?)([a-zA-Z][^\s/>]*+){_BODY}", re.DOTALL | re.IGNORECASE)
+BODY = r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)"
+_PIECE = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({_RAW})(?![^\s/>]){BODY}|<(/?)([a-zA-Z][^\s/>]*+){BODY}", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
-_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for t in _RAW.split("|")}
+CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for t in _RAW.split("|")}
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,7 +166,7 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
         if m[1]:
             if m[2].endswith("/") and m[1].lower() in ("svg", "math"):
                 continue
-            close = _CLOSE[m[1].lower()].search(page, at)
+            close = CLOSE[m[1].lower()].search(page, at)
             # one that never ends holds the rest, as in a browser
             at = close.end() if close else size
             if not aside and m[1].lower() in ("title", "textarea", "select", "iframe", "object", "audio", "video"):

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import connected_components
+from .html_text import BODY, CLOSE
 
 #: (verdict, host, path) of the contract.
 RULES = (
@@ -30,9 +37,10 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What names a page among its aliases: host, path and query; scheme and fragment don't tell pages apart."""
+    """What names a page among its aliases: host, path and query; scheme and fragment don't tell pages apart. Null for a
+    url without a host, which is no page's alias."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.concat(host_of(url), path_of(url), query)
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
 def _suffixes(host: Column) -> Column:
@@ -65,24 +73,62 @@ def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) ->
     return rows.withColumn("rule_", F.when(F.size(fits) > 0, best(fits))).drop("rules_")
 
 
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|title|noscript|template)(?![^\s/>]){BODY}|<(link|meta|base)(?![^\s/>]){BODY}", re.DOTALL | re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_REFRESH = re.compile(r"\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(\"[^\"]*|'[^']*|.*)", re.DOTALL | re.IGNORECASE)
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+
+
+def page_targets(url: str, page: str) -> list[str]:
+    """Absolute targets of a page's canonical links and refresh redirects.
+
+    Comments and the content of scripts and the like are no links; rel is a list of words; references are decoded; the
+    first base element counts. Relative targets are resolved as RFC 3986 says, whatever the page's scheme; those that
+    can't be, and those of schemes without a host, are none.
+    """
+    found, base, at = [], None, 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if m[1]:
+            close = CLOSE[m[1].lower()].search(page, at)
+            at = close.end() if close else len(page)
+        elif m[3]:
+            own: dict[str, str] = {}
+            for x in _ATTRIBUTE.finditer(m[4]):
+                own.setdefault(x[1].lower(), entities.unescape(x[2] or x[3] or x[4] or ""))
+            tag, target = m[3].lower(), ""
+            if tag == "base":
+                base = base if base is not None else own.get("href")
+            elif tag == "link" and "canonical" in own.get("rel", "").lower().split():
+                target = own.get("href", "")
+            elif tag == "meta" and own.get("http-equiv", "").strip().lower() == "refresh" and (to := _REFRESH.match(own.get("content", ""))):
+                target = to[1].lstrip("\"'")
+            if target.strip():
+                found.append(re.sub(r"[\t\r\n]", "", target).strip())
+    out = []
+    for target in found:
+        try:
+            full = urljoin("http://" + url.partition("://")[2], base or "")
+            out.append(urljoin(full, target))
+        except ValueError:  # a target with an ill-formed host
+            continue
+    return [x for x in out if _ABSOLUTE.match(x)]
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) node edges from the pages' canonical links and refresh redirects; relative targets are resolved."""
+    """(src, dst) node edges from the pages' canonical links and refresh redirects. Only pages that speak of either reach
+    Python; pages whose url has no host have no edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(u, t) for u, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in page_targets(u, page)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["u", "t"])
+
     html, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     low = F.lower(html)
-    rows = pages.where(url.isNotNull() & (F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))))
-    rows = rows.select(url.alias("u"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    origin = F.concat(F.lit("x://"), host_of(F.col("u")))
-    full = (
-        F.when(F.contains("to", F.lit("://")), F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), "to"))
-        .when(F.startswith("to", F.lit("/")), F.concat(origin, "to"))
-        .otherwise(F.concat(origin, F.regexp_replace(path_of(F.col("u")), "[^/]*$", ""), "to"))
-    )
-    return rows.select(node_of(F.col("u")).alias("src"), node_of(full).alias("dst")).where("src <> dst")
+    rows = pages.where(node_of(url).isNotNull() & (F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))))
+    found = rows.select(url.alias("u"), html.alias("h")).mapInArrow(run, "u string, t string")
+    return found.select(node_of(F.col("u")).alias("src"), node_of(F.col("t")).alias("dst")).where("src <> dst")
 
 
 def judge_urls(
@@ -99,8 +145,9 @@ def judge_urls(
     refresh redirects and given edges (src_url, dst_url) connect, directly or not, whether or not the aliases are pages
     themselves: allow if a rule allows any, else block if a rule blocks any; and allow without aliases or rules.
 
-    Null and malformed urls have an empty host and path, no rule and the verdict allow. Repeated rows are judged each;
-    null ids keep their row. An empty table gives no rows; other columns are ignored.
+    Null and malformed urls have an empty host and path, no rule, no aliases and the verdict allow. Repeated rows are
+    judged each; null ids keep their row. An empty table gives no rows; other columns are ignored. Very long pages and
+    urls are read whole.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
@@ -126,20 +173,21 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), list(RULES))
 
 
-_NODE = r"""coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')
- || coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') || coalesce(regexp_extract({u}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '')"""
 _HOST = r"coalesce(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = r"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_NODE = f"CASE WHEN {_HOST} <> '' THEN {_HOST} || {_PATH} || coalesce(regexp_extract({{u}}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1), '') END"
+# links are read as far as SQL can: outside comments, with &amp; decoded; no base elements, no dot segments
 OP5_SQL = rf"""
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (VALUES {', '.join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
+bare AS (SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<(script|style|noscript|template|textarea|title)\b.*?</(script|style|noscript|template|textarea|title)\s*>', '', 'g') AS html FROM pages WHERE {_HOST.format(u='url')} <> ''),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM bare),
 found AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
-  FROM pages WHERE url IS NOT NULL),
+  SELECT url, replace(CASE
+    WHEN regexp_matches(tag, '(?is)^<link.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|''(?:[^'']*\s)?canonical[\s'']|canonical[\s>])') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta.*\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)[;,\s]\s*url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS t FROM tags),
 full_target AS (
-  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
-    WHEN starts_with(t, '/') THEN 'x://' || {_HOST.format(u='url')} || t
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN 'x:' || t
+    WHEN starts_with(t, '/') THEN 'x://' || {_HOST.format(u='url')} || t WHEN starts_with(t, '?') THEN 'x://' || {_HOST.format(u='url')} || {_PATH.format(u='url')} || t
     ELSE 'x://' || {_HOST.format(u='url')} || regexp_replace({_PATH.format(u='url')}, '[^/]*$', '') || t END AS t
   FROM found WHERE t <> ''),
 edge AS (SELECT DISTINCT {_NODE.format(u='url')} AS a, {_NODE.format(u='t')} AS b FROM full_target),
