@@ -35,10 +35,10 @@ def brute(rows, threshold=0.9):
     for i, v in rows:
         if i is None:
             continue
-        good = v is not None and len(v) == d and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        good = v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
         ok.setdefault(i, []).append(np.array(v, float) / np.linalg.norm(v) if good else None)
     ids = sorted(ok)
-    links = {a: {b for b in ids if a != b and any(x is not None and y is not None and float(x @ y) >= threshold for x in ok[a] for y in ok[b])} for a in ids}
+    links = {a: {b for b in ids if a != b and any(x is not None and y is not None and len(x) == len(y) and float(x @ y) >= threshold for x in ok[a] for y in ok[b])} for a in ids}
     root = {}
     for i in ids:
         todo = [] if i in root else [i]
@@ -56,7 +56,7 @@ def test_vectors_match_brute_force(spark, block_rows):
     centres = r.normal(size=(12, 8))
     rows = [(i, (centres[i % 12] * r.uniform(0.1, 50) + r.normal(size=8) * 0.25).tolist()) for i in range(150)]
     rows += [(i, [0.5] * 8) for i in range(200, 230)]
-    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] + [1.0] * 7), (304, [1.0] * 7), (305, []), (306, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (200, [0.5] * 8), (307, [1e200] * 8)]
+    rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] + [1.0] * 7), (304, [1.0] * 7), (305, []), (306, [float("inf")] + [1.0] * 7), (308, [2.0] * 7), (309, [3.0]), (310, [-1.0]), (311, [0.25]), (None, [1.0] * 8), (200, [0.5] * 8), (307, [1e200] * 8)]
     vectors = spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], "vec_id long, embedding array<double>, label int, x string")
     got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in near_duplicate_vectors(vectors, block_rows=block_rows, tile_rows=7).collect()}
     expect = brute([(i, [0.5] * 8 if i == 307 else v) for i, v in rows])
