@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import word_hashes
 
 SHRINKAGE, CUT, PRIOR = 0.1, 0.3, 15
+#: Labelled rows learned from at most, of each class.
+TRAIN_ROWS = 20_000
 FEATURES = (
     "words word_length upper digits marks symbols bars exclamations repeats recurring one_word_runs lines line_copies stops"
 ).split()
@@ -99,20 +101,18 @@ def discriminant(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage
     return Discriminant(centre, scale, np.array(means), np.array(inverse), np.array(log_det), np.log((n + 1) / (n + 1).sum()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE) -> Discriminant:
-    """Learns from every labelled row: partial sums by task, then one sum for each class and pair of statistics."""
-    d = len(FEATURES)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE, train_rows: int = TRAIN_ROWS) -> Discriminant:
+    """Learns from labelled rows: partial sums by task, then one sum for each class and pair of statistics.
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [statistics(t.as_py()).tolist() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+    Of each class at most train_rows labels count, those with the least hashes of their id: few enough to go to every
+    task, which then measures only texts that are learned from."""
+    d = len(FEATURES)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + d + d * d))
         for b in batches:
             y = b.column(0).to_numpy(zero_copy_only=False).astype(int)
-            x = np.array(b.column(1).to_pylist(), float).reshape(-1, d)
+            x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1, d)
             for k in (0, 1):
                 own = x[y == k]
                 sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -120,8 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], m)), pa.array(np.tile(np.arange(m), 2)), pa.array(sums.ravel())], ["class", "place", "v"])
 
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    x = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(measure, "id long, x array<double>")
-    rows = x.join(known, "id").select("y", "x").mapInArrow(partial, "class long, place long, v double").groupBy("class", "place").agg(F.sum("v").alias("v")).collect()
+    hashed = known.withColumn("h", F.xxhash64("id"))
+    few = [hashed.where(F.col("y") == k).orderBy("h", "id").limit(train_rows).select("id", "y") for k in (0, 1)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = texts.join(F.broadcast(few[0].unionByName(few[1])), "id").select("y", "text")
+    rows = own.mapInArrow(partial, "class long, place long, v double").groupBy("class", "place").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((2, 1 + d + d * d))
     for r in rows:
         sums[r["class"], r["place"]] = r["v"]
