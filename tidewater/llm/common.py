@@ -126,6 +126,21 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def sieve_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash modulo `bits`: a sieve of fixed size whatever the corpus. What it lets through wrongly is
+    compared and found unique, so its size bears on speed alone."""
+    words = hashes.toDF("h").select(F.pmod("h", F.lit(bits)).alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    sieve = np.zeros(bits // 64, np.int64)
+    got = words.toPandas()
+    sieve[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    return sieve.view(np.uint64)
+
+
+def passes(sieve: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    b = h.view(np.uint64) & np.uint64(bits - 1)
+    return (sieve[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) != 0
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node reachable.
 

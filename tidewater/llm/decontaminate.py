@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,12 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, claim, ngram_hashes
+from .common import WORD_CACHE, claim, in_slices, ngram_hashes, passes, sieve_of, written
 
 SEED_WORDS, RARE, LEAST_SHARE = 3, 1e-7, 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 SCORE = 0.5
 ITEM_BYTES = 32 << 20
+SIEVE_BITS, TEXT_BITS = 1 << 27, 1 << 24
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”‘’„…–—¿¡·"
 
 
@@ -71,83 +72,209 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best / (MATCH * max(1, len(item))), *at
 
 
+@dataclass
+class WordCounts:
+    """How often each of some words (sorted hashes) occurs in all documents, and how many words there are."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    total: int
+
+    def rare_grams(self, words: np.ndarray, n: int, rare: float) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of an item's n-grams whose chance, words taken as independent at their shares of all
+        documents, is at most `rare`; of an item of common words its rarest half."""
+        grams = ngram_hashes(words, n)
+        share = np.log((self.counts[np.searchsorted(self.words, words)] + 1) / (self.total + 1))
+        chance = np.convolve(share, np.ones(min(n, len(words))), "valid")
+        ok = chance <= math.log(rare)
+        if ok.mean() < LEAST_SHARE:
+            ok = chance <= np.quantile(chance, LEAST_SHARE)
+        return grams[ok], np.flatnonzero(ok)
+
+
+def seeds_in(words: np.ndarray, sizes: Iterable[int], passes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) of a text's grams of each size that pass a sieve."""
+    for size in sizes:
+        if 0 < size <= len(words):
+            grams = ngram_hashes(words, size)
+            at = np.flatnonzero(passes(grams))
+            yield grams[at], at
+
+
+def best_alignment(item: np.ndarray, words: np.ndarray, begins: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(score, first, end) of the item's best alignment near one of the places where its seeds say that a copy begins."""
+    begins = np.sort(begins)
+    best = None
+    # seeds that can belong to one copy are aligned at once
+    for near in np.split(begins, np.flatnonzero(np.diff(begins) > len(item)) + 1):
+        a, b = max(0, int(near[0]) - len(item) // 2), int(near[-1]) + len(item) + len(item) // 2
+        passage = words[a:b]
+        if np.isin(item, passage).mean() < least:  # no alignment can score more than its shared words
+            continue
+        score, x, y = smith_waterman(item, passage)
+        if score >= least and (best is None or score > best[0]):
+            best = score, a + x, a + y
+    return best
+
+
 class Seeds:
-    """The test items of one block with their rare n-grams; its size is that of the block."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], counts: dict[int, int], total: int, n: int, rare: float):
-        self.items, self.n = items, n
-        by_gram: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            grams = ngram_hashes(words, n)
-            share = np.array([math.log((counts.get(int(w), 0) + 1) / (total + 1)) for w in words])
-            chance = np.array([share[i : i + n].sum() for i in range(len(grams))])
-            ok = chance <= math.log(rare)
-            if ok.mean() < LEAST_SHARE:  # an item of common words: its rarest half
-                ok = chance <= np.quantile(chance, LEAST_SHARE)
-            for i in np.flatnonzero(ok):
-                by_gram[int(grams[i])].append((k, int(i)))
-        self.by_gram = dict(by_gram)
-        self.grams = np.array(sorted(by_gram), np.uint64)
+    """Test items and their rare n-grams in sorted arrays: 16 bytes a seed and 8 a word, so a few times the items' size."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], counts: WordCounts, n: int, rare: float):
+        found = [counts.rare_grams(w, n, rare) for _, w in items]
+        grams = np.concatenate([g for g, _ in found])
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.owner = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g, _ in found])[order]
+        self.place = np.concatenate([p for _, p in found]).astype(np.int32)[order]
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.words = np.concatenate([w for _, w in items])
+        self.ends = np.cumsum([len(w) for _, w in items])
         self.sizes = sorted({min(n, len(w)) for _, w in items})
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
     def leaks(self, text: str | None, least: float) -> list[dict]:
         words = words_of(text)
+        owners, begins = [], []
+        for grams, at in seeds_in(words, self.sizes, lambda g: self.table[(g >> np.uint64(44)).astype(np.int64)]):
+            lo, hi = (np.searchsorted(self.grams, grams, side=x) for x in ("left", "right"))
+            n = hi - lo
+            own = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+            owners.append(self.owner[own])
+            begins.append(np.repeat(at, n) - self.place[own])
+        if not owners:
+            return []
+        owner, begin = np.concatenate(owners), np.concatenate(begins)
         found: dict[int, dict] = {}
-        for size in self.sizes:
-            if len(words) < size or size == 0:
-                continue
-            grams = ngram_hashes(words, size)
-            near = np.flatnonzero(self.table[(grams >> np.uint64(44)).astype(np.int64)])
-            spots: dict[int, list[int]] = defaultdict(list)
-            for p in near.tolist():
-                for k, i in self.by_gram.get(int(grams[p]), ()):
-                    spots[k].append(p - i)
-            for k, begins in spots.items():
-                item_id, item = self.items[k]
-                begins.sort()
-                first = 0
-                for j in range(1, len(begins) + 1):  # seeds that can belong to one copy are aligned at once
-                    if j < len(begins) and begins[j] - begins[j - 1] <= len(item):
-                        continue
-                    a, b = max(0, begins[first] - len(item) // 2), begins[j - 1] + len(item) + len(item) // 2
-                    passage = words[a:b]
-                    first = j
-                    if np.isin(item, passage).mean() < least:  # no alignment can score more than its shared words
-                        continue
-                    score, x, y = smith_waterman(item, passage)
-                    if score >= least and score > found.get(item_id, {"score": 0})["score"]:
-                        found[item_id] = {"item_id": item_id, "score": score, "first_word": a + x, "end_word": a + y}
+        for k in np.unique(owner).tolist():
+            item = self.words[self.ends[k - 1] if k else 0 : self.ends[k]]
+            best = best_alignment(item, words, begin[owner == k], least)
+            item_id = int(self.ids[k])
+            if best and best[0] > found.get(item_id, {"score": 0})["score"]:
+                found[item_id] = {"item_id": item_id, "score": best[0], "first_word": best[1], "end_word": best[2]}
         return [found[k] for k in sorted(found)]
 
 
 LEAK = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
 
 
-def word_counts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> tuple[dict[int, int], int]:
-    """How often each of these words occurs in all documents, and how many words there are: as many counts as wanted."""
-    wanted = np.sort(wanted)
+def word_counts(docs: DataFrame, text_col: str, items: DataFrame) -> WordCounts:
+    """Counts of the items' words in all documents: one scan, and as many counts as the items have distinct words."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [words_of(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*own, np.zeros(0, np.uint64)])).view(np.int64))], ["word"])
+
+    wanted = items.select("text").mapInArrow(distinct, "word long").distinct().toArrow().column("word").to_numpy()
+    wanted = np.sort(wanted.astype(np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(wanted), np.int64), 0
+        words = held.value
+        counts, total = np.zeros(len(words), np.int64), 0
         for b in batches:
             for t in b.column(0):
                 w = words_of(t.as_py())
                 total += len(w)
-                at = np.searchsorted(wanted, w)
-                at[at == len(wanted)] = 0
-                counts += np.bincount(at[wanted[at] == w], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(wanted.view(np.int64), 0)), pa.array(np.append(counts, total)), pa.array(np.append(np.zeros(len(wanted), bool), True))], ["word", "n", "total"])
+                if len(words):
+                    at = np.searchsorted(words, w)
+                    at[at == len(words)] = 0
+                    counts += np.bincount(at[words[at] == w], minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words.view(np.int64), 0)), pa.array(np.append(counts, total)), pa.array(np.append(np.zeros(len(words), bool), True))], ["word", "n", "total"])
+
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n")).toArrow()
+    total = rows.column("total").to_numpy()
+    n, word = rows.column("n").to_numpy(), rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    counts = np.zeros(len(wanted), np.int64)
+    counts[np.searchsorted(wanted, word[~total])] = n[~total]
+    return WordCounts(wanted, counts, int(n[total].sum()))
+
+
+def _leaks_udf(seeds, score: float):
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([seeds.value.leaks(t, score) for t in texts], dtype=object)
+
+    return F.pandas_udf(leaks, LEAK)
+
+
+def _names(text: Column) -> dict[str, Column]:
+    """What names a text among all: two hashes of it."""
+    return {"hi": F.xxhash64(F.lit(1), text), "lo": F.xxhash64(F.lit(2), text)}
+
+
+def _joined_leaks(docs: DataFrame, items: DataFrame, counts: WordCounts, text_col: str, score: float, n: int, rare: float) -> DataFrame:
+    """(hi, lo, item_id, score, first_word, end_word): seeds and texts of a benchmark of any size meet by shuffles.
+
+    Rows move only for grams that pass a sieve of the seeds, and texts only where a seed was found."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(counts)
+    kept = {"item": pa.int64(), "version": pa.int64(), "gram": pa.int64(), "place": pa.int64()}
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n")).collect()
-    counts = {int(np.int64(r["word"]).view(np.uint64)): r["n"] for r in rows if not r["total"]}
-    return counts, sum(r["n"] for r in rows if r["total"])
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, v, t in zip(*(b.column(c).to_pylist() for c in ("item", "version", "text")), strict=True):
+                w = words_of(t)
+                if len(w):
+                    grams, at = known.value.rare_grams(w, n, rare)
+                    out += [(i, v, g, p) for g, p in zip(grams.view(np.int64).tolist(), at.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kept.values())], list(kept))
+
+    versions = items.withColumn("version", F.xxhash64("text")).distinct()
+    seed_rows = written(versions.mapInArrow(seeds, "item long, version long, gram long, place long"))
+    sieve = spark.sparkContext.broadcast(sieve_of(seed_rows.select("gram"), SIEVE_BITS))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").select("text", *[c.alias(k) for k, c in _names(F.col("text")).items()])
+    sizes = range(1, n + 1)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for hi, lo, t in zip(*(b.column(c).to_pylist() for c in ("hi", "lo", "text")), strict=True):
+                for grams, at in seeds_in(words_of(t), sizes, lambda g: passes(sieve.value, g, SIEVE_BITS)):
+                    for k, v in enumerate((np.full(len(at), hi), np.full(len(at), lo), grams.view(np.int64), at)):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out], ["hi", "lo", "gram", "at"])
+
+    at = texts.mapInArrow(places, "hi long, lo long, gram long, at long").distinct()
+    begins = at.join(seed_rows, "gram").groupBy("hi", "lo", "item", "version").agg(F.collect_set(F.col("at") - F.col("place")).alias("begins"))
+    begins = written(begins)
+    moving = spark.sparkContext.broadcast(sieve_of(begins.select("hi"), TEXT_BITS))
+
+    @F.pandas_udf("boolean")
+    def moves(hi: pd.Series) -> pd.Series:
+        return pd.Series(passes(moving.value, hi.to_numpy(np.int64), TEXT_BITS))
+
+    @F.pandas_udf("struct<score:double,first_word:long,end_word:long>")
+    def align(text: pd.Series, item: pd.Series, begins: pd.Series) -> pd.DataFrame:
+        found = [best_alignment(words_of(i), words_of(t), np.asarray(b), score) or (None, None, None) for t, i, b in zip(text, item, begins, strict=True)]
+        return pd.DataFrame(found, columns=["score", "first_word", "end_word"]).astype({"score": "float64", "first_word": "Int64", "end_word": "Int64"})
+
+    once = texts.where(moves("hi")).dropDuplicates(["hi", "lo"])
+    both = begins.join(once, ["hi", "lo"]).join(versions.withColumnRenamed("text", "item_text"), ["item", "version"])
+    found = both.select("hi", "lo", F.col("item").alias("item_id"), align("text", "item_text", "begins").alias("a")).where("a.score is not null")
+    best = F.max_by("a", F.struct("a.score", -F.col("a.first_word"), -F.col("a.end_word")))
+    return written(found.groupBy("hi", "lo", "item_id").agg(best.alias("a")).select("hi", "lo", "item_id", "a.*"))
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, score: float, n: int, rare: float, item_bytes: int):
+    """(column, table): the leaks of each text as a column where the items fit into every task, else as a joined table."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    counts = word_counts(docs, text_col, items)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > item_bytes:
+        return None, _joined_leaks(docs, items, counts, text_col, score, n, rare)
+    held = [(r["item"], w) for r in items.orderBy("item", "text").collect() if len(w := words_of(r["text"]))]
+    if not held:
+        return F.array().cast(LEAK), None
+    seeds = docs.sparkSession.sparkContext.broadcast(Seeds(held, counts, n, rare))
+    return _leaks_udf(seeds, score)(F.col(text_col).cast("string")), None
 
 
-def leak_columns(
+def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
+    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
@@ -155,58 +282,43 @@ def leak_columns(
     n: int = SEED_WORDS,
     rare: float = RARE,
     item_bytes: int = ITEM_BYTES,
-) -> list[Column]:
-    """Columns over `docs` that list each text's leaked items, one for each block of the benchmark.
-
-    A block holds at most about item_bytes of items, so what each task keeps is bounded; a larger benchmark takes more
-    columns. Seeds are the n-grams whose chance, words taken as independent at their shares of all documents, is at most
-    `rare`: a leak, however often copied, can't make its own seeds common.
-    """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / item_bytes))
-    spark, out = docs.sparkSession, []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        held = [(r["item"], w) for r in part if len(w := words_of(r["text"]))]
-        if not held:
-            continue
-        counts, total = word_counts(docs, text_col, np.unique(np.concatenate([w for _, w in held])))
-        seeds = spark.sparkContext.broadcast(Seeds(held, counts, total, n, rare))
-
-        out.append(_leaks_udf(seeds, score)(F.col(text_col).cast("string")))
-    return out
-
-
-def _leaks_udf(seeds, score: float):
-    def leaks(texts: pd.Series) -> pd.Series:
-        return pd.Series([seeds.value.leaks(t, score) for t in texts], dtype=object)
-
-    return F.pandas_udf(leaks, LEAK)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every test item that a document holds a copy of, edited or not.
 
     score is the item's best Smith-Waterman alignment by words over that of the item with itself; rows from `score`
-    (0.5) on are kept, the best of each document and item. Words are compared without case and outer marks.
+    (0.5) on are kept, the best of each document and item. Words are compared without case and outer marks. Seeds are
+    rare n-grams by the words' shares of all documents: a leak, however often copied, can't make its own seeds common.
+    Items of up to item_bytes in all go to every task; more meet the texts in joins, with the same rows.
 
-    Null or empty texts and items leak nothing. Items shorter than n words are sought whole. Repeated rows are judged
-    each; rows with a null id keep it; of items with the same id the better alignment counts. Empty tables give no rows;
-    other columns are ignored.
+    Null or empty texts and items leak nothing. Items shorter than n words are sought whole. Very long texts are read
+    whole, and only the stretches around seeds are aligned. Repeated rows are judged each; rows with a null id keep it;
+    of items with the same id the better alignment counts. Empty tables give no rows; other columns are ignored.
     """
-    out = None
-    for c in leak_columns(docs, benchmark, text_col, **options):
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(c).alias("leak")).select("doc_id", "leak.*")
-        out = part if out is None else out.unionByName(part)
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    column, table = _prepared(docs, benchmark, text_col, item_col, item_text_col, score, n, rare, item_bytes)
+    doc = F.col(id_col).cast("long").alias("doc_id")
+    if table is None:
+        return docs.select(doc, F.explode(column).alias("leak")).select("doc_id", "leak.*")
+    return docs.select(doc, *[c.alias(k) for k, c in _names(F.col(text_col).cast("string")).items()]).join(table, ["hi", "lo"]).drop("hi", "lo")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    score: float = SCORE,
+    n: int = SEED_WORDS,
+    rare: float = RARE,
+    item_bytes: int = ITEM_BYTES,
+) -> DataFrame:
     """The rows of `docs`, all columns, that leak no test item."""
-    for c in leak_columns(docs, benchmark, text_col, **options):
-        docs = docs.where(F.size(c) == 0)
-    return docs
+    column, table = _prepared(docs, benchmark, text_col, item_col, item_text_col, score, n, rare, item_bytes)
+    if table is None:
+        return docs.where(F.size(column) == 0)
+    gone = table.select("hi", "lo").distinct()
+    own = _names(docs[text_col].cast("string"))
+    return docs.join(gone, (own["hi"] == gone["hi"]) & (own["lo"] == gone["lo"]), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

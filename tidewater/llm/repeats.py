@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpoint, in_slices, mix, written
+from .common import MIX, checkpoint, in_slices, mix, passes, sieve_of, written
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
@@ -85,25 +85,10 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def _filter_of(repeated: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash modulo `bits`: a sieve of fixed size whatever the corpus. What it lets through wrongly is
-    compared and found unique, so its size bears on speed alone."""
-    words = repeated.toDF("h").select(F.pmod("h", F.lit(bits)).alias("b")).groupBy((F.col("b") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    sieve = np.zeros(bits // 64, np.int64)
-    got = words.toPandas()
-    sieve[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
-    return sieve.view(np.uint64)
-
-
-def _passes(sieve: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    b = h.view(np.uint64) & np.uint64(bits - 1)
-    return (sieve[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _contexts(data: bytes, sieve: np.ndarray, bits: int, length: int):
     """(anchor, context, place, left, right) of each anchor that may occur again; left is reversed."""
     h, place, first, last = anchors(data, length)
-    for i in np.flatnonzero(_passes(sieve, h, bits)).tolist() if len(h) else ():
+    for i in np.flatnonzero(passes(sieve, h, bits)).tolist() if len(h) else ():
         p = int(place[i])
         left, right = data[int(first[i]) : p][::-1], data[p : int(last[i]) + length]
         yield int(h[i]), xxhash.xxh3_64_intdigest(left, xxhash.xxh3_64_intdigest(right)) - (1 << 63), p, left, right
@@ -271,7 +256,7 @@ def repeated_spans(
     """(hi, lo, starts, ends) for each distinct text, named by two hashes, with spans of bytes that a repeated string of
     `length` bytes covers; spans may overlap."""
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
-    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(_anchor_counts(texts, length), filter_bits))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(_anchor_counts(texts, length), filter_bits))
     classes = written(_classes(texts, sieve, filter_bits, length))
     whole = classes.where("n > 1").select("anchor", "context", F.octet_length("left").cast("long").alias("before"), F.octet_length("right").cast("long").alias("after"))
     groups = classes.select(F.col("anchor").alias("group"), "anchor", "context", "left", "right")
@@ -310,12 +295,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = written(repeated_spans(docs, id_col, text_col, length, **options))
     # texts that the sieve rules out have no spans and need not move
-    sieve = docs.sparkSession.sparkContext.broadcast(_filter_of(spans.select("hi"), TEXT_BITS))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(spans.select("hi"), TEXT_BITS))
 
-    def passes(hi: pd.Series) -> pd.Series:
-        return pd.Series(_passes(sieve.value, hi.to_numpy(np.int64), TEXT_BITS))
+    def moves(hi: pd.Series) -> pd.Series:
+        return pd.Series(passes(sieve.value, hi.to_numpy(np.int64), TEXT_BITS))
 
-    texts = _texts(docs, id_col, text_col).withColumn("moves", F.pandas_udf(passes, "boolean")("hi"))
+    texts = _texts(docs, id_col, text_col).withColumn("moves", F.pandas_udf(moves, "boolean")("hi"))
     none = F.lit(None).cast("array<long>")
     rows = texts.where("not moves").select("doc_id", "text", none.alias("starts"), none.alias("ends"))
     rows = rows.unionByName(texts.where("moves").join(spans, ["hi", "lo"], "left").select("doc_id", "text", "starts", "ends"))
