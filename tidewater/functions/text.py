@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -12,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: The 64-bit FNV-1a constants, dimensions and weights of the feature hash.
+#: The 64-bit FNV-1a constants, dimensions and weights of the feature hash, words that it passes over.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 DIMENSIONS, WORD_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 768, 1.0, 0.5, 0.7
+STOP_WORDS = frozenset(
+    "the a an and or of to in on for is are was were be by with as at that this it from its into than then but not no has have had will would can could should may might".split()
+)
 
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*", re.UNICODE)
 
@@ -36,19 +40,19 @@ def fnv1a(parts: list[bytes]) -> np.ndarray:
 
 
 def hash_embed(text: str | None) -> np.ndarray:
-    """Signed feature hashing of words, character 3- to 5-grams and word pairs, log-damped and of unit length."""
-    words = [w.lower() for w in _WORD.findall(text or "") if len(w) > 1]
-    weight: dict[bytes, float] = {}
+    """Signed feature hashing of words, their padded character 3- to 5-grams and word pairs, log-damped and of unit length;
+    a feature's kind is the first byte of what is hashed."""
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w and w not in STOP_WORDS]
+    weight: dict[bytes, float] = defaultdict(float)
     for w in words:
-        key = b"w:" + w.encode()
-        weight[key] = weight.get(key, 0.0) + WORD_WEIGHT
-        grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-        for g in grams:
-            key = b"g:" + g.encode()
-            weight[key] = weight.get(key, 0.0) + GRAM_WEIGHT / math.sqrt(len(grams))
-    for a, b in zip(words, words[1:]):
-        key = f"p:{a} {b}".encode()
-        weight[key] = weight.get(key, 0.0) + PAIR_WEIGHT
+        weight[b"w" + w.encode()] += WORD_WEIGHT
+        padded = f"<{w}>"
+        for n in (3, 4, 5):
+            grams = [padded[i : i + n] for i in range(len(padded) - n + 1)]
+            for g in grams:
+                weight[b"c" + g.encode()] += GRAM_WEIGHT / math.sqrt(len(grams))
+    for x, y in zip(words, words[1:], strict=False):
+        weight[f"b{x} {y}".encode()] += PAIR_WEIGHT
     out = np.zeros(DIMENSIONS)
     keys = sorted(weight)
     h = fnv1a(keys)
@@ -104,27 +108,33 @@ def html_to_text(page: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+def _object(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
 def extract_json(text: str | None) -> str | None:
-    """The JSON that a text is, else its last fenced block's, else its last balanced object; null if none parses."""
+    """The object that a text is, else that of its last fenced block which is one, else its last balanced braces that are
+    one; null if none is."""
     text = (text or "").strip()
-    blocks = [text, *reversed(re.findall(r"```(?:json)?\s*(.*?)```", text, re.DOTALL))]
-    starts = [m.start() for m in re.finditer(r"\{", text)][-200:]
-    decoder = json.JSONDecoder()
-    for b in blocks:
-        try:
-            json.loads(b)
+    fenced = re.findall(r"```[^\n`]*\n(.*?)```|```(.*?)```", text, re.DOTALL)
+    for b in (text, *reversed([x or y for x, y in fenced])):
+        if _object(b):
             return b.strip()
-        except ValueError:
-            pass
-    best = None
-    for i in starts:
-        try:
-            _, end = decoder.raw_decode(text, i)
-        except ValueError:
-            continue
-        if best is None or end > best[1]:
-            best = (i, end)
-    return text[best[0] : best[1]] if best else None
+    # braces from the last one back: each closing one with the opening one that balances it
+    opened: list[int] = []
+    pair: dict[int, int] = {}
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            pair[m.start()] = opened.pop()
+    for end in sorted(pair, reverse=True):
+        if _object(text[pair[end] : end + 1]):
+            return text[pair[end] : end + 1]
+    return None
 
 
 def compress_text(text: str | None, query: str, budget: int) -> str:

@@ -1,11 +1,14 @@
-"""Indicators over ordered bars: rolling frames in the engine, recursions as one grouped pass of pandas by symbol."""
+"""Indicators over ordered bars: rolling frames, and recursions by chunks of time with one number carried between them."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_symbol():
     """Rows of a symbol in time order; made on use, since a window needs a running session."""
     return Window.partitionBy("symbol").orderBy("ts")
@@ -50,18 +53,54 @@ def true_range() -> Column:
     return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before))
 
 
-def smoothed(rows: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """Adds exponential averages: name -> (source column, weight of the newest value, values needed). Each starts at its
-    source's first value, skips nulls and is null until it has seen enough values. One grouped pass adds them all."""
-    schema = rows.schema.simpleString()[7:-1] + "".join(f",{name}:double" for name in columns)
+#: Rows of a chunk at most, and seconds of time that one lies in.
+CHUNK_ROWS, CHUNK_SECONDS = 256, 32 * 86400
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts")
-        for name, (source, alpha, least) in columns.items():
-            own[name] = own[source].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return own
 
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+def smoothed(rows: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """Adds exponential averages: name -> (source column, weight of the newest value, values needed). Each starts at its
+    source's first value, skips nulls and is null until it has seen enough values.
+
+    Rows are cut into chunks of time. Within one, a running sum of weighted values gives what its rows add; what a chunk
+    passes on is one number and a count for each average, carried from chunk to chunk in a small pass over these alone."""
+    keep = {name: 1 - alpha for name, (_, alpha, _) in columns.items()}
+    size = min([CHUNK_ROWS, *(int(250 / -math.log10(w)) for w in keep.values() if w > 0)])
+    own = Window.partitionBy("symbol", "bucket_").orderBy("ts")
+    rows = rows.withColumn("bucket_", F.floor(F.unix_timestamp("ts") / CHUNK_SECONDS))
+    rows = rows.withColumn("chunk_", F.floor((F.row_number().over(own) - 1) / size))
+    key = ["symbol", "bucket_", "chunk_"]
+    chunk = Window.partitionBy(*key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"n_{name}": F.count(source).over(chunk) for name, (source, _, _) in columns.items()})
+    # a value of the k-th row counts w^(n-k) at the n-th: its share without w^n is summed up
+    rows = rows.withColumns({f"t_{name}": F.sum(F.col(source) * F.pow(F.lit(keep[name] or 1.0), 1 - F.col(f"n_{name}"))).over(chunk) for name, (source, _, _) in columns.items()})
+    parts = rows.groupBy(*key).agg(*[f.alias(f"{k}_{name}") for name, (source, _, _) in columns.items() for k, f in (
+        ("n", F.max(f"n_{name}")), ("t", F.max_by(f"t_{name}", "ts")), ("f", F.min_by(source, F.when(F.col(source).isNotNull(), F.col("ts")))), ("l", F.max_by(source, F.when(F.col(source).isNotNull(), F.col("ts"))))
+    )])
+    schema = "symbol string, bucket_ long, chunk_ long" + "".join(f", c_{name} double, s_{name} long" for name in columns)
+
+    def carry(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["bucket_", "chunk_"]).reset_index(drop=True)
+        out = own[key].copy()
+        for name, (_, alpha, _) in columns.items():
+            w, value, seen = keep[name], None, 0
+            came, before = [], []
+            for n, t, first, last in zip(*(own[f"{k}_{name}"] for k in "ntfl"), strict=True):
+                came.append(first if value is None and n else value)
+                before.append(seen)
+                if n:
+                    value = w**n * came[-1] + alpha * w ** (n - 1) * t if w > 0 else last
+                    seen += n
+            out[f"c_{name}"], out[f"s_{name}"] = pd.array(came, "Float64"), before
+        return out
+
+    rows = rows.join(parts.groupBy("symbol").applyInPandas(carry, schema), key)
+    for name, (source, alpha, least) in columns.items():
+        w, n = F.lit(keep[name]), F.col(f"n_{name}")
+        value = F.when(n == 0, F.col(f"c_{name}")).otherwise(F.pow(w, n) * F.col(f"c_{name}") + alpha * F.pow(w, n - 1) * F.col(f"t_{name}"))
+        if keep[name] <= 0:
+            value = F.coalesce(F.last(source, ignorenulls=True).over(chunk), F.col(f"c_{name}"))
+        rows = rows.withColumn(name, F.when(F.col(f"s_{name}") + n >= least, value))
+    return rows.drop("bucket_", "chunk_", *[f"{k}_{name}" for name in columns for k in "ntcs"])
 
 
 def span(n: int) -> float:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from .calibration import proportion_gap
 from .indicators import by_symbol
 from .outcomes import wilson
+from .structure import IMPULSE_MOVE, IMPULSE_SPEED
 
 #: Fixed values, in average ranges and bars.
 AWAY, RESOLVE, RETIRE, LOOK_BACK = 1.0, 16, 4, 60
-IMPULSE_MOVE, IMPULSE_SPEED = 2.5, 0.5
 EQUAL, DEPTH, HEAD, SHOULDER, FLAT, SLOPED = 0.5, 1.5, 0.5, 1.0, 0.3, 0.5
 
 REACTION = "symbol string, zone int, i int, resolved_i int, kind string, side int, depth double, prior_holds int"
@@ -84,9 +84,9 @@ def zone_reactions(bars_with_atr: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def legs(swings: DataFrame) -> DataFrame:
-    """Moves between neighbouring swings (symbol, swing_i, price, atr): bars, move, direction and whether the move is an
+    """Moves between neighbouring swings (symbol, swing_i, kind, price, atr): bars, move, direction and whether the move is an
     impulse: far enough and fast enough in average ranges at its start."""
-    own = Window.partitionBy("symbol").orderBy("swing_i")
+    own = Window.partitionBy("symbol").orderBy("swing_i", "kind")
     rows = swings.withColumns({"to_i": F.lead("swing_i").over(own), "to_price": F.lead("price").over(own)}).where("to_i is not null")
     move, n = F.col("to_price") - F.col("price"), F.col("to_i") - F.col("swing_i")
     strong = (F.abs(move) >= IMPULSE_MOVE * F.col("atr")) & (F.abs(move) / F.nullif(n, F.lit(0)) >= IMPULSE_SPEED * F.col("atr"))
@@ -96,7 +96,7 @@ def legs(swings: DataFrame) -> DataFrame:
 def swing_shapes(swings: DataFrame) -> DataFrame:
     """Reversal and converging shapes of the last three to five alternating swings (symbol, swing_i, kind, price, atr), as
     each swing completes them: double, triple, head_shoulders, triangle and wedge, 1 bullish, -1 bearish, 0 either way."""
-    own = Window.partitionBy("symbol").orderBy("swing_i")
+    own = Window.partitionBy("symbol").orderBy("swing_i", "kind")
     p = [F.col("price"), *(F.lag("price", k).over(own) for k in range(1, 5))]
     x = [F.col("swing_i"), *(F.lag("swing_i", k).over(own) for k in range(1, 5))]
     rows = swings.withColumns({f"p{k}": v for k, v in enumerate(p)} | {f"x{k}": v for k, v in enumerate(x)})

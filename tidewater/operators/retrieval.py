@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 K1, B, RRF = 1.2, 0.75, 60
+#: Query terms that the plan holds itself.
+TERMS = 10_000
 #: Bytes of a block of rows and of queries that meet in one task, and rows of it compared at a time.
 ROW_BYTES, QUERY_BYTES, CHUNK = 16_000_000, 4_000_000, 4096
 
@@ -22,13 +24,18 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query; distinct query terms count once.
 
-    Only the queries' terms are kept from the documents before any shuffle (the query side decides what is joined);
-    document lengths and frequencies are over all documents."""
+    Documents are tokenised once; of their words only the queries' terms leave the scan, with the document's length. Up
+    to TERMS terms are a constant of the plan, more are joined. Lengths and frequencies are over all documents."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    sizes = words.agg(F.count("*").alias("docs_"), F.avg(F.size("w")).alias("mean_"))
     wanted = terms.select("term").distinct()
-    tf = words.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(wanted, "term").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select("doc_id", F.size("w").alias("size"), "w")
+    known = wanted.limit(TERMS + 1).toArrow().column("term").to_pylist()
+    sizes = words.agg(F.count("*").alias("docs_"), F.avg("size").alias("mean_"))
+    if len(known) <= TERMS:
+        found = words.select("doc_id", "size", F.explode(F.filter("w", lambda x: x.isin(known))).alias("term"))
+    else:
+        found = words.select("doc_id", "size", F.explode("w").alias("term")).join(wanted, "term")
+    tf = found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     rows = tf.join(df, "term").join(F.broadcast(sizes))
     idf = F.log((F.col("docs_") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -188,22 +195,86 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def salience(text: Column) -> Column:
-    """Share of words with a digit, a currency or percent sign, or a capital first letter."""
+    """Words with a digit, a currency or percent sign, or all in capitals, over one more than all words."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    marked = F.filter(words, lambda w: w.rlike(r"[0-9$%]|^\p{Lu}"))
-    return F.when(F.size(words) > 0, F.size(marked) / F.size(words)).otherwise(0.0)
+    marked = F.filter(words, lambda w: w.rlike(r"[0-9$%]|^\p{Lu}{2,}$"))
+    return F.when(F.size(words) > 0, F.size(marked) / (F.size(words) + 1)).otherwise(0.0)
 
 
 def word_shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n tokens; all of a shorter text."""
+    """Distinct runs of n tokens; none of a shorter text."""
     w = tokens(text)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+
+def never_worse(raw: Column, shorter: Column) -> Column:
+    """The shorter form if it costs fewer tokens, else the raw one."""
+    return F.when(estimate_tokens(shorter) < estimate_tokens(raw), shorter).otherwise(raw)
+
+
+def truncate_chars(text: Column, most: int) -> Column:
+    """The first `most` characters and a note of how many are gone; shorter texts as they are."""
+    gone = F.char_length(text) - most
+    return F.when(gone > 0, F.concat(F.substring(text, 1, most), F.lit("\n[… truncated "), gone.cast("string"), F.lit(" chars]"))).otherwise(text)
+
+
+def elide_dense_lines(text: Column, least_line: int = 300, least_total: int = 2000, head: int = 160, tail: int = 80) -> Column:
+    """Long lines almost without blanks, which machines wrote, keep their ends, if they are large enough in all."""
+    lines = F.split(text, "\n")
+    bare = lambda x: F.trim(x)
+    blanks = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
+    quoted = lambda x, a, b: F.startswith(x, F.lit(a)) & F.endswith(x, F.lit(b))
+    dense = lambda x: (F.octet_length(bare(x)) >= least_line) & ~F.contains(bare(x), F.lit("\t")) & (blanks(bare(x)) / F.octet_length(bare(x)) < 0.06) & ~quoted(bare(x), "{", "}") & ~quoted(bare(x), "[", "]")
+    total = F.aggregate(F.filter(lines, dense), F.lit(0), lambda s, x: s + F.octet_length(x))
+    size = lambda x: F.char_length(bare(x))
+    short = lambda x: F.concat(F.substring(bare(x), 1, head), F.lit(" ...["), F.greatest(size(x) - head - tail, F.lit(0)).cast("string"), F.lit(" chars of dense machine-generated content elided]... "), F.substring(bare(x), -tail, tail))
+    return F.when(total < least_total, text).otherwise(F.array_join(F.transform(lines, lambda x: F.when(dense(x), short(x)).otherwise(x)), "\n"))
+
+
+def segments(text: Column, most_lines: int = 8, most_bytes: int = 1200) -> Column:
+    """Blocks of a text, array of (text, heading, is_heading): blank lines, headings and a bounded number of lines and
+    bytes part them; heading is the place, from 0, of the heading above. An ordered fold over the lines."""
+    block = "struct<text:string,heading:int,is_heading:boolean>"
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array().cast(f"array<{block}>").alias("out"), F.array().cast("array<string>").alias("lines"), F.lit(0).alias("bytes"), none.alias("heading"))
+
+    def closed(s):
+        own = F.struct(F.array_join(s["lines"], "\n").alias("text"), s["heading"].alias("heading"), F.lit(False).alias("is_heading"))
+        return F.when(F.size(s["lines"]) > 0, F.concat(s["out"], F.array(own))).otherwise(s["out"])
+
+    def state(out, lines, size, heading):
+        return F.struct(out.alias("out"), lines.alias("lines"), size.alias("bytes"), heading.alias("heading"))
+
+    def step(s, x):
+        empty = F.array().cast("array<string>")
+        title = F.struct(x.alias("text"), none.alias("heading"), F.lit(True).alias("is_heading"))
+        full = (F.size(s["lines"]) >= most_lines) | (s["bytes"] + F.octet_length(x) > most_bytes)
+        headed = state(F.concat(closed(s), F.array(title)), empty, F.lit(0), F.size(closed(s)))
+        return (
+            F.when(F.startswith(x, F.lit("#")), headed)
+            .when(x == "", state(closed(s), empty, F.lit(0), s["heading"]))
+            .when(full, state(closed(s), F.array(x), F.octet_length(x), s["heading"]))
+            .otherwise(state(s["out"], F.concat(s["lines"], F.array(x)), s["bytes"] + F.octet_length(x), s["heading"]))
+        )
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.aggregate(lines, start, step, closed)
+
+
+def timeframe_minutes(word: Column) -> Column:
+    """Minutes of a timeframe's name (M15, 15m, h1, 1 hour, D1, weekly); null if it is none."""
+    s = F.lower(F.trim(word))
+    unit = F.coalesce(F.nullif(F.regexp_extract(s, r"^([mhdw])\s*\d{1,3}$", 1), F.lit("")), F.nullif(F.regexp_extract(s, r"^\d{1,3}\s*(m|min|minute|minutes|h|hr|hour|hours|d|day|w|week)$", 1), F.lit("")))
+    number = F.regexp_extract(s, r"(\d{1,3})", 1).try_cast("int")
+    each = F.when(F.startswith(unit, F.lit("m")), 1).when(F.startswith(unit, F.lit("h")), 60).when(F.startswith(unit, F.lit("d")), 1440).when(F.startswith(unit, F.lit("w")), 10080)
+    named = F.when(s == "hourly", 60).when(s == "daily", 1440).when(s == "weekly", 10080).when(s == "monthly", 43200)
+    return F.coalesce(named, number * each)
 
 
 def collapse_runs(text: Column) -> Column:
-    """Identical neighbouring non-empty lines become one with its count: 'line [x3]'."""
-    one = lambda line, n: F.when(n > 1, F.concat(line, F.lit(" [x"), n.cast("string"), F.lit("]"))).otherwise(line)
+    """Identical neighbouring non-empty lines become one with its count: 'line [×3]'."""
+    one = lambda line, n: F.when(n > 1, F.concat(line, F.lit(" [×"), n.cast("string"), F.lit("]"))).otherwise(line)
     empty = F.struct(F.array().cast("array<struct<line:string,n:int>>").alias("runs"))
 
     def step(s, line):

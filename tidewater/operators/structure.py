@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -11,81 +12,62 @@ from pyspark.sql import functions as F
 
 from .indicators import body_swings, by_symbol
 
-RUN_SCHEMA = "symbol string, ts timestamp, i int, kind string, event string, level double, level_i int, label string, trend string"
-
-
-def _name(kind: str, price: float, before: float | None) -> str | None:
-    """Swing label against the last of its kind: higher, lower or equal high or low."""
-    if before is None:
-        return None
-    word = "H" if price > before else "L" if price < before else "EQ"
-    return word + kind
-
-
-class Structure:
-    """State of one symbol's structure, fed bar by bar: swings in alternation, the levels that may break, the trend."""
-
-    def __init__(self):
-        self.swings: list[list] = []  # kind, index, price, label
-        self.level: dict[str, list | None] = {"H": None, "L": None}  # price, index, label, broken
-
-    def bar(self, high: float, low: float, close: float) -> list[tuple[str, list]]:
-        """What this bar does to the open levels: a close beyond breaks one for good, a wick alone sweeps it."""
-        found = []
-        for kind, sign, reach, word in (("H", 1, high, ("bos_up", "sweep_high")), ("L", -1, low, ("bos_down", "sweep_low"))):
-            at = self.level[kind]
-            if at and not at[3]:
-                if sign * (close - at[0]) > 0:
-                    found.append((word[0], at))
-                    at[3] = True
-                elif sign * (reach - at[0]) > 0:
-                    found.append((word[1], at))
-        return found
-
-    def confirm(self, kind: str, i: int, price: float) -> list | None:
-        """Takes a confirmed swing: one of the last kind replaces it only if it is more extreme."""
-        sign = 1 if kind == "H" else -1
-        if self.swings and self.swings[-1][0] == kind:
-            if sign * (price - self.swings[-1][2]) <= 0:
-                return None
-            self.swings.pop()
-        before = next((s[2] for s in reversed(self.swings) if s[0] == kind), None)
-        swing = [kind, i, price, _name(kind, price, before)]
-        self.swings.append(swing)
-        self.level[kind] = [price, i, swing[3], False]
-        return swing
-
-    def trend(self) -> str:
-        last = [next((s[3] for s in reversed(self.swings) if s[0] == k and s[3]), None) for k in "HL"]
-        return {("HH", "HL"): "up", ("LH", "LL"): "down"}.get(tuple(last), "range")
+def swings_in_turn(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """Body swings in alternation as they were confirmed: symbol, kind (H or L), level_i, level, label, known_i.
+
+    A swing of the last kind counts only if it is more extreme than those of its kind since the kind changed; its label
+    compares it with the extreme of the run of its kind before. All by window frames over the confirmed swings alone."""
+    rows = body_swings(bars, left, right)
+    part = lambda flag, price, kind: rows.where(flag).select("symbol", F.lit(kind).alias("kind"), F.col("i").alias("level_i"), F.col(price).alias("level"), F.col("confirmed").alias("known_i"))
+    raw = part("body_high", "top", "H").unionByName(part("body_low", "bottom", "L"))
+    turn = Window.partitionBy("symbol").orderBy("level_i", "kind")
+    sign = F.when(F.col("kind") == "H", 1.0).otherwise(-1.0)
+    raw = raw.withColumns({"new_": F.coalesce((F.lag("kind").over(turn) != F.col("kind")).cast("int"), F.lit(1)), "reach_": sign * F.col("level")})
+    raw = raw.withColumn("run_", F.sum("new_").over(turn))
+    own = Window.partitionBy("symbol", "run_")
+    before = F.max("reach_").over(own.orderBy("level_i").rowsBetween(Window.unboundedPreceding, -1))
+    raw = raw.withColumns({"best_": before, "last_": F.max("reach_").over(own)})
+    earlier = Window.partitionBy("symbol", "kind").orderBy("run_").rangeBetween(Window.unboundedPreceding, -1)
+    raw = raw.withColumn("was_", sign * F.last("last_").over(earlier)).where("best_ is null or reach_ > best_")
+    word = F.when(F.col("level") > F.col("was_"), "H").when(F.col("level") < F.col("was_"), "L").when(F.col("was_").isNotNull(), "EQ")
+    return raw.select("symbol", "kind", "level_i", "level", F.concat(word, "kind").alias("label"), "known_i")
 
 
 def run_structure(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """One row for each swing as it is confirmed (kind H or L), each break or sweep (event) and each bar's trend.
 
-    Swings come from window frames in the engine; only their alternation is a pass in order, one group a symbol. At a
-    bar, levels are tested before swings that the bar confirms are taken in, so no row depends on later bars."""
-    rows = body_swings(bars, left, right).select("symbol", "ts", "i", "h", "l", "c", "top", "bottom", "body_high", "body_low")
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts").reset_index(drop=True)
-        state, out = Structure(), []
-        symbol, ts = own["symbol"].iloc[0], own["ts"].tolist()
-        h, l, c = (own[k].tolist() for k in "hlc")
-        for t in range(len(own)):
-            for event, at in state.bar(h[t], l[t], c[t]):
-                out.append((symbol, ts[t], t, None, event, at[0], at[1], at[2], None))
-            k = t - right
-            if k >= 0:
-                for kind, flag, price in (("H", "body_high", "top"), ("L", "body_low", "bottom")):
-                    if own.at[k, flag]:
-                        s = state.confirm(kind, k, float(own.at[k, price]))
-                        if s:
-                            out.append((symbol, ts[t], t, kind, None, s[2], k, s[3], None))
-            out.append((symbol, ts[t], t, None, None, None, None, None, state.trend()))
-        return pd.DataFrame(out, columns=["symbol", "ts", "i", "kind", "event", "level", "level_i", "label", "trend"])
-
-    return rows.groupBy("symbol").applyInPandas(run, RUN_SCHEMA)
+    A bar sees the swings confirmed before it as levels: a close beyond breaks one for good, a wick alone sweeps it until
+    then. Its trend counts those that it confirms itself, so no row depends on later bars. Window frames over bars and
+    swings together; nothing leaves the engine."""
+    numbered = bars.withColumn("i", F.row_number().over(by_symbol()) - 1).select("symbol", "ts", "i", "h", "l", "c")
+    swings = swings_in_turn(bars, left, right)
+    known = F.struct("level", "level_i", "label")
+    side = lambda k: F.when(F.col("kind") == k, known).alias(f"at_{k}")
+    none = F.lit(None).cast("struct<level:double,level_i:int,label:string>")
+    empty = F.lit(None)
+    # at one bar: its own row, then the swings it confirms, then its trend
+    both = numbered.select("symbol", "i", F.explode(F.array(F.lit(0), F.lit(2))).alias("step"), "ts", "h", "l", "c", none.alias("at_H"), none.alias("at_L")).unionByName(
+        swings.select("symbol", F.col("known_i").alias("i"), F.lit(1).alias("step"), empty.cast("timestamp").alias("ts"), *(empty.cast("double").alias(x) for x in "hlc"), side("H"), side("L"))
+    )
+    so_far = Window.partitionBy("symbol").orderBy("i", "step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumns({k: F.last(k, ignorenulls=True).over(so_far) for k in ("at_H", "at_L")}).where("step <> 1")
+    label = lambda k: F.col(f"at_{k}.label")
+    trend = F.when((label("H") == "HH") & (label("L") == "HL"), "up").when((label("H") == "LH") & (label("L") == "LL"), "down").otherwise("range")
+    columns = ["symbol", "ts", "i", "kind", "event", "level", "level_i", "label", "trend"]
+    text = empty.cast("string")
+    trends = rows.where("step = 2").select("symbol", "ts", "i", text.alias("kind"), text.alias("event"), empty.cast("double").alias("level"), empty.cast("int").alias("level_i"), text.alias("label"), trend.alias("trend"))
+    tested = rows.where("step = 0").select("symbol", "ts", "i", "c", F.explode(F.array(
+        F.struct(F.lit("H").alias("side"), F.col("at_H").alias("at"), F.col("h").alias("reach"), F.lit(1).alias("d")),
+        F.struct(F.lit("L").alias("side"), F.col("at_L").alias("at"), F.col("l").alias("reach"), F.lit(-1).alias("d")),
+    )).alias("x")).select("symbol", "ts", "i", "c", "x.*").where("at is not null")
+    tested = tested.withColumn("closed", F.col("d") * (F.col("c") - F.col("at.level")) > 0)
+    earlier = Window.partitionBy("symbol", "side", "at.level_i").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    tested = tested.withColumn("open", ~F.coalesce(F.max("closed").over(earlier), F.lit(False)))
+    event = F.when(F.col("closed"), F.when(F.col("d") > 0, "bos_up").otherwise("bos_down")).when(F.col("d") * (F.col("reach") - F.col("at.level")) > 0, F.when(F.col("d") > 0, "sweep_high").otherwise("sweep_low"))
+    events = tested.where("open").select("symbol", "ts", "i", text.alias("kind"), event.alias("event"), F.col("at.level").alias("level"), F.col("at.level_i").alias("level_i"), F.col("at.label").alias("label"), text.alias("trend")).where("event is not null")
+    at = numbered.select("symbol", "i", "ts")
+    confirmed = swings.withColumn("i", F.col("known_i")).join(at, ["symbol", "i"]).select("symbol", "ts", "i", "kind", text.alias("event"), "level", "level_i", "label", text.alias("trend"))
+    return confirmed.unionByName(events).unionByName(trends).select(*columns)
 
 
 def boxes(bars: DataFrame, least_inside: int = 2, most_back: int = 30) -> DataFrame:
@@ -237,20 +219,53 @@ def cluster_levels(points: DataFrame, by: str, price: str, tol: Column) -> DataF
     return rows.select(by, F.col("k.low").alias("low"), F.col("k.high").alias("high"), (F.col("k.total") / F.col("k.n")).alias("mean"), F.col("k.n").alias("n"))
 
 
-BOX_SCHEMA = "symbol string, ts timestamp, i int, top double, bottom double, status string, episode int"
+BOX_SCHEMA = "symbol string, ts timestamp, i int, top double, bottom double, start_i int, status string, episode int, lead int"
+#: An impulse, in average ranges: how far, and how far a bar.
+IMPULSE_MOVE, IMPULSE_SPEED = 2.5, 0.5
 
 
-def box_states(bars_with_atr: DataFrame, left: int = 2, right: int = 2, break_tol: float = 0.1, life: int = 24, least_height: float = 0.75) -> DataFrame:
-    """Per bar the range that the last four alternating swings span, and whether closes hold it (inside), have left it
-    (up or down) or there is none. A bar sees only swings confirmed before it. A box ends after `life` bars outside."""
-    rows = body_swings(bars_with_atr, left, right).select("symbol", "ts", "i", "c", "atr", "top", "bottom", "body_high", "body_low")
+def _impulse(a: tuple, b: tuple, atr: np.ndarray) -> int:
+    """Direction of the leg between two swings (kind, bar, price) if it is an impulse by the range at its start."""
+    bars, move, unit = b[1] - a[1], b[2] - a[2], atr[a[1]]
+    strong = bars > 0 and unit > 0 and abs(move) >= unit * max(IMPULSE_MOVE, IMPULSE_SPEED * bars)
+    return int(np.sign(move)) if strong else 0
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts").reset_index(drop=True)
+
+def _box_of(last: list[tuple], unit: float, least_height: float, atr: np.ndarray) -> tuple[float, float, int] | None:
+    """(top, bottom, first bar) that the last swings span: four, or three where the first starts an impulse. None while
+    highs and lows move the same way, and for one too low."""
+    own = last[-4:]
+    if len(own) >= 3 and _impulse(own[0], own[1], atr):
+        own = own[1:]
+    if len(own) < 3 or not np.isfinite(unit):
+        return None
+    sides = {k: [s[2] for s in own if s[0] == k] for k in "HL"}
+    if len(own) == 4 and (sides["H"][1] - sides["H"][0]) * (sides["L"][1] - sides["L"][0]) > 0:
+        return None
+    top, bottom = max(sides["H"]), min(sides["L"])
+    return (top, bottom, own[0][1]) if top - bottom >= least_height * unit else None
+
+
+def box_states(bars_with_atr: DataFrame, left: int = 2, right: int = 2, break_tol: float = 0.1, life: int = 24, least_height: float = 0.75) -> DataFrame:
+    """Per bar the range that the last alternating swings span, and whether closes hold it (inside), have left it (up or
+    down) or there is none. A bar sees only swings confirmed before it. While closes stay inside, the box follows the
+    swings; closes outside that last `life` bars end it. episode numbers a box's life, lead is the last impulse's
+    direction before the box that the swings offer.
+
+    Swings come from window frames; the state that passes from bar to bar needs one ordered pass over a symbol's bars,
+    nine numbers each, in one group."""
+    bars = bars_with_atr.select("symbol", "ts", (F.row_number().over(by_symbol()) - 1).alias("i"), "c", "atr")
+    swings = swings_in_turn(bars_with_atr, left, right)
+
+    def run(key, own: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("i")
         c, atr = own["c"].to_numpy(float), own["atr"].to_numpy(float)
-        state, out, box, status, since, episode, count = Structure(), [], None, "none", 0, -1, 0
-        offer = None
-        for t in range(len(own)):
+        coming = deque(taken.sort_values(["known_i", "level_i", "kind"])[["known_i", "kind", "level_i", "level"]].itertuples(index=False, name=None))
+        turns: list[tuple] = []
+        box = offer = None
+        status, since, episode, count, lead = "none", 0, -1, 0, 0
+        out = []
+        for t in range(len(c)):
             tol = break_tol * atr[t - 1] if t and np.isfinite(atr[t - 1]) else 0.0
             if offer and status in ("none", "inside"):
                 if status == "none":
@@ -262,19 +277,36 @@ def box_states(bars_with_atr: DataFrame, left: int = 2, right: int = 2, break_to
                     status, since = place, t
                 elif status != "inside" and t - since >= life:
                     box, status, episode = None, "none", -1
-            out.append((own["symbol"].iloc[0], own["ts"].iloc[t], t, box[0] if box else None, box[1] if box else None, status, episode))
-            k = t - right
-            if k >= 0:
-                for kind, flag, price in (("H", "body_high", "top"), ("L", "body_low", "bottom")):
-                    if own.at[k, flag]:
-                        state.confirm(kind, k, float(own.at[k, price]))
-            four = state.swings[-4:]
-            highs, lows = [s[2] for s in four if s[0] == "H"], [s[2] for s in four if s[0] == "L"]
-            offer = None
-            if len(four) == 4 and np.isfinite(atr[t]):
-                trending = (highs[1] - highs[0]) * (lows[1] - lows[0]) > 0
-                if not trending and max(highs) - min(lows) >= least_height * atr[t]:
-                    offer = (max(highs), min(lows))
-        return pd.DataFrame(out, columns=["symbol", "ts", "i", "top", "bottom", "status", "episode"])
-
-    return rows.groupBy("symbol").applyInPandas(run, BOX_SCHEMA)
+            changed = bool(coming) and coming[0][0] <= t
+            while coming and coming[0][0] <= t:
+                swing = coming.popleft()[1:]
+                if turns and turns[-1][0] == swing[0]:
+                    turns.pop()
+                turns.append(swing)
+            offer = _box_of(turns, atr[t], least_height, atr)
+            if changed or offer:
+                recent = turns[-9:]
+                ended = [(a, b) for a, b in zip(recent, recent[1:], strict=False) if not offer or b[1] <= offer[2]]
+                lead = next((d for a, b in reversed(ended) if (d := _impulse(a, b, atr))), 0)
+            out.append((*(box or (None, None, None)), status, episode, lead))
+        seen = pd.DataFrame(out, columns=["top", "bottom", "start_i", "status", "episode", "lead"]).astype({"start_i": "Int32"})
+        return pd.concat([own[["symbol", "ts", "i"]].reset_index(drop=True), seen], axis=1)
+
+    return bars.groupBy("symbol").cogroup(swings.withColumnRenamed("symbol", "of").groupBy("of")).applyInPandas(run, BOX_SCHEMA)
+
+
+def box_breaks(states: DataFrame, bars_with_atr: DataFrame) -> DataFrame:
+    """Closes that leave a box: symbol, i, side, top, bottom, start_i, edge, episode, attempt (of its side in the
+    episode), lead (last impulse before the box), body_atr, back_i (the bar that closes inside again or on the other side;
+    null if none does while the box lives)."""
+    own, life = by_symbol(), Window.partitionBy("symbol", "episode").orderBy("i")
+    rows = states.withColumns({"was_": F.coalesce(F.lag("status").over(own), F.lit("none")), "before_": F.coalesce(F.lag("lead").over(own), F.lit(0))})
+    rows = rows.withColumn("lead", F.first("before_").over(life.rowsBetween(Window.unboundedPreceding, 0)))
+    change = rows.where("status <> was_")
+    after = Window.partitionBy("symbol").orderBy("i")
+    back = F.when(F.lead("status").over(after) != "none", F.lead("i").over(after))
+    change = change.withColumn("back_i", back).where("status in ('up', 'down')").withColumn("side", F.when(F.col("status") == "up", 1).otherwise(-1))
+    change = change.withColumns({"attempt": F.row_number().over(Window.partitionBy("symbol", "episode", "side").orderBy("i")), "edge": F.when(F.col("side") > 0, F.col("top")).otherwise(F.col("bottom"))})
+    unit = F.lag("atr").over(own)
+    bodies = bars_with_atr.select("symbol", "ts", F.when(unit > 0, F.abs(F.col("c") - F.col("o")) / unit).alias("body_atr"))
+    return change.join(bodies, ["symbol", "ts"]).select("symbol", "i", "side", "top", "bottom", "start_i", "edge", "episode", "attempt", "lead", "body_atr", "back_i")

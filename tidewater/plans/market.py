@@ -101,11 +101,11 @@ def coverage(spark, d):
     return shown(bars.coverage(hourly(spark, d), "3 hours"))
 
 
-ISLANDS = "t AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 250000), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS run FROM t), s AS (SELECT symbol, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM g GROUP BY symbol, run)"
+ISLANDS = "t AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderdate::DATE AS day FROM orders), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS run FROM t), s AS (SELECT symbol, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM g GROUP BY symbol, run)"
 
 
 def _days(spark, d):
-    return table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day"))
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day"))
 
 
 @query(f"WITH {ISLANDS} SELECT * FROM s")
@@ -142,12 +142,12 @@ def asof_trend(spark, d):
     return shown(asof.asof_join(b.select("symbol", "ts", "c"), coarse, ["symbol"], "ts", "closes", ["hc"]))
 
 
-@query(f"""WITH {HOURLY}, news AS (SELECT event_type AS symbol, ts AS at, event_id FROM events WHERE value > 480),
+@query(f"""WITH {HOURLY}, news AS (SELECT event_type AS symbol, ts AS at, event_id FROM events),
 p AS (SELECT b.symbol, b.ts, k.at AS last_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts >= k.at), q AS (SELECT b.symbol, b.ts, k.at AS next_at FROM bars b ASOF LEFT JOIN news k ON b.symbol = k.symbol AND b.ts <= k.at)
 SELECT symbol, ts, round(CASE WHEN last_at IS NOT NULL THEN least(epoch(ts - last_at) / 60, 1440) END, 3) AS since, round(CASE WHEN next_at IS NOT NULL THEN least(epoch(next_at - ts) / 60, 1440) END, 3) AS until FROM p JOIN q USING (symbol, ts)""")
 def news_next_last(spark, d):
     b = hourly(spark, d).select("symbol", "ts")
-    news = table(spark, d, "events").where("value > 480").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
+    news = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
     rows = asof.asof_join(b, news, ["symbol"], "ts", "at", ["at"]).withColumnRenamed("at", "last_at")
     rows = asof.asof_join(rows, news, ["symbol"], "ts", "at", ["at"], direction="forward").withColumnRenamed("at", "next_at")
     minutes = lambda a, b: F.least((F.unix_micros(a) - F.unix_micros(b)) / 60e6, F.lit(1440.0))
@@ -269,18 +269,21 @@ def impulse(spark, d):
 
 @query(
     f"""WITH RECURSIVE {HOURLY}, {ATR}, s AS (SELECT *, CASE WHEN h > l THEN h - l END AS g FROM a)
-    SELECT symbol, ts, {r6('(c - o) / g AS body', '(h - greatest(o, c)) / g AS upper_wick', '(least(o, c) - l) / g AS lower_wick', '(c - l) / g AS close_pos', '(h - l) / nullif(atr, 0) AS range_atr', '(c - lag(c, 4) OVER (PARTITION BY symbol ORDER BY ts)) / nullif(atr, 0) AS move_4')} FROM s"""
+    SELECT symbol, ts, {r6('(c - o) / g AS body', '(h - greatest(o, c)) / g AS upper_wick', '(least(o, c) - l) / g AS lower_wick', '(c - l) / g AS close_pos', '(h - l) / nullif(atr, 0) AS range_atr', *[f'(c - lag(c, {n}) OVER (PARTITION BY symbol ORDER BY ts)) / nullif(atr, 0) AS move_{n}' for n in (4, 16, 96)])} FROM s"""
 )
 def candle_shape(spark, d):
-    return shown(indicators.candle_shape(indicators.atr(hourly(spark, d))), "symbol", "ts", "body", "upper_wick", "lower_wick", "close_pos", "range_atr", "move_4")
+    return shown(indicators.candle_shape(indicators.atr(hourly(spark, d))), "symbol", "ts", "body", "upper_wick", "lower_wick", "close_pos", "range_atr", "move_4", "move_16", "move_96")
+
+
+_RATIO = f"CASE WHEN count(ret_1) {_over(5)} = 5 THEN stddev_samp(ret_1) {_over(5)} END / nullif(CASE WHEN count(ret_1) {_over(20)} = 20 THEN stddev_samp(ret_1) {_over(20)} END, 0) AS rv_ratio"
 
 
 @query(
-    f"""WITH {DAILY}, r AS (SELECT *, ln(c / lag(c) OVER w) AS ret_1, ln(c / lag(c, 5) OVER w) AS ret_5, ln(lead(c, 5) OVER w / c) AS target FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-    SELECT symbol, ts, {r6('ret_1 AS ret_1', 'ret_5 AS ret_5', f'CASE WHEN count(ret_1) {_over(20)} = 20 THEN stddev_samp(ret_1) {_over(20)} END AS rv_20', f'CASE WHEN count(*) {_over(20)} = 20 THEN (c - min(l) {_over(20)}) / nullif(max(h) {_over(20)} - min(l) {_over(20)}, 0) END AS range_pos_20', 'target AS target')}, (isodow(ts) - 1)::INTEGER AS dow FROM r"""
+    f"""WITH {DAILY}, r AS (SELECT *, {', '.join(f'ln(c / lag(c, {n}) OVER w) AS ret_{n}' for n in (1, 2, 3, 5, 10, 20))}, ln(lead(c, 5) OVER w / c) AS target FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+    SELECT symbol, ts, {r6(*[f'ret_{n} AS ret_{n}' for n in (1, 2, 3, 5, 10, 20)], f'CASE WHEN count(ret_1) {_over(20)} = 20 THEN stddev_samp(ret_1) {_over(20)} END AS rv_20', _RATIO, f'CASE WHEN count(*) {_over(20)} = 20 THEN (c - min(l) {_over(20)}) / nullif(max(h) {_over(20)} - min(l) {_over(20)}, 0) END AS range_pos_20', 'target AS target')}, (isodow(ts) - 1)::INTEGER AS dow, hour(ts)::INTEGER AS hour FROM r"""
 )
 def features(spark, d):
-    return shown(indicators.returns(daily(spark, d)), "symbol", "ts", "ret_1", "ret_5", "rv_20", "range_pos_20", "target", "dow")
+    return shown(indicators.returns(daily(spark, d)), "symbol", "ts", *(f"ret_{n}" for n in (1, 2, 3, 5, 10, 20)), "rv_20", "rv_ratio", "range_pos_20", "target", "dow", "hour")
 
 
 @query(
@@ -307,16 +310,6 @@ def range_52w(spark, d):
 
 
 # ---- structure -----------------------------------------------------------------------------------------------------
-@query()
-def structure_events(spark, d):
-    return shown(structure.run_structure(hourly(spark, d)).where("event is not null or kind is not null"))
-
-
-@query()
-def structure_trend(spark, d):
-    return shown(structure.run_structure(hourly(spark, d)).where("trend is not null"), "symbol", "ts", "i", "trend")
-
-
 @query(
     f"""WITH {HOURLY}, {NUMBERED}, p AS (SELECT a.symbol, a.i, b.i AS m, least(b.o, b.c) AS lo, greatest(b.o, b.c) AS hi FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 30 AND a.i - 2),
     k AS (SELECT p.symbol, p.i, p.m, p.lo, p.hi FROM p JOIN n x ON x.symbol = p.symbol AND x.i > p.m AND x.i <= p.i GROUP BY ALL HAVING min(x.c) >= p.lo AND max(x.c) <= p.hi),
@@ -328,23 +321,22 @@ def box_at(spark, d):
     return shown(rows.select("symbol", "ts", F.col("mother").cast("long").alias("mother"), "box_low", "box_high", F.col("inside").cast("long").alias("inside")))
 
 
-@query()
-def box_states(spark, d):
-    return shown(structure.box_states(indicators.atr(hourly(spark, d))))
-
-
 @query(
     f"""WITH RECURSIVE {HOURLY}, {ATR}, p AS (SELECT symbol, ts, i, o, h, l, c, CASE WHEN lag(atr) OVER w > 0 THEN lag(atr) OVER w END AS a, c - o AS b, lag(c - o) OVER w AS b1, lag(o) OVER w AS o1, lag(c) OVER w AS c1, lag(h) OVER w AS h1, lag(l) OVER w AS l1,
-      lag(c - o, 2) OVER w AS b2, lag(o, 2) OVER w AS o2, lag(c, 2) OVER w AS c2, min(l) OVER t AS l10, max(h) OVER t AS h10 FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts), t AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+      lag(c - o, 2) OVER w AS b2, lag(o, 2) OVER w AS o2, lag(c, 2) OVER w AS c2, lag(h, 2) OVER w AS h2, lag(l, 2) OVER w AS l2, lag(o, 1) OVER w AS po, min(l) OVER t AS l10, max(h) OVER t AS h10 FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts), t AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+    , p1 AS (SELECT *, CASE WHEN abs(b) >= 0.3 * a THEN sign(b) ELSE 0 END AS f FROM p), p2 AS (SELECT *, lag(f) OVER v AS f1, lag(f, 2) OVER v AS f2 FROM p1 WINDOW v AS (PARTITION BY symbol ORDER BY ts))
     SELECT symbol, ts,
       CASE WHEN b > 0 AND b1 < 0 AND o <= c1 AND c >= o1 AND abs(b) >= 0.3 * a AND abs(b) > abs(b1) THEN 1 WHEN b < 0 AND b1 > 0 AND o >= c1 AND c <= o1 AND abs(b) >= 0.3 * a AND abs(b) > abs(b1) THEN -1 ELSE 0 END AS engulfing,
+      CASE WHEN h - l >= 0.75 * a AND least(o, c) - l >= (h - l) * 2 / 3 THEN 1 WHEN h - l >= 0.75 * a AND h - greatest(o, c) >= (h - l) * 2 / 3 THEN -1 ELSE 0 END AS pin,
+      coalesce(h <= h1 AND l >= l1 AND h > l, false)::INTEGER AS inside_bar, CASE WHEN h1 <= h2 AND l1 >= l2 AND h1 > l1 AND c > h2 THEN 1 WHEN h1 <= h2 AND l1 >= l2 AND h1 > l1 AND c < l2 THEN -1 ELSE 0 END AS inside_break,
+      CASE WHEN f = 1 AND f1 = 1 AND f2 = 1 AND c > c1 AND c1 > c2 AND o >= o1 AND o <= c1 AND o1 >= o2 AND o1 <= c2 THEN 1 WHEN f = -1 AND f1 = -1 AND f2 = -1 AND c < c1 AND c1 < c2 AND o <= o1 AND o >= c1 AND o1 <= o2 AND o1 >= c2 THEN -1 ELSE 0 END AS three,
       CASE WHEN h > h1 AND l < l1 AND b > 0 THEN 1 WHEN h > h1 AND l < l1 AND b < 0 THEN -1 ELSE 0 END AS outside_bar,
       CASE WHEN b2 < 0 AND abs(b2) >= 0.5 * a AND abs(b1) <= 0.25 * a AND b > 0 AND c > (o2 + c2) / 2 THEN 1 WHEN b2 > 0 AND abs(b2) >= 0.5 * a AND abs(b1) <= 0.25 * a AND b < 0 AND c < (o2 + c2) / 2 THEN -1 ELSE 0 END AS star,
       CASE WHEN abs(l - l1) <= 0.1 * a AND b1 < 0 AND b > 0 AND i >= 10 AND least(l, l1) <= l10 THEN 1 WHEN abs(h - h1) <= 0.1 * a AND b1 > 0 AND b < 0 AND i >= 10 AND greatest(h, h1) >= h10 THEN -1 ELSE 0 END AS tweezer
-    FROM p"""
+    FROM p2"""
 )
 def candlesticks(spark, d):
-    return shown(structure.candlesticks(indicators.atr(hourly(spark, d))), "symbol", "ts", "engulfing", "outside_bar", "star", "tweezer")
+    return shown(structure.candlesticks(indicators.atr(hourly(spark, d))), "symbol", "ts", "engulfing", "pin", "inside_bar", "inside_break", "outside_bar", "star", "three", "tweezer")
 
 
 #: Confirmed body swings as levels.
@@ -372,13 +364,6 @@ def retests(spark, d):
     return shown(out.select("symbol", *(F.col(k).cast("long").alias(k) for k in ("level_id", "break_i", "touch_i", "fill_i")), "price", "rejected"))
 
 
-@query()
-def zones(spark, d):
-    b = hourly(spark, d)
-    lv = _levels(b).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")
-    return shown(structure.zones(lv))
-
-
 @query(
     f"""WITH RECURSIVE {HOURLY}, p AS (SELECT symbol, h AS x, row_number() OVER (PARTITION BY symbol ORDER BY h) AS k FROM bars),
     w(symbol, k, x, first, c) AS (SELECT symbol, k, x, x, 1 FROM p WHERE k = 1 UNION ALL SELECT p.symbol, p.k, p.x, CASE WHEN p.x - w.first <= 6 THEN w.first ELSE p.x END, CASE WHEN p.x - w.first <= 6 THEN w.c ELSE w.c + 1 END FROM w JOIN p ON p.symbol = w.symbol AND p.k = w.k + 1)

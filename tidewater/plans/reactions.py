@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import indicators, reactions, structure
+from ..operators import reactions
 from ..session import table
 from .common import DAILY, HOURLY, daily, hourly, r6, shown
 
@@ -22,29 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _confirmed(spark, d):
-    """Swings in alternation with the average range at their bar."""
-    b = indicators.atr(hourly(spark, d)).withColumn("i", F.row_number().over(indicators.by_symbol()) - 1).select("symbol", F.col("i").alias("level_i"), "atr")
-    s = structure.run_structure(hourly(spark, d)).where("kind is not null")
-    return s.join(b, ["symbol", "level_i"]).select("symbol", F.col("level_i").alias("swing_i"), "kind", F.col("level").alias("price"), "atr", F.col("i").alias("known_i"))
-
-
-@query()
-def zone_reactions(spark, d):
-    lv = _confirmed(spark, d).where("atr is not null").select("symbol", "price", (F.col("atr") * 0.25).alias("tol"), "known_i")
-    return shown(reactions.zone_reactions(indicators.atr(hourly(spark, d)), structure.zones(lv)))
-
-
-@query()
-def legs(spark, d):
-    return shown(reactions.legs(_confirmed(spark, d)))
-
-
-@query()
-def swing_shapes(spark, d):
-    return shown(reactions.swing_shapes(_confirmed(spark, d)))
-
-
 _FS = 'f AS (SELECT symbol, ts, c + 2 + 0.01 * (epoch(ts) / 3600 % 24) AS c FROM bars), j AS (SELECT symbol, date_trunc(\'day\', ts)::TIMESTAMP AS day, quantile_cont(f.c - bars.c, 0.5) AS basis, count(*) AS n FROM f JOIN bars USING (symbol, ts) GROUP BY 1, 2), a AS (SELECT symbol, day + INTERVAL 12 hours AS "at", basis FROM j WHERE n >= 6)'
 
 
@@ -107,6 +84,13 @@ def breakdown(spark, d):
     return _breakdown(spark, d).select("dimension", "bucket", "n", "wins", F.round("win_rate", 6).alias("win_rate"), F.round("mean", 5).alias("mean"))
 
 
-@query()
+def _side(name: str, status: str) -> str:
+    return _B.replace("FROM lineitem)", f"FROM lineitem WHERE l_linestatus = '{status}')").replace("t AS (", f"{name}t AS (").replace("FROM t", f"FROM {name}t").replace(", b AS (", f", {name}b AS (").replace("FROM b GROUP", f"FROM {name}b GROUP").replace(", k AS (", f", {name} AS (")
+
+
+@query(
+    f"""WITH {_side('re', 'O')}, {_side('nu', 'F')}, j AS (SELECT re.dimension, re.bucket, re.n, re.wins, nu.n AS n0, nu.wins AS wins0, (re.wins + nu.wins) / (re.n + nu.n) AS p FROM re JOIN nu ON re.dimension = nu.dimension AND re.bucket = nu.bucket),
+    q AS (SELECT *, (wins / n - wins0 / n0) / nullif(sqrt(p * (1 - p) * (1 / n + 1 / n0)), 0) AS z FROM j) SELECT dimension, bucket, n, wins, n0, wins0, round(z, 6) AS z, coalesce(least(n, n0) >= 30 AND abs(z) > 2.58, false) AS edge FROM q"""
+)
 def edges_against_null(spark, d):
     return shown(reactions.edges(_breakdown(spark, d, "l_linestatus = 'O'"), _breakdown(spark, d, "l_linestatus = 'F'")))

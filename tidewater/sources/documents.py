@@ -11,10 +11,12 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def read_notes(spark: SparkSession, path: str, max_bytes: int = 1 << 20) -> DataFrame:
+def read_notes(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """(name, title, description, body, path) of notes with a front matter between --- lines; a note without one is all
-    body and takes its name from its file. Files over max_bytes, which no note has, are left out."""
-    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).where(F.col("size") <= max_bytes)
+    body and takes its name from its file. All files are read; max_bytes leaves larger ones out."""
+    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    if max_bytes is not None:
+        rows = rows.where(F.col("size") <= max_bytes)
     head = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
     field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
     file = F.regexp_extract("path", r"([^/]+?)(?:\.\w+)?$", 1)
