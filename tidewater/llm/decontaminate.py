@@ -138,9 +138,13 @@ class Seeds:
         words = words_of(text)
         owners, begins = [], []
         for grams, at in seeds_in(words, self.sizes, lambda g: self.table[(g >> np.uint64(44)).astype(np.int64)]):
-            lo, hi = (np.searchsorted(self.grams, grams, side=x) for x in ("left", "right"))
-            n = hi - lo
-            own = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+            lo = np.searchsorted(self.grams, grams)
+            hit = self.grams[np.minimum(lo, len(self.grams) - 1)] == grams
+            if not hit.any():
+                continue
+            grams, at, lo = grams[hit], at[hit], lo[hit]
+            n = np.searchsorted(self.grams, grams, side="right") - lo
+            own = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             owners.append(self.owner[own])
             begins.append(np.repeat(at, n) - self.place[own])
         if not owners:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -321,9 +321,7 @@ def sample_windows(docs: DataFrame, text_col: str, each: int) -> list[tuple[int,
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["kind", "h", "window"])
 
     rows = checkpoint(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, h long, window string").distinct())
-    best = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
-    rows = rows.withColumn("n", best).where(F.col("n") <= F.when(F.col("kind") < 0, 2 * each).otherwise(each))
-    return [(r["kind"], r["window"]) for r in rows.orderBy("kind", "h").collect()]
+    return [(k, r["window"]) for k in sorted(most) for r in rows.where(F.col("kind") == k).orderBy("h").limit(most[k]).collect()]
 
 
 def learned_from(windows_: list[str]) -> list[tuple[str, list[tuple[int, int, int]]]]:
