@@ -151,3 +151,17 @@ def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     both = first.withColumn("p_", F.lit(0)).unionByName(second.withColumn("p_", F.lit(1)))
     own = Window.partitionBy(*keys).orderBy("p_")
     return both.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("p_", "n_")
+
+
+def cascade(minutes: DataFrame, interval: str) -> DataFrame:
+    """Bars of an interval by way of hourly ones, for intervals over an hour."""
+    return resample(resample(minutes, "1h"), interval) if INTERVAL_HOURS[interval] > 1 else resample(minutes, interval)
+
+
+def realign_daily(bars: DataFrame) -> DataFrame:
+    """Daily bars of a feed that labels a close with the next day: weekdays only, each takes the next one's close and the
+    close before as its open; extremes widen to hold both. The last bar goes."""
+    own = Window.partitionBy("symbol").orderBy("ts")
+    rows = bars.where(F.weekday("ts") < 5).withColumn("c", F.lead("c").over(own)).where("c is not null")
+    rows = rows.withColumn("o", F.coalesce(F.lag("c").over(own), "o"))
+    return rows.withColumns({"h": F.greatest("h", "o", "c"), "l": F.least("l", "o", "c")})

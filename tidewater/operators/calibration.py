@@ -147,3 +147,36 @@ def proportion_gap(a_wins: Column, a_n: Column, b_wins: Column, b_n: Column) ->
     """Pooled z of the difference of two rates; null without rows or spread."""
     pooled = (a_wins + b_wins) / (a_n + b_n)
     return (a_wins / a_n - b_wins / b_n) / F.nullif(F.sqrt(pooled * (1 - pooled) * (1 / a_n + 1 / b_n)), F.lit(0.0))
+
+
+def trade_stats(taken: DataFrame, by: list[str]) -> DataFrame:
+    """Of trades (side, won, r, breakeven) in each group: counts, rate with interval, mean break-even rate, mean and sum
+    of r, purchases and sales."""
+    from .outcomes import wilson
+
+    out = taken.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.col("won").cast("int")).alias("wins"), F.avg("breakeven").alias("breakeven_rate"), F.avg("r").alias("mean_r"), F.sum("r").alias("total_r"),
+        *(F.sum((F.col("side") == s).cast("int")).alias(f"{s}s") for s in ("buy", "sell")),
+    )
+    low, high = wilson(F.col("wins"), F.col("n"))
+    return out.withColumns({"win_rate": F.col("wins") / F.col("n"), "ci_low": low, "ci_high": high})
+
+
+def slices(rows: DataFrame, segment: str, year: Column, p: str, y: str, least: int = 50) -> DataFrame:
+    """(slice, value, n, rate, mean_p, brier) over all rows, each segment and each year, in one grouping pass; slices
+    under `least` rows go."""
+    keyed = rows.select(F.col(segment).cast("string").alias("segment"), year.cast("string").alias("year"), F.col(p).alias("p"), F.col(y).alias("y"))
+    out = keyed.groupingSets([[F.col("segment")], [F.col("year")], []], F.col("segment"), F.col("year")).agg(
+        F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("y").alias("rate"), F.avg("p").alias("mean_p"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")
+    )
+    name = F.when(F.col("g") == 1, "segment").when(F.col("g") == 2, "year").otherwise("all")
+    return out.where(F.col("n") >= least).select(name.alias("slice"), F.coalesce(F.when(F.col("g") == 1, F.col("segment")), F.when(F.col("g") == 2, F.col("year")), F.lit("all")).alias("value"), "n", "rate", "mean_p", "brier")
+
+
+def cap_tier(n: Column, wins: Column, breakeven: Column, mean_r: Column, fewest: int = 30) -> Column:
+    """The highest tier that a holdout's trades allow: act where enough of them earn and the interval's lower end beats
+    break-even, else confirm."""
+    from .outcomes import wilson
+
+    low, _ = wilson(wins, n)
+    return F.when((n >= fewest) & (F.coalesce(mean_r, F.lit(0.0)) > 0) & (low > breakeven), "act").otherwise("confirm")

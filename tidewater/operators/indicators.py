@@ -237,3 +237,10 @@ def range_52w(bars: DataFrame, as_of: Column) -> DataFrame:
     rows = bars.where((F.col("ts") <= as_of) & (F.col("ts") > as_of - F.expr("interval 365 days")))
     out = rows.groupBy("symbol").agg(F.max("h").alias("high"), F.min("l").alias("low"), F.max_by("c", "ts").alias("close"))
     return out.withColumn("position", (F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
+
+
+def z_move(bars: DataFrame, n: int, window: int = 5760, least: int = 1000) -> DataFrame:
+    """The log move over n bars in deviations of one bar's return over `window` bars; null under `least` returns."""
+    rows = bars.withColumn("r_", log_return())
+    deviation = F.when(F.count("r_").over(rolling(window)) >= least, F.stddev_samp("r_").over(rolling(window)))
+    return rows.withColumn("z", log_return(n) / F.nullif(deviation * F.sqrt(F.lit(n)), F.lit(0.0))).drop("r_")

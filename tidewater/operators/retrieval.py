@@ -183,6 +183,21 @@ def memory_score(fused: Column, age_days: Column, importance: Column, proofs: Co
     return fused * recency * (0.9 + 0.2 * importance) * confirmed
 
 
+def retain(existing: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """(id, action, memory_id, similarity) of new facts (id, embedding): reinforce the nearest existing memory (id,
+    embedding) where the cosine reaches the threshold, else add."""
+    near = vector_top(existing, new.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 1, id_col="id").where(F.col("score") >= threshold)
+    rows = new.select("id").join(near.select(F.col("query_id").alias("id"), F.col("doc_id").alias("memory_id"), F.col("score").alias("similarity")), "id", "left")
+    return rows.select("id", F.when(F.col("memory_id").isNull(), "add").otherwise("reinforce").alias("action"), "memory_id", "similarity")
+
+
+def normalize_whitespace(text: Column) -> Column:
+    """Blanks squeezed in each line, runs of empty lines as one, none at the start; then identical lines collapsed."""
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r?\n\z", ""), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    some = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["x"] != "") | ((s["i"] > 0) & (F.element_at(lines, F.greatest(s["i"], F.lit(1))) != "")))
+    return collapse_runs(F.array_join(F.transform(some, lambda s: s["x"]), "\n"))
+
+
 def content_hash(text: Column) -> Column:
     """md5 of the trimmed, lower-cased text with its white space squeezed."""
     return F.md5(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import indicators
-from . import decisions, market, reactions, structures
+from . import decisions, everyday, market, reactions, structures
 from .common import hourly, shown
 
-QUERIES: dict = market.QUERIES | structures.QUERIES | decisions.QUERIES | reactions.QUERIES
-ORACLES: dict[str, str] = market.ORACLES | structures.ORACLES | decisions.ORACLES | reactions.ORACLES
+QUERIES: dict = market.QUERIES | everyday.QUERIES | structures.QUERIES | decisions.QUERIES | reactions.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | everyday.ORACLES | structures.ORACLES | decisions.ORACLES | reactions.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

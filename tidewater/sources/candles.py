@@ -6,6 +6,7 @@ import lzma
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,11 @@ def local_to_utc(ts: Column, zone: str) -> Column:
 def detect_zone(stamps: DataFrame, ts: str = "ts", daily_break: int = 45) -> DataFrame:
     """Which clock a file with a daily break runs on: the usual hour before the summer's breaks is 16 in New York wall
     time and 15 five hours behind UTC all year. One row: zone; null where there are no summer breaks."""
-    own = Window.partitionBy(F.lit(0)).orderBy(ts)
-    rows = stamps.select(ts).withColumn("next", F.lead(ts).over(own))
+    # each month's stamps in order, with the first one of the next month at its end
+    month = F.date_trunc("month", F.col(ts))
+    firsts = stamps.groupBy(F.add_months(month, -1).cast("timestamp").alias("m_")).agg(F.min(ts).alias("after_"))
+    rows = stamps.select(ts, month.alias("m_")).join(F.broadcast(firsts), "m_", "left")
+    rows = rows.withColumn("next", F.coalesce(F.lead(ts).over(Window.partitionBy("m_").orderBy(ts)), "after_"))
     breaks = rows.where((F.col("next") > F.col(ts) + F.expr(f"interval {daily_break} minutes")) & F.month(ts).between(6, 8))
     hour = breaks.agg(F.mode(F.hour(ts), True).alias("h"))
     return hour.select(F.when(F.col("h") == 16, NEW_YORK).when(F.col("h") == 15, "-05:00").alias("zone"))
@@ -43,7 +47,12 @@ def detect_zone(stamps: DataFrame, ts: str = "ts", daily_break: int = 45) -> Dat
 
 def read_semicolon(spark: SparkSession, path: str, zone: str) -> DataFrame:
     """Minute files of 'yyyyMMdd HHmmss;o;h;l;c;v' in the clock of `zone`; the symbol is in the file's name."""
-    rows = spark.read.csv(path, sep=";", schema=SEMICOLON_SCHEMA).withColumn("symbol", _symbol_of(F.col("_metadata.file_path")))
+    return parse_semicolon(spark.read.text(path).withColumn("symbol", _symbol_of(F.col("_metadata.file_path"))), zone)
+
+
+def parse_semicolon(lines: DataFrame, zone: str) -> DataFrame:
+    """Bars of lines (symbol, value); damaged ones go."""
+    rows = lines.select("symbol", F.from_csv("value", SEMICOLON_SCHEMA, {"sep": ";"}).alias("k")).select("symbol", "k.*")
     local = F.try_to_timestamp("stamp", F.lit(SEMICOLON_STAMP))
     return rows.select("symbol", local_to_utc(local, zone).alias("ts"), "o", "h", "l", "c", "v").where("ts is not null and c is not null")
 
@@ -51,7 +60,11 @@ def read_semicolon(spark: SparkSession, path: str, zone: str) -> DataFrame:
 def read_terminal(spark: SparkSession, path: str, zone: str) -> DataFrame:
     """Exports of a trading terminal: 'yyyy.MM.dd HH:mm' in one or two columns, with or without a header, parted by tabs
     or commas; lines of neither layout go."""
-    rows = spark.read.text(path).withColumn("symbol", _symbol_of(F.col("_metadata.file_path")))
+    return parse_terminal(spark.read.text(path).withColumn("symbol", _symbol_of(F.col("_metadata.file_path"))), zone)
+
+
+def parse_terminal(rows: DataFrame, zone: str) -> DataFrame:
+    """Bars of such lines (symbol, value)."""
     parts = F.split(F.col("value"), r"[,\t]")
     stamp = F.try_to_timestamp(F.concat_ws(" ", parts[0], F.substring(parts[1], 1, 5)), F.lit("yyyy.MM.dd HH:mm"))
     number = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
@@ -61,7 +74,12 @@ def read_terminal(spark: SparkSession, path: str, zone: str) -> DataFrame:
 
 def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
     """Responses with an array of candles with mid prices as text; incomplete candles have complete false."""
-    rows = spark.read.schema(NESTED_SCHEMA).json(path, multiLine=True).select("instrument", F.explode("candles").alias("k"))
+    return parse_nested(spark.read.text(path, wholetext=True))
+
+
+def parse_nested(payloads: DataFrame) -> DataFrame:
+    """Bars of such responses as text (value)."""
+    rows = payloads.select(F.from_json("value", NESTED_SCHEMA).alias("p")).select("p.instrument", F.explode("p.candles").alias("k"))
     price = lambda p: F.col(f"k.mid.{p}").try_cast("double").alias(p)
     out = rows.select(F.regexp_replace("instrument", "_", "").alias("symbol"), F.col("k.time").try_cast("timestamp").alias("ts"), *(price(p) for p in "ohlc"), F.col("k.volume").alias("v"), F.coalesce("k.complete", F.lit(True)).alias("complete"))
     return out.where("ts is not null and c is not null")
@@ -80,6 +98,28 @@ def encode_day(rows: np.ndarray) -> bytes:
 
 def read_days(spark: SparkSession, path: str, divisor: float) -> DataFrame:
     """Compressed day files named .../SYMBOL/yyyy-MM-dd.bi5: one task reads a file, whose size a day bounds."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.split("path", "/")
+    return decode_days(files.select(F.element_at(name, -2).alias("symbol"), F.regexp_extract(F.element_at(name, -1), r"(\d{4}-\d{2}-\d{2})", 1).alias("day"), "content").where("day <> ''"), divisor)
+
+
+def encode_days(bars: DataFrame, divisor: float) -> DataFrame:
+    """(symbol, day, content) of bars: each day's as one compressed record block."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("sec")
+        rows = np.zeros(len(own), DAY_RECORD)
+        rows["sec"], rows["v"] = own["sec"], own["v"]
+        for k in "ohlc":
+            rows[k] = np.rint(own[k].to_numpy(float) * divisor)
+        return pd.DataFrame({"symbol": [own["symbol"].iloc[0]], "day": [own["day"].iloc[0]], "content": [encode_day(rows)]})
+
+    rows = bars.select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.unix_timestamp("ts") % 86400).alias("sec"), "o", "h", "l", "c", "v")
+    return rows.groupBy("symbol", "day").applyInPandas(run, "symbol string, day string, content binary")
+
+
+def decode_days(files: DataFrame, divisor: float) -> DataFrame:
+    """Bars of compressed days (symbol, day, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,10 +130,7 @@ def read_days(spark: SparkSession, path: str, divisor: float) -> DataFrame:
                 cols += [pa.array(rows[k].astype(float) / divisor) for k in "ohlc"] + [pa.array(rows["v"].astype(float))]
                 yield pa.RecordBatch.from_arrays(cols, ["symbol", "ts", "o", "h", "l", "c", "v"])
 
-    files = spark.read.format("binaryFile").load(path)
-    name = F.split("path", "/")
-    rows = files.select(F.element_at(name, -2).alias("symbol"), F.regexp_extract(F.element_at(name, -1), r"(\d{4}-\d{2}-\d{2})", 1).alias("day"), "content").where("day <> ''")
-    return rows.mapInArrow(run, "symbol string, ts timestamp, o double, h double, l double, c double, v double")
+    return files.select("symbol", "day", "content").mapInArrow(run, "symbol string, ts timestamp, o double, h double, l double, c double, v double")
 
 
 def write_store(spark: SparkSession, bars: DataFrame, path: str, replace: bool = False) -> None:

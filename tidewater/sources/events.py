@@ -71,7 +71,7 @@ def session_stats(bars: DataFrame, blocks: DataFrame) -> DataFrame:
     days = blocks.withColumn("d_", F.explode(F.array_distinct(F.array(F.to_date("start_ts"), F.to_date("end_ts")))))
     rows = bars.withColumn("d_", F.to_date("ts")).join(F.broadcast(days) if blocks.limit(20_001).count() <= 20_000 else days, "d_").where("ts >= start_ts and ts < end_ts")
     out = rows.groupBy("symbol", "session", "start_ts").agg(
-        F.max("h").alias("high"), F.min("l").alias("low"), F.min_by("o", "ts").alias("open"), F.max_by("c", "ts").alias("close"), F.max_by("ts", F.struct("h", -F.unix_timestamp("ts"))).alias("high_at"), F.min_by("ts", F.struct("l", "ts")).alias("low_at")
+        F.max("h").alias("high"), F.min("l").alias("low"), F.min_by("o", "ts").alias("open"), F.max_by("c", "ts").alias("close"), F.max("c").alias("close_high"), F.min("c").alias("close_low"), F.max_by("ts", F.struct("h", -F.unix_timestamp("ts"))).alias("high_at"), F.min_by("ts", F.struct("l", "ts")).alias("low_at")
     )
     net, spread = F.col("close") - F.col("open"), F.col("high") - F.col("low")
     return out.withColumns({"range": spread, "net": net, "direction": F.when(F.abs(net) <= 0.2 * spread, "flat").when(net > 0, "up").otherwise("down")})
