@@ -18,9 +18,14 @@ WORD_CACHE = 250_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where the session names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """The shared folder named by spark.checkpoint.dir. Where none is set, as in tests, a local session takes a folder of
+    its own; on a cluster that is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
