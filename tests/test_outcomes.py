@@ -21,3 +21,43 @@ def test_choices_pass_from_range_to_range(spark):
     # no task gathers a key: rows stay in ranges and stream
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert outcomes.non_overlapping(spark.createDataFrame([], "kind string, id long, a double, b double"), "kind", "a", "b").count() == 0
+
+
+def test_running_sums_by_ranges_match_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import ordered, outcomes
+
+    r = random.Random(5)
+    rows = spark.createDataFrame([(r.choice(["hot", "hot", "hot", "a", None]), i, r.randint(-9, 9) / 4) for i in range(3000)], "k string, t int, r double")
+    whole = Window.partitionBy("k").orderBy("t")
+    peak = F.max("cum").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    plain = rows.withColumns({"n": F.row_number().over(whole), "of": F.count("*").over(Window.partitionBy("k")), "cum": F.sum("r").over(whole)}).withColumn("peak", peak).withColumn("tile", F.ntile(7).over(whole))
+    cut = ordered.running(rows, ["k"], ["t"], {"cum": F.col("r")}, range_rows=170)
+    cut = ordered.running_peak(cut, ["k"], "cum", "peak", range_rows=50).withColumn("tile", ordered.tile(F.col("n"), F.col("of"), 7))
+    names = ["k", "t", "n", "of", "cum", "peak", "tile"]
+    read = lambda df: sorted((tuple(x) for x in df.select(*names).collect()), key=str)
+    assert read(cut) == read(plain)
+    assert outcomes.summarize(rows, ["k"], order=["t"]).count() == 3
+    assert ordered.running(rows.where("false"), ["k"], ["t"]).count() == 0
+
+
+def test_averages_by_chunks_match_one_pass(spark):
+    import datetime
+
+    import numpy as np
+    import pandas as pd
+
+    from tidewater.operators import indicators
+
+    r = np.random.default_rng(3)
+    stamp = [datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=int(h)) for h in np.cumsum(r.integers(1, 9, 2500))]
+    x = [None if i < 3 else float(v) for i, v in enumerate(r.normal(5, 2, 2500))]
+    rows = spark.createDataFrame([("a", t, v) for t, v in zip(stamp, x)] + [("b", stamp[0], 1.0)], "symbol string, ts timestamp, x double")
+    got = indicators.smoothed(rows, {"slow": ("x", 0.01, 20), "fast": ("x", 0.9, 1), "last": ("x", 1.0, 1)}).where("symbol = 'a'").orderBy("ts").toPandas()
+    for name, alpha, least in (("slow", 0.01, 20), ("fast", 0.9, 1), ("last", 1.0, 1)):
+        expect = pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+        assert np.allclose(got[name].astype(float), expect, rtol=1e-9, equal_nan=True), name

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running, tile
+
 BINS, EPS = 10, 1e-12
 #: One-sided 95% quantiles of Student's t by degrees of freedom, 1 to 19.
 T_95 = (6.313752, 2.919986, 2.353363, 2.131847, 2.015048, 1.943180, 1.894579, 1.859548, 1.833113, 1.812461, 1.795885, 1.782288, 1.770933, 1.761310, 1.753050, 1.745884, 1.739607, 1.734064, 1.729133)
@@ -47,8 +49,7 @@ def binary_scores(rows: DataFrame, by: list[str], p: str, y: str, base: str) ->
 
 def block_skill(rows: DataFrame, by: list[str], gain: str, order: list[str], blocks: int = 20) -> DataFrame:
     """Is a mean gain over contiguous blocks reliably above 0: mean of block means, and its one-sided 95% lower bound."""
-    own = Window.partitionBy(*by).orderBy(*order)
-    means = rows.withColumn("block", F.ntile(blocks).over(own)).groupBy(*by, "block").agg(F.avg(gain).alias("m"))
+    means = running(rows, by, order).withColumn("block", tile(F.col("n"), F.col("of"), blocks)).groupBy(*by, "block").agg(F.avg(gain).alias("m"))
     out = means.groupBy(*by).agg(F.avg("m").alias("mean_gain"), F.stddev_samp("m").alias("sd_"), F.count("*").alias("blocks"))
     t = F.element_at(F.array(*map(F.lit, T_95)), F.least(F.greatest(F.col("blocks") - 1, F.lit(1)), F.lit(19)).cast("int"))
     out = out.withColumn("lower", F.col("mean_gain") - t * F.col("sd_") / F.sqrt("blocks")).drop("sd_")

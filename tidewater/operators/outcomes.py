@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .indicators import by_symbol
+from .ordered import running, running_peak
 
 
 def _ahead(bars: DataFrame, horizon: int) -> DataFrame:
@@ -81,13 +82,10 @@ def wilson(wins: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column
 def summarize(trades: DataFrame, by: list[str], result: str = "r", order: list[str] | None = None, target_r: float = 1.0, cost_r: float = 0.05, least: int = 100) -> DataFrame:
     """Per group: trades, wins, rate with interval, break-even rate, expectancy, profit factor, total, largest drawdown
     from 0 on, longest losing streak and a verdict. Drawdown and streak follow `order` (columns that order trades)."""
-    order = order or ["ts"]
-    own = Window.partitionBy(*by).orderBy(*order)
-    rows = trades.withColumn("n_", F.row_number().over(own)).withColumn("cum_", F.sum(result).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("peak_", F.greatest(F.lit(0.0), F.max("cum_").over(own.rowsBetween(Window.unboundedPreceding, 0))))
     lost = F.col(result) <= 0
-    rows = rows.withColumn("run_", F.col("n_") - F.row_number().over(Window.partitionBy(*by, lost).orderBy(*order)))
-    streaks = rows.where(lost).groupBy(*by, "run_").count().groupBy(*by).agg(F.max("count").alias("longest_losing"))
+    rows = running(trades, by, order or ["ts"], {"cum_": F.col(result), "lost_n_": lost.cast("int")})
+    rows = running_peak(rows, by, "cum_", "peak_").withColumn("peak_", F.greatest(F.lit(0.0), "peak_"))
+    streaks = rows.where(lost).groupBy(*by, F.col("n") - F.col("lost_n_")).count().groupBy(*by).agg(F.max("count").alias("longest_losing"))
     out = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.sum((F.col(result) > 0).cast("int")).alias("wins"),
@@ -108,17 +106,14 @@ def summarize(trades: DataFrame, by: list[str], result: str = "r", order: list[s
 
 def equity_curve(trades: DataFrame, by: list[str], result: str = "r", order: list[str] | None = None, points: int = 200) -> DataFrame:
     """Cumulative result at every k-th trade, so that at most about `points` remain, and at the last."""
-    order = order or ["ts"]
-    own = Window.partitionBy(*by).orderBy(*order)
-    rows = trades.withColumns({"n": F.row_number().over(own), "equity": F.sum(result).over(own.rowsBetween(Window.unboundedPreceding, 0)), "of_": F.count("*").over(Window.partitionBy(*by))})
-    step = F.ceil(F.col("of_") / points)
-    return rows.where(((F.col("n") - 1) % step == 0) | (F.col("n") == F.col("of_"))).select(*by, "n", "equity")
+    rows = running(trades, by, order or ["ts"], {"equity": F.col(result)})
+    step = F.ceil(F.col("of") / points)
+    return rows.where(((F.col("n") - 1) % step == 0) | (F.col("n") == F.col("of"))).select(*by, "n", "equity")
 
 
 def thin(rows: DataFrame, by: list[str], order: list[str], stride: int) -> DataFrame:
     """Every stride-th row of each group, from the first."""
-    own = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("n_", F.row_number().over(own) - 1).where(F.col("n_") % stride == 0).drop("n_")
+    return running(rows, by, order).where((F.col("n") - 1) % stride == 0).select(*rows.columns)
 
 
 def purged_split(rows: DataFrame, start: str, end: str, share: float) -> DataFrame:
