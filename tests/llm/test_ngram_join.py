@@ -61,6 +61,14 @@ def test_kept_is_one_of_each_class(spark):
     assert set(out.class_id) == set(out[out.kept].doc_id)
 
 
+def test_classes_of_an_id_with_several_texts_meet(spark):
+    a, b, c = (words(80, k) for k in (71, 72, 73))
+    near = lambda w: " ".join([*w[:-1], "edit"])
+    rows = [(3, " ".join(a)), (20, near(a)), (20, near(b)), (20, near(b)), (7, " ".join(b)), (30, " ".join(c))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in ngram_jaccard_join(frame(spark, rows)).collect()}
+    assert got == {3: (3, 1, True), 7: (3, 1, False), 20: (3, 2, False), 30: (30, 0, True)}
+
+
 def test_empty_table(spark):
     assert ngram_jaccard_join(frame(spark, [])).count() == 0
 

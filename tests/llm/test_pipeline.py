@@ -40,6 +40,14 @@ def test_stages_in_turn(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == masked.select("doc_id").distinct().count()
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    a, b, c = (words(80, k) for k in (51, 52, 53))
+    rows = [(1, " ".join(a)), (2, " ".join([*a[:-1], "edit"])), (2, " ".join(b)), (2, " ".join(b)), (3, " ".join([*b[:-1], "edit"])), (4, " ".join(c)), (None, " ".join(c)), (None, " ".join(c)), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], *rows[5:]], key=str)
+
+
 def test_every_operator_has_a_query(spark):
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert ngram_jaccard_join and decontaminate and pii

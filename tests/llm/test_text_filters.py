@@ -5,6 +5,7 @@ import random
 import re
 import sys
 import time
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -55,6 +56,25 @@ def test_exact_edited_and_marked_copies_leak_and_clean_texts_do_not(spark):
     assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("item_bytes", [300, 1 << 20])
+def test_leaks_match_an_alignment_of_every_item_with_every_text(spark, item_bytes):
+    r = random.Random(8)
+    items = [(k, " ".join(words(20 + k, 700 + k))) for k in range(6)]
+    rows = []
+    for n in range(40):
+        w = words(60, 4000 + n)
+        if n % 2:  # a copy with some words lost, changed or added
+            copy = [x for x in items[n % 6][1].split() for x in ([x, "new"] if r.random() < 0.05 else [] if r.random() < 0.1 else ["other"] if r.random() < 0.1 else [x])]
+            w[30:30] = copy
+        rows.append((n, " ".join(w)))
+    code: dict[str, int] = {}
+    number = lambda t: np.array([code.setdefault(x, len(code)) for x in t.split()])
+    expect = {(n, k): s for n, t in rows for k, i in items if (s := plain_smith_waterman(number(i), number(t))) >= 0.5}
+    assert len(expect) >= 18
+    found = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), item_bytes=item_bytes).collect()
+    assert {(x["doc_id"], x["item_id"]): pytest.approx(x["score"]) for x in found} == expect
+
+
 # ---- quality -------------------------------------------------------------------------------------------------------
 def test_discriminant_matches_the_formula():
     r = np.random.default_rng(2)
@@ -87,6 +107,30 @@ def test_junk_scores_low_and_odd_rows_have_scores(spark):
     assert quality.score_documents(frame(spark, good[:3]), labels.where("false")).count() == 3
 
 
+def test_scores_match_plain_densities_of_all_labelled_texts(spark):
+    rows = [(i, " ".join(words(60, i)) + "!" * (i % 3)) for i in range(60)] + [(100 + i, " ".join(["spam"] * (20 + i)) + " %%%") for i in range(25)]
+    labels = [(i, int(i < 100)) for i, _ in rows]
+    learned = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    texts = dict(rows)
+    got = {r["doc_id"]: (r["score"], r["held_out"]) for r in quality.score_documents(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = {y: np.array([quality.statistics(texts[i]) for i, z in learned if z == y]) for y in (0, 1)}
+    both = np.concatenate([x[0], x[1]])
+    centre, scale = both.mean(axis=0), np.sqrt(np.maximum(both.var(axis=0), 1e-6))
+    d = both.shape[1]
+
+    def density(v, y):
+        own = (x[y] - centre) / scale
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.trace(cov) / d * np.eye(d) + 1e-3 * np.eye(d)
+        m = (v - centre) / scale - own.mean(axis=0)
+        return np.log((len(own) + 1) / (len(both) + 2)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * m @ np.linalg.solve(cov, m)
+
+    for i, t in rows:
+        v = quality.statistics(t)
+        gap = np.clip(density(v, 0) - density(v, 1), -60, 60)
+        assert got[i] == (pytest.approx(1 / (1 + np.exp(gap)), abs=1e-6), zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_held_out_labels_are_not_learned(spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     docs = spark.read.parquet(f"{data}/documents.parquet")

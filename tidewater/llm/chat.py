@@ -29,9 +29,10 @@ def maximal_conversations(chats: DataFrame, conv_col: str = "conv_id", turn_col:
     smallest conv_id stays.
 
     Prefix hashes are grouped, never paired, so a first turn that many conversations share costs one row of each task.
-    Turns go by number, nulls first, then role and text; a turn logged again in its conversation counts once. A null
-    role is "unknown", a null text empty; rows without a conv_id are left out. An empty table gives no rows; other
-    columns are ignored.
+    Turns go by number, nulls first, then role and text; a turn logged again in its conversation counts once, so two
+    equal turns without a number are one. A null role is "unknown", a null text empty; rows without a conv_id are left
+    out. Very long texts are hashed whole; the turns of one conversation are ordered in one task, which spills. An empty
+    table gives no rows; other columns are ignored.
     """
     turns = _turns(chats, conv_col, turn_col, role_col, text_col)
     ends = F.when(F.col("k") == F.col("size"), F.col("conv_id"))

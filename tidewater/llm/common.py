@@ -42,10 +42,27 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     free_shuffles(spark)
     return spark.read.parquet(path)
 
 
+#: Tables written and not yet removed, oldest first.
+_tables: list[str] = []
+
+
+def table_mark() -> int:
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, mark: int) -> None:
+    """Removes the tables written since the mark but the newest: for work whose one result that is."""
+    for p in _tables[mark:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _tables[mark:-1]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files behind a cut lineage go once the driver collects its garbage; ask for that now, to save disk."""
     gc.collect()

@@ -175,16 +175,22 @@ def ngram_jaccard_join(
     )
     rows_in = pairs.join(wanted, ["rep", "version"]).drop("version").withColumnRenamed("rep", "doc")
     found = checkpoint(rows_in.groupBy("band", "key", "i", "j").applyInArrow(_compare(threshold, n), "doc long, root long, links long"))
-    component = connected_components(found, "doc", "root").withColumnRenamed("node", "rep")
+    # rows that repeat an id with other texts belong together: their classes meet in that document
+    own = signed.where("digest is not null").select("doc", "digest").distinct()
+    several = own.groupBy("doc").agg(F.count("*").alias("texts")).where("texts > 1").select("doc")
+    joined = own.join(several, "doc", "left_semi").join(classes.select("digest", F.col("rep").alias("root")), "digest").select("doc", "root")
+    component = connected_components(found.select("doc", "root").unionByName(joined), "doc", "root").withColumnRenamed("node", "rep")
     count = found.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
     per_class = classes.select("digest", "rep", "copies").join(component, "rep", "left").join(count, "rep", "left")
     out = signed.select("doc", "digest").distinct().join(per_class, "digest", "left")
-    # rows that repeat an id with other texts belong together
     out = out.groupBy("doc").agg(
         F.min(F.coalesce("component", "rep", "doc")).alias("class_id"),
-        F.sum(F.coalesce(F.col("links"), F.lit(0)) + F.greatest(F.coalesce(F.col("copies"), F.lit(1)) - 1, F.lit(0))).alias("n_links"),
+        F.collect_set(F.struct("rep", F.coalesce("links", F.lit(0)).alias("links"))).alias("found"),
+        F.sum(F.greatest(F.coalesce(F.col("copies"), F.lit(1)) - 1, F.lit(0))).alias("copies"),
         F.min(F.coalesce("rep", "doc")).alias("copy_of"),
     )
+    # links are counted by representative: one that stands for several of an id's texts counts once
+    out = out.withColumn("n_links", F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["links"]) + F.col("copies"))
     return out.select(F.col("doc").alias("doc_id"), "class_id", "n_links", "copy_of", (F.col("doc") == F.col("class_id")).alias("kept"))
 
 

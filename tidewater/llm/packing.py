@@ -165,7 +165,9 @@ def pack(
     windows of about window_tokens as it reads them: no shuffle, a bounded buffer, and under one sequence of
     padding a window. sequence_id is unique over all tasks and the same when a task is run again.
 
-    A null or empty text is the end id alone. Repeated rows, repeated or null ids are documents like any other and
+    A null or empty text is the end id alone. A very long text is tokenised whole, in its task, and cut over as many
+    sequences as it takes; padding is under one sequence for each window and for each task's last one, so very many
+    small partitions pad more. Repeated rows, repeated or null ids are documents like any other and
     share no piece. Equal sizes go in order of reading. An empty table gives no rows; other columns are ignored.
     """
 

@@ -22,7 +22,8 @@ from .common import MIX, checkpoint, in_slices, mix, passes, sieve_of, written
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
-FILTER_BITS = 1 << 26
+#: Bits of the anchor sieve for each anchor it holds, and in all at least and at most.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
 TEXT_BITS = 1 << 24
 GROUP_ROWS = 20_000
 
@@ -222,7 +223,8 @@ def _split_hot(groups: DataFrame, group_rows: int, length: int) -> tuple[DataFra
 
     All rows of a group agree on its common left and right context; if that is long enough, every row has it as a
     repeat. A pair that agrees on more agrees on the next byte of one side: the group's rows go to a group for their
-    next left byte and to one for their next right byte, named by content, so that ways to the same group meet.
+    next left byte and to one for their next right byte, named by content, so that ways to the same group meet. Each
+    round makes a group's common context longer, so there are at most as many as a context has bytes.
     """
     found = None
     while True:
@@ -251,12 +253,18 @@ def _split_hot(groups: DataFrame, group_rows: int, length: int) -> tuple[DataFra
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int = FILTER_BITS, group_rows: int = GROUP_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, filter_bits: int | None = None, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """(hi, lo, starts, ends) for each distinct text, named by two hashes, with spans of bytes that a repeated string of
-    `length` bytes covers; spans may overlap."""
+    `length` bytes covers; spans may overlap.
+
+    The sieve that keeps unique anchors from being compared has filter_bits, or BITS_EACH for each repeated anchor up to
+    MOST_BITS: what a larger corpus lets through wrongly costs time, not results."""
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(_anchor_counts(texts, length), filter_bits))
+    repeated = checkpoint(_anchor_counts(texts, length))
+    if filter_bits is None:
+        filter_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * repeated.count()).bit_length()))
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(repeated, filter_bits))
     classes = written(_classes(texts, sieve, filter_bits, length))
     whole = classes.where("n > 1").select("anchor", "context", F.octet_length("left").cast("long").alias("before"), F.octet_length("right").cast("long").alias("after"))
     groups = classes.select(F.col("anchor").alias("group"), "anchor", "context", "left", "right")
