@@ -38,6 +38,15 @@ def rule_events(spark: SparkSession, first: str, last: str) -> DataFrame:
     return days.withColumn("type", kind).where("type is not null").select(at.alias("ts"), F.lit("USD").alias("currency"), "type", F.lit(True).alias("approximate"))
 
 
+def parse_schedule(pages: DataFrame, pattern: str, date_format: str, minute: int, zone: str) -> DataFrame:
+    """(url, name, ts) of release pages (url, html): every match of a pattern with a date and a name, at a minute of the
+    day on a zone's clock; what is no date goes."""
+    found = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    rows = pages.select("url", F.explode(found).alias("m")).select("url", F.regexp_extract("m", pattern, 1).alias("day"), F.regexp_extract("m", pattern, 2).alias("name"))
+    at = F.to_utc_timestamp(F.try_to_timestamp("day", F.lit(date_format)) + F.expr(f"interval {minute} minutes"), zone)
+    return rows.select("url", "name", at.alias("ts")).where("ts is not null")
+
+
 def with_fallback(official: DataFrame, rules: DataFrame) -> DataFrame:
     """Official events, and ruled ones on days without an official one of their type and currency."""
     days = official.select(F.to_date("ts").alias("day_"), "currency", "type").distinct()
