@@ -145,7 +145,35 @@ def test_text_functions_and_sql(spark):
     page = "<nav>menu</nav><article><h2>T</h2><p>one &amp; two</p><ul><li>x</ul><script>no</script></article><footer>f</footer>"
     assert spark.createDataFrame([(page,)], "p string").selectExpr("html_to_text(p) t").first()["t"] == "## T\n\none & two\n\n- x"
     assert text.extract_json('so {"a": 1} and {"b": [2, {"c": 3}]} end') == '{"b": [2, {"c": 3}]}'
-    assert text.extract_json("```json\n[1, 2]\n```") == "[1, 2]" and text.extract_json("none") is None
+    # objects alone count, in fences as in texts, however many braces they hold
+    assert text.extract_json("```json\n[1, 2]\n```") is None and text.extract_json("none") is None
+    assert text.extract_json('a\n```json\n{"a": 1}\n```\n```\nno\n``` {') == '{"a": 1}'
+    deep = '{"list": [' + ", ".join(f'{{"k": {i}}}' for i in range(250)) + "]}"
+    assert text.extract_json("so it is: " + deep + " and } more {") == deep
     long = "\n\n".join([f"filler words number {i} of nothing much" for i in range(80)] + ["the budget of 2024 was $5 million"])
     short = text.compress_text(long, "budget million", 120)
     assert "budget of 2024" in short and len(short) < len(long) / 3 and "[...]" in short
+
+
+def test_hash_embed_is_the_fixed_feature_set():
+    def plain(t):
+        words = [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() if w not in text.STOP_WORDS]
+        weight = {}
+        for w in words:
+            pad = f"<{w}>"
+            parts = [(b"w" + w.encode(), 1.0)] + [(b"c" + pad[i : i + n].encode(), 0.5 / (len(pad) - n + 1) ** 0.5) for n in (3, 4, 5) for i in range(len(pad) - n + 1)]
+            for k, x in parts:
+                weight[k] = weight.get(k, 0.0) + x
+        for a, b in zip(words, words[1:], strict=False):
+            weight[f"b{a} {b}".encode()] = weight.get(f"b{a} {b}".encode(), 0.0) + 0.7
+        out = [0.0] * 768
+        for k, x in weight.items():
+            h = 0xCBF29CE484222325
+            for byte in k:
+                h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+            out[h % 768] += (-1 if h >> 63 else 1) * float(np.log(1 + x))
+        size = sum(v * v for v in out) ** 0.5
+        return [v / size if size else 0.0 for v in out]
+
+    for t in ("The Fed's rate_cut of 25bp, again and again", "", "is was", "Éire über 東京 x"):
+        assert text.hash_embed(t) == pytest.approx(plain(t))
