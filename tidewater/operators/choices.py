@@ -161,3 +161,51 @@ def thompson(wins: Column, losses: Column, seed: int, prior: float = 1.0) -> Col
         return pd.Series([np.random.default_rng([seed, int(a), int(b)]).beta(a + prior, b + prior) for a, b in zip(w, n, strict=True)])
 
     return F.pandas_udf(draw, "double")(wins.cast("long"), losses.cast("long"))
+
+
+def place_in_box(price: Column, top: Column, bottom: Column) -> Column:
+    """above, below, near_top or near_bottom (a quarter of the height), or mid_box; a flat box has only a middle."""
+    share = F.when(top > bottom, (price - bottom) / (top - bottom) * 100).otherwise(50.0)
+    return F.when(share > 100, "above").when(share < 0, "below").when(share >= 75, "near_top").when(share <= 25, "near_bottom").otherwise("mid_box")
+
+
+def entry_direction(mode: Column, direction: Column, place: Column, own: Column) -> Column:
+    """1 for a purchase, -1 for a sale, 0 for no entry: the plan's direction for breaks and pullbacks, away from the edge
+    in a range, else this timeframe's own direction."""
+    edge = F.when(place == "near_top", -1).when(place == "near_bottom", 1).otherwise(0)
+    return F.when(mode.isin("break_retest", "trend_pullback"), F.when(direction == "long", 1).otherwise(-1)).when(mode == "range", edge).otherwise(own)
+
+
+def risk_factors(stop: Column, atr: Column, news_minutes: Column, place: Column, entry: Column, higher: Column, fakeouts: Column, sessions: Column, asia_open: Column, market_open: Column, age_bars: Column, news_within: float = 60.0) -> Column:
+    """Struct of the seven conditions that make an entry risky; unknown ones are false."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    active = lambda name: known(F.array_contains(sessions, name))
+    return F.struct(
+        known((atr > 0) & (stop < 0.5 * atr)).alias("stop_inside_noise"),
+        known(F.abs(news_minutes) <= news_within).alias("news_near"),
+        known(place == "mid_box").alias("mid_box"),
+        known((entry != 0) & (higher != 0) & (entry != higher)).alias("against_higher_timeframe"),
+        known(fakeouts >= 2).alias("fakeouts_on_box"),
+        (~active("London") & ~active("New York") & ~known(asia_open)).alias("thin_session"),
+        (known(~market_open) | known(age_bars > 2)).alias("closed_or_stale"),
+    )
+
+
+def risk_level(factors: Column, names: list[str]) -> Column:
+    """high from three conditions on, medium from one, else low."""
+    n = sum((factors[k].cast("int") for k in names), F.lit(0))
+    return F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low")
+
+
+def nearest_zones(bars: DataFrame, zones: DataFrame) -> DataFrame:
+    """Each bar (symbol, i, c) with the nearest zone alive then on either side: below (at or under the close) and above.
+    Zones (symbol, price, born_i, dead_i) are alive from born_i until before dead_i.
+
+    Bars meet zones by equality on buckets of time that a zone's life touches: what a bar sees is bounded by the zones
+    alive in its bucket, and the two extremes are a partial aggregate."""
+    bucket = 256
+    spread = zones.where("dead_i > born_i").withColumn("b_", F.explode(F.sequence(F.floor(F.col("born_i") / bucket), F.floor((F.col("dead_i") - 1) / bucket))))
+    rows = bars.select("symbol", "i", "c", F.floor(F.col("i") / bucket).alias("b_"))
+    met = rows.join(spread, ["symbol", "b_"]).where("i >= born_i and i < dead_i")
+    near = met.groupBy("symbol", "i").agg(F.max(F.when(F.col("price") <= F.col("c"), F.col("price"))).alias("below"), F.min(F.when(F.col("price") > F.col("c"), F.col("price"))).alias("above"))
+    return bars.join(near, ["symbol", "i"], "left")

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import bars, indicators, matrix, retrieval, structure
+from ..operators import asof, bars, choices, indicators, matrix, retrieval, structure
 from ..session import shared_folder, table
-from ..sources import events, exports
+from ..sources import candles, documents, events, exports
+from ..streaming import live
 from .common import DAILY, HOURLY, daily, event_ticks, hourly, r6, shown
 from .decisions import VEC, _bm25, _queries
-from .structures import BASE, BOXES, BREAKS, LEG, _confirmed, _states
+from .market import LEVELS, OHLC, SEL, _levels
+from .structures import BASE, BOXES, BREAKS, LEG, _ZONES, _confirmed, _states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +123,98 @@ def schedule_pages(spark, d):
     line = F.concat(F.lit("<li>\n <b>"), F.date_format("day", "MMMM d, yyyy"), F.lit("</b>: "), "name", F.lit(" release</li>"))
     pages = days.groupBy(F.lit("https://example.org/schedule").alias("url")).agg(F.array_join(F.collect_list(line), "\n").alias("html"))
     return shown(events.parse_schedule(pages, r"<b>(\w+ \d{1,2}, \d{4})</b>:\s*(\w+) release", "MMMM d, yyyy", 510, "America/New_York").select("name", "ts"))
+
+
+_RISK = "t AS (SELECT l_orderkey, l_linenumber, l_quantity AS stop, l_tax * 1000 AS atr, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_discount * 2000 - 100 END AS news, 50 + l_quantity AS px, 60 + l_linenumber * 10 AS top, 55.0::DOUBLE AS bottom, ['break_retest', 'range', 'stand_aside'][l_orderkey % 3 + 1] AS mode, CASE WHEN l_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS way, l_linenumber % 3 - 1 AS higher, l_orderkey % 4 AS fk FROM lineitem)"
+
+
+@query(
+    f"""WITH {_RISK}, p AS (SELECT *, CASE WHEN top > bottom THEN (px - bottom) / (top - bottom) * 100 ELSE 50 END AS pct FROM t), w AS (SELECT *, CASE WHEN pct > 100 THEN 'above' WHEN pct < 0 THEN 'below' WHEN pct >= 75 THEN 'near_top' WHEN pct <= 25 THEN 'near_bottom' ELSE 'mid_box' END AS place FROM p),
+    e AS (SELECT *, CASE mode WHEN 'break_retest' THEN CASE way WHEN 'long' THEN 1 ELSE -1 END WHEN 'range' THEN CASE place WHEN 'near_top' THEN -1 WHEN 'near_bottom' THEN 1 ELSE 0 END ELSE 0 END AS entry FROM w),
+    n AS (SELECT *, (coalesce(atr > 0 AND stop < 0.5 * atr, false)::INTEGER + coalesce(abs(news) <= 60, false)::INTEGER + (place = 'mid_box')::INTEGER + (entry <> 0 AND higher <> 0 AND entry <> higher)::INTEGER + (fk >= 2)::INTEGER + (l_orderkey % 5 = 0)::INTEGER + (l_linenumber = 7)::INTEGER) AS k FROM e)
+    SELECT l_orderkey, l_linenumber, place, entry, CASE WHEN k >= 3 THEN 'high' WHEN k >= 1 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM n GROUP BY ALL"""
+)
+def entry_risk(spark, d):
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    place = choices.place_in_box(50 + F.col("l_quantity"), 60 + line * 10, F.lit(55.0))
+    mode = F.element_at(F.array(*map(F.lit, ("break_retest", "range", "stand_aside"))), (key % 3 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").withColumn("place", place)
+    rows = rows.withColumn("entry", choices.entry_direction(mode, F.when(key % 2 == 0, "long").otherwise("short"), F.col("place"), F.lit(0)))
+    sessions = F.when(key % 5 != 0, F.array(F.lit("London"))).otherwise(F.array(F.lit("Sydney")))
+    f = choices.risk_factors(F.col("l_quantity"), F.col("l_tax") * 1000, F.when(line != 1, F.col("l_discount") * 2000 - 100), F.col("place"), F.col("entry"), line % 3 - 1, key % 4, sessions, F.lit(False), line != 7, F.lit(1))
+    names = "stop_inside_noise news_near mid_box against_higher_timeframe fakeouts_on_box thin_session closed_or_stale".split()
+    out = rows.withColumn("f", f).withColumn("level", choices.risk_level(F.col("f"), names))
+    return out.groupBy("l_orderkey", "l_linenumber", "place", "entry", "level").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {HOURLY}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars), {LEVELS}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES}
+    SELECT z.symbol, z.ts, round(max(p) FILTER (WHERE p <= z.c), 6) AS below, round(min(p) FILTER (WHERE p > z.c), 6) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < e GROUP BY 1, 2"""
+)
+def nearest_zones(spark, d):
+    b = hourly(spark, d)
+    lv = _levels(b).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")
+    zones = structure.zones(lv).select(F.col("symbol"), "price", F.col("known_i").alias("born_i"), F.col("expires_i").alias("dead_i"))
+    numbered = b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1).select("symbol", "ts", "i", "c")
+    return shown(choices.nearest_zones(numbered, zones), "symbol", "ts", "below", "above")
+
+
+@query("SELECT page_id, sha256(unhex(printf('%02x', strlen(a)) || '00000000000000') || encode(a) || unhex(printf('%02x', strlen(b)) || '00000000000000') || encode(b)) AS key FROM (SELECT page_id, left(url, 60) AS a, 'v' || page_id % 5 AS b FROM pages)")
+def cache_keys(spark, d):
+    return table(spark, d, "pages").select("page_id", documents.cache_key(F.substring("url", 1, 60), F.concat(F.lit("v"), (F.col("page_id") % 5).cast("string"))).alias("key"))
+
+
+@query("SELECT item_id, 'item-' || item_id AS name, 'Item ' || item_id AS title, trim(text) AS body FROM benchmark")
+def parsed_notes(spark, d):
+    k = F.col("item_id").cast("string")
+    value = F.concat(F.lit("---\nname: Item "), k, F.lit("\ndescription: one\n---\n\n"), F.trim("text"), F.lit("\n"))
+    rows = table(spark, d, "benchmark").select(value.alias("value"), F.concat(F.lit("/notes/"), k, F.lit(".md")).alias("path"))
+    out = documents.parse_notes(rows)
+    return out.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("item_id"), "name", "title", "body")
+
+
+@query("SELECT DISTINCT ts, upper(event_type) AS currency, 'E' || user_id AS title, 'high' AS impact FROM (SELECT date_trunc('second', ts) AS ts, event_type, user_id FROM events)")
+def parsed_feed(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = e.select(F.concat(F.lit(" E"), F.col("user_id").cast("string")).alias("title"), F.col("event_type").alias("country"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.lit("High").alias("impact"), F.lit("").alias("forecast"), F.lit("").alias("previous"))
+    rows = rows.unionByName(rows.limit(3)).unionByName(rows.limit(1).withColumn("date", F.lit("soon")))
+    return shown(events.parse_feed(rows), "ts", "currency", "title", "impact")
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT event_type AS type, ts::DATE AS day FROM events WHERE user_id % 2 = 0), r AS (SELECT DISTINCT event_type AS type, ts::DATE AS day FROM events) SELECT type, day, false AS approximate FROM o UNION ALL SELECT type, day, true FROM r WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.type = r.type AND o.day = r.day)"""
+)
+def events_with_fallback(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("type"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"), F.lit("USD").alias("currency"), "user_id")
+    official = e.where("user_id % 2 = 0").select("ts", "currency", "type").distinct()
+    rules = e.select("ts", "currency", "type", F.lit(True).alias("approximate")).distinct()
+    return events.with_fallback(official, rules).select("type", F.to_date("ts").alias("day"), "approximate")
+
+
+@query(f"WITH {HOURLY} SELECT {SEL} FROM bars WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND symbol <> 'view'")
+def store_range(spark, d):
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    b = hourly(spark, d)
+    candles.write_store(spark, b, path)
+    symbols = [r["symbol"] for r in b.select("symbol").distinct().where("symbol <> 'view'").collect()]
+    return shown(candles.read_store(spark, path, symbols, "2024-01-10 12:00:00"), *OHLC)
+
+
+@query("SELECT CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, (user_id % 10)::INTEGER AS bin, count(*) FILTER (WHERE value > 100) AS wins, count(*) FILTER (WHERE NOT value > 100) AS losses FROM events GROUP BY 1, 2")
+def stream_ledger(spark, d):
+    source = table(spark, d, "events")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
+    rows = rows.select(F.col("event_id").alias("decision_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.col("user_id") % 10).cast("int").alias("bin"), (F.col("value") > 100).alias("won"))
+    write = live.upsert_last(f"{folder}/out", ["side", "bin"], "seen")
+    counts = live.running_ledger(rows).withColumn("seen", F.col("wins") + F.col("losses"))
+    q = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    newest = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.parquet(f"{folder}/out/{newest}").select("side", "bin", "wins", "losses")
+
+
+@query(f"WITH {HOURLY}, a AS (SELECT symbol, ts, c, list(h) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS hs FROM bars) SELECT symbol, ts, nullif(list_position(list_transform(hs, lambda x: x >= c + 100), true), 0)::BIGINT AS bars FROM a")
+def first_hits(spark, d):
+    at = F.array_position(F.transform("ahead_", lambda x: x["h"] >= F.col("c") + 100), F.lit(True))
+    return shown(asof.first_hit(hourly(spark, d), 24, F.when(at > 0, at), "bars"), "symbol", "ts", "bars")

@@ -17,6 +17,11 @@ def read_notes(spark: SparkSession, path: str, max_bytes: int | None = None) ->
     rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
     if max_bytes is not None:
         rows = rows.where(F.col("size") <= max_bytes)
+    return parse_notes(rows)
+
+
+def parse_notes(rows: DataFrame) -> DataFrame:
+    """The same of notes as rows (value, path)."""
     head = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
     field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
     file = F.regexp_extract("path", r"([^/]+?)(?:\.\w+)?$", 1)

@@ -14,7 +14,11 @@ SESSIONS = (("tokyo", "Asia/Tokyo", 9, 18), ("london", "Europe/London", 8, 17),
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """(ts, currency, title, impact, forecast, previous), one row for each time, currency and title; undated rows go."""
-    rows = spark.read.schema(FEED_SCHEMA).json(path, multiLine=True)
+    return parse_feed(spark.read.schema(FEED_SCHEMA).json(path, multiLine=True))
+
+
+def parse_feed(rows: DataFrame) -> DataFrame:
+    """The same of a feed's records."""
     rows = rows.select(F.col("date").try_cast("timestamp").alias("ts"), F.upper("country").alias("currency"), F.trim("title").alias("title"), F.lower("impact").alias("impact"), "forecast", "previous")
     return rows.where("ts is not null").dropDuplicates(["ts", "currency", "title"])
 
