@@ -61,3 +61,14 @@ def test_averages_by_chunks_match_one_pass(spark):
     for name, alpha, least in (("slow", 0.01, 20), ("fast", 0.9, 1), ("last", 1.0, 1)):
         expect = pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
         assert np.allclose(got[name].astype(float), expect, rtol=1e-9, equal_nan=True), name
+
+
+def test_rolling_correlation_by_blocks(spark):
+    import numpy as np
+
+    from tidewater.operators import cross
+
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, k, float(v)) for i in range(120) for k, v in zip("ab", r.normal(size=2))], "ts int, symbol string, r double")
+    one, cut = (cross.rolling_correlation(rows, "a", "b", 10, block=n).orderBy("ts").toPandas() for n in (1000, 17))
+    assert one.equals(cut) and one["corr"].notna().sum() == 111

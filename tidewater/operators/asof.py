@@ -26,6 +26,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     return out.select("row_.*", *[F.col(f"hit_.{n}").alias(v) for v, n in zip(values, names, strict=True)])
 
 
+def grid(bars: DataFrame) -> DataFrame:
+    """(ts, symbol) of every instant and every symbol: both meet by equality on the instant's bucket, each in its task."""
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = bars.select("ts").distinct().withColumn("b_", F.pmod(F.xxhash64("ts"), F.lit(parts)).cast("int"))
+    names = bars.select("symbol").distinct().withColumn("b_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return at.join(names, "b_").drop("b_")
+
+
 def fill_forward(rows: DataFrame, by: list[str], ts: str, value: str, limit: int) -> DataFrame:
     """Nulls of `value` take the last known one at most `limit` rows back."""
     own = Window.partitionBy(*by).orderBy(ts).rowsBetween(-limit, 0)

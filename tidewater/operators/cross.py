@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import grid
+from .ordered import running
+
+#: Instants of a block of a rolling window over all of them.
+BLOCK = 1_000_000
+
 
 def aligned_returns(bars: DataFrame) -> DataFrame:
     """(ts, symbol, r): log returns at the instants where every symbol has one."""
@@ -24,11 +30,17 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), (F.covar_samp("x", "y") / F.nullif(F.var_samp("y"), F.lit(0.0))).alias("beta"), F.count("*").alias("n"))
 
 
-def rolling_correlation(returns: DataFrame, a: str, b: str, n: int) -> DataFrame:
-    """Correlation of two symbols over the last n common instants, null before there are n."""
+def rolling_correlation(returns: DataFrame, a: str, b: str, n: int, block: int = BLOCK) -> DataFrame:
+    """Correlation of two symbols over the last n common instants, null before there are n. Instants are numbered and cut
+    into blocks; the last n - 1 of a block are seen by the next one too."""
     wide = returns.where(F.col("symbol").isin(a, b)).groupBy("ts").pivot("symbol", [a, b]).agg(F.first("r")).toDF("ts", "x", "y").where("x is not null and y is not null")
-    own = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(-(n - 1), 0)
-    return wide.withColumn("corr", F.when(F.count("*").over(own) == n, F.corr("x", "y").over(own)))
+    size = max(block, n)
+    rows = running(wide, [], ["ts"]).withColumn("own_", F.floor((F.col("n") - 1) / size))
+    shared = F.pmod(F.col("n") - 1, F.lit(size)) > size - n
+    rows = rows.withColumn("block_", F.explode(F.when(shared, F.array("own_", F.col("own_") + 1)).otherwise(F.array("own_"))))
+    own = Window.partitionBy("block_").orderBy("n").rowsBetween(-(n - 1), 0)
+    rows = rows.withColumn("corr", F.when(F.count("*").over(own) == n, F.corr("x", "y").over(own)))
+    return rows.where("block_ = own_").select("ts", "x", "y", "corr")
 
 
 def lead_lag(returns: DataFrame, lag: int = 1) -> DataFrame:
@@ -42,8 +54,7 @@ def lead_lag(returns: DataFrame, lag: int = 1) -> DataFrame:
 def strength(bars: DataFrame, window: int, volatility: int, least: int, fewest: int, fill: int = 12) -> DataFrame:
     """Each symbol's move over `window` bars in units of its volatility, less the cross-section's mean, on the union of
     all instants with closes carried forward at most `fill` steps; null where fewer than `fewest` symbols have one."""
-    grid = bars.select("ts").distinct().join(bars.select("symbol").distinct())
-    rows = grid.join(bars.select("symbol", "ts", "c"), ["symbol", "ts"], "left")
+    rows = grid(bars).join(bars.select("symbol", "ts", "c"), ["symbol", "ts"], "left")
     own = Window.partitionBy("symbol").orderBy("ts")
     rows = rows.withColumn("p", F.log(F.last("c", ignorenulls=True).over(own.rowsBetween(-fill, 0))))
     rows = rows.withColumn("r", F.col("p") - F.lag("p").over(own))

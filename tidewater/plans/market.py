@@ -160,8 +160,8 @@ def news_next_last(spark, d):
 SELECT symbol, ts, round(last_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS c FROM g""")
 def ffill_limit(spark, d):
     b = hourly(spark, d)
-    grid = b.select("ts").distinct().join(F.broadcast(b.select("symbol").distinct())).join(b.select("symbol", "ts", "c"), ["symbol", "ts"], "left")
-    return shown(asof.fill_forward(grid, ["symbol"], "ts", "c", 3), "symbol", "ts", "c")
+    rows = asof.grid(b).join(b.select("symbol", "ts", "c"), ["symbol", "ts"], "left")
+    return shown(asof.fill_forward(rows, ["symbol"], "ts", "c", 3), "symbol", "ts", "c")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, s_nationkey AS k, abs(s_acctbal) AS a, abs(s_acctbal) + 400 AS b FROM supplier)
