@@ -109,7 +109,21 @@ def zones(spark, d):
     return shown(structure.zones(lv))
 
 
-@query()
+_NEAR = "y.symbol = zt.symbol AND y.i >= zt.i AND y.i < zt.i + 17"
+
+
+@query(
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}, zn AS (SELECT symbol, count(*) AS n FROM z GROUP BY 1), zb AS (SELECT *, lag(atr) OVER (PARTITION BY symbol ORDER BY i) AS pa FROM z),
+    zq AS (SELECT zo.symbol, zo.zone, zo.p, zo.t, zb.i, zb.pa, zn.n FROM zo JOIN zn ON zn.symbol = zo.symbol JOIN zb ON zb.symbol = zo.symbol AND zb.i >= greatest(zo.b + 1, 1) AND zb.i < least(zn.n, zo.e) AND zb.l <= zo.p + zo.t AND zb.h >= zo.p - zo.t),
+    zt AS (SELECT zq.*, (SELECT arg_max(sign(y.c - zq.p), y.i) FROM z y WHERE y.symbol = zq.symbol AND y.i >= zq.i - 59 AND y.i < zq.i AND abs(y.c - zq.p) > zq.t)::INTEGER AS side FROM zq WHERE pa > 0),
+    zh AS (SELECT zt.*, (SELECT min(y.i) FROM z y WHERE {_NEAR} AND zt.side * (y.c - zt.p) < -zt.t) AS jb, (SELECT min(y.i) FROM z y WHERE {_NEAR} AND y.i > zt.i AND zt.side * (CASE zt.side WHEN 1 THEN y.h ELSE y.l END - zt.p) >= zt.pa) AS ja FROM zt WHERE side IS NOT NULL),
+    zf AS (SELECT *, least(jb, ja) AS rz FROM zh), zg AS (SELECT symbol, zone, i, side, rz, t, coalesce(jb = rz, false) AS broke, i + 17 <= n AS whole, coalesce(rz, i + 16) + 1 AS free, greatest((SELECT max(zt.side * (zt.p - CASE zt.side WHEN 1 THEN y.l ELSE y.h END)) FROM z y WHERE y.symbol = zt.symbol AND y.i >= zt.i AND y.i <= coalesce(zt.rz, zt.i + 16)), 0) AS depth FROM zf zt),
+    zk AS (SELECT zg.*, nx.i AS nxt, row_number() OVER (PARTITION BY zg.symbol, zg.zone ORDER BY zg.i) AS k FROM zg ASOF LEFT JOIN zg nx ON nx.symbol = zg.symbol AND nx.zone = zg.zone AND zg.free <= nx.i),
+    zw(symbol, zone, i, rz, kind, side, depth, prior, nxt, holds, through, retest) AS (SELECT symbol, zone, i, rz, CASE WHEN rz IS NULL THEN CASE WHEN whole THEN 'stall' ELSE 'in_progress' END WHEN broke THEN 'break' WHEN depth >= t THEN 'sweep' ELSE 'rejection' END, side, depth, 0, nxt, (rz IS NOT NULL AND NOT broke)::INTEGER, coalesce(broke, false)::INTEGER, coalesce(broke, false) FROM zk WHERE k = 1
+      UNION ALL SELECT zk.symbol, zk.zone, zk.i, zk.rz, CASE WHEN zk.rz IS NULL THEN CASE WHEN zk.whole THEN 'stall' ELSE 'in_progress' END WHEN zk.broke THEN CASE WHEN zw.retest THEN 'retest_fail' ELSE 'break' END WHEN zw.retest THEN 'retest_hold' WHEN zk.depth >= zk.t THEN 'sweep' ELSE 'rejection' END,
+        zk.side, zk.depth, zw.holds, zk.nxt, zw.holds + (zk.rz IS NOT NULL AND NOT zk.broke)::INTEGER, zw.through + coalesce(zk.broke, false)::INTEGER, CASE WHEN zk.rz IS NULL THEN zw.retest ELSE zk.broke END FROM zw JOIN zk ON zk.symbol = zw.symbol AND zk.zone = zw.zone AND zk.i = zw.nxt WHERE zw.through < 4)
+    SELECT symbol, zone::INTEGER AS zone, i::INTEGER AS i, rz::INTEGER AS resolved_i, kind, side, round(depth, 6) AS depth, prior::INTEGER AS prior_holds FROM zw"""
+)
 def zone_reactions(spark, d):
     lv = _confirmed(spark, d).where("atr is not null").select("symbol", "price", (F.col("atr") * 0.25).alias("tol"), "known_i")
     return shown(reactions.zone_reactions(indicators.atr(hourly(spark, d)), structure.zones(lv)))
