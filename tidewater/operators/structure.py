@@ -124,6 +124,20 @@ def candlesticks(bars_with_atr: DataFrame) -> DataFrame:
     return rows.withColumns(flags).select(*bars_with_atr.columns, *flags)
 
 
+def doji_at_zone(rows: DataFrame) -> DataFrame:
+    """Adds doji to bars with atr and the nearest zones (below, above): 1 at support, -1 at resistance, for a body of at
+    most a tenth of a range that is no less than half the last bar's average range, within half a range of the zone; the
+    nearer one counts, support where both are as near."""
+    unit = F.when(F.col("atr") > 0, F.col("atr"))
+    prior = F.lag("atr").over(by_symbol())
+    spread = F.col("h") - F.col("l")
+    small = (F.abs(F.col("c") - F.col("o")) <= 0.1 * spread) & (spread >= 0.5 * F.when(prior > 0, prior))
+    rows = rows.withColumns({"d_": F.coalesce(small, F.lit(False)), "s_": (F.col("c") - F.col("below")) / unit, "r_": (F.col("above") - F.col("c")) / unit})
+    support = F.col("d_") & F.coalesce(F.col("s_") <= 0.5, F.lit(False)) & ~F.coalesce(F.col("r_") < F.col("s_"), F.lit(False))
+    resistance = F.col("d_") & F.coalesce(F.col("r_") <= 0.5, F.lit(False))
+    return rows.withColumn("doji", F.when(support, 1).when(resistance, -1).otherwise(0)).drop("d_", "s_", "r_")
+
+
 RETEST_SCHEMA = "symbol string, level_id long, price double, break_i long, touch_i long, fill_i long, rejected boolean"
 
 

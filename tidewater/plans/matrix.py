@@ -12,7 +12,7 @@ from ..sources import candles, documents, events, exports
 from ..streaming import live
 from .common import DAILY, HOURLY, daily, event_ticks, hourly, r6, shown
 from .decisions import VEC, _bm25, _queries
-from .market import LEVELS, OHLC, SEL, _levels
+from .market import ATR, LEVELS, OHLC, SEL, _levels
 from .structures import BASE, BOXES, BREAKS, LEG, _ZONES, _confirmed, _states
 
 QUERIES: dict = {}
@@ -218,3 +218,16 @@ def stream_ledger(spark, d):
 def first_hits(spark, d):
     at = F.array_position(F.transform("ahead_", lambda x: x["h"] >= F.col("c") + 100), F.lit(True))
     return shown(asof.first_hit(hourly(spark, d), 24, F.when(at > 0, at), "bars"), "symbol", "ts", "bars")
+
+
+@query(
+    f"""WITH RECURSIVE {HOURLY}, {ATR}, z AS (SELECT symbol, ts, o, h, l, c, atr, i - 1 AS i FROM a), {LEVELS}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES},
+    ns AS (SELECT z.symbol, z.ts, max(p) FILTER (WHERE p <= z.c) AS below, min(p) FILTER (WHERE p > z.c) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < zo.e GROUP BY 1, 2), dz AS (SELECT z.*, below, above, lag(z.atr) OVER (PARTITION BY z.symbol ORDER BY z.ts) AS pa FROM z JOIN ns ON ns.symbol = z.symbol AND ns.ts = z.ts),
+    dd AS (SELECT *, coalesce(abs(c - o) <= 0.1 * (h - l) AND h - l >= 0.5 * pa AND pa > 0, false) AS d, (c - below) / nullif(atr, 0) AS sd, (above - c) / nullif(atr, 0) AS rd FROM dz)
+    SELECT symbol, ts, CASE WHEN d AND coalesce(sd <= 0.5, false) AND NOT coalesce(rd < sd, false) THEN 1 WHEN d AND coalesce(rd <= 0.5, false) THEN -1 ELSE 0 END AS doji FROM dd"""
+)
+def doji_at_zone(spark, d):
+    b = indicators.atr(hourly(spark, d))
+    zones = structure.zones(_levels(hourly(spark, d)).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")).select("symbol", "price", F.col("known_i").alias("born_i"), F.col("expires_i").alias("dead_i"))
+    rows = choices.nearest_zones(b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1), zones)
+    return shown(structure.doji_at_zone(rows), "symbol", "ts", "doji")
