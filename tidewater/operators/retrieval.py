@@ -8,6 +8,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Fixed values.
 K1, B, RRF = 1.2, 0.75, 60
 #: Query terms that the plan holds itself.
@@ -28,11 +30,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     to TERMS terms are a constant of the plan, more are joined. Lengths and frequencies are over all documents."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = terms.select("term").distinct()
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select("doc_id", F.size("w").alias("size"), "w")
+    # the explode of one array keeps the tokens from being computed again for each use
+    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(tokens(F.col(text_col)))).alias("w")).select("doc_id", F.size("w").alias("size"), "w")
     known = wanted.limit(TERMS + 1).toArrow().column("term").to_pylist()
+    if len(known) <= TERMS:
+        words = checkpointed(words.select("doc_id", "size", F.filter("w", lambda x: x.isin(known)).alias("w")))
     sizes = words.agg(F.count("*").alias("docs_"), F.avg("size").alias("mean_"))
     if len(known) <= TERMS:
-        found = words.select("doc_id", "size", F.explode(F.filter("w", lambda x: x.isin(known))).alias("term"))
+        found = words.select("doc_id", "size", F.explode("w").alias("term"))
     else:
         found = words.select("doc_id", "size", F.explode("w").alias("term")).join(wanted, "term")
     tf = found.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
