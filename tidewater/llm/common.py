@@ -51,6 +51,13 @@ def written(df: DataFrame) -> DataFrame:
 _tables: list[str] = []
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table of texts in at least as many partitions as there are cores: one file with few row groups would leave them
+    idle, and is small enough to deal out."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def table_mark() -> int:
     return len(_tables)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, claim, in_slices, ngram_hashes, passes, sieve_of, written
+from .common import WORD_CACHE, claim, in_slices, ngram_hashes, passes, read_spread, sieve_of, written
 
 SEED_WORDS, RARE, LEAST_SHARE = 3, 1e-7, 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -327,4 +327,4 @@ def without_leaks(
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a benchmark item in the documents."""
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(read_spread(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

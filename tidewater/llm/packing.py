@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import claim, read_spread
 
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 20
@@ -218,5 +218,5 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed with the public word vocabulary; the pieces' tokens as checksums."""
     import public_tokenizers
 
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(read_spread(spark, f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

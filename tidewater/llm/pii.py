@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, read_spread
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 15
@@ -399,7 +399,7 @@ def mask_column(spark: SparkSession, weights: np.ndarray, text: str = "text") ->
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and checksum of the fixed patterns' matches in every document (n_* count these), and all spans."""
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_pii(read_spread(spark, f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpoint, in_slices, mix, passes, sieve_of, written
+from .common import MIX, checkpoint, in_slices, mix, passes, read_spread, sieve_of, written
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
@@ -342,5 +342,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated 200-byte strings, as counts and a checksum of what is left."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(read_spread(spark, f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
