@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, ngram_join, packing, pii, quality
-from tidewater.llm.common import bounded_batches, drop_tables, table_mark, written
+from tidewater.llm.common import bounded_batches, drop_tables, read_spread, table_mark, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table, each on what the one before it wrote. A stage's own tables go once
     its result is written, its input too."""
-    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), table_mark()
+    docs, mark = read_spread(spark, f"{sf_dir}/documents.parquet"), table_mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
