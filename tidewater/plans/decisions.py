@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
 from ..operators import graph, retrieval
-from ..session import table
+from ..session import spread, table
 from .common import shown
 
 QUERIES: dict = {}
@@ -176,9 +176,13 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query(f"WITH {_bm25('item_id % 100 = 0')} SELECT query_id, doc_id, round(score, 5) AS score FROM bm")
 def bm25(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d)).withColumn("score", F.round("score", 5))
+    return retrieval.bm25(_texts(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 5))
 
 
 VEC = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q), vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v)"

@@ -11,7 +11,7 @@ from ..session import shared_folder, table
 from ..sources import candles, documents, events, exports
 from ..streaming import live
 from .common import DAILY, HOURLY, daily, event_ticks, hourly, r6, shown
-from .decisions import VEC, _bm25, _queries
+from .decisions import VEC, _bm25, _queries, _texts
 from .market import ATR, LEVELS, OHLC, SEL, _levels
 from .structures import BASE, BOXES, BREAKS, LEG, _ZONES, _confirmed, _states
 
@@ -97,7 +97,7 @@ def first_source(spark, d):
     SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM rx WHERE rank <= 10"""
 )
 def hybrid_recall(spark, d):
-    v, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
+    v, docs = table(spark, d, "embeddings"), _texts(spark, d)
     lexical = retrieval.top(retrieval.bm25(docs, _queries(spark, d)).withColumn("score", F.round("score", 9)), 100)
     semantic = retrieval.vector_top(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 100).withColumn("score", F.round("score", 9))
     k = F.col("doc_id")

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A plain scan in at least as many partitions as there are cores: few row groups would leave them idle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def as_timestamp(df: DataFrame, *cols: str) -> DataFrame:
     """Casts zone-less columns to instants under the session zone (UTC)."""
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
