@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
 from .outcomes import wilson
 
 #: Weights of the composite, and of a zone's score.
@@ -143,7 +144,7 @@ def time_folds(rows: DataFrame, start: str, end: str, splits: int, gap: int) ->
     """(.., fold, part): folds over the distinct starts, equal blocks at the end as `calibrate`, each with all rows before
     it but the last `gap` starts as `train`, of these only rows that have ended by the block's first start. Starts are
     numbered by their place among the distinct ones, so one start is never split."""
-    distinct = rows.select(start).distinct().withColumn("at_", F.row_number().over(Window.orderBy(start)) - 1)
+    distinct = running(rows.select(start).distinct(), [], [start]).select(start, (F.col("n") - 1).alias("at_"))
     n = distinct.agg(F.count("*").alias("n_"))
     size = F.floor(F.col("n_") / (splits + 1))
     folds = n.select("n_", size.alias("size_"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("fold")).withColumn("first_", F.col("n_") - (splits - F.col("fold")) * F.col("size_"))
