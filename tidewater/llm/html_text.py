@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,14 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 80
 #: What a character counts inside articles and mains, and outside them, on pages that have any.
-INSIDE, OUTSIDE = 4, 0.25
+INSIDE, OUTSIDE = 8, 0.25
+#: Lines of this length are text whatever they end with; shorter ones if they are sentences, paragraphs or headings.
+LINE_LENGTH = 40
+SENTENCE_ENDS = frozenset(".!?…:;,\"'”’»)。！？：；）」』।؟")
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+#: Short notes on rights are no text.
+NOTE_LENGTH = 300
+_RIGHTS = re.compile(r"©|\(c\)\s|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|button|title|canvas|audio|video"
 # attributes as a browser reads them: quotes count after = alone, and a page may end within a tag; each part is passed once
@@ -79,26 +87,47 @@ class _Named:
         self.up, self.begin, self.talk = up, begin, talk
         self.closed = False
         self.article: int | None = None  # the block at which the first article in it opens
+        self.firm: _Named | None = None  # the nearest one around it that was closed
         self.holds = 0.0
         self.kept = True
 
     def at(self, block: int) -> _Named | None:
-        """The named element around a block: one that was never closed ends where an article opens."""
-        x: _Named | None = self
-        while x and not x.closed and x.article is not None and block >= x.article:
-            x = x.up
-        return x
+        """The named element around a block: one that was never closed ends where an article opens, and with it all
+        around it that were never closed."""
+        return self if self.closed or self.article is None or block < self.article else self.firm
 
 
-def _without_asides(blocks: list, around: list[_Named | None], named: list[_Named]) -> list:
+class _Article:
+    """An article or main element: the one around it, the outermost one, and whether one in it holds text."""
+
+    def __init__(self, up: _Article | None):
+        self.up = up
+        self.top: _Article = up.top if up else self
+        self.wraps = False
+        self.held = 0
+
+
+class Block(NamedTuple):
+    """A line of the page: its text, the characters outside links, the article around it, the tag it stands in."""
+
+    text: str
+    free: int
+    article: _Article | None
+    tag: str
+
+
+def _without_asides(blocks: list[Block], around: list[_Named | None], named: list[_Named]) -> list[Block]:
     """The blocks but those in named elements. One that holds more than half of what its surroundings hold, as weighed,
     stays; one of comments or the like only if the rest is too short for a surge."""
     page = _Named(None, 0, False)
+    page.closed = True
+    for x in named:  # from the outer to the inner ones
+        x.firm = x.up if x.up and x.up.closed else x.up.firm if x.up else None
     for x in named:
         x.up = (x.up and x.up.at(x.begin)) or page
     own = [(x and x.at(i)) or page for i, x in enumerate(around)]
-    for x, (_, n, articles) in zip(own, blocks, strict=True):
-        x.holds += n * (INSIDE if articles else OUTSIDE)
+    for x, b in zip(own, blocks, strict=True):
+        x.holds += b.free * (INSIDE if b.article else OUTSIDE)
     for x in reversed(named):
         x.up.holds += x.holds
     for x in named:
@@ -107,23 +136,27 @@ def _without_asides(blocks: list, around: list[_Named | None], named: list[_Name
     return [b for b, x in zip(blocks, own, strict=True) if x.kept]
 
 
-def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
-    """(text, characters that count, articles) of each block with text, in page order: text outside asides, references
-    decoded and white space squeezed; what stands in links doesn't count; articles are the numbers of the article and
-    main elements around, the outermost first."""
-    out: list[tuple[str, int, tuple[int, ...]]] = []
+def line_blocks(page: str) -> list[Block]:
+    """The blocks with text, in page order: text outside asides, references decoded and white space squeezed. Linear in
+    the page's length, however its tags nest."""
+    out: list[Block] = []
     parts: list[str] = []
     linked: list[bool] = []
     links = 0
-    aside: list[str] = []  # open elements from the aside on
-    articles: list[int] = []
-    seen = 0
+    aside: list[str] = []  # open elements from the aside on, and how many there are of each
+    beside: Counter[str] = Counter()
+    article: _Article | None = None
+    line = ""
     opened: list[tuple[str, _Named | None]] = []
     depth: Counter[str] = Counter()
     names: list[_Named] = []  # the named ones of those
     named: list[_Named] = []
     around: list[_Named | None] = []
 
+    def step_aside(tag: str) -> None:
+        aside.append(tag)
+        beside[tag] += 1
+
     def enter(tag: str, words: set[str]) -> None:
         x = None
         if words:
@@ -148,7 +181,7 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             text = " ".join("".join(parts).split())
             if text:
                 free = " ".join("".join(p for p, a in zip(parts, linked, strict=True) if not a).split())
-                out.append((text, len(free), tuple(articles)))
+                out.append(Block(text, len(free), article, line))
                 around.append(names[-1] if names else None)
             parts.clear()
             linked.clear()
@@ -177,15 +210,15 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             continue
         closing = bool(m[3])
         if aside:
-            if closing and tag in aside:
-                while aside.pop() != tag:
-                    pass
-            elif closing and tag in ("body", "html"):
-                aside.clear()
-            elif not closing and tag in ("article", "main", "body"):
-                aside.clear()  # an aside that was never closed
+            if closing and beside[tag]:
+                while (last := aside.pop()) != tag:
+                    beside[last] -= 1
+                beside[tag] -= 1
+            elif closing and tag in ("body", "html") or not closing and tag in ("article", "main", "body"):
+                aside.clear()  # one that was never closed
+                beside.clear()
             elif not closing and tag == aside[0] or not closing and tag not in VOID and tag not in INLINE and tag not in _ENDS_ITSELF:
-                aside.append(tag)
+                step_aside(tag)
             if closing or tag not in ("article", "main"):
                 continue
         if tag == "a":
@@ -201,7 +234,7 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                 words = _names(m[5])
                 if _aside(tag, m[5]):
                     end_block()
-                    aside.append(tag)
+                    step_aside(tag)
                 elif words or depth[tag]:
                     if words:
                         end_block()
@@ -209,10 +242,11 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             continue
         end_block()
         links = 0
+        line = line if tag in VOID else "" if closing else tag
         if closing:
             leave(tag)
-            if tag in ("article", "main") and articles:
-                articles.pop()
+            if tag in ("article", "main") and article:
+                article = article.up
             continue
         if opened and (opened[-1][0] == "p" or opened[-1][0] == tag and tag in _ENDS_ITSELF):
             leave(opened[-1][0])
@@ -221,68 +255,71 @@ def line_blocks(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
                 if x.article is not None:
                     break
                 x.article = len(out)
-            articles.append(seen := seen + 1)
+            article = _Article(article)
             enter(tag, _names(m[5]) & {"comment", "comments", "related", "teaser", "promo", "sponsored"})
         elif tag not in VOID:
             if _aside(tag, m[5]):
-                aside.append(tag)
+                step_aside(tag)
             else:
                 enter(tag, _names(m[5]) if tag not in ("html", "body") else set())
     end_block()
     return _without_asides(out, around, named) if named else out
 
 
-def weighed(blocks: list[tuple[str, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(what each block counts, whether it is inside): characters in an article or main count INSIDE each, nested ones
-    with the outer one, all others OUTSIDE. Where what is outside still counts more, all count alike and none is inside."""
-    size = np.array([n for _, n, _ in blocks], float)
-    inside = np.array([bool(around) for _, _, around in blocks])
-    held: dict[int, int] = {}
-    for text, _, around in blocks:
-        if around:
-            held[around[-1]] = held.get(around[-1], 0) + len(text)
+def weighed(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight of each block, whether it is inside, whether it may be kept).
+
+    A block weighs what it holds outside links; nothing if that is less than half of it, if it is a note on rights, or if
+    it is short and no sentence and no paragraph or heading: names of menus and buttons. Those last may be kept between
+    others. Characters in an article or main count INSIDE each, links too unless it wraps further ones, and all else
+    OUTSIDE; where what is outside still weighs more, all count alike and none is inside."""
+    length = np.array([len(b.text) for b in blocks], float)
+    free = np.array([b.free for b in blocks], float)
+    inside = np.array([b.article is not None for b in blocks])
+    fit = (free * 2 >= length) & ~np.array([len(b.text) < NOTE_LENGTH and bool(_RIGHTS.search(b.text)) for b in blocks])
+    spoken = (length >= LINE_LENGTH) | np.array([b.tag in TEXT_TAGS or b.text[-1] in SENTENCE_ENDS for b in blocks])
+    plain = np.where(fit & spoken, free, 0.0)
+    for b in blocks:
+        if b.article:
+            b.article.held += len(b.text)
+            up = b.article.up
+            while up and not up.wraps:
+                up.wraps, up = True, up.up
     # links are part of an article's sentences, but lists of them stand beside the articles of a main
-    outer = {a for _, _, around in blocks for a in around[:-1]}
-    most: dict[int, int] = {}
-    for _, _, around in blocks:
-        if around and held[around[-1]] > held.get(most.get(around[0], 0), 0):
-            most[around[0]] = around[-1]
-    full = np.array([len(t) if around and (around[-1] not in outer or around[-1] == most[around[0]]) else n for t, n, around in blocks], float)
-    if inside.any() and full[inside].sum() * INSIDE >= size[~inside].sum() * OUTSIDE:
-        return full * np.where(inside, INSIDE, OUTSIDE), inside
-    return size, np.zeros(len(blocks), bool)
+    most: dict[int, _Article] = {}
+    for b in blocks:
+        if b.article and ((x := most.get(id(b.article.top))) is None or b.article.held > x.held):
+            most[id(b.article.top)] = b.article
+    whole = np.array([bool(b.article) and (not b.article.wraps or b.article is most[id(b.article.top)]) for b in blocks])
+    full = np.where(whole, length, free)
+    if inside.any() and full[inside].sum() * INSIDE >= plain[~inside].sum() * OUTSIDE:
+        return np.where(inside, full * INSIDE, plain * OUTSIDE), inside, np.where(inside, full > 0, fit)
+    return plain, np.zeros(len(blocks), bool), fit
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between the surge and dive points of the blocks' length distribution.
 
-    A window of lines must hold `surge` characters as weighed, all inside articles or all outside. A stretch starts at
-    the first line with text of a window that reaches it, inside articles at the first line with text before, and ends
-    with the last line of its last such window or where the articles begin or end. A page without a surge keeps the
-    lines that aren't mostly links, of its articles if it has any.
+    The weights of each `window` neighbouring blocks are summed up, inside articles and outside them. Text surges where a
+    sum reaches `surge`, or half of the page's largest sum if that is less, and dives where the sums fall below: a
+    stretch holds the windows in a row that reach it, from its first to its last block with weight. What it spans is
+    kept but for blocks of links and notes on rights.
     """
     blocks = line_blocks(page) if page else []
     if not blocks:
         return ""
-    size, inside = weighed(blocks)
-    ahead = lambda x: np.convolve(x, np.ones(window))[window - 1 :]  # of each line and those that follow it
-    sums = np.where(inside, ahead(size * inside), ahead(size * ~inside))
+    weight, inside, fit = weighed(blocks)
     keep = np.zeros(len(blocks), bool)
-    i = 0
-    while i < len(blocks):
-        if sums[i] < surge or not size[i]:
-            i += 1
-            continue
-        start = dive = i
-        while dive < len(blocks) and inside[dive] == inside[i] and (sums[dive] >= surge or size[dive] > 0):
-            dive += 1
-        while inside[i] and start and inside[start - 1] and size[start - 1]:
-            start -= 1
-        keep[start:dive] = size[start:dive] > 0
-        i = dive
-    if not keep.any():  # a short page: what isn't mostly links
-        keep = size * 2 >= np.array([len(t) for t, _, _ in blocks])
-    return "\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
+    windows = [(side, np.convolve(weight * side, np.ones(window))[window - 1 :]) for side in (inside, ~inside)]
+    least = min(surge, max(sums.max() for _, sums in windows) / 2)
+    for side, sums in windows if least > 0 else ():
+        covered = side & (np.convolve(sums >= least, np.ones(window))[: len(blocks)] > 0)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
+        for start, dive in zip(edges[::2], edges[1::2], strict=True):
+            heavy = start + np.flatnonzero(weight[start:dive])
+            if len(heavy):
+                keep[heavy[0] : heavy[-1] + 1] = fit[heavy[0] : heavy[-1] + 1]
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
