@@ -75,6 +75,15 @@ def test_leaks_match_an_alignment_of_every_item_with_every_text(spark, item_byte
     assert {(x["doc_id"], x["item_id"]): pytest.approx(x["score"]) for x in found} == expect
 
 
+def test_ties_of_two_texts_under_one_id_give_the_same_rows_either_way(spark):
+    one, two = words(30, 5), words(30, 6)
+    items = spark.createDataFrame([(3, " ".join(one)), (3, " ".join(two)), (4, " ".join(two))], "item_id long, text string")
+    docs = frame(spark, [(1, " ".join(two + words(50, 7) + one)), (2, " ".join(words(9, 8) + one + two)), (3, None)])
+    rows = [sorted(map(tuple, decontaminate.find_leaks(docs, items, item_bytes=n).collect())) for n in (1, 1 << 20)]
+    assert rows[0] == rows[1] == [(1, 3, 1.0, 0, 30), (1, 4, 1.0, 0, 30), (2, 3, 1.0, 9, 39), (2, 4, 1.0, 39, 69)]
+    assert decontaminate.find_leaks(frame(spark, []), items, item_bytes=1).count() == 0
+
+
 # ---- quality -------------------------------------------------------------------------------------------------------
 def test_discriminant_matches_the_formula():
     r = np.random.default_rng(2)

@@ -51,11 +51,16 @@ def written(df: DataFrame) -> DataFrame:
 _tables: list[str] = []
 
 
+#: Tables of texts up to this size may be dealt out over the cores; larger ones have row groups enough.
+SPREAD_BYTES = 256 << 20
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A table of texts in at least as many partitions as there are cores: one file with few row groups would leave them
-    idle, and is small enough to deal out."""
+    """A table of texts in at least as many partitions as there are cores, if it is small: one file with few row groups
+    would leave them idle. A larger one is read as it lies, whatever the number of cores."""
     rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
 
 
 def table_mark() -> int:

@@ -19,6 +19,7 @@ SEED_WORDS, RARE, LEAST_SHARE = 3, 1e-7, 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 SCORE = 0.5
 ITEM_BYTES = 32 << 20
+COUNTED_WORDS = 2_000_000
 SIEVE_BITS, TEXT_BITS = 1 << 27, 1 << 24
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”‘’„…–—¿¡·"
 
@@ -72,6 +73,17 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best / (MATCH * max(1, len(item))), *at
 
 
+def rare_grams(words: np.ndarray, counts: np.ndarray, total: int, n: int, rare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of an item's n-grams whose chance, words taken as independent at their shares of all documents,
+    is at most `rare`; of an item of common words its rarest half. counts are those of its words, in turn."""
+    share = np.log((counts + 1) / (total + 1))
+    chance = np.convolve(share, np.ones(min(n, len(words))), "valid")
+    ok = chance <= math.log(rare)
+    if ok.mean() < LEAST_SHARE:
+        ok = chance <= np.quantile(chance, LEAST_SHARE)
+    return ngram_hashes(words, n)[ok], np.flatnonzero(ok)
+
+
 @dataclass
 class WordCounts:
     """How often each of some words (sorted hashes) occurs in all documents, and how many words there are."""
@@ -80,16 +92,11 @@ class WordCounts:
     counts: np.ndarray
     total: int
 
-    def rare_grams(self, words: np.ndarray, n: int, rare: float) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, places) of an item's n-grams whose chance, words taken as independent at their shares of all
-        documents, is at most `rare`; of an item of common words its rarest half."""
-        grams = ngram_hashes(words, n)
-        share = np.log((self.counts[np.searchsorted(self.words, words)] + 1) / (self.total + 1))
-        chance = np.convolve(share, np.ones(min(n, len(words))), "valid")
-        ok = chance <= math.log(rare)
-        if ok.mean() < LEAST_SHARE:
-            ok = chance <= np.quantile(chance, LEAST_SHARE)
-        return grams[ok], np.flatnonzero(ok)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
 
 
 def seeds_in(words: np.ndarray, sizes: Iterable[int], passes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +128,7 @@ class Seeds:
     """Test items and their rare n-grams in sorted arrays: 16 bytes a seed and 8 a word, so a few times the items' size."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], counts: WordCounts, n: int, rare: float):
-        found = [counts.rare_grams(w, n, rare) for _, w in items]
+        found = [rare_grams(w, counts.of(w), counts.total, n, rare) for _, w in items]
         grams = np.concatenate([g for g, _ in found])
         order = np.argsort(grams, kind="stable")
         self.grams = grams[order]
@@ -150,49 +157,72 @@ class Seeds:
         if not owners:
             return []
         owner, begin = np.concatenate(owners), np.concatenate(begins)
-        found: dict[int, dict] = {}
+        found: dict[int, tuple] = {}
         for k in np.unique(owner).tolist():
             item = self.words[self.ends[k - 1] if k else 0 : self.ends[k]]
             best = best_alignment(item, words, begin[owner == k], least)
             item_id = int(self.ids[k])
-            if best and best[0] > found.get(item_id, {"score": 0})["score"]:
-                found[item_id] = {"item_id": item_id, "score": best[0], "first_word": best[1], "end_word": best[2]}
-        return [found[k] for k in sorted(found)]
+            # of an id's texts the better alignment, and of equal ones the first in the text
+            if best and (item_id not in found or (best[0], -best[1], -best[2]) > found[item_id]):
+                found[item_id] = best[0], -best[1], -best[2]
+        return [{"item_id": k, "score": x, "first_word": -a, "end_word": -b} for k, (x, a, b) in sorted(found.items())]
 
 
 LEAK = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
 
 
-def word_counts(docs: DataFrame, text_col: str, items: DataFrame) -> WordCounts:
-    """Counts of the items' words in all documents: one scan, and as many counts as the items have distinct words."""
+def _item_words(items: DataFrame) -> DataFrame:
+    """(word): the distinct words of all items."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [words_of(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*own, np.zeros(0, np.uint64)])).view(np.int64))], ["word"])
 
-    wanted = items.select("text").mapInArrow(distinct, "word long").distinct().toArrow().column("word").to_numpy()
-    wanted = np.sort(wanted.astype(np.int64).view(np.uint64))
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    return items.select("text").mapInArrow(distinct, "word long").distinct()
+
+
+def _counted(docs: DataFrame, text_col: str, sought) -> DataFrame:
+    """(word, n): how often words that `sought` lets through occur in all documents, and under null how many words there
+    are. Tasks sum up what they find; one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held.value
-        counts, total = np.zeros(len(words), np.int64), 0
+        held: list[np.ndarray] = []
+        total = waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
         for b in batches:
             for t in b.column(0):
                 w = words_of(t.as_py())
                 total += len(w)
-                if len(words):
-                    at = np.searchsorted(words, w)
-                    at[at == len(words)] = 0
-                    counts += np.bincount(at[words[at] == w], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(words.view(np.int64), 0)), pa.array(np.append(counts, total)), pa.array(np.append(np.zeros(len(words), bool), True))], ["word", "n", "total"])
-
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n")).toArrow()
-    total = rows.column("total").to_numpy()
-    n, word = rows.column("n").to_numpy(), rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
+                held.append(w[sought(w)])
+                waiting += len(held[-1])
+            if waiting >= COUNTED_WORDS:
+                yield flush()
+                held, waiting = [], 0
+        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame, text_col: str, items: DataFrame) -> WordCounts:
+    """Counts of the words of items that fit into every task: as many numbers as they have distinct words."""
+    wanted = np.sort(_item_words(items).toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def sought(w: np.ndarray) -> np.ndarray:
+        known = held.value
+        return known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
+
+    rows = _counted(docs, text_col, sought).toArrow()
+    word, n = rows.column("word"), rows.column("n").to_numpy()
+    total = word.is_null().to_numpy()
     counts = np.zeros(len(wanted), np.int64)
-    counts[np.searchsorted(wanted, word[~total])] = n[~total]
+    counts[np.searchsorted(wanted, word.drop_null().to_numpy().astype(np.int64).view(np.uint64))] = n[~total]
     return WordCounts(wanted, counts, int(n[total].sum()))
 
 
@@ -208,26 +238,42 @@ def _names(text: Column) -> dict[str, Column]:
     return {"hi": F.xxhash64(F.lit(1), text), "lo": F.xxhash64(F.lit(2), text)}
 
 
-def _joined_leaks(docs: DataFrame, items: DataFrame, counts: WordCounts, text_col: str, score: float, n: int, rare: float) -> DataFrame:
+def _joined_seeds(docs: DataFrame, versions: DataFrame, text_col: str, n: int, rare: float) -> DataFrame:
+    """(item, version, gram, place): the rare grams of items of any number. Words that pass a sieve of the items' words
+    are counted, and counts meet the items' words in a join; the driver gets the total alone."""
+    spark = docs.sparkSession
+    sieve = spark.sparkContext.broadcast(sieve_of(_item_words(versions), SIEVE_BITS))
+    counts = written(_counted(docs, text_col, lambda w: passes(sieve.value, w, SIEVE_BITS)))
+    total = (counts.where("word is null").first() or {"n": 0})["n"]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            own = [words_of(t) for t in b.column(2).to_pylist()]
+            sizes = [len(w) for w in own]
+            ids = [np.repeat(b.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1)]
+            place = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(place.astype(np.int64)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["item", "version", "place", "word"])
+
+    @F.pandas_udf("array<struct<gram:long,place:long>>")
+    def grams(word: pd.Series, count: pd.Series) -> pd.Series:
+        out = []
+        for w, c in zip(word, count, strict=True):
+            g, at = rare_grams(np.asarray(w, np.int64).view(np.uint64), np.asarray(c, np.int64), total, n, rare)
+            out.append([{"gram": x, "place": y} for x, y in zip(g.view(np.int64).tolist(), at.tolist(), strict=True)])
+        return pd.Series(out, dtype=object)
+
+    rows = versions.select("item", "version", "text").mapInArrow(words, "item long, version long, place long, word long").join(counts.where("word is not null"), "word", "left")
+    texts = rows.groupBy("item", "version").agg(F.array_sort(F.collect_list(F.struct("place", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    return texts.select("item", "version", F.explode(grams("w.word", "w.n")).alias("g")).select("item", "version", "g.*")
+
+
+def _joined_leaks(docs: DataFrame, items: DataFrame, text_col: str, score: float, n: int, rare: float) -> DataFrame:
     """(hi, lo, item_id, score, first_word, end_word): seeds and texts of a benchmark of any size meet by shuffles.
 
     Rows move only for grams that pass a sieve of the seeds, and texts only where a seed was found."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(counts)
-    kept = {"item": pa.int64(), "version": pa.int64(), "gram": pa.int64(), "place": pa.int64()}
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for i, v, t in zip(*(b.column(c).to_pylist() for c in ("item", "version", "text")), strict=True):
-                w = words_of(t)
-                if len(w):
-                    grams, at = known.value.rare_grams(w, n, rare)
-                    out += [(i, v, g, p) for g, p in zip(grams.view(np.int64).tolist(), at.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kept.values())], list(kept))
-
     versions = items.withColumn("version", F.xxhash64("text")).distinct()
-    seed_rows = written(versions.mapInArrow(seeds, "item long, version long, gram long, place long"))
+    seed_rows = written(_joined_seeds(docs, versions, text_col, n, rare))
     sieve = spark.sparkContext.broadcast(sieve_of(seed_rows.select("gram"), SIEVE_BITS))
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").select("text", *[c.alias(k) for k, c in _names(F.col("text")).items()])
     sizes = range(1, n + 1)
@@ -265,9 +311,9 @@ def _joined_leaks(docs: DataFrame, items: DataFrame, counts: WordCounts, text_co
 def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, score: float, n: int, rare: float, item_bytes: int):
     """(column, table): the leaks of each text as a column where the items fit into every task, else as a joined table."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    counts = word_counts(docs, text_col, items)
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > item_bytes:
-        return None, _joined_leaks(docs, items, counts, text_col, score, n, rare)
+        return None, _joined_leaks(docs, items, text_col, score, n, rare)
+    counts = word_counts(docs, text_col, items)
     held = [(r["item"], w) for r in items.orderBy("item", "text").collect() if len(w := words_of(r["text"]))]
     if not held:
         return F.array().cast(LEAK), None
@@ -296,7 +342,7 @@ def find_leaks(
 
     Null or empty texts and items leak nothing. Items shorter than n words are sought whole. Very long texts are read
     whole, and only the stretches around seeds are aligned. Repeated rows are judged each; rows with a null id keep it;
-    of items with the same id the better alignment counts. Empty tables give no rows; other columns are ignored.
+    of items with the same id the better alignment counts, of equal ones the first in the text. Empty tables give no rows; other columns are ignored.
     """
     column, table = _prepared(docs, benchmark, text_col, item_col, item_text_col, score, n, rare, item_bytes)
     doc = F.col(id_col).cast("long").alias("doc_id")

@@ -163,7 +163,8 @@ def pack(
     Returns a row per piece: doc_id, start (tokens of the document before it), length, tokens (unsigned 32-bit
     little-endian), doc_tokens, sequence_id, offset (position there; gapless from 0) and cost. Each task packs
     windows of about window_tokens as it reads them: no shuffle, a bounded buffer, and under one sequence of
-    padding a window. sequence_id is unique over all tasks and the same when a task is run again.
+    padding a window. sequence_id is unique over all tasks; it is the same when a task is run again if its rows come in
+    the same order, as they do from a scan, though not after a shuffle.
 
     A null or empty text is the end id alone. A very long text is tokenised whole, in its task, and cut over as many
     sequences as it takes; padding is under one sequence for each window and for each task's last one, so very many
