@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import asof, bars, calibration, graph, indicators, outcomes, retrieval, structure
+from tidewater.operators import asof, bars, calibration, graph, indicators, outcomes, retrieval, structure, zones
+from tidewater.streaming import live
 
 START = dt.datetime(2024, 1, 1)
 BARS = "symbol string, ts timestamp, o double, h double, l double, c double, v double"
@@ -110,12 +111,96 @@ def test_empty_bars_give_empty_results(spark):
         assert f(none).count() == 0
 
 
+def with_atr(spark, rows, atr=1.0):
+    return spark.createDataFrame([("s", START + dt.timedelta(hours=i), *map(float, r), 1.0, atr) for i, r in enumerate(rows)], BARS + ", atr double")
+
+
 def test_zones_join_the_nearest_live_one(spark):
-    lv = spark.createDataFrame([("s", 100.0, 1.0, 1), ("s", 100.8, 1.0, 2), ("s", 101.9, 1.0, 3), ("s", 100.1, 1.0, 500)], "symbol string, price double, tol double, known_i int")
-    out = sorted((r["price"], r["members"]) for r in structure.zones(lv).collect())
+    lv = spark.createDataFrame([("s", 100.0, 1.0, 1), ("s", 100.8, 1.0, 2), ("s", 101.9, 1.0, 3), ("s", 100.1, 1.0, 500), ("s", None, 1.0, 2), (None, 1.0, 1.0, 2)], "symbol string, price double, tol double, known_i int")
+    out = sorted((r["price"], r["members"]) for r in zones.zones(with_atr(spark, [(1, 1, 1, 1)] * 510), lv).collect())
     assert out == [(100.0, 2), (100.1, 1), (101.9, 1)]
 
 
+def zigzag_through(level, times):
+    """Bars that close through a level, up and down in turn."""
+    rows = [(level - 1,) * 4] * 3
+    for k in range(times):
+        a, b = (level - 1, level + 1) if k % 2 == 0 else (level + 1, level - 1)
+        rows += [(a, max(a, b), min(a, b), b), (b, b + 0.1, b - 0.1, b)]
+    return rows
+
+
+def test_a_retired_zone_takes_no_touch_and_no_level(spark):
+    lv = lambda *k: spark.createDataFrame([("s", 100.0, 0.2, i) for i in k], "symbol string, price double, tol double, known_i int")
+    worn = with_atr(spark, zigzag_through(100, 6))
+    found, touches = zones.zone_history(worn, lv(0, 14))
+    one, two = found.orderBy("zone").collect()
+    kinds = [r["kind"] for r in touches.where("zone = 0").orderBy("i").collect()]
+    assert kinds == ["break"] + ["retest_fail"] * 3 and one["through"] == 4 and one["members"] == 1
+    assert one["retired_i"] is not None and two["known_i"] == 14 and two["retired_i"] is None
+    # closed through three times only, it lives and takes the level
+    found, _ = zones.zone_history(with_atr(spark, zigzag_through(100, 3) + [(101, 101.1, 100.9, 101)] * 9), lv(0, 14))
+    assert [(r["members"], r["retired_i"]) for r in found.collect()] == [(2, None)]
+
+
+def wild(spark, n=900, seed=5):
+    r = np.random.default_rng(seed)
+    c = 100 + np.cumsum(r.normal(0, 0.6, n)) * 0.5 + 3 * np.sin(np.arange(n) / 17)
+    o = np.concatenate([[c[0]], c[:-1]])
+    rows = [("s" if i % 2 else "t", START + dt.timedelta(hours=i), *map(float, (o[i], max(o[i], c[i]) + r.random(), min(o[i], c[i]) - r.random(), c[i])), 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, BARS)
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(f"{x:.9g}" if isinstance(x, float) else x for x in r) for r in df.collect())))
+
+
+def test_ranges_of_any_size_give_one_pass(spark):
+    from tidewater.operators import signals
+
+    b = indicators.atr(wild(spark)).persist()
+    swings = indicators.body_swings(b)
+    part = lambda flag, price, kind, k: swings.where(flag).select("symbol", (F.col("i") * 2 + k).alias("level_id"), F.col(price).alias("price"), F.lit(kind).alias("kind"), F.col("confirmed").alias("known_i"))
+    lv = part("body_high", "top", "H", 0).unionByName(part("body_low", "bottom", "L", 1)).persist()
+    near = lv.withColumn("tol", F.lit(0.4))
+    whole, touches = zones.zone_history(b, near)
+    assert whole.where("retired_i is not null").count() > 3 and touches.count() > 100
+    for size, warm in ((110, 0), (200, 90)):
+        found, met = zones.zone_history(b, near, range_rows=size, warm_rows=warm)
+        assert rows_of(found) == rows_of(whole) and rows_of(met) == rows_of(touches)
+    assert rows_of(structure.box_states(b, range_rows=130, warm_rows=60)) == rows_of(structure.box_states(b))
+    once = structure.retests(b, lv, 0.3, 20)
+    assert once.count() > 50 and rows_of(structure.retests(b, lv, 0.3, 20, range_rows=90)) == rows_of(once)
+    plan = signals.structure_signals(b).select("symbol", "i", "dir", F.col("level").alias("entry"))
+    once = signals.protected_swings(plan, b)
+    assert once.count() > 20 and rows_of(signals.protected_swings(plan, b, range_rows=90)) == rows_of(once)
+
+
+@pytest.mark.parametrize("cuts", [(), (3, 400, 401), tuple(range(0, 900, 130))])
+def test_zone_stream_gives_the_rows_of_one_pass_however_it_is_cut(spark, tmp_path, cuts):
+    b = indicators.atr(wild(spark)).persist()
+    swings = indicators.body_swings(b)
+    lv = swings.where("body_high or body_low").select("symbol", F.when(F.col("body_high"), F.col("top")).otherwise(F.col("bottom")).alias("price"), F.lit(0.4).alias("tol"), F.col("confirmed").alias("known_i"))
+    rows = zones.machine_rows(b, lv).persist()
+    edges = [-1, *cuts, 10_000]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows.where((F.col("i") > low) & (F.col("i") <= high))
+        again = rows.where((F.col("i") > low - 5) & (F.col("i") <= low))  # some come again
+        part.unionByName(again).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        name = f"zones_{len(cuts)}"
+        q = live.zone_touches(live.stream_table(spark, f"{tmp_path}/rows", rows.schema)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    whole = zones.zone_reactions(b, lv).where("kind <> 'in_progress'").select("symbol", "price", "i", "resolved_i", "kind", "side", "depth", "approach")
+    got = spark.table(name)
+    assert rows_of(got.where("what = 'touch'").select(*whole.columns)) == rows_of(whole) and whole.count() > 50
+    gone = zones.zones(b, lv).where("retired_i is not null").select("symbol", "price", "known_i", "retired_i", "members")
+    assert rows_of(got.where("retired_i is not null").select(*gone.columns)) == rows_of(gone)
+
+
 def test_calibration_closed_forms(spark):
     one = spark.range(1)
     tail = one.select(calibration.binomial_tail(F.lit(7), F.lit(10), F.lit(0.5)).alias("p")).first()["p"]
@@ -150,15 +235,12 @@ def test_walk_forward_never_tests_on_training_rows(spark):
 
 
 def test_zone_touches_in_turn(spark):
-    from tidewater.operators import reactions
-
     path = [(101, 100.5), (100.4, 99.9), (101.5, 100.6), (102, 101), (101, 99.2), (99.5, 98.5), (99.9, 99), (98.9, 98.6)]
-    bars_ = [(("s"), START + dt.timedelta(hours=i), c, float(h), float(min(c, l)), float(c), 1.0, 1.0) for i, (h, l, c) in enumerate((h, l, (h + l) / 2) for h, l in path)]
-    b = spark.createDataFrame(bars_, BARS + ", atr double")
-    zone = spark.createDataFrame([("s", 0, 100.0, 0.2, 0, 200), ("s", 1, 500.0, 0.2, 0, 200), ("t", 0, 1.0, 0.1, 0, 9)], "symbol string, zone int, price double, tol double, known_i int, expires_i int")
-    got = [(r["i"], r["kind"], r["side"]) for r in reactions.zone_reactions(b, zone).orderBy("i").collect()]
+    b = with_atr(spark, [(c, h, min(c, l), c) for h, l, c in ((h, l, (h + l) / 2) for h, l in path)])
+    lv = spark.createDataFrame([("s", 100.0, 0.2, 0), ("s", 500.0, 0.2, 0), ("t", 1.0, 0.1, 0)], "symbol string, price double, tol double, known_i int")
+    got = [(r["i"], r["kind"], r["side"]) for r in zones.zone_reactions(b, lv).orderBy("i").collect()]
     assert got[0] == (1, "rejection", 1) and [k for _, k, _ in got[1:]] == ["in_progress"] or [k for _, k, _ in got[1:]][0] == "break"
-    assert reactions.zone_reactions(b.where("false"), zone).count() == 0
+    assert zones.zone_reactions(b.where("false"), lv).count() == 0
 
 
 def test_shapes_of_swings(spark):

@@ -13,76 +13,9 @@ from .indicators import by_symbol
 from .outcomes import wilson
 from .structure import IMPULSE_MOVE, IMPULSE_SPEED
 
-#: Fixed values, in average ranges and bars.
-AWAY, RESOLVE, RETIRE, LOOK_BACK = 1.0, 16, 4, 60
+#: Fixed values, in average ranges.
 EQUAL, DEPTH, HEAD, SHOULDER, FLAT, SLOPED = 0.5, 1.5, 0.5, 1.0, 0.3, 0.5
 
-REACTION = "symbol string, zone int, i int, resolved_i int, kind string, side int, depth double, prior_holds int"
-
-
-class ZoneScan:
-    """State of one zone's touches: how often it held and was closed through, and whether it awaits a retest."""
-
-    def __init__(self, price: float, tol: float):
-        self.price, self.tol = price, tol
-        self.holds = self.through = 0
-        self.retest = False
-
-    def side(self, closes: np.ndarray, t: int) -> int:
-        """Where price comes from: the last close outside the zone within LOOK_BACK bars before t, 0 for none."""
-        before = closes[max(t - LOOK_BACK + 1, 0) : t] - self.price
-        outside = np.flatnonzero(np.abs(before) > self.tol)
-        return int(np.sign(before[outside[-1]])) if len(outside) else 0
-
-    def touch(self, t: int, side: int, atr: float, h, l, c) -> tuple[int | None, str, float]:
-        """(bar that decides, kind, deepest reach beyond the price) of a touch at t: a close beyond breaks, a move away
-        by an average range after the touch holds, and RESOLVE bars without either stall."""
-        end = min(len(c), t + RESOLVE + 1)
-        beyond = np.flatnonzero(side * (c[t:end] - self.price) < -self.tol)
-        away = np.flatnonzero(side * ((h if side > 0 else l)[t + 1 : end] - self.price) >= AWAY * atr) + 1
-        first = min([*beyond[:1], *away[:1]], default=None)
-        reach = side * (self.price - (l if side > 0 else h)[t : t + first + 1 if first is not None else end])
-        depth = max(0.0, float(reach.max()))
-        if first is None:
-            return None, "stall" if end - t > RESOLVE else "in_progress", depth
-        if len(beyond) and beyond[0] == first:
-            kind = "retest_fail" if self.retest else "break"
-            self.through, self.retest = self.through + 1, True
-        else:
-            kind = "retest_hold" if self.retest else "sweep" if depth >= self.tol else "rejection"
-            self.holds, self.retest = self.holds + 1, False
-        return t + int(first), kind, depth
-
-
-def zone_reactions(bars_with_atr: DataFrame, zones: DataFrame) -> DataFrame:
-    """Every touch of each zone (symbol, zone, price, tol, known_i, expires_i) by its symbol's bars, in order. One pass
-    over a symbol's bars and zones together; only bars whose range meets a zone are looked at."""
-    rows = bars_with_atr.withColumns({"i": F.row_number().over(by_symbol()) - 1, "a": F.lag("atr").over(by_symbol())}).select("symbol", "i", "h", "l", "c", "a")
-
-    def run(key, bars: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("i")
-        h, l, c, a = (bars[k].to_numpy(float) for k in "hlca")
-        out = []
-        for z in own.sort_values("zone").itertuples():
-            scan, free = ZoneScan(z.price, z.tol), 0
-            start, stop = max(int(z.known_i) + 1, 1), min(len(c), int(z.expires_i))
-            for t in (start + np.flatnonzero((l[start:stop] <= z.price + z.tol) & (h[start:stop] >= z.price - z.tol))).tolist() if start < stop else ():
-                if t < free:
-                    continue
-                if scan.through >= RETIRE:
-                    break
-                side = scan.side(c, t)
-                if not side or not a[t] > 0:
-                    continue
-                prior = scan.holds
-                at, kind, depth = scan.touch(t, side, a[t], h, l, c)
-                free = at + 1 if at is not None else t + RESOLVE + 1
-                out.append((key[0], z.zone, t, at, kind, side, depth, prior))
-        return pd.DataFrame(out, columns=["symbol", "zone", "i", "resolved_i", "kind", "side", "depth", "prior_holds"]).astype({"resolved_i": "Int32"})
-
-    return rows.groupBy("symbol").cogroup(zones.groupBy("symbol")).applyInPandas(run, REACTION)
-
-
 def legs(swings: DataFrame) -> DataFrame:
     """Moves between neighbouring swings (symbol, swing_i, kind, price, atr): bars, move, direction and whether the move is an
     impulse: far enough and fast enough in average ranges at its start."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import by_symbol
 from .outcomes import wilson
+from .ranges import RANGE_ROWS, Joining, pass_over
 from .structure import boxes, run_structure, swings_in_turn
 
 #: Fixed values, in average ranges and bars.
@@ -58,36 +58,42 @@ def structure_signals(bars: DataFrame) -> DataFrame:
     return merged.select("symbol", "i", "dir", F.col("all.type").alias("types"), F.element_at("all.level", 1).alias("level"), first_box.alias("box"))
 
 
-def protected_swings(signals: DataFrame, bars: DataFrame) -> DataFrame:
+class ProtectedMachine(Joining):
+    """Swings (step 0) and signals (step 1). State: of the swings seen those that no later one of their kind lies beyond,
+    lows from old to new in ascending order, and highs with their sign changed."""
+
+    out = "i int, dir int, entry double, protected double"
+
+    def start(self):
+        return {"L": [], "H": []}
+
+    def join(self, before, own):
+        return {k: [x for x in before[k] if not own[k] or x < own[k][0]] + own[k] for k in "LH"}
+
+    def run(self, state, rows, ahead):
+        out = []
+        for i, step, kind, level, d, entry in zip(*(rows[n].tolist() for n in ("i", "step", "kind", "level", "dir", "entry")), strict=True):
+            if step:
+                stack = state["L" if d > 0 else "H"]
+                at = bisect.bisect_left(stack, d * entry)
+                if at:
+                    out.append((int(i), int(d), entry, d * stack[at - 1]))
+                continue
+            x, stack = level if kind == "L" else -level, state[kind]
+            del stack[bisect.bisect_left(stack, x) :]
+            stack.append(x)
+        return state, out
+
+
+def protected_swings(signals: DataFrame, bars: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Signals (symbol, i, dir, entry) with the price of the last swing known by then that lies against them: a low below
-    a long entry, a high above a short one. Signals without one go.
-
-    One ordered pass over a symbol's signals and swings. Of the swings seen only those matter that no later one of
-    their kind lies beyond, a sorted stack."""
-
-    def run(key, own: pd.DataFrame, swings: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("i").reset_index(drop=True)
-        coming = list(swings.sort_values(["known_i", "level_i", "kind"])[["known_i", "kind", "level"]].itertuples(index=False, name=None))
-        stacks: dict[str, list[float]] = {"L": [], "H": []}  # L ascending from old to new, H (negated) too
-        found, k = [], 0
-        for i, d, entry in zip(own["i"], own["dir"], own["entry"], strict=True):
-            while k < len(coming) and coming[k][0] <= i:
-                _, kind, level = coming[k]
-                x = level if kind == "L" else -level
-                stack = stacks[kind]
-                while stack and stack[-1] >= x:
-                    stack.pop()
-                stack.append(x)
-                k += 1
-            stack, x = stacks["L" if d > 0 else "H"], d * entry
-            at = bisect.bisect_left(stack, x)
-            found.append(d * stack[at - 1] if at else None)
-        own["protected"] = pd.array(found, "Float64")
-        return own[own["protected"].notna()]
-
-    swings = swings_in_turn(bars).select(F.col("symbol").alias("of"), "known_i", "level_i", "kind", "level")
-    schema = signals.schema.simpleString()[7:-1] + ",protected:double"
-    return signals.groupBy("symbol").cogroup(swings.groupBy("of")).applyInPandas(run, schema)
+    a long entry, a high above a short one. Signals without one go. A pass over ranges of a symbol's bars."""
+    none = F.lit(None)
+    key = ["symbol", "i", "dir", "entry"]
+    swings = swings_in_turn(bars).select("symbol", F.col("known_i").cast("int").alias("i"), F.lit(0).alias("step"), "level_i", "kind", "level", none.cast("int").alias("dir"), none.cast("double").alias("entry"))
+    asked = signals.select("symbol", F.col("i").cast("int").alias("i"), F.lit(1).alias("step"), none.cast("int").alias("level_i"), none.cast("string").alias("kind"), none.cast("double").alias("level"), F.col("dir").cast("int").alias("dir"), F.col("entry").cast("double").alias("entry"))
+    found, _ = pass_over(swings.unionByName(asked.distinct()), ProtectedMachine(), order=("i", "step", "level_i", "kind"), range_rows=range_rows)
+    return signals.join(found, key)
 
 
 def structure_trades(bars_with_atr: DataFrame, horizon: int = 24, target_r: float = 1.0, cost_r: float = 0.05) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import body_swings, by_symbol
+from .ranges import RANGE_ROWS, WARM_ROWS, Joining, Machine, pass_over
 
 def swings_in_turn(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """Body swings in alternation as they were confirmed: symbol, kind (H or L), level_i, level, label, known_i.
@@ -138,80 +138,79 @@ def doji_at_zone(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doji", F.when(support, 1).when(resistance, -1).otherwise(0)).drop("d_", "s_", "r_")
 
 
-RETEST_SCHEMA = "symbol string, level_id long, price double, break_i long, touch_i long, fill_i long, rejected boolean"
+def _spanned(spans: list[list[float]], low: float, high: float) -> list[list[float]]:
+    """Disjoint spans in order, with one more taken in."""
+    apart = [x for x in spans if x[1] < low or x[0] > high]
+    met = [x for x in spans if not (x[1] < low or x[0] > high)]
+    return sorted([*apart, [min([low, *(x[0] for x in met)]), max([high, *(x[1] for x in met)])]])
 
 
-def retests(bars: DataFrame, levels: DataFrame, tolerance: float, max_wait: int) -> DataFrame:
-    """For each level (symbol, level_id, price, kind H or L, known_i): the first bar after known_i whose close crosses it
-    from the other side (break_i), then within max_wait bars the first that comes back within the tolerance (touch_i)
-    and to the level itself (fill_i), and whether the touching bar closed on the broken side (rejected).
+class RetestMachine(Joining):
+    """Bars (step 0) and levels (step 1). State: the unbroken levels of either kind in order of price, and the spans of
+    prices that closes passed over, which tell what becomes of levels that came before."""
+
+    out = "level_id long, price double, break_i long, touch_i long, fill_i long, rejected boolean"
 
-    One pass over a symbol's bars with its unbroken levels in order of price: a bar takes those that its close passes
-    over, so levels and bars are never paired. Levels that nothing breaks give no row."""
-    rows = bars.withColumn("i", F.row_number().over(by_symbol()) - 1).select("symbol", "i", "h", "l", "c")
+    def __init__(self, tolerance: float, max_wait: int):
+        self.tolerance, self.max_wait = tolerance, max_wait
 
-    def run(key, bars: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("i")
-        h, l, c = (bars[k].to_numpy(float) for k in "hlc")
-        own = own.sort_values(["known_i", "level_id"])
-        todo, k = list(own[["known_i", "level_id", "price", "kind"]].itertuples(index=False)), 0
-        open_: dict[str, list[tuple[float, int]]] = {"H": [], "L": []}
+    def start(self):
+        return {"H": [], "L": [], "passed": {"H": [], "L": []}}
+
+    @staticmethod
+    def between(side: list, kind: str, low: float, high: float) -> tuple[int, int]:
+        """Where levels lie that a close passes: a high is passed from at or below it, a low from at or above it."""
+        if kind == "H":
+            return bisect.bisect_left(side, [low]), bisect.bisect_left(side, [high])
+        return bisect.bisect_right(side, [low, float("inf")]), bisect.bisect_right(side, [high, float("inf")])
+
+    def join(self, before, own):
+        out = self.start()
+        for kind in "HL":
+            left = list(before[kind])
+            for low, high in own["passed"][kind]:
+                first, last = self.between(left, kind, low, high)
+                del left[first:last]
+            out[kind] = sorted(left + own[kind])
+        return out
+
+    def run(self, state, rows, ahead):
+        bars = pd.concat([rows, ahead])
+        bars = bars[bars["step"] == 0]
+        h, l, c, first = bars["h"].to_numpy(float), bars["l"].to_numpy(float), bars["c"].to_numpy(float), int(bars["i"].iloc[0]) if len(bars) else 0
         out = []
-        for i in range(1, len(c)):
-            while k < len(todo) and todo[k].known_i < i:
-                bisect.insort(open_[todo[k].kind], (float(todo[k].price), int(todo[k].level_id)))
-                k += 1
-            for kind, d in (("H", 1), ("L", -1)):
-                low, high = sorted((c[i - 1], c[i]))
-                if d * (c[i] - c[i - 1]) <= 0:
-                    continue
-                # the close before is not yet beyond the level, this one is
-                side = open_[kind]
-                first = bisect.bisect_left(side, (low,)) if d > 0 else bisect.bisect_right(side, (low, float("inf")))
-                last = bisect.bisect_left(side, (high,)) if d > 0 else bisect.bisect_right(side, (high, float("inf")))
-                for price, level in side[first:last]:
-                    near = (l - price if d > 0 else price - h)[i + 1 : i + 1 + max_wait]
-                    touch, fill = np.flatnonzero(near <= tolerance)[:1] + i + 1, np.flatnonzero(near <= min(0.0, tolerance))[:1] + i + 1
-                    rejected = bool(len(touch) and d * (c[touch[0]] - price) > 0)
-                    out.append((key[0], level, price, i, touch[0] if len(touch) else None, fill[0] if len(fill) else None, rejected))
-                del side[first:last]
-        columns = ["symbol", "level_id", "price", "break_i", "touch_i", "fill_i", "rejected"]
-        return pd.DataFrame(out, columns=columns).astype({"touch_i": "Int64", "fill_i": "Int64"})
-
-    return rows.groupBy("symbol").cogroup(levels.select("symbol", "level_id", "price", "kind", "known_i").groupBy("symbol")).applyInPandas(run, RETEST_SCHEMA)
-
-
-ZONE_SCHEMA = "symbol string, zone int, price double, tol double, members int, known_i int, expires_i int"
-
-
-def zones(levels: DataFrame, lifetime: int = 200) -> DataFrame:
-    """Merges levels (symbol, price, tol, known_i) in the order they became known: a level joins the nearest zone that is
-    alive then and within the larger tolerance, and prolongs it, else it opens one. One pass for each symbol."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["known_i", "price"])
-        found: list[list] = []  # price, tol, members, known, expires
-        prices: list[float] = []
-        index: list[int] = []
-        for price, tol, known in zip(own["price"], own["tol"], own["known_i"], strict=True):
-            widest = max([tol, *(z[1] for z in found)])
-            best = None
-            for k in range(bisect.bisect_left(prices, price - widest), bisect.bisect_right(prices, price + widest)):
-                z = found[index[k]]
-                off = abs(z[0] - price)
-                if z[4] >= known and off <= max(tol, z[1]) and (best is None or off < abs(best[0] - price)):
-                    best = z
-            if best:
-                best[2] += 1
-                best[4] = max(best[4], known + lifetime)
+        for i, step, close, was, price, level, kind in zip(*(rows[n].tolist() for n in ("i", "step", "c", "was", "price", "level_id", "kind")), strict=True):
+            if step:
+                bisect.insort(state[kind], [price, int(level)])
+                continue
+            k = i - first
+            if not (close != was and was == was):
                 continue
-            k = bisect.bisect_left(prices, price)
-            prices.insert(k, price)
-            index.insert(k, len(found))
-            found.append([price, tol, 1, known, known + lifetime])
-        return pd.DataFrame([(own["symbol"].iloc[0], n, *z) for n, z in enumerate(found)], columns=["symbol", "zone", "price", "tol", "members", "known_i", "expires_i"])
+            kind, d = ("H", 1) if close > was else ("L", -1)
+            low, high = sorted((was, close))
+            state["passed"][kind] = _spanned(state["passed"][kind], low, high)
+            a, b = self.between(state[kind], kind, low, high)
+            for price, level in state[kind][a:b]:
+                near = (l - price if d > 0 else price - h)[k + 1 : k + 1 + self.max_wait]
+                touch, fill = np.flatnonzero(near <= self.tolerance)[:1] + k + 1, np.flatnonzero(near <= min(0.0, self.tolerance))[:1] + k + 1
+                rejected = bool(len(touch) and d * (c[touch[0]] - price) > 0)
+                out.append((level, price, i, int(touch[0]) + first if len(touch) else None, int(fill[0]) + first if len(fill) else None, rejected))
+            del state[kind][a:b]
+        return state, out
+
+
+def retests(bars: DataFrame, levels: DataFrame, tolerance: float, max_wait: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """For each level (symbol, level_id, price, kind H or L, known_i): the first bar after known_i whose close crosses it
+    from the other side (break_i), then within max_wait bars the first that comes back within the tolerance (touch_i)
+    and to the level itself (fill_i), and whether the touching bar closed on the broken side (rejected).
 
-    return levels.select("symbol", "price", "tol", "known_i").groupBy("symbol").applyInPandas(run, ZONE_SCHEMA)
+    A pass over ranges of a symbol's bars with the unbroken levels in order of price: a bar takes those that its close
+    passes over, so levels and bars are never paired. Levels that nothing breaks give no row."""
+    none = F.lit(None)
+    rows = bars.withColumns({"i": F.row_number().over(by_symbol()) - 1, "was": F.lag("c").over(by_symbol())})
+    rows = rows.select("symbol", "i", F.lit(0).alias("step"), "h", "l", "c", "was", none.cast("double").alias("price"), none.cast("long").alias("level_id"), none.cast("string").alias("kind"))
+    points = levels.where("price is not null and kind in ('H', 'L')").select("symbol", F.col("known_i").cast("int").alias("i"), F.lit(1).alias("step"), *(none.cast("double").alias(n) for n in ("h", "l", "c", "was")), F.col("price").cast("double").alias("price"), F.col("level_id").cast("long").alias("level_id"), "kind")
+    return pass_over(rows.unionByName(points), RetestMachine(tolerance, max_wait), order=("i", "step", "price", "level_id"), ahead=max_wait, range_rows=range_rows)[0]
 
 
 def cluster_levels(points: DataFrame, by: str, price: str, tol: Column) -> DataFrame:
@@ -233,80 +232,104 @@ def cluster_levels(points: DataFrame, by: str, price: str, tol: Column) -> DataF
     return rows.select(by, F.col("k.low").alias("low"), F.col("k.high").alias("high"), (F.col("k.total") / F.col("k.n")).alias("mean"), F.col("k.n").alias("n"))
 
 
-BOX_SCHEMA = "symbol string, ts timestamp, i int, top double, bottom double, start_i int, status string, episode int, lead int"
 #: An impulse, in average ranges: how far, and how far a bar.
 IMPULSE_MOVE, IMPULSE_SPEED = 2.5, 0.5
 
 
-def _impulse(a: tuple, b: tuple, atr: np.ndarray) -> int:
-    """Direction of the leg between two swings (kind, bar, price) if it is an impulse by the range at its start."""
-    bars, move, unit = b[1] - a[1], b[2] - a[2], atr[a[1]]
-    strong = bars > 0 and unit > 0 and abs(move) >= unit * max(IMPULSE_MOVE, IMPULSE_SPEED * bars)
+def _impulse(a: list, b: list) -> int:
+    """Direction of the leg between two swings (kind, bar, price, average range) if it is an impulse by the range at its start."""
+    bars, move, unit = b[1] - a[1], b[2] - a[2], a[3]
+    strong = bars > 0 and unit is not None and unit > 0 and abs(move) >= unit * max(IMPULSE_MOVE, IMPULSE_SPEED * bars)
     return int(np.sign(move)) if strong else 0
 
 
-def _box_of(last: list[tuple], unit: float, least_height: float, atr: np.ndarray) -> tuple[float, float, int] | None:
-    """(top, bottom, first bar) that the last swings span: four, or three where the first starts an impulse. None while
-    highs and lows move the same way, and for one too low."""
-    own = last[-4:]
-    if len(own) >= 3 and _impulse(own[0], own[1], atr):
-        own = own[1:]
-    if len(own) < 3 or not np.isfinite(unit):
-        return None
-    sides = {k: [s[2] for s in own if s[0] == k] for k in "HL"}
-    if len(own) == 4 and (sides["H"][1] - sides["H"][0]) * (sides["L"][1] - sides["L"][0]) > 0:
-        return None
-    top, bottom = max(sides["H"]), min(sides["L"])
-    return (top, bottom, own[0][1]) if top - bottom >= least_height * unit else None
+class BoxMachine(Machine):
+    """Bars (step 0) and the swings that they confirm (step 1). A bar is told of once its swings are in. State: the last
+    swings, the box, the one that the swings offer, how the closes stand to it, and the last impulse before it."""
+
+    out = "i int, micros long, top double, bottom double, start_i int, status string, begun int, lead int"
+    TURNS = 12
+
+    def __init__(self, break_tol: float, life: int, least_height: float):
+        self.break_tol, self.life, self.least_height = break_tol, life, least_height
+
+    def start(self):
+        return {"turns": [], "box": None, "offer": None, "status": "none", "since": 0, "begun": -1, "lead": 0}
+
+    def offer(self, turns: list, unit: float) -> list | None:
+        """[top, bottom, first bar] that the last swings span: four, or three where the first starts an impulse. None
+        while highs and lows move the same way, and for one too low."""
+        own = turns[-4:]
+        if len(own) >= 3 and _impulse(own[0], own[1]):
+            own = own[1:]
+        if len(own) < 3 or not np.isfinite(unit):
+            return None
+        sides = {k: [s[2] for s in own if s[0] == k] for k in "HL"}
+        if len(own) == 4 and (sides["H"][1] - sides["H"][0]) * (sides["L"][1] - sides["L"][0]) > 0:
+            return None
+        top, bottom = max(sides["H"]), min(sides["L"])
+        return [top, bottom, own[0][1]] if top - bottom >= self.least_height * unit else None
+
+    def bar(self, s: dict, t: int, c: float, before: float) -> None:
+        tol = self.break_tol * before if np.isfinite(before) else 0.0
+        if s["offer"] and s["status"] in ("none", "inside"):
+            if s["status"] == "none":
+                s["begun"] = t
+            s["box"], s["status"] = s["offer"], "inside"
+        box = s["box"]
+        if box:
+            place = "up" if c > box[0] + tol else "down" if c < box[1] - tol else "inside"
+            if place != s["status"]:
+                s["status"], s["since"] = place, t
+            elif place != "inside" and t - s["since"] >= self.life:
+                s["box"], s["status"], s["begun"] = None, "none", -1
+
+    def told(self, s: dict, t: int, micros: int, atr: float, changed: bool) -> tuple:
+        s["offer"] = offer = self.offer(s["turns"], atr)
+        if changed or offer:
+            recent = s["turns"][-9:]
+            ended = [(a, b) for a, b in zip(recent, recent[1:], strict=False) if not offer or b[1] <= offer[2]]
+            s["lead"] = next((d for a, b in reversed(ended) if (d := _impulse(a, b))), 0)
+        return (t, micros, *(s["box"] or (None, None, None)), s["status"], s["begun"], s["lead"])
+
+    def run(self, state, rows, ahead):
+        out: list[tuple] = []
+        open_: tuple | None = None
+        changed = False
+        for i, step, micros, c, atr, before, kind, level_i, level in zip(*(rows[n].tolist() for n in ("i", "step", "micros", "c", "atr", "before", "kind", "level_i", "level")), strict=True):
+            if step:
+                turns, changed = state["turns"], True
+                if turns and turns[-1][0] == kind:
+                    turns.pop()
+                turns.append([kind, int(level_i), level, atr if np.isfinite(atr) else None])
+                del turns[: max(0, len(turns) - self.TURNS)]
+                continue
+            if open_:
+                out.append(self.told(state, *open_, changed))
+            self.bar(state, int(i), c, before)
+            open_, changed = (int(i), int(micros), atr), False
+        if open_:
+            out.append(self.told(state, *open_, changed))
+        return state, out
 
 
-def box_states(bars_with_atr: DataFrame, left: int = 2, right: int = 2, break_tol: float = 0.1, life: int = 24, least_height: float = 0.75) -> DataFrame:
+def box_states(bars_with_atr: DataFrame, left: int = 2, right: int = 2, break_tol: float = 0.1, life: int = 24, least_height: float = 0.75, range_rows: int = RANGE_ROWS, warm_rows: int = WARM_ROWS) -> DataFrame:
     """Per bar the range that the last alternating swings span, and whether closes hold it (inside), have left it (up or
     down) or there is none. A bar sees only swings confirmed before it. While closes stay inside, the box follows the
     swings; closes outside that last `life` bars end it. episode numbers a box's life, lead is the last impulse's
     direction before the box that the swings offer.
 
-    Swings come from window frames; the state that passes from bar to bar needs one ordered pass over a symbol's bars,
-    nine numbers each, in one group."""
-    bars = bars_with_atr.select("symbol", "ts", (F.row_number().over(by_symbol()) - 1).alias("i"), "c", "atr")
-    swings = swings_in_turn(bars_with_atr, left, right)
-
-    def run(key, own: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("i")
-        c, atr = own["c"].to_numpy(float), own["atr"].to_numpy(float)
-        coming = deque(taken.sort_values(["known_i", "level_i", "kind"])[["known_i", "kind", "level_i", "level"]].itertuples(index=False, name=None))
-        turns: list[tuple] = []
-        box = offer = None
-        status, since, episode, count, lead = "none", 0, -1, 0, 0
-        out = []
-        for t in range(len(c)):
-            tol = break_tol * atr[t - 1] if t and np.isfinite(atr[t - 1]) else 0.0
-            if offer and status in ("none", "inside"):
-                if status == "none":
-                    episode, count = count, count + 1
-                box, status = offer, "inside"
-            if box:
-                place = "up" if c[t] > box[0] + tol else "down" if c[t] < box[1] - tol else "inside"
-                if place != status:
-                    status, since = place, t
-                elif status != "inside" and t - since >= life:
-                    box, status, episode = None, "none", -1
-            changed = bool(coming) and coming[0][0] <= t
-            while coming and coming[0][0] <= t:
-                swing = coming.popleft()[1:]
-                if turns and turns[-1][0] == swing[0]:
-                    turns.pop()
-                turns.append(swing)
-            offer = _box_of(turns, atr[t], least_height, atr)
-            if changed or offer:
-                recent = turns[-9:]
-                ended = [(a, b) for a, b in zip(recent, recent[1:], strict=False) if not offer or b[1] <= offer[2]]
-                lead = next((d for a, b in reversed(ended) if (d := _impulse(a, b, atr))), 0)
-            out.append((*(box or (None, None, None)), status, episode, lead))
-        seen = pd.DataFrame(out, columns=["top", "bottom", "start_i", "status", "episode", "lead"]).astype({"start_i": "Int32"})
-        return pd.concat([own[["symbol", "ts", "i"]].reset_index(drop=True), seen], axis=1)
-
-    return bars.groupBy("symbol").cogroup(swings.withColumnRenamed("symbol", "of").groupBy("of")).applyInPandas(run, BOX_SCHEMA)
+    Swings come from window frames, the state that passes from bar to bar from a pass over ranges of a symbol's bars."""
+    numbered = bars_with_atr.withColumns({"i": F.row_number().over(by_symbol()) - 1, "before": F.lag("atr").over(by_symbol()), "micros": F.unix_micros(F.col("ts").cast("timestamp"))})
+    none = F.lit(None)
+    bars = numbered.select("symbol", "i", F.lit(0).alias("step"), "micros", "c", "atr", "before", none.cast("string").alias("kind"), none.cast("int").alias("level_i"), none.cast("double").alias("level"))
+    swings = swings_in_turn(bars_with_atr, left, right).join(numbered.select("symbol", F.col("i").alias("level_i"), "atr"), ["symbol", "level_i"])
+    swings = swings.select("symbol", F.col("known_i").cast("int").alias("i"), F.lit(1).alias("step"), none.cast("long").alias("micros"), none.cast("double").alias("c"), "atr", none.cast("double").alias("before"), "kind", "level_i", "level")
+    out, _ = pass_over(bars.unionByName(swings), BoxMachine(break_tol, life, least_height), order=("i", "step", "level_i", "kind"), range_rows=range_rows, warm_rows=warm_rows)
+    begun = out.where("begun >= 0").select("symbol", "begun").distinct().withColumn("episode", F.row_number().over(Window.partitionBy("symbol").orderBy("begun")) - 1)
+    out = out.join(begun, ["symbol", "begun"], "left")
+    ts = F.timestamp_micros("micros").cast(dict(bars_with_atr.dtypes)["ts"])
+    return out.select("symbol", ts.alias("ts"), "i", "top", "bottom", "start_i", "status", F.coalesce("episode", F.lit(-1)).alias("episode"), "lead")
 
 
 def box_breaks(states: DataFrame, bars_with_atr: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import asof, bars, choices, indicators, matrix, retrieval, structure
+from ..operators import zones as zone_rules
 from ..session import shared_folder, table
 from ..sources import candles, documents, events, exports
 from ..streaming import live
@@ -148,13 +149,13 @@ def entry_risk(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {HOURLY}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars), {LEVELS}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES}
-    SELECT z.symbol, z.ts, round(max(p) FILTER (WHERE p <= z.c), 6) AS below, round(min(p) FILTER (WHERE p > z.c), 6) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < e GROUP BY 1, 2"""
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES}
+    SELECT z.symbol, z.ts, round(max(zo.p) FILTER (WHERE zo.p <= z.c), 6) AS below, round(min(zo.p) FILTER (WHERE zo.p > z.c), 6) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < least(e, re + 1) GROUP BY 1, 2"""
 )
 def nearest_zones(spark, d):
     b = hourly(spark, d)
     lv = _levels(b).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")
-    zones = structure.zones(lv).select(F.col("symbol"), "price", F.col("known_i").alias("born_i"), F.col("expires_i").alias("dead_i"))
+    zones = zone_rules.lives(zone_rules.zones(indicators.atr(b), lv))
     numbered = b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1).select("symbol", "ts", "i", "c")
     return shown(choices.nearest_zones(numbered, zones), "symbol", "ts", "below", "above")
 
@@ -221,13 +222,13 @@ def first_hits(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {HOURLY}, {ATR}, z AS (SELECT symbol, ts, o, h, l, c, atr, i - 1 AS i FROM a), {LEVELS}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES},
-    ns AS (SELECT z.symbol, z.ts, max(p) FILTER (WHERE p <= z.c) AS below, min(p) FILTER (WHERE p > z.c) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < zo.e GROUP BY 1, 2), dz AS (SELECT z.*, below, above, lag(z.atr) OVER (PARTITION BY z.symbol ORDER BY z.ts) AS pa FROM z JOIN ns ON ns.symbol = z.symbol AND ns.ts = z.ts),
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES},
+    ns AS (SELECT z.symbol, z.ts, max(zo.p) FILTER (WHERE zo.p <= z.c) AS below, min(zo.p) FILTER (WHERE zo.p > z.c) AS above FROM z LEFT JOIN zo ON zo.symbol = z.symbol AND z.i >= b AND z.i < least(zo.e, zo.re + 1) GROUP BY 1, 2), dz AS (SELECT z.*, below, above, lag(z.atr) OVER (PARTITION BY z.symbol ORDER BY z.ts) AS pa FROM z JOIN ns ON ns.symbol = z.symbol AND ns.ts = z.ts),
     dd AS (SELECT *, coalesce(abs(c - o) <= 0.1 * (h - l) AND h - l >= 0.5 * pa AND pa > 0, false) AS d, (c - below) / nullif(atr, 0) AS sd, (above - c) / nullif(atr, 0) AS rd FROM dz)
     SELECT symbol, ts, CASE WHEN d AND coalesce(sd <= 0.5, false) AND NOT coalesce(rd < sd, false) THEN 1 WHEN d AND coalesce(rd <= 0.5, false) THEN -1 ELSE 0 END AS doji FROM dd"""
 )
 def doji_at_zone(spark, d):
     b = indicators.atr(hourly(spark, d))
-    zones = structure.zones(_levels(hourly(spark, d)).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")).select("symbol", "price", F.col("known_i").alias("born_i"), F.col("expires_i").alias("dead_i"))
+    zones = zone_rules.lives(zone_rules.zones(b, _levels(hourly(spark, d)).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")))
     rows = choices.nearest_zones(b.withColumn("i", F.row_number().over(indicators.by_symbol()) - 1), zones)
     return shown(structure.doji_at_zone(rows), "symbol", "ts", "doji")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import indicators, reactions, signals, structure
+from ..operators import zones as zone_rules
+from ..session import checkpointed, shared_folder
+from ..streaming import live
 from .common import HOURLY, hourly, r6, shown
 from .market import ATR, LEVELS, _levels
 
@@ -90,43 +95,97 @@ def swing_shapes(spark, d):
     return shown(reactions.swing_shapes(_confirmed(spark, d)))
 
 
-_ZONES = """zl AS (SELECT symbol, price, tol, known_i, row_number() OVER (PARTITION BY symbol ORDER BY known_i, price) AS k FROM zin),
-zr(symbol, k, zs) AS (SELECT symbol, k, [{'p': price, 't': tol, 'm': 1, 'b': known_i, 'e': known_i + 200}] FROM zl WHERE k = 1
-  UNION ALL SELECT symbol, k, CASE WHEN hit IS NULL THEN list_append(zs, {'p': price, 't': tol, 'm': 1, 'b': known_i, 'e': known_i + 200})
-    ELSE list_transform(zs, lambda x, n: CASE WHEN n = hit.n THEN {'p': x.p, 't': x.t, 'm': x.m + 1, 'b': x.b, 'e': greatest(x.e, known_i + 200)} ELSE x END) END
-  FROM (SELECT zl.symbol, zl.k, zl.price, zl.tol, zl.known_i, zs, list_min(list_transform(list_filter(list_transform(zs, lambda x, n: {'d': abs(x.p - zl.price), 'p': x.p, 'n': n, 'ok': x.e >= zl.known_i AND abs(x.p - zl.price) <= greatest(zl.tol, x.t)}), lambda y: y.ok), lambda y: {'d': y.d, 'p': y.p, 'n': y.n})) AS hit
-    FROM zr JOIN zl ON zl.symbol = zr.symbol AND zl.k = zr.k + 1)),
-zo AS (SELECT symbol, unnest(zs, recursive := true), generate_subscripts(zs, 1) - 1 AS zone FROM (SELECT symbol, arg_max(zs, k) AS zs FROM zr GROUP BY 1))"""
+# ---- zones: one step for each bar, over the list of all zones there have been -------------------------------------------
+_Z = "p DOUBLE, t DOUBLE, b BIGINT, e BIGINT, m INTEGER, ho INTEGER, th INTEGER, fl INTEGER, rt BOOLEAN, fr BIGINT, re BIGINT, ti BIGINT, sd INTEGER, ta DOUBLE, dp DOUBLE, pr INTEGER, fd BOOLEAN, ir BOOLEAN, ap VARCHAR"
+_T = "p DOUBLE, b BIGINT, i BIGINT, rz BIGINT, kind VARCHAR, sd INTEGER, dp DOUBLE, pr INTEGER, fd BOOLEAN, ir BOOLEAN, ap VARCHAR"
+
+
+def _zone(x: str, **new: str) -> str:
+    """A zone as SQL, with some fields changed."""
+    return "{" + ", ".join(f"'{k}': {new.get(k) or f'{x}.{k}'}" for k in (f.split()[0] for f in _Z.split(", "))) + "}"
+
+
+def _leveled(zs: str, k: int) -> str:
+    """The zones after the k-th level of a bar."""
+    lv = f"lv[{k}]"
+    near = f"list_min(list_transform(list_filter(list_transform({zs}, lambda x, n: {{'d': abs(x.p - {lv}.p), 'p': x.p, 'n': n, 'ok': x.e >= i AND x.th < 4 AND abs(x.p - {lv}.p) <= greatest({lv}.t, x.t)}}), lambda y: y.ok), lambda y: {{'d': y.d, 'p': y.p, 'n': y.n}}))"
+    fresh = _zone("x", p=f"{lv}.p", t=f"{lv}.t", b="i", e="i + 200", m="1", ho="0", th="0", fl="0", rt="false", fr="0", re="NULL", ti="NULL", sd="NULL", ta="NULL", dp="NULL", pr="NULL", fd="NULL", ir="NULL", ap="NULL")
+    return f"CASE WHEN {lv} IS NULL THEN {zs} WHEN {near} IS NULL THEN list_append({zs}, {fresh}::STRUCT({_Z})) ELSE list_transform({zs}, lambda x, n: CASE WHEN n = {near}.n THEN {_zone('x', m='x.m + 1', e='greatest(x.e, i + 200)')}::STRUCT({_Z}) ELSE x END) END"
+
+
+_KIND = "CASE y.r WHEN 's' THEN 'stall' WHEN 'b' THEN CASE WHEN y.x.rt THEN 'retest_fail' ELSE 'break' END ELSE CASE WHEN y.x.rt THEN 'retest_hold' WHEN y.d >= y.x.t THEN 'sweep' ELSE 'rejection' END END"
+#: From zin (symbol, price, tol, known_i; at most two a bar) and z: zo, the zones, and zt, their touches.
+_ZONES = f"""zb0 AS (SELECT *, lag(atr) OVER w AS pa, lag(c, 4) OVER w - lag(c) OVER w AS travel, list(c) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING) AS past, greatest(h - l, 0) AS sp FROM z WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+zb1 AS (SELECT *, coalesce(abs(c - o) >= 1.5 * pa AND c > o AND c >= h - 0.25 * sp, false) AS iu, coalesce(abs(c - o) >= 1.5 * pa AND c < o AND c <= l + 0.25 * sp, false) AS dn FROM zb0),
+zb AS (SELECT *, coalesce(lag(dn) OVER w, false) OR coalesce(lag(dn, 2) OVER w, false) AS fell, coalesce(lag(iu) OVER w, false) OR coalesce(lag(iu, 2) OVER w, false) AS rose FROM zb1 WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+zv AS (SELECT symbol, known_i AS i, list({{'p': price, 't': tol}} ORDER BY price) AS lv FROM zin GROUP BY 1, 2),
+zi AS (SELECT zb.*, zv.lv FROM zb LEFT JOIN zv ON zv.symbol = zb.symbol AND zv.i = zb.i),
+zr(symbol, i, zs, done) AS (SELECT DISTINCT symbol, -1::BIGINT, []::STRUCT({_Z})[], []::STRUCT({_T})[] FROM z
+  UNION ALL SELECT symbol, i, {_leveled('l1', 2)}, done FROM (SELECT *, {_leveled('s4', 1)} AS l1 FROM (
+    SELECT *, list_transform(list_filter(s3, lambda y: y.r IS NOT NULL), lambda y: {{'p': y.x.p, 'b': y.x.b, 'i': y.x.ti, 'rz': CASE WHEN y.r <> 's' THEN i END, 'kind': {_KIND}, 'sd': y.x.sd, 'dp': y.d, 'pr': y.x.pr, 'fd': y.x.fd, 'ir': y.x.ir, 'ap': y.x.ap}}::STRUCT({_T})) AS done,
+      list_transform(s3, lambda y: {_zone('y.x', ho="y.x.ho + coalesce(y.r = 'h', false)::INTEGER", th="y.x.th + coalesce(y.r = 'b', false)::INTEGER", fl="y.x.fl + coalesce(y.r = 'h' AND y.x.rt, false)::INTEGER", rt="CASE y.r WHEN 'b' THEN true WHEN 'h' THEN false ELSE y.x.rt END", fr='CASE WHEN y.r IS NULL THEN y.x.fr ELSE i + 1 END', re="CASE WHEN y.r = 'b' AND y.x.th >= 3 THEN i ELSE y.x.re END", ti='CASE WHEN y.r IS NULL THEN y.x.ti END', dp='y.d')}::STRUCT({_Z})) AS s4
+    FROM (SELECT *, list_transform(s2, lambda x: {{'x': x, 'd': greatest(x.dp, x.sd * (x.p - CASE WHEN x.sd > 0 THEN l ELSE h END)),
+        'r': CASE WHEN x.ti IS NULL THEN NULL WHEN x.sd * (c - x.p) < -x.t THEN 'b' WHEN i > x.ti AND x.sd * (CASE WHEN x.sd > 0 THEN h ELSE l END - x.p) >= x.ta THEN 'h' WHEN i >= x.ti + 16 THEN 's' END}}) AS s3
+      FROM (SELECT *, list_transform(s1, lambda y: CASE WHEN y.s IS NULL THEN y.x ELSE {_zone('y.x', ti='i', sd='y.s', ta='pa', dp='0', pr='y.x.ho', fd='y.x.fl > 0', ir='y.x.rt', ap="CASE WHEN CASE WHEN y.s > 0 THEN fell ELSE rose END OR coalesce(y.s * travel >= 2 * pa, false) THEN 'impulse' ELSE 'drift' END")}::STRUCT({_Z}) END) AS s2
+        FROM (SELECT zi.*, list_transform(zr.zs, lambda x: {{'x': x, 's': CASE WHEN x.ti IS NULL AND zi.i >= x.fr AND zi.i < x.e AND x.th < 4 AND zi.l <= x.p + x.t AND zi.h >= x.p - x.t AND zi.pa > 0 THEN list_last(list_transform(list_filter(zi.past, lambda v: abs(v - x.p) > x.t), lambda v: CASE WHEN v > x.p THEN 1 ELSE -1 END)) END}}) AS s1
+          FROM zr JOIN zi ON zi.symbol = zr.symbol AND zi.i = zr.i + 1)))))),
+zf AS (SELECT symbol, unnest(arg_max(zs, i), recursive := true) FROM zr GROUP BY symbol),
+zo AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY b, p) - 1 AS zone FROM zf),
+zu AS (SELECT symbol, unnest(done, recursive := true) FROM zr UNION ALL SELECT symbol, p, b, ti, NULL, 'in_progress', sd, dp, pr, fd, ir, ap FROM zf WHERE ti IS NOT NULL),
+zt AS (SELECT zu.*, zo.zone FROM zu JOIN zo ON zo.symbol = zu.symbol AND zo.b = zu.b AND zo.p = zu.p)"""
 
 
 @query(
-    f"""WITH RECURSIVE {HOURLY}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars), {LEVELS}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES}
-    SELECT symbol, zone::INTEGER AS zone, round(p, 6) AS price, t AS tol, m::INTEGER AS members, b::INTEGER AS known_i, e::INTEGER AS expires_i FROM zo"""
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, price, 8.0::DOUBLE AS tol, known_i FROM lv), {_ZONES}
+    SELECT symbol, zone::INTEGER AS zone, round(p, 6) AS price, t AS tol, m AS members, b::INTEGER AS known_i, e::INTEGER AS expires_i, re::INTEGER AS retired_i, ho AS holds, th AS through, fl AS flips FROM zo"""
 )
 def zones(spark, d):
     b = hourly(spark, d)
     lv = _levels(b).select("symbol", "price", F.lit(8.0).alias("tol"), "known_i")
-    return shown(structure.zones(lv))
+    return shown(zone_rules.zones(indicators.atr(b), lv).drop("frames"))
 
 
-_NEAR = "y.symbol = zt.symbol AND y.i >= zt.i AND y.i < zt.i + 17"
+_AFTER = "zm AS (SELECT symbol, i, max(h) OVER w AS top, min(l) OVER w AS low FROM z WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 16 FOLLOWING))"
 
 
 @query(
-    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}, zn AS (SELECT symbol, count(*) AS n FROM z GROUP BY 1), zb AS (SELECT *, lag(atr) OVER (PARTITION BY symbol ORDER BY i) AS pa FROM z),
-    zq AS (SELECT zo.symbol, zo.zone, zo.p, zo.t, zb.i, zb.pa, zn.n FROM zo JOIN zn ON zn.symbol = zo.symbol JOIN zb ON zb.symbol = zo.symbol AND zb.i >= greatest(zo.b + 1, 1) AND zb.i < least(zn.n, zo.e) AND zb.l <= zo.p + zo.t AND zb.h >= zo.p - zo.t),
-    zt AS (SELECT zq.*, (SELECT arg_max(sign(y.c - zq.p), y.i) FROM z y WHERE y.symbol = zq.symbol AND y.i >= zq.i - 59 AND y.i < zq.i AND abs(y.c - zq.p) > zq.t)::INTEGER AS side FROM zq WHERE pa > 0),
-    zh AS (SELECT zt.*, (SELECT min(y.i) FROM z y WHERE {_NEAR} AND zt.side * (y.c - zt.p) < -zt.t) AS jb, (SELECT min(y.i) FROM z y WHERE {_NEAR} AND y.i > zt.i AND zt.side * (CASE zt.side WHEN 1 THEN y.h ELSE y.l END - zt.p) >= zt.pa) AS ja FROM zt WHERE side IS NOT NULL),
-    zf AS (SELECT *, least(jb, ja) AS rz FROM zh), zg AS (SELECT symbol, zone, i, side, rz, t, coalesce(jb = rz, false) AS broke, i + 17 <= n AS whole, coalesce(rz, i + 16) + 1 AS free, greatest((SELECT max(zt.side * (zt.p - CASE zt.side WHEN 1 THEN y.l ELSE y.h END)) FROM z y WHERE y.symbol = zt.symbol AND y.i >= zt.i AND y.i <= coalesce(zt.rz, zt.i + 16)), 0) AS depth FROM zf zt),
-    zk AS (SELECT zg.*, nx.i AS nxt, row_number() OVER (PARTITION BY zg.symbol, zg.zone ORDER BY zg.i) AS k FROM zg ASOF LEFT JOIN zg nx ON nx.symbol = zg.symbol AND nx.zone = zg.zone AND zg.free <= nx.i),
-    zw(symbol, zone, i, rz, kind, side, depth, prior, nxt, holds, through, retest) AS (SELECT symbol, zone, i, rz, CASE WHEN rz IS NULL THEN CASE WHEN whole THEN 'stall' ELSE 'in_progress' END WHEN broke THEN 'break' WHEN depth >= t THEN 'sweep' ELSE 'rejection' END, side, depth, 0, nxt, (rz IS NOT NULL AND NOT broke)::INTEGER, coalesce(broke, false)::INTEGER, coalesce(broke, false) FROM zk WHERE k = 1
-      UNION ALL SELECT zk.symbol, zk.zone, zk.i, zk.rz, CASE WHEN zk.rz IS NULL THEN CASE WHEN zk.whole THEN 'stall' ELSE 'in_progress' END WHEN zk.broke THEN CASE WHEN zw.retest THEN 'retest_fail' ELSE 'break' END WHEN zw.retest THEN 'retest_hold' WHEN zk.depth >= zk.t THEN 'sweep' ELSE 'rejection' END,
-        zk.side, zk.depth, zw.holds, zk.nxt, zw.holds + (zk.rz IS NOT NULL AND NOT zk.broke)::INTEGER, zw.through + coalesce(zk.broke, false)::INTEGER, CASE WHEN zk.rz IS NULL THEN zw.retest ELSE zk.broke END FROM zw JOIN zk ON zk.symbol = zw.symbol AND zk.zone = zw.zone AND zk.i = zw.nxt WHERE zw.through < 4)
-    SELECT symbol, zone::INTEGER AS zone, i::INTEGER AS i, rz::INTEGER AS resolved_i, kind, side, round(depth, 6) AS depth, prior::INTEGER AS prior_holds FROM zw"""
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}, {_AFTER},
+    zx AS (SELECT zt.*, CASE WHEN kind IN ('rejection', 'sweep', 'retest_hold') THEN i WHEN kind IN ('break', 'retest_fail') THEN rz END AS f, (sd > 0) = (kind IN ('rejection', 'sweep', 'retest_hold')) AS up FROM zt)
+    SELECT zx.symbol, zone::INTEGER AS zone, zx.i::INTEGER AS i, rz::INTEGER AS resolved_i, kind, sd AS side, round(dp, 6) AS depth, pr AS prior_holds, fd AS flipped, ir AS is_retest, ap AS approach, round(CASE WHEN up THEN top - p ELSE p - low END, 6) AS follow
+    FROM zx LEFT JOIN zm ON zm.symbol = zx.symbol AND zm.i = zx.f"""
 )
 def zone_reactions(spark, d):
+    return shown(_touches(spark, d), "symbol", "zone", "i", "resolved_i", "kind", "side", "depth", "prior_holds", "flipped", "is_retest", "approach", "follow")
+
+
+@query(
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}
+    SELECT symbol, b::INTEGER AS known_i, round(p, 6) AS price, i::INTEGER AS i, rz::INTEGER AS resolved_i, kind, sd AS side, round(dp, 6) AS depth, pr AS prior_holds, ap AS approach FROM zt WHERE kind <> 'in_progress'"""
+)
+def stream_zone_touches(spark, d):
+    """The same touches from a stream of bars and levels in four batches, by a state for each zone."""
+    lv = _confirmed(spark, d).where("atr is not null").select("symbol", "price", (F.col("atr") * 0.25).alias("tol"), "known_i")
+    rows = checkpointed(zone_rules.machine_rows(indicators.atr(hourly(spark, d)), lv))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    width = (rows.agg(F.max("i")).first()[0] or 0) // 4 + 1
+    for k in range(4):
+        rows.where(F.floor(F.col("i") / width) == k).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        touched = live.zone_touches(live.stream_table(spark, f"{folder}/rows", rows.schema))
+        q = touched.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(f"{folder}/out").where("what = 'touch'")
+    return shown(out, "symbol", "known_i", "price", "i", "resolved_i", "kind", "side", "depth", "prior_holds", "approach")
+
+
+def _touches(spark, d):
     lv = _confirmed(spark, d).where("atr is not null").select("symbol", "price", (F.col("atr") * 0.25).alias("tol"), "known_i")
-    return shown(reactions.zone_reactions(indicators.atr(hourly(spark, d)), structure.zones(lv)))
+    return zone_rules.zone_reactions(indicators.atr(hourly(spark, d)), lv)
 
 
 # ---- boxes: swings as a list after each one, what they offer, and the state from bar to bar -----------------------------

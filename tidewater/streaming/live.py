@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.zones import KNOWN, LIFETIME, PRICE, ZoneMachine
 
 
 def stream_table(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -55,6 +59,52 @@ def running_ledger(decisions: DataFrame) -> DataFrame:
     return once.groupBy("side", "bin").applyInPandasWithState(update, out, kept, "update", "NoTimeout")
 
 
+class ZoneProcessor(StatefulProcessor):
+    """The zone machine over a stream of its rows, one symbol's at a time: a state variable for each zone alive, and one
+    for the last closes and the place reached. Rows at or before that place are late or repeated, and pass by."""
+
+    def __init__(self, machine: ZoneMachine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.zones = handle.getMapState("zones", "known_i int, price double", "zone string")
+        self.rest = handle.getValueState("rest", "rest string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["i", "step", "price"], kind="stable").drop_duplicates(["i", "step", "price"])
+        state, place = self.machine.start(), [-1, -1]
+        if self.rest.exists():
+            state["past"], state["pushes"], place = json.loads(self.rest.get()[0])
+        new = new[(new["i"] > place[0]) | (new["i"] == place[0]) & (new["step"] > place[1])]
+        if not len(new):
+            return
+        held = {k: v[0] for k, v in self.zones.iterator()}
+        state["zones"] = [json.loads(v) for _, v in sorted(held.items())]
+        state, found = self.machine.run(state, new, new.iloc[:0])
+        now = {(z[KNOWN], z[PRICE]): json.dumps(z) for z in state["zones"]}
+        for k in held.keys() - now.keys():
+            self.zones.removeKey(k)
+        for k, v in now.items():
+            if held.get(k) != v:
+                self.zones.updateValue(k, (v,))
+        last = new.iloc[-1]
+        self.rest.update((json.dumps([state["past"], state["pushes"], [int(last["i"]), int(last["step"])]]),))
+        names = [x.split()[0] for x in self.machine.out.split(", ")]
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=["symbol", *names], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def zone_touches(rows: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
+    """Touches and zones of a stream of machine rows (zones.machine_rows), each as it is decided, in whatever batches the
+    rows come: what zone_history gives for all rows at once but for touches and zones still open. A symbol's rows must come in
+    order of (i, step), as bars and the levels they confirm do; levels of one bar and price are one. Needs the RocksDB
+    state store."""
+    machine = ZoneMachine(lifetime)
+    return rows.groupBy("symbol").transformWithStateInPandas(ZoneProcessor(machine), f"symbol string, {machine.out}", "Append", "None")
+
+
 def upsert_last(path: str, keys: list[str], order: str):
     """For foreachBatch: a table at `path` that keeps the last row of each key by `order`, over all batches. Each batch
     writes a new version beside the old one, which readers find by the highest number."""
