@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import indicators, reactions, signals, structure
+from ..operators import indicators, patterns, reactions, signals, structure
 from ..operators import zones as zone_rules
 from ..session import checkpointed, shared_folder
 from ..streaming import live
@@ -95,6 +95,64 @@ def swing_shapes(spark, d):
     return shown(reactions.swing_shapes(_confirmed(spark, d)))
 
 
+# ---- chart patterns: shapes of the last swings as lists, and what bars make of them ------------------------------------
+def _fam(family: str, when: str, d: str, line: str, other: str = "NULL", beyond: str = "NULL", side: str = "NULL", edge: str = "NULL") -> str:
+    line, other, edge = (f"{x}::STRUCT(p DOUBLE, i BIGINT, s DOUBLE)" for x in (line, other, edge))
+    return f"SELECT symbol, t, '{family}' AS family, ({d})::INTEGER AS d, {line} AS ln, {other} AS ot, ({beyond})::DOUBLE AS bey, ({side})::INTEGER AS sid, {edge} AS ed FROM ch WHERE {when}"
+
+
+def _ln(p: str, i: str, s: str = "0") -> str:
+    return f"{{'p': {p}, 'i': {i}, 's': {s}}}"
+
+
+_UPPER, _LOWER = _ln("h1.p", "h1.i", "sh"), _ln("l1.p", "l1.i", "sl")
+_POLE = "po IS NOT NULL AND t - po.i BETWEEN 1 AND 40 AND len(ag) > 0 AND back > 0 AND back <= 0.5 AND len(list_filter(al, lambda x: po.d * (x.p - po.p) > 0.5 * a)) = 0"
+_NARROW = "(len(ag) >= 2 AND len(al) > 0 AND po.d * (ag[-1].p - ag[1].p) >= 0.3 * a AND po.d * (po.p - al[-1].p) >= 0.3 * a)"
+_SHAPES = f"""fin AS (SELECT symbol, run, arg_max({{'k': kind, 'i': li, 'p': p, 'u': atr}}, li) AS x FROM sw GROUP BY 1, 2),
+bef AS (SELECT symbol, run, list(x) OVER (PARTITION BY symbol ORDER BY run ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS b FROM fin),
+ca AS (SELECT sw.symbol, sw.known_i AS t, list_concat(coalesce(b, []), [{{'k': kind, 'i': li, 'p': p, 'u': atr}}]) AS alt, row_number() OVER (PARTITION BY sw.symbol, sw.known_i ORDER BY li DESC, kind DESC) AS n FROM sw JOIN bef ON bef.symbol = sw.symbol AND bef.run = sw.run),
+cb AS (SELECT ca.symbol, t, alt, z.atr AS a, CASE alt[-1].k WHEN 'H' THEN 1 ELSE -1 END AS s, alt[-1] AS x1, alt[-2] AS x2, alt[-3] AS x3, alt[-4] AS x4, alt[-5] AS x5,
+  list_last(list_filter(list_transform(range(1, len(alt)), lambda k: {{'k': k, 'd': sign(alt[k + 1].p - alt[k].p)::INTEGER, 'p': alt[k + 1].p, 'i': alt[k + 1].i, 'len': abs(alt[k + 1].p - alt[k].p), 'n': alt[k + 1].i - alt[k].i, 'u': alt[k].u}}), lambda y: y.n > 0 AND y.u > 0 AND y.len >= 2.5 * y.u AND y.len / y.n >= 0.5 * y.u)) AS po
+  FROM ca JOIN z ON z.symbol = ca.symbol AND z.i = ca.t WHERE n = 1 AND z.atr > 0 AND len(alt) >= 3),
+cc AS (SELECT *, s * x1.p AS q1, s * x2.p AS q2, s * x3.p AS q3, s * x4.p AS q4, s * x5.p AS q5, CASE WHEN s > 0 THEN x1 ELSE x2 END AS h1, CASE WHEN s > 0 THEN x3 ELSE x4 END AS h0, CASE WHEN s > 0 THEN x2 ELSE x1 END AS l1, CASE WHEN s > 0 THEN x4 ELSE x3 END AS l0,
+  alt[po.k + 2:] AS af FROM cb),
+cd AS (SELECT *, h1.p - h0.p AS dh, l1.p - l0.p AS dl, (h1.p - h0.p) / greatest(h1.i - h0.i, 1) AS sh, (l1.p - l0.p) / greatest(l1.i - l0.i, 1) AS sl, list_filter(af, lambda x: (x.k = 'H') = (po.d < 0)) AS ag, list_filter(af, lambda x: (x.k = 'H') = (po.d > 0)) AS al FROM cc),
+ch AS (SELECT *, (po.d * po.p - list_min(list_transform(ag, lambda x: po.d * x.p))) / po.len AS back FROM cd),
+sp AS ({_fam('double', "abs(q1 - q3) <= 0.5 * a AND least(q1, q3) - q2 >= 1.5 * a AND coalesce(q4 < q2, true)", '-s', _ln('x2.p', 'x2.i'), beyond='s * (greatest(q1, q3) + 0.5 * a)', side='s')}
+UNION ALL {_fam('triple', "x5 IS NOT NULL AND greatest(q1, q3, q5) - least(q1, q3, q5) <= 0.75 * a AND least(q1, q3, q5) - least(q2, q4) >= 1.5 * a", '-s', _ln('s * least(q2, q4)', 'x2.i'), beyond='s * (greatest(q1, q3, q5) + 0.5 * a)', side='s')}
+UNION ALL {_fam('hs', "x5 IS NOT NULL AND q3 - greatest(q1, q5) >= 0.5 * a AND abs(q1 - q5) <= a", '-s', _ln('x2.p', 'x2.i', '(x2.p - x4.p) / greatest(x2.i - x4.i, 1)'), beyond='x3.p', side='s')}
+UNION ALL {_fam('triangle', "abs(dh) <= 0.3 * a AND dl >= 0.5 * a", '1', _ln('greatest(h0.p, h1.p)', 'h1.i'), beyond='l1.p - 0.5 * a', side='-1')}
+UNION ALL {_fam('triangle', "abs(dl) <= 0.3 * a AND dh <= -0.5 * a", '-1', _ln('least(l0.p, l1.p)', 'l1.i'), beyond='h1.p + 0.5 * a', side='1')}
+UNION ALL {_fam('triangle', "dh <= -0.5 * a AND dl >= 0.5 * a", '0', _UPPER, other=_LOWER)}
+UNION ALL {_fam('wedge', "dh >= 0.5 * a AND dl >= 0.5 * a AND sl > sh", '-1', _LOWER, side='1', edge=_UPPER)}
+UNION ALL {_fam('wedge', "dh <= -0.5 * a AND dl <= -0.5 * a AND sh < sl", '1', _UPPER, side='-1', edge=_LOWER)}
+UNION ALL {_fam('flag', f'{_POLE} AND NOT {_NARROW}', 'po.d', _ln('coalesce(al[-1].p, po.p)', 'coalesce(al[-1].i, po.i)'), beyond='po.p - po.d * 0.5 * po.len', side='-po.d')}
+UNION ALL {_fam('pennant', f'{_POLE} AND {_NARROW}', 'po.d', _ln('al[-1].p', 'al[-1].i', '(al[-1].p - po.p) / greatest(al[-1].i - po.i, 1)'), beyond='po.p - po.d * 0.5 * po.len', side='-po.d')}),
+li AS (SELECT *, lead(t) OVER (PARTITION BY symbol, family ORDER BY t) AS til FROM sp),
+lb AS (SELECT li.*, z.i, z.i - t AS age, z.c, coalesce(0.1 * z.atr, 0) AS tol, ln.p + ln.s * (z.i - ln.i) AS up, ot.p + ot.s * (z.i - ot.i) AS low, ed.p + ed.s * (z.i - ed.i) AS edp FROM li JOIN z ON z.symbol = li.symbol AND z.i >= t AND z.i < coalesce(til, 1000000000) AND z.i <= t + 160),
+lc AS (SELECT *, CASE WHEN age > 120 THEN NULL WHEN d = 0 THEN CASE WHEN c - up > tol THEN 1 WHEN low - c > tol THEN -1 END WHEN age > 0 AND d * (c - up) > tol THEN d END AS br, age > 120 OR coalesce(sid * (c - bey) > 0, false) OR coalesce(sid * (c - edp) > tol, false) AS dr FROM lb),
+ld AS (SELECT symbol, family, t, min(i) FILTER (WHERE br IS NOT NULL) AS bi, arg_min(br, i) FILTER (WHERE br IS NOT NULL) AS bd, min(i) FILTER (WHERE dr) AS di FROM lc GROUP BY 1, 2, 3),
+le AS (SELECT lc.*, CASE WHEN bi <= coalesce(di, bi) THEN bi END AS conf, bd, di FROM lc JOIN ld ON ld.symbol = lc.symbol AND ld.family = lc.family AND ld.t = lc.t),
+lf AS (SELECT *, coalesce(i >= conf, false) AS done FROM le WHERE CASE WHEN conf IS NULL THEN i < coalesce(di, 1000000000) ELSE i <= conf + 40 END),
+pat AS (SELECT symbol, i, family, t, CASE WHEN done THEN bd ELSE d END AS d, CASE WHEN done THEN 2 ELSE 1 END AS state, age, CASE WHEN d <> 0 THEN up WHEN NOT done THEN CASE WHEN abs(low - c) < abs(up - c) THEN low ELSE up END WHEN bd < 0 THEN low ELSE up END AS line, c FROM lf)"""
+
+
+@query(f"WITH RECURSIVE {BASE}, {_SHAPES} SELECT symbol, i::INTEGER AS i, family, t::INTEGER AS started, d AS dir, state, age::INTEGER AS age, round(line, 6) AS line FROM pat")
+def chart_patterns(spark, d):
+    return shown(patterns.chart_patterns(indicators.atr(hourly(spark, d))))
+
+
+_PC = ", ".join(
+    f"coalesce(max(state) FILTER (WHERE family = '{f}') * 0 + 1, 0) AS {f}_active, coalesce(max(d) FILTER (WHERE family = '{f}'), 0) AS {f}_dir, coalesce(max(state) FILTER (WHERE family = '{f}'), 0) AS {f}_state, max(age) FILTER (WHERE family = '{f}')::INTEGER AS {f}_age, round(max(CASE WHEN d <> 0 THEN d * (line - z.c) ELSE abs(line - z.c) END / nullif(z.atr, 0)) FILTER (WHERE family = '{f}'), 6) AS {f}_dist_atr"
+    for f in patterns.FAMILIES
+)
+
+
+@query(f"WITH RECURSIVE {BASE}, {_SHAPES} SELECT z.symbol, z.ts, z.i::INTEGER AS i, {_PC} FROM z LEFT JOIN pat ON pat.symbol = z.symbol AND pat.i = z.i GROUP BY 1, 2, 3")
+def pattern_columns(spark, d):
+    return shown(patterns.pattern_columns(indicators.atr(hourly(spark, d))))
+
+
 # ---- zones: one step for each bar, over the list of all zones there have been -------------------------------------------
 _Z = "p DOUBLE, t DOUBLE, b BIGINT, e BIGINT, m INTEGER, ho INTEGER, th INTEGER, fl INTEGER, rt BOOLEAN, fr BIGINT, re BIGINT, ti BIGINT, sd INTEGER, ta DOUBLE, dp DOUBLE, pr INTEGER, fd BOOLEAN, ir BOOLEAN, ap VARCHAR"
 _T = "p DOUBLE, b BIGINT, i BIGINT, rz BIGINT, kind VARCHAR, sd INTEGER, dp DOUBLE, pr INTEGER, fd BOOLEAN, ir BOOLEAN, ap VARCHAR"
@@ -113,23 +171,24 @@ def _leveled(zs: str, k: int) -> str:
     return f"CASE WHEN {lv} IS NULL THEN {zs} WHEN {near} IS NULL THEN list_append({zs}, {fresh}::STRUCT({_Z})) ELSE list_transform({zs}, lambda x, n: CASE WHEN n = {near}.n THEN {_zone('x', m='x.m + 1', e='greatest(x.e, i + 200)')}::STRUCT({_Z}) ELSE x END) END"
 
 
+_ALIVE = "x.ti IS NOT NULL OR (x.th < 4 AND x.e >= i)"
 _KIND = "CASE y.r WHEN 's' THEN 'stall' WHEN 'b' THEN CASE WHEN y.x.rt THEN 'retest_fail' ELSE 'break' END ELSE CASE WHEN y.x.rt THEN 'retest_hold' WHEN y.d >= y.x.t THEN 'sweep' ELSE 'rejection' END END"
 #: From zin (symbol, price, tol, known_i; at most two a bar) and z: zo, the zones, and zt, their touches.
 _ZONES = f"""zb0 AS (SELECT *, lag(atr) OVER w AS pa, lag(c, 4) OVER w - lag(c) OVER w AS travel, list(c) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING) AS past, greatest(h - l, 0) AS sp FROM z WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 zb1 AS (SELECT *, coalesce(abs(c - o) >= 1.5 * pa AND c > o AND c >= h - 0.25 * sp, false) AS iu, coalesce(abs(c - o) >= 1.5 * pa AND c < o AND c <= l + 0.25 * sp, false) AS dn FROM zb0),
 zb AS (SELECT *, coalesce(lag(dn) OVER w, false) OR coalesce(lag(dn, 2) OVER w, false) AS fell, coalesce(lag(iu) OVER w, false) OR coalesce(lag(iu, 2) OVER w, false) AS rose FROM zb1 WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 zv AS (SELECT symbol, known_i AS i, list({{'p': price, 't': tol}} ORDER BY price) AS lv FROM zin GROUP BY 1, 2),
-zi AS (SELECT zb.*, zv.lv FROM zb LEFT JOIN zv ON zv.symbol = zb.symbol AND zv.i = zb.i),
-zr(symbol, i, zs, done) AS (SELECT DISTINCT symbol, -1::BIGINT, []::STRUCT({_Z})[], []::STRUCT({_T})[] FROM z
-  UNION ALL SELECT symbol, i, {_leveled('l1', 2)}, done FROM (SELECT *, {_leveled('s4', 1)} AS l1 FROM (
+zi AS MATERIALIZED (SELECT zb.*, zv.lv FROM zb LEFT JOIN zv ON zv.symbol = zb.symbol AND zv.i = zb.i),
+zr(symbol, i, zs, done, gone) AS (SELECT DISTINCT symbol, -1::BIGINT, []::STRUCT({_Z})[], []::STRUCT({_T})[], []::STRUCT({_Z})[] FROM z
+  UNION ALL SELECT symbol, i, list_filter(l2, lambda x: {_ALIVE}), done, list_filter(l2, lambda x: NOT ({_ALIVE})) FROM (SELECT symbol, i, {_leveled('l1', 2)} AS l2, done FROM (SELECT *, {_leveled('s4', 1)} AS l1 FROM (
     SELECT *, list_transform(list_filter(s3, lambda y: y.r IS NOT NULL), lambda y: {{'p': y.x.p, 'b': y.x.b, 'i': y.x.ti, 'rz': CASE WHEN y.r <> 's' THEN i END, 'kind': {_KIND}, 'sd': y.x.sd, 'dp': y.d, 'pr': y.x.pr, 'fd': y.x.fd, 'ir': y.x.ir, 'ap': y.x.ap}}::STRUCT({_T})) AS done,
       list_transform(s3, lambda y: {_zone('y.x', ho="y.x.ho + coalesce(y.r = 'h', false)::INTEGER", th="y.x.th + coalesce(y.r = 'b', false)::INTEGER", fl="y.x.fl + coalesce(y.r = 'h' AND y.x.rt, false)::INTEGER", rt="CASE y.r WHEN 'b' THEN true WHEN 'h' THEN false ELSE y.x.rt END", fr='CASE WHEN y.r IS NULL THEN y.x.fr ELSE i + 1 END', re="CASE WHEN y.r = 'b' AND y.x.th >= 3 THEN i ELSE y.x.re END", ti='CASE WHEN y.r IS NULL THEN y.x.ti END', dp='y.d')}::STRUCT({_Z})) AS s4
     FROM (SELECT *, list_transform(s2, lambda x: {{'x': x, 'd': greatest(x.dp, x.sd * (x.p - CASE WHEN x.sd > 0 THEN l ELSE h END)),
         'r': CASE WHEN x.ti IS NULL THEN NULL WHEN x.sd * (c - x.p) < -x.t THEN 'b' WHEN i > x.ti AND x.sd * (CASE WHEN x.sd > 0 THEN h ELSE l END - x.p) >= x.ta THEN 'h' WHEN i >= x.ti + 16 THEN 's' END}}) AS s3
       FROM (SELECT *, list_transform(s1, lambda y: CASE WHEN y.s IS NULL THEN y.x ELSE {_zone('y.x', ti='i', sd='y.s', ta='pa', dp='0', pr='y.x.ho', fd='y.x.fl > 0', ir='y.x.rt', ap="CASE WHEN CASE WHEN y.s > 0 THEN fell ELSE rose END OR coalesce(y.s * travel >= 2 * pa, false) THEN 'impulse' ELSE 'drift' END")}::STRUCT({_Z}) END) AS s2
         FROM (SELECT zi.*, list_transform(zr.zs, lambda x: {{'x': x, 's': CASE WHEN x.ti IS NULL AND zi.i >= x.fr AND zi.i < x.e AND x.th < 4 AND zi.l <= x.p + x.t AND zi.h >= x.p - x.t AND zi.pa > 0 THEN list_last(list_transform(list_filter(zi.past, lambda v: abs(v - x.p) > x.t), lambda v: CASE WHEN v > x.p THEN 1 ELSE -1 END)) END}}) AS s1
-          FROM zr JOIN zi ON zi.symbol = zr.symbol AND zi.i = zr.i + 1)))))),
-zf AS (SELECT symbol, unnest(arg_max(zs, i), recursive := true) FROM zr GROUP BY symbol),
+          FROM zr JOIN zi ON zi.symbol = zr.symbol AND zi.i = zr.i + 1))))))),
+zf AS (SELECT symbol, unnest(gone, recursive := true) FROM zr UNION ALL SELECT symbol, unnest(zs, recursive := true) FROM (SELECT symbol, arg_max(zs, i) AS zs FROM zr GROUP BY symbol)),
 zo AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY b, p) - 1 AS zone FROM zf),
 zu AS (SELECT symbol, unnest(done, recursive := true) FROM zr UNION ALL SELECT symbol, p, b, ti, NULL, 'in_progress', sd, dp, pr, fd, ir, ap FROM zf WHERE ti IS NOT NULL),
 zt AS (SELECT zu.*, zo.zone FROM zu JOIN zo ON zo.symbol = zu.symbol AND zo.b = zu.b AND zo.p = zu.p)"""
