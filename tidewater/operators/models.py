@@ -76,23 +76,32 @@ def intents(min_df: float = 1.0, seed: int = 7) -> Pipeline:
     )
 
 
-def shuffled_null(bars: DataFrame, seed: int) -> DataFrame:
-    """A path without memory: each bar's log shape is dealt to another bar of its symbol and hour of day, and closes are
-    chained anew. The rules that find structure in bars can be run on it for comparison."""
+def shuffled_worlds(bars: DataFrame, seeds: list[int]) -> DataFrame:
+    """Paths without memory, one for each seed and symbol, whose symbols read symbol#seed: each bar's log shape is dealt
+    to another bar of its symbol and hour of day, and closes are chained anew. Rules that find structure in bars run on
+    all worlds at once, with the real bars beside them, as on so many symbols more. The first bar of a symbol has no shape
+    and goes; equal seeds give equal worlds wherever they are run."""
     own = Window.partitionBy("symbol").orderBy("ts")
     rows = bars.withColumn("before_", F.lag("c").over(own)).where("before_ is not null")
-    rows = rows.withColumn("hour_", F.hour("ts")).withColumn("shape_", F.struct(*(F.log(F.col(x) / F.col("before_")).alias(x) for x in "ohlc"), "v"))
+    rows = rows.withColumns({"hour_": F.hour("ts"), "shape_": F.struct(*(F.log(F.col(x) / F.col("before_")).alias(x) for x in "ohlc"), "v")}).withColumn("seed_", F.explode(F.array(*map(F.lit, seeds))))
+    rows = rows.withColumns({"of_": F.col("symbol"), "symbol": F.concat_ws("#", "symbol", "seed_")})
     slot = Window.partitionBy("symbol", "hour_")
-    slots = rows.select("symbol", "ts", "hour_", F.row_number().over(slot.orderBy("ts")).alias("k_"))
-    dealt = rows.select("symbol", "hour_", "shape_", F.row_number().over(slot.orderBy(F.xxhash64(F.lit(seed), "ts"), "ts")).alias("k_"))
+    slots = rows.select("symbol", "of_", "ts", "hour_", F.row_number().over(slot.orderBy("ts")).alias("k_"))
+    deal = F.sha2(F.concat_ws(":", "seed_", F.unix_micros(F.col("ts").cast("timestamp"))), 256)
+    dealt = rows.select("symbol", "hour_", "shape_", F.row_number().over(slot.orderBy(deal, "ts")).alias("k_"))
     out = slots.join(dealt, ["symbol", "hour_", "k_"])
-    first = bars.groupBy("symbol").agg(F.min_by("c", "ts").alias("start_"))
+    first = bars.groupBy(F.col("symbol").alias("of_")).agg(F.min_by("c", "ts").alias("start_"))
     end = F.sum("shape_.c").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    out = out.join(F.broadcast(first), "symbol").withColumn("end_", end)
+    out = out.join(first, "of_").withColumn("end_", end)
     base = F.col("start_") * F.exp(F.col("end_") - F.col("shape_.c"))
     return out.select("symbol", "ts", *((base * F.exp(F.col(f"shape_.{x}"))).alias(x) for x in "ohlc"), F.col("shape_.v").alias("v"))
 
 
+def shuffled_null(bars: DataFrame, seed: int) -> DataFrame:
+    """One such path under the symbol's own name."""
+    return shuffled_worlds(bars, [seed]).withColumn("symbol", F.regexp_replace("symbol", "#[^#]*$", ""))
+
+
 class Registry:
     """Models by version under one folder that the cluster shares; a commit carries over the heads it doesn't replace."""
 

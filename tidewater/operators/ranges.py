@@ -99,9 +99,10 @@ def pass_over(rows: DataFrame, machine: Machine, by: str = "symbol", at: str = "
                 state = machine.join(state, json.loads(left))
             return own[[by, "range_"]].assign(want_=want)
 
-        wanted = states.groupBy(by).applyInPandas(joined, f"{by} {kind}, range_ int, want_ string").where("range_ > 0")
-        late = checkpointed(again(wanted))
-        done = done.where("range_ = 0").unionByName(late)
+        if not states.where("range_ > 0").isEmpty():
+            wanted = states.groupBy(by).applyInPandas(joined, f"{by} {kind}, range_ int, want_ string").where("range_ > 0")
+            late = checkpointed(again(wanted))
+            done = done.where("range_ = 0").unionByName(late)
     else:
         while True:
             before = F.lag("left_").over(Window.partitionBy(by).orderBy("range_"))

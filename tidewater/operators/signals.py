@@ -7,6 +7,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .indicators import by_symbol
 from .outcomes import wilson
 from .ranges import RANGE_ROWS, Joining, pass_over
@@ -102,7 +103,7 @@ def structure_trades(bars_with_atr: DataFrame, horizon: int = 24, target_r: floa
     or over MOST_RISK average ranges, go."""
     own = by_symbol()
     rows = bars_with_atr.withColumns({"i": F.row_number().over(own) - 1, "ahead": F.collect_list(F.struct("h", "l", "c")).over(own.rowsBetween(1, horizon))})
-    signals = structure_signals(bars_with_atr).select("symbol", "i", "dir", "types", "box").join(rows.select("symbol", "i", "ts", F.col("c").alias("entry"), "atr", "ahead").where("atr > 0"), ["symbol", "i"])
+    signals = checkpointed(structure_signals(bars_with_atr)).select("symbol", "i", "dir", "types", "box").join(rows.select("symbol", "i", "ts", F.col("c").alias("entry"), "atr", "ahead").where("atr > 0"), ["symbol", "i"])
     plan = signals.select("symbol", "i", "dir", "entry", "atr")
     d = F.col("dir")
     stop = F.col("protected") - d * STOP_BUFFER * F.col("atr")

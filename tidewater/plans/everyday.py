@@ -94,7 +94,7 @@ def time_block(spark, d):
     return shown(rows, "symbol", "ts", "hour_sin", "hour_cos", "dow", "asia", "london", "new_york", "overlap", "since_open")
 
 
-_BLOCKS = """days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 day))::DATE AS day), blocks AS (SELECT k.name AS session, day + to_hours(k.a) AS start_ts, day + to_hours(k.b) AS end_ts FROM days, (VALUES ('tokyo', 0, 9), ('london', 8, 17), ('newyork', 13, 22)) k(name, a, b) WHERE isodow(day) < 6),
+_BLOCKS = """days AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM bars), (SELECT max(ts)::DATE FROM bars), INTERVAL 1 day))::DATE AS day), blocks AS (SELECT k.name AS session, day + to_hours(k.a) AS start_ts, day + to_hours(k.b) AS end_ts FROM days, (VALUES ('tokyo', 0, 9), ('london', 8, 17), ('newyork', 13, 22)) k(name, a, b) WHERE isodow(day) < 6),
 ss AS (SELECT symbol, session, start_ts, max(h) AS high, min(l) AS low, arg_min(o, ts) AS open, arg_max(c, ts) AS close, max(c) AS ch, min(c) AS cl FROM bars JOIN blocks ON ts >= start_ts AND ts < end_ts GROUP BY 1, 2, 3)"""
 
 
@@ -103,7 +103,8 @@ ss AS (SELECT symbol, session, start_ts, max(h) AS high, min(l) AS low, arg_min(
     CASE WHEN abs(close - open) <= 0.2 * (high - low) THEN 'flat' WHEN close > open THEN 'up' ELSE 'down' END AS direction FROM ss"""
 )
 def session_stats(spark, d):
-    out = events.session_stats(hourly(spark, d), events.session_blocks(spark, "2024-01-01", "2024-01-31"))
+    b = hourly(spark, d)
+    out = events.session_stats(b, events.session_blocks(spark, *events.span(b)))
     return shown(out, "symbol", "session", "start_ts", "high", "low", "open", "close", "range", "net", "direction")
 
 
@@ -114,7 +115,8 @@ def session_stats(spark, d):
     WHEN rng > 0 AND abs(net) >= 0.6 * rng AND dir <> 'flat' THEN 'trend ' || dir WHEN hs = 'break' AND dir = 'up' THEN 'breakout up' WHEN ls = 'break' AND dir = 'down' THEN 'breakout down' WHEN hs = 'break' AND ls = 'break' THEN 'expansion both ways' ELSE 'range' END AS character FROM q"""
 )
 def session_characters(spark, d):
-    out = events.session_stats(hourly(spark, d), events.session_blocks(spark, "2024-01-01", "2024-01-31"))
+    b = hourly(spark, d)
+    out = events.session_stats(b, events.session_blocks(spark, *events.span(b)))
     own = Window.partitionBy("symbol").orderBy("start_ts", "session")
     out = out.withColumns({"ph": F.lag("high").over(own), "pl": F.lag("low").over(own)})
     out = out.withColumns({"high_status": choices.extreme_status(F.col("close_high") > F.col("ph"), F.col("high") > F.col("ph")), "low_status": choices.extreme_status(F.col("close_low") < F.col("pl"), F.col("low") < F.col("pl"))})
@@ -182,28 +184,6 @@ def active_levels(spark, d):
     return choices.active_levels(rows, ["who"], "level", "last", 6).select("who", "o_orderkey", "rank")
 
 
-_TOUCH = "t AS (SELECT ['rejection', 'sweep', 'break', 'retest_hold', 'retest_fail', 'stall'][(l_orderkey + l_linenumber) % 6 + 1] AS kind, l_extendedprice AS follow, l_linenumber - 1 AS prior, l_returnflag AS flag FROM lineitem)"
-
-
-@query(
-    f"""WITH {_TOUCH}, d AS (SELECT *, kind IN ('rejection', 'sweep', 'retest_hold') AS held FROM t WHERE kind <> 'stall'), b AS (SELECT 'overall' AS dimension, 'all' AS bucket, held, follow FROM d UNION ALL SELECT 'prior', CASE WHEN prior < 3 THEN prior::VARCHAR ELSE '3+' END, held, follow FROM d UNION ALL SELECT 'flag', flag, held, follow FROM d),
-    g AS (SELECT dimension, bucket, count(*) AS n, count(*) FILTER (WHERE held) / count(*) AS p, quantile_cont(follow, 0.5) FILTER (WHERE held) AS mh, quantile_cont(follow, 0.5) FILTER (WHERE NOT held) AS mb FROM b GROUP BY 1, 2), w AS (SELECT *, 1.959964 AS k FROM g),
-    v AS (SELECT *, (p + k * k / (2 * n) - k * sqrt(p * (1 - p) / n + k * k / (4 * n * n))) / (1 + k * k / n) AS lo, (p + k * k / (2 * n) + k * sqrt(p * (1 - p) / n + k * k / (4 * n * n))) / (1 + k * k / n) AS hi FROM w)
-    SELECT dimension, bucket, n, {r6('p AS p_hold', '1 - p AS p_break', 'lo AS ci_low', 'hi AS ci_high', 'mh AS median_hold', 'mb AS median_break')}, n < 30 AS unreliable, n >= 30 AND (lo > 0.5 OR hi < 0.5) AS clear_of_half FROM v"""
-)
-def zone_statistics(spark, d):
-    kinds = F.array(*map(F.lit, ("rejection", "sweep", "break", "retest_hold", "retest_fail", "stall")))
-    at = ((F.col("l_orderkey") + F.col("l_linenumber")) % 6 + 1).cast("int")
-    rows = table(spark, d, "lineitem").select(F.element_at(kinds, at).alias("kind"), F.col("l_extendedprice").alias("follow"), (F.col("l_linenumber") - 1).alias("prior"), F.col("l_returnflag").alias("flag"))
-    return shown(choices.bucket_stats(rows, {"prior": choices.touches_bucket(F.col("prior")), "flag": F.col("flag")}))
-
-
-@query("SELECT s_suppkey, round(least(s_suppkey % 9, 5) + 1.5 * least(s_suppkey % 5, 3) + s_suppkey % 4 + round(2 * exp(-greatest(s_acctbal / 1000, 0) / 3), 2) - 0.75 * (s_suppkey % 3), 2) AS score FROM supplier")
-def zone_scores(spark, d):
-    k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", choices.zone_score(k % 9, k % 5, k % 4, F.col("s_acctbal") / 1000, k % 3).alias("score"))
-
-
 @query(
     f"""WITH {PROBS}, c AS (SELECT l_orderkey, l_linenumber, p_buy AS lt, p_sell AS st, CASE WHEN l_linenumber % 2 = 0 THEN p_hold END AS co, CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE -1 END AS dco, CASE WHEN l_linenumber % 4 = 0 THEN p_buy END AS fa, 1 AS dfa FROM t),
     w AS (SELECT *, 0.4 + CASE WHEN co IS NULL THEN 0 ELSE 0.15 END + CASE WHEN fa IS NULL THEN 0 ELSE 0.1 END AS total FROM c)
@@ -486,11 +466,17 @@ def slugs(spark, d):
 
 
 @query(
-    """WITH days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 day))::DATE AS day), k AS (SELECT day, CASE WHEN isodow(day) = 5 AND day(day) <= 7 THEN 'payrolls' WHEN isodow(day) = 4 THEN 'claims' END AS type FROM days)
-    SELECT day + to_minutes(CASE WHEN day >= DATE '2024-03-10' AND day < DATE '2024-11-03' THEN 750 ELSE 810 END) AS ts, type FROM k WHERE type IS NOT NULL"""
+    """WITH days AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 day))::DATE AS day), k AS (SELECT day, CASE WHEN isodow(day) = 5 AND day(day) <= 7 THEN 'payrolls' WHEN isodow(day) = 4 THEN 'claims' END AS type FROM days),
+    r AS (SELECT day + to_minutes(CASE WHEN day >= DATE '2024-03-10' AND day < DATE '2024-11-03' THEN 750 ELSE 810 END) AS ts, type FROM k WHERE type IS NOT NULL)
+    SELECT r.ts, type, event_type, count(*) AS n, round(sum(value), 4) AS total FROM r JOIN events e ON e.ts >= r.ts - INTERVAL 1 hour AND e.ts < r.ts + INTERVAL 1 hour GROUP BY 1, 2, 3"""
 )
 def ruled_events(spark, d):
-    return shown(events.rule_events(spark, "2024-01-01", "2024-12-31"), "ts", "type")
+    """What the hour before and after each release of the given span holds, by event type."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rules = events.rule_events(spark, *events.span(e)).select(F.col("ts").alias("at"), "type").withColumn("hour_", F.explode(F.sequence(F.date_trunc("hour", F.col("at") - F.expr("interval 1 hour")), F.date_trunc("hour", F.col("at") + F.expr("interval 1 hour")), F.expr("interval 1 hour"))))
+    near = e.withColumn("hour_", F.date_trunc("hour", "ts")).join(rules, "hour_").where((F.col("ts") >= F.col("at") - F.expr("interval 1 hour")) & (F.col("ts") < F.col("at") + F.expr("interval 1 hour")))
+    out = near.groupBy(F.col("at").alias("ts"), "type", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return shown(out).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT event_id, CASE WHEN m < 0 THEN 'past' ELSE 'ahead' END AS status, round(m, 6) AS minutes_until FROM (SELECT event_id, event_type, ts, (floor(epoch(ts)) - epoch(TIMESTAMP '2024-01-15 12:00:00')) / 60 AS m FROM events WHERE ts >= TIMESTAMP '2024-01-15 06:00:00' AND ts <= TIMESTAMP '2024-01-16 12:00:00')")

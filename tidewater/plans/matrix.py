@@ -122,7 +122,7 @@ _DAY = "SELECT DISTINCT event_type AS name, ts::DATE AS day FROM events"
 def schedule_pages(spark, d):
     days = table(spark, d, "events").select(F.col("event_type").alias("name"), F.to_date("ts").alias("day")).distinct()
     line = F.concat(F.lit("<li>\n <b>"), F.date_format("day", "MMMM d, yyyy"), F.lit("</b>: "), "name", F.lit(" release</li>"))
-    pages = days.groupBy(F.lit("https://example.org/schedule").alias("url")).agg(F.array_join(F.collect_list(line), "\n").alias("html"))
+    pages = days.groupBy(F.concat(F.lit("https://example.org/schedule/"), F.date_format("day", "yyyy-MM")).alias("url")).agg(F.array_join(F.collect_list(line), "\n").alias("html"))
     return shown(events.parse_schedule(pages, r"<b>(\w+ \d{1,2}, \d{4})</b>:\s*(\w+) release", "MMMM d, yyyy", 510, "America/New_York").select("name", "ts"))
 
 
@@ -160,9 +160,9 @@ def nearest_zones(spark, d):
     return shown(choices.nearest_zones(numbered, zones), "symbol", "ts", "below", "above")
 
 
-@query("SELECT page_id, sha256(unhex(printf('%02x', strlen(a)) || '00000000000000') || encode(a) || unhex(printf('%02x', strlen(b)) || '00000000000000') || encode(b)) AS key FROM (SELECT page_id, left(url, 60) AS a, 'v' || page_id % 5 AS b FROM pages)")
+@query("SELECT page_id, sha256(unhex(printf('%02x%02x%02x', strlen(a) % 256, strlen(a) // 256 % 256, strlen(a) // 65536) || '0000000000') || encode(a) || unhex(printf('%02x', strlen(b)) || '00000000000000') || encode(b)) AS key FROM (SELECT page_id, url AS a, 'v' || page_id % 5 AS b FROM pages)")
 def cache_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", documents.cache_key(F.substring("url", 1, 60), F.concat(F.lit("v"), (F.col("page_id") % 5).cast("string"))).alias("key"))
+    return table(spark, d, "pages").select("page_id", documents.cache_key(F.col("url"), F.concat(F.lit("v"), (F.col("page_id") % 5).cast("string"))).alias("key"))
 
 
 @query("SELECT item_id, 'item-' || item_id AS name, 'Item ' || item_id AS title, trim(text) AS body FROM benchmark")

@@ -82,15 +82,3 @@ def _breakdown(spark, d, where="true"):
 @query(f"WITH {_B} SELECT dimension, bucket, n, wins, round(wins / n, 6) AS win_rate, round(mean, 5) AS mean FROM k")
 def breakdown(spark, d):
     return _breakdown(spark, d).select("dimension", "bucket", "n", "wins", F.round("win_rate", 6).alias("win_rate"), F.round("mean", 5).alias("mean"))
-
-
-def _side(name: str, status: str) -> str:
-    return _B.replace("FROM lineitem)", f"FROM lineitem WHERE l_linestatus = '{status}')").replace("t AS (", f"{name}t AS (").replace("FROM t", f"FROM {name}t").replace(", b AS (", f", {name}b AS (").replace("FROM b GROUP", f"FROM {name}b GROUP").replace(", k AS (", f", {name} AS (")
-
-
-@query(
-    f"""WITH {_side('re', 'O')}, {_side('nu', 'F')}, j AS (SELECT re.dimension, re.bucket, re.n, re.wins, nu.n AS n0, nu.wins AS wins0, (re.wins + nu.wins) / (re.n + nu.n) AS p FROM re JOIN nu ON re.dimension = nu.dimension AND re.bucket = nu.bucket),
-    q AS (SELECT *, (wins / n - wins0 / n0) / nullif(sqrt(p * (1 - p) * (1 / n + 1 / n0)), 0) AS z FROM j) SELECT dimension, bucket, n, wins, n0, wins0, round(z, 6) AS z, coalesce(least(n, n0) >= 30 AND abs(z) > 2.58, false) AS edge FROM q"""
-)
-def edges_against_null(spark, d):
-    return shown(reactions.edges(_breakdown(spark, d, "l_linestatus = 'O'"), _breakdown(spark, d, "l_linestatus = 'F'")))

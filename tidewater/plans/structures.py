@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import indicators, patterns, reactions, signals, structure
+from ..operators import choices, indicators, models, patterns, reactions, signals, structure
 from ..operators import zones as zone_rules
 from ..session import checkpointed, shared_folder
 from ..streaming import live
@@ -247,6 +247,65 @@ def _touches(spark, d):
     return zone_rules.zone_reactions(indicators.atr(hourly(spark, d)), lv)
 
 
+_HELD = "kind IN ('rejection', 'sweep', 'retest_hold')"
+_MET = f"""zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}, {_AFTER},
+zx AS (SELECT zt.*, CASE WHEN {_HELD} THEN zt.i WHEN kind IN ('break', 'retest_fail') THEN rz END AS f, {_HELD} AS held, (sd > 0) = ({_HELD}) AS up FROM zt),
+zy AS (SELECT zx.*, CASE WHEN up THEN top - p ELSE p - low END AS follow, CASE WHEN pr < 3 THEN pr::VARCHAR ELSE '3+' END AS prior FROM zx LEFT JOIN zm ON zm.symbol = zx.symbol AND zm.i = zx.f WHERE kind NOT IN ('stall', 'in_progress'))"""
+
+
+@query(
+    f"""WITH RECURSIVE {BASE}, {_MET}, b AS (SELECT 'overall' AS dimension, 'all' AS bucket, held, follow FROM zy UNION ALL SELECT 'prior', prior, held, follow FROM zy UNION ALL SELECT 'approach', ap, held, follow FROM zy UNION ALL SELECT 'flipped', fd::VARCHAR, held, follow FROM zy),
+    g AS (SELECT dimension, bucket, count(*) AS n, count(*) FILTER (WHERE held) / count(*) AS p, quantile_cont(follow, 0.5) FILTER (WHERE held) AS mh, quantile_cont(follow, 0.5) FILTER (WHERE NOT held) AS mb FROM b GROUP BY 1, 2), k AS (SELECT *, 1.959964 AS k FROM g),
+    v AS (SELECT *, (p + k * k / (2 * n) - k * sqrt(p * (1 - p) / n + k * k / (4 * n * n))) / (1 + k * k / n) AS lo, (p + k * k / (2 * n) + k * sqrt(p * (1 - p) / n + k * k / (4 * n * n))) / (1 + k * k / n) AS hi FROM k)
+    SELECT dimension, bucket, n, {r6('p AS p_hold', '1 - p AS p_break', 'lo AS ci_low', 'hi AS ci_high', 'mh AS median_hold', 'mb AS median_break')}, n < 30 AS unreliable, n >= 30 AND (lo > 0.5 OR hi < 0.5) AS clear_of_half FROM v"""
+)
+def zone_statistics(spark, d):
+    """How often touches hold, in all and by what was known as they began."""
+    return shown(choices.bucket_stats(_touches(spark, d), {"prior": choices.touches_bucket(F.col("prior_holds")), "approach": F.col("approach"), "flipped": F.col("flipped")}))
+
+
+@query(
+    f"""WITH RECURSIVE {BASE}, zin AS (SELECT symbol, p AS price, atr * 0.25 AS tol, known_i FROM sw WHERE atr IS NOT NULL), {_ZONES}, zn AS (SELECT symbol, max(i) AS n FROM z GROUP BY 1)
+    SELECT zo.symbol, zone::INTEGER AS zone, round(least(ho, 5) + 1.5 * least(fl, 3) + 1 + round(2 * exp(-greatest((n - b) / 24, 0) / 3), 2) - 0.75 * th, 2) AS score FROM zo JOIN zn ON zn.symbol = zo.symbol"""
+)
+def zone_scores(spark, d):
+    """Scores of all zones as the data end, a day being 24 bars."""
+    bars = indicators.atr(hourly(spark, d))
+    lv = _confirmed(spark, d).where("atr is not null").select("symbol", "price", (F.col("atr") * 0.25).alias("tol"), "known_i")
+    last = bars.groupBy("symbol").agg((F.count("*") - 1).alias("last_i"))
+    found = zone_rules.zones(bars, lv).join(last, "symbol")
+    score = choices.zone_score(F.col("holds"), F.col("flips"), F.col("frames"), (F.col("last_i") - F.col("known_i")) / 24, F.col("through"))
+    return found.select("symbol", "zone", score.alias("score"))
+
+
+SEEDS = (1, 2)
+_WORLDS = f"""{HOURLY.replace("bars AS", "bars0 AS", 1)}, wa AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM bars0),
+wb AS (SELECT symbol AS own, symbol || '#' || k AS symbol, k, ts, hour(ts) AS hr, ln(o / pc) AS lo, ln(h / pc) AS lh, ln(l / pc) AS ll, ln(c / pc) AS lc, v FROM wa, (VALUES {", ".join(f"({k})" for k in SEEDS)}) q(k) WHERE pc IS NOT NULL),
+wc AS (SELECT own, symbol, ts, hr, row_number() OVER (PARTITION BY symbol, hr ORDER BY ts) AS n FROM wb), wd AS (SELECT symbol, hr, lo, lh, ll, lc, v, row_number() OVER (PARTITION BY symbol, hr ORDER BY sha256(k || ':' || epoch_us(ts)), ts) AS n FROM wb),
+we AS (SELECT wc.own, wc.symbol, ts, lo, lh, ll, lc, v, sum(lc) OVER (PARTITION BY wc.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ends FROM wc JOIN wd ON wd.symbol = wc.symbol AND wd.hr = wc.hr AND wd.n = wc.n),
+wf AS (SELECT symbol, arg_min(c, ts) AS c0 FROM bars0 GROUP BY 1), wg AS (SELECT we.*, c0 * exp(ends - lc) AS base FROM we JOIN wf ON wf.symbol = we.own),
+bars AS (SELECT symbol, ts, o, h, l, c, v FROM bars0 UNION ALL SELECT symbol, ts, base * exp(lo), base * exp(lh), base * exp(ll), base * exp(lc), v FROM wg)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BASE.replace(HOURLY, _WORLDS, 1)}, {_MET}, b AS (SELECT contains(symbol, '#') AS nil, 'overall' AS dimension, 'all' AS bucket, held FROM zy UNION ALL SELECT contains(symbol, '#'), 'prior', prior, held FROM zy UNION ALL SELECT contains(symbol, '#'), 'approach', ap, held FROM zy),
+    g AS (SELECT dimension, bucket, count(*) FILTER (WHERE NOT nil) AS n, count(*) FILTER (WHERE NOT nil AND held) AS wins, count(*) FILTER (WHERE nil) AS n0, count(*) FILTER (WHERE nil AND held) AS wins0 FROM b GROUP BY 1, 2), j AS (SELECT *, (wins + wins0) / (n + n0) AS p FROM g WHERE n > 0 AND n0 > 0),
+    q AS (SELECT *, (wins / n - wins0 / n0) / nullif(sqrt(p * (1 - p) * (1 / n + 1 / n0)), 0) AS z FROM j) SELECT dimension, bucket, n, wins, n0, wins0, round(z, 6) AS z, coalesce(least(n, n0) >= 30 AND abs(z) > 2.58, false) AS edge FROM q"""
+)
+def edges_against_null(spark, d):
+    """Where zones of the real bars hold more or less often than those that the same rules find in shuffled ones: real bars
+    and all worlds pass through the rules at once, and the worlds' touches are pooled."""
+    real = hourly(spark, d)
+    bars = checkpointed(indicators.atr(real.unionByName(models.shuffled_worlds(real, list(SEEDS)).select(*real.columns))))
+    at = bars.withColumn("level_i", F.row_number().over(indicators.by_symbol()) - 1).select("symbol", "level_i", "atr")
+    lv = structure.swings_in_turn(bars).join(at, ["symbol", "level_i"]).where("atr is not null").select("symbol", F.col("level").alias("price"), (F.col("atr") * 0.25).alias("tol"), "known_i")
+    decided = zone_rules.zone_reactions(bars, lv).where(F.col("kind").isin(*choices.HOLDS, *choices.BREAKS)).withColumn("r", F.when(F.col("kind").isin(*choices.HOLDS), 1.0).otherwise(-1.0))
+    sides = {"overall": F.lit("all"), "prior": choices.touches_bucket(F.col("prior_holds")), "approach": F.col("approach")}
+    null = F.contains("symbol", F.lit("#"))
+    decided = checkpointed(decided)
+    return shown(reactions.edges(reactions.breakdown(decided.where(~null), sides), reactions.breakdown(decided.where(null), sides)))
+
+
 # ---- boxes: swings as a list after each one, what they offer, and the state from bar to bar -----------------------------
 def _leg(a: str, b: str) -> str:
     return f"(CASE WHEN {b}.i > {a}.i AND {a}.u > 0 AND abs({b}.p - {a}.p) >= {a}.u * greatest(2.5, 0.5 * ({b}.i - {a}.i)) THEN sign({b}.p - {a}.p) ELSE 0 END)"

@@ -34,6 +34,12 @@ def upcoming(events: DataFrame, now: Column, hours_back: int, hours_ahead: int,
     return rows.withColumns({"minutes_until": minutes, "status": F.when(minutes < 0, "past").otherwise("ahead")})
 
 
+def span(rows: DataFrame, ts: str = "ts") -> tuple[str, str]:
+    """First and last date of rows, for a calendar that covers them; one day where there are no rows."""
+    first, last = rows.agg(F.min(F.to_date(ts)).cast("string"), F.max(F.to_date(ts)).cast("string")).first()
+    return (first, last) if first else ("1970-01-01", "1970-01-01")
+
+
 def rule_events(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Events that follow a rule: payrolls on first Fridays and claims on Thursdays, 8:30 in New York; approximate."""
     days = spark.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 day)) as day")

@@ -107,12 +107,16 @@ def zone_touches(rows: DataFrame, lifetime: int = LIFETIME) -> DataFrame:
 
 def upsert_last(path: str, keys: list[str], order: str):
     """For foreachBatch: a table at `path` that keeps the last row of each key by `order`, over all batches. Each batch
-    writes a new version beside the old one, which readers find by the highest number."""
+    writes a new version beside the old one, which readers find by the highest number; the one before that goes, so that
+    two are kept and a batch that is run again finds what it started from."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
         rows = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{path}/{number - 1}"))
         last(rows).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
