@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
 from ..operators import graph, retrieval
-from ..session import spread, table
+from ..operators.index import TermIndex
+from ..session import shared_folder, spread, table
 from .common import shown
 
 QUERIES: dict = {}
@@ -185,6 +188,27 @@ def bm25(spark, d):
     return retrieval.bm25(_texts(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 5))
 
 
+def _indexed(spark, d):
+    """The texts as an index of two segments in the shared folder."""
+    index = TermIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    texts = _texts(spark, d)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    index.add(texts.where(half == 0))
+    index.add(texts.where(half == 1))
+    return index
+
+
+@query(f"WITH {_bm25('item_id % 100 = 0')} SELECT query_id, doc_id, round(score, 5) AS score FROM bm")
+def indexed_search(spark, d):
+    return _indexed(spark, d).search(_queries(spark, d)).withColumn("score", F.round("score", 5))
+
+
+@query(f"WITH {_bm25('item_id % 100 = 0')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) SELECT query_id, round(score, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 20")
+def indexed_top(spark, d):
+    """Scores of the twenty best; equal ones differ in their last bits, so ids of ties are left out."""
+    return _indexed(spark, d).search_top(_queries(spark, d), 20).select("query_id", F.round("score", 5).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 VEC = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q), vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v)"
 
 

@@ -34,10 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables up to this size may be dealt out over the cores; larger ones have row groups enough.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """A plain scan in at least as many partitions as there are cores: few row groups would leave them idle."""
+    """A plain scan in at least as many partitions as there are cores, if it is small: few row groups would leave them
+    idle. A larger one is read as it lies, whatever the number of cores."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= SPREAD_BYTES and rows.rdd.getNumPartitions() < cores else rows
 
 
 def as_timestamp(df: DataFrame, *cols: str) -> DataFrame:
