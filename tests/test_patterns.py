@@ -66,14 +66,18 @@ def test_double_top_forms_is_confirmed_and_dropped(spark):
     lead = [90 + 0.3 * i + (0.4 if i % 2 else 0) for i in range(20)]
     tops = [97, 98.5, 100, 99, 98, 97, 96.2, 97, 98, 99, 100.2, 99.2, 98.2, 97.4, 96.6]
     second, end = len(lead) + 10, len(lead) + len(tops)
-    view = lambda closes: {r["i"]: r for r in patterns.chart_patterns(indicators.atr(series(spark, closes, 0.2))).where("family = 'double'").collect()}
-    got = view(lead + tops + [95.2, 94.5, 94.0])
+    paths = {"all": lead + tops + [95.2, 94.5, 94.0], "cut": lead + tops, "up": lead + tops[:-2] + [99.5, 101.5, 102.0]}
+    bars = None
+    for name, closes in paths.items():
+        one = series(spark, closes, 0.2, name)
+        bars = one if bars is None else bars.unionByName(one)
+    found = patterns.chart_patterns(indicators.atr(bars)).where("family = 'double'").drop("family").collect()
+    got, cut, up = ({r["i"]: r for r in found if r["symbol"] == name} for name in paths)
     first = min(got)
     assert first == second + 2 and (got[first]["dir"], got[first]["state"], got[first]["age"]) == (-1, 1, 0)
     assert got[first]["line"] == pytest.approx(96.2)
     assert got[end - 1]["state"] == 1 and got[end]["state"] == 2
-    assert view(lead + tops) == {i: r for i, r in got.items() if i < end}
-    up = view(lead + tops[:-2] + [99.5, 101.5, 102.0])
+    assert {i: r[1:] for i, r in cut.items()} == {i: r[1:] for i, r in got.items() if i < end}
     assert up and max(up) < end + 1
     columns = {r["i"]: r for r in patterns.pattern_columns(indicators.atr(series(spark, lead + tops + [95.2], 0.2))).collect()}
     assert columns[first]["double_dist_atr"] > 0 > columns[end]["double_dist_atr"] and columns[end]["double_state"] == 2

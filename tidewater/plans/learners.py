@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import boosted, indicators
+from pyspark.sql import functions as F
+
+from ..operators import boosted, indicators, setup
 from .common import daily, shown
 
 QUERIES: dict = {}
@@ -40,3 +42,13 @@ def feature_shares(spark, d):
     """Each feature's part in what moves the upper quantile, over all bars."""
     rows, model = _fitted(spark, d, 6)
     return shown(boosted.feature_shares(boosted.contribution_columns(rows, model, 2), model))
+
+
+@query
+def setup_head(spark, d):
+    """For each bar calibrated odds that the next five bars rise by a tenth, fall by one, or neither."""
+    rows = indicators.returns(daily(spark, d)).withColumns({"label": F.when(F.col("target") > 0.1, 0).when(F.col("target") < -0.1, 1).when(F.col("target").isNotNull(), 2), "t": F.unix_seconds("ts")})
+    rows = rows.withColumn("t_end", F.col("t") + 5 * 86400)
+    model = setup.fit_setup(rows, FEATURES, "label", "t", "t_end", splits=3, gap=5)
+    out = setup.setup_columns(rows, model)
+    return shown(out.select("symbol", "ts", *(F.col("p")[k].alias(n) for k, n in enumerate(("p_buy", "p_sell", "p_hold")))))
