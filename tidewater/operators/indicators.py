@@ -244,3 +244,27 @@ def z_move(bars: DataFrame, n: int, window: int = 5760, least: int = 1000) -> Da
     rows = bars.withColumn("r_", log_return())
     deviation = F.when(F.count("r_").over(rolling(window)) >= least, F.stddev_samp("r_").over(rolling(window)))
     return rows.withColumn("z", log_return(n) / F.nullif(deviation * F.sqrt(F.lit(n)), F.lit(0.0))).drop("r_")
+
+
+def level_features(bars: DataFrame) -> DataFrame:
+    """Adds atr_pct, rsi_14 and dist_sma20, 50 and 200: where a close stands, in shares of itself; null until the series are
+    long enough, and where a mean is 0."""
+    rows = rsi(atr(bars))
+    c = F.col("c")
+    return rows.withColumns({"atr_pct": F.col("atr") / F.nullif(c, F.lit(0.0)), "rsi_14": F.col("rsi")} | {f"dist_sma{n}": c / F.nullif(sma("c", n), F.lit(0.0)) - 1 for n in (20, 50, 200)}).drop("rsi", "tr")
+
+
+def frame_pack(bars: DataFrame) -> DataFrame:
+    """One row for each symbol's last bar: close, change, average range, strength, means and distances to them in average
+    ranges, the difference of two means, bands, and high, low and place in the range of the 365 days up to it."""
+    own = by_symbol()
+    rows = macd(rsi(atr(bars))).withColumns({f"sma{n}": sma("c", n) for n in (20, 50, 200)} | {"dev_": F.stddev_pop("c").over(rolling(20)), "before_": F.lag("c").over(own)})
+    rows = smoothed(rows, {"ema21": ("c", span(21), 21)})
+    year = Window.partitionBy("symbol").orderBy(F.unix_timestamp("ts")).rangeBetween(-365 * 86400, 0)
+    rows = rows.withColumns({"high_52w": F.max("h").over(year), "low_52w": F.min("l").over(year), "last_": F.max("ts").over(Window.partitionBy("symbol"))}).where("ts = last_")
+    c, unit = F.col("c"), F.nullif("atr", F.lit(0.0))
+    cols = {"last": c, "change_pct": (c / F.col("before_") - 1) * 100, "atr14": F.col("atr"), "atr14_pct": F.col("atr") / c * 100, "rsi14": F.col("rsi"), "upper": F.col("sma20") + 2 * F.col("dev_"), "lower": F.col("sma20") - 2 * F.col("dev_")}
+    cols |= {f"dist_{k}_atr": (c - F.col(k)) / unit for k in ("sma20", "sma50", "sma200", "ema21")}
+    cols["position_pct"] = (c - F.col("low_52w")) / F.nullif(F.col("high_52w") - F.col("low_52w"), F.lit(0.0)) * 100
+    kept = ["last", "change_pct", "atr14", "atr14_pct", "rsi14", "sma20", "sma50", "sma200", "ema21", "macd", "upper", "lower", *(f"dist_{k}_atr" for k in ("sma20", "sma50", "sma200", "ema21")), "high_52w", "low_52w", "position_pct"]
+    return rows.withColumns(cols).select("symbol", "ts", *kept)

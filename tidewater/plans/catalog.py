@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import indicators
-from . import decisions, everyday, learners, market, matrix, reactions, structures
+from . import decisions, everyday, learners, market, matrix, packs, reactions, structures
 from .common import hourly, shown
 
-QUERIES: dict = market.QUERIES | everyday.QUERIES | matrix.QUERIES | structures.QUERIES | decisions.QUERIES | reactions.QUERIES | learners.QUERIES
-ORACLES: dict[str, str] = market.ORACLES | everyday.ORACLES | matrix.ORACLES | structures.ORACLES | decisions.ORACLES | reactions.ORACLES | learners.ORACLES
+QUERIES: dict = market.QUERIES | everyday.QUERIES | matrix.QUERIES | structures.QUERIES | decisions.QUERIES | reactions.QUERIES | learners.QUERIES | packs.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | everyday.ORACLES | matrix.ORACLES | structures.ORACLES | decisions.ORACLES | reactions.ORACLES | learners.ORACLES | packs.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
