@@ -140,11 +140,8 @@ def sweep_counts(bars: DataFrame, back: int = SWEEP_BARS) -> DataFrame:
 
 
 # ---- retest trades -------------------------------------------------------------------------------------------------
-def retest_trades(bars: DataFrame, retests: DataFrame, stop: float, target: float, spread: float, horizon: int) -> DataFrame:
-    """(symbol, entry_kind, start_i, dir, entry, outcome, move) of three ways to trade a retest (symbol, level_id, dir,
-    price, touch_i, fill_i, rejected): `touch` at the level itself, whose target doesn't count on that bar;
-    `reject_close` at the close of a rejecting touch and `next_open` after it. One trade for each kind, bar and
-    direction, that of the earliest touch; open ones go. move is net of the spread."""
+def _retest_entries(bars: DataFrame, retests: DataFrame, horizon: int) -> DataFrame:
+    """One row for each way to trade a retest, with its entry and the bars from it on."""
     own = by_symbol()
     rows = bars.withColumns({"i": F.row_number().over(own) - 1, "path": F.collect_list(F.struct("h", "l", "c")).over(own.rowsBetween(0, horizon - 1)), "before": F.lag("c").over(own)})
     way = lambda kind, ok, start, entry, skip: F.when(ok, F.struct(F.lit(kind).alias("entry_kind"), start.cast("int").alias("start_i"), F.lit(entry).alias("at"), F.lit(skip).alias("skip")))
@@ -154,15 +151,35 @@ def retest_trades(bars: DataFrame, retests: DataFrame, stop: float, target: floa
     once = Window.partitionBy("symbol", "entry_kind", "start_i", "dir").orderBy("touch_i", "level_id")
     trades = trades.withColumn("n", F.row_number().over(once)).where("n = 1").join(rows.select("symbol", F.col("i").alias("start_i"), "o", "before", "path"), ["symbol", "start_i"])
     entry = F.when(F.col("at") == "level", F.col("price")).when(F.col("at") == "before", F.col("before")).otherwise(F.col("o"))
+    return trades.withColumn("entry", entry)
+
+
+def _retest_outcomes(trades: DataFrame, stop: Column, target: Column, spread: float, horizon: int) -> DataFrame:
     d = F.col("dir")
-    trades = trades.withColumn("entry", entry)
     against, along = lambda x: F.when(d > 0, x["l"]).otherwise(-x["h"]), lambda x: F.when(d > 0, x["h"]).otherwise(-x["l"])
     hit = F.filter(F.transform("path", lambda x, k: F.when((along(x) >= d * F.col("entry") + target) & (k >= F.col("skip")), k)), lambda k: k.isNotNull())
     trades = trades.withColumns({"s": _first("path", lambda x: against(x) <= d * F.col("entry") - stop), "t": F.try_element_at(hit, F.lit(1))})
     lost, won, whole = F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("s") <= F.col("t"))), F.col("t").isNotNull(), F.size("path") == horizon
     outcome = F.when(lost, "loss").when(won, "win").when(whole, "timeout")
     move = F.when(lost, -stop).when(won, target).when(whole, (F.element_at("path", -1)["c"] - F.col("entry")) * d)
-    return trades.withColumns({"outcome": outcome, "move": move - spread}).where("outcome is not null").select("symbol", "entry_kind", "start_i", "dir", "entry", "outcome", "move")
+    return trades.withColumns({"outcome": outcome, "move": move - spread}).where("outcome is not null")
+
+
+def retest_trades(bars: DataFrame, retests: DataFrame, stop: float, target: float, spread: float, horizon: int) -> DataFrame:
+    """(symbol, entry_kind, start_i, dir, entry, outcome, move) of three ways to trade a retest (symbol, level_id, dir,
+    price, touch_i, fill_i, rejected): `touch` at the level itself, whose target doesn't count on that bar;
+    `reject_close` at the close of a rejecting touch and `next_open` after it. One trade for each kind, bar and
+    direction, that of the earliest touch; open ones go. move is net of the spread."""
+    trades = _retest_outcomes(_retest_entries(bars, retests, horizon), F.lit(stop), F.lit(target), spread, horizon)
+    return trades.select("symbol", "entry_kind", "start_i", "dir", "entry", "outcome", "move")
+
+
+def retest_grid(bars: DataFrame, retests: DataFrame, stops: list[float], targets: list[float], spread: float, horizon: int) -> DataFrame:
+    """The same trades under each pair of stop and target, in those columns: entries and their bars are found once, and
+    the grid is laid over them."""
+    cells = [F.struct(F.lit(a).alias("stop"), F.lit(b).alias("target")) for a in stops for b in targets]
+    trades = _retest_entries(bars, retests, horizon).withColumn("cell_", F.explode(F.array(*cells))).withColumns({"stop": F.col("cell_.stop"), "target": F.col("cell_.target")})
+    return _retest_outcomes(trades, F.col("stop"), F.col("target"), spread, horizon).select("symbol", "entry_kind", "start_i", "dir", "stop", "target", "entry", "outcome", "move")
 
 
 def summarize_moves(trades: DataFrame, by: list[str], stop: float, target: float, spread: float, fewest: int = 100) -> DataFrame:

@@ -510,11 +510,6 @@ def retest_summary(spark, d):
 )
 def best_grid_cell(spark, d):
     b, found = _retested(spark, d)
-    found = found.cache()
-    cells = None
-    for stop in (40.0, 80.0, 160.0):
-        for target in (80.0, 160.0):
-            trades = signals.retest_trades(b, found, stop, target, 2.0, 24).where("entry_kind = 'reject_close'")
-            cell = trades.agg(F.count("*").alias("n"), F.avg("move").alias("expectancy")).select(F.lit(0).alias("all"), F.lit(stop).alias("stop"), F.lit(target).alias("target"), "n", "expectancy")
-            cells = cell if cells is None else cells.unionByName(cell)
+    trades = signals.retest_grid(b, found, [40.0, 80.0, 160.0], [80.0, 160.0], 2.0, 24).where("entry_kind = 'reject_close'")
+    cells = trades.groupBy(F.lit(0).alias("all"), "stop", "target").agg(F.count("*").alias("n"), F.avg("move").alias("expectancy"))
     return shown(signals.best_cell(cells, ["all"]).drop("all"))
