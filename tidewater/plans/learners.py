@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosted, indicators, setup
+from ..operators import boosted, indicators, lists, setup
+from ..session import checkpointed, table
 from .common import daily, shown
 
 QUERIES: dict = {}
@@ -52,3 +53,16 @@ def setup_head(spark, d):
     model = setup.fit_setup(rows, FEATURES, "label", "t", "t_end", splits=3, gap=5)
     out = setup.setup_columns(rows, model)
     return shown(out.select("symbol", "ts", *(F.col("p")[k].alias(n) for k, n in enumerate(("p_buy", "p_sell", "p_hold")))))
+
+
+#: Of 32 lists a search probes 28: the given vectors lie in no clusters, so fewer lists would miss more.
+LISTS, PROBES = 32, 28
+
+
+@query
+def listed_neighbours(spark, d):
+    """The hundred nearest vectors of each stated query by inverted lists over all vectors."""
+    vectors = table(spark, d, "embeddings")
+    centroids = lists.fit_centroids(vectors, LISTS)
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return shown(lists.nearest(checkpointed(lists.listed(vectors, centroids)), centroids, queries, 100, PROBES), "query_id", "doc_id", "score", "rank")
