@@ -1,5 +1,8 @@
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 import corpus_pipeline
-from tidewater.llm import decontaminate, pii, queries
+from tidewater.llm import common, decontaminate, pii, queries
 from tidewater.llm.ngram_join import ngram_jaccard_join
 
 from .helpers import words
@@ -49,5 +52,18 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
 
 
 def test_every_operator_has_a_query(spark):
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert ngram_jaccard_join and decontaminate and pii
+
+
+def test_runs_side_by_side_keep_their_tables(spark):
+    def run(n):
+        mark = common.table_mark()
+        common.written(spark.range(n))
+        kept = common.written(spark.range(n + 1))
+        common.drop_tables(spark, mark)
+        time.sleep(1)
+        return kept.count()
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(run, (1, 2, 3))) == [2, 3, 4]

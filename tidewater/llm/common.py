@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,19 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
+    _own_tables().append(path)
     free_shuffles(spark)
     return spark.read.parquet(path)
 
 
-#: Tables written and not yet removed, oldest first.
-_tables: list[str] = []
+#: Tables written and not yet removed, oldest first; each thread has its own, so that runs side by side keep theirs.
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def _own_tables() -> list[str]:
+    if _tables.get() is None:
+        _tables.set([])
+    return _tables.get()
 
 
 #: Tables of texts up to this size may be dealt out over the cores; larger ones have row groups enough.
@@ -64,15 +71,16 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_mark() -> int:
-    return len(_tables)
+    return len(_own_tables())
 
 
 def drop_tables(spark: SparkSession, mark: int) -> None:
     """Removes the tables written since the mark but the newest: for work whose one result that is."""
-    for p in _tables[mark:-1]:
+    tables = _own_tables()
+    for p in tables[mark:-1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _tables[mark:-1]
+    del tables[mark:-1]
 
 
 def free_shuffles(spark: SparkSession) -> None:
