@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +25,42 @@ def aligned_returns(bars: DataFrame) -> DataFrame:
     return r.join(whole, "ts")
 
 
+def _pair_sums(rows: DataFrame) -> DataFrame:
+    """(a, b, n, sx, sy, sxx, syy, sxy) over the instants (ts, symbol, x, y) at which a has an x and b a y, both less the
+    symbol's mean. A task sums up its instants as products of matrices, so it sends one row a pair, however many
+    instants there are; what one instant holds is as many numbers as there are symbols."""
+    means = rows.groupBy("symbol").agg(F.avg("x").alias("mx_"), F.avg("y").alias("my_"))
+    rows = rows.join(means, "symbol").select("ts", F.struct("symbol", (F.col("x") - F.col("mx_")).alias("x"), (F.col("y") - F.col("my_")).alias("y")).alias("v"))
+    instants = rows.groupBy("ts").agg(F.collect_list("v").alias("v"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            flat = pd.DataFrame([(i, r["symbol"], r["x"], r["y"]) for i, v in enumerate(f["v"]) for r in v], columns=["i", "symbol", "x", "y"]).drop_duplicates(["i", "symbol"])
+            x, y = (flat.pivot(index="i", columns="symbol", values=k).astype(float) for k in "xy")
+            mx, my = x.notna().to_numpy(float), y.notna().to_numpy(float)
+            x0, y0 = x.fillna(0.0).to_numpy(), y.fillna(0.0).to_numpy()
+            sums = dict(n=mx.T @ my, sx=x0.T @ my, sy=mx.T @ y0, sxx=(x0**2).T @ my, syy=mx.T @ y0**2, sxy=x0.T @ y0)
+            names = list(x.columns)
+            part = pd.DataFrame({"a": np.repeat(names, len(names)), "b": np.tile(names, len(names))} | {k: m.ravel() for k, m in sums.items()}).set_index(["a", "b"])
+            total = part if total is None else total.add(part, fill_value=0.0)
+        if total is not None:
+            yield total.reset_index()
+
+    parts = instants.select("v").mapInPandas(run, f"a {dict(means.dtypes)['symbol']}, b {dict(means.dtypes)['symbol']}, " + ", ".join(f"{k} double" for k in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    return parts.groupBy("a", "b").agg(*(F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy"))).where("n > 0")
+
+
+def _moments() -> list:
+    return [F.expr(e) for e in ("sxy - sx * sy / n", "sxx - sx * sx / n", "syy - sy * sy / n")]
+
+
 def correlation_matrix(returns: DataFrame) -> DataFrame:
-    """(a, b, corr, beta, n) of each pair of symbols; beta is a's on b. Symbols meet at equal instants only, so an
-    instant gives as many rows as it has pairs of symbols."""
-    a = returns.select("ts", F.col("symbol").alias("a"), F.col("r").alias("x"))
-    b = returns.select("ts", F.col("symbol").alias("b"), F.col("r").alias("y"))
-    both = a.join(b, "ts").where("a < b")
-    return both.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), (F.covar_samp("x", "y") / F.nullif(F.var_samp("y"), F.lit(0.0))).alias("beta"), F.count("*").alias("n"))
+    """(a, b, corr, beta, n) of each pair of symbols over the instants they share; beta is a's on b. Null where one of them
+    doesn't move."""
+    sums = _pair_sums(returns.select("ts", "symbol", F.col("r").alias("x"), F.col("r").alias("y"))).where("a < b")
+    xy, xx, yy = _moments()
+    return sums.select("a", "b", (xy / F.nullif(F.sqrt(xx * yy), F.lit(0.0))).alias("corr"), (xy / F.nullif(yy, F.lit(0.0))).alias("beta"), F.col("n").cast("long").alias("n"))
 
 
 def rolling_correlation(returns: DataFrame, a: str, b: str, n: int, block: int = BLOCK) -> DataFrame:
@@ -46,9 +79,9 @@ def rolling_correlation(returns: DataFrame, a: str, b: str, n: int, block: int =
 def lead_lag(returns: DataFrame, lag: int = 1) -> DataFrame:
     """Correlation of each symbol's return with every other's `lag` instants before."""
     own = Window.partitionBy("symbol").orderBy("ts")
-    before = returns.select("ts", F.col("symbol").alias("leader"), F.lag("r", lag).over(own).alias("y"))
-    both = returns.select("ts", F.col("symbol").alias("follower"), F.col("r").alias("x")).join(before, "ts").where("leader <> follower and y is not null")
-    return both.groupBy("leader", "follower").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    sums = _pair_sums(returns.select("ts", "symbol", F.col("r").alias("x"), F.lag("r", lag).over(own).alias("y"))).where("a <> b")
+    xy, xx, yy = _moments()
+    return sums.select(F.col("b").alias("leader"), F.col("a").alias("follower"), (xy / F.nullif(F.sqrt(xx * yy), F.lit(0.0))).alias("corr"), F.col("n").cast("long").alias("n"))
 
 
 def strength(bars: DataFrame, window: int, volatility: int, least: int, fewest: int, fill: int = 12) -> DataFrame:
