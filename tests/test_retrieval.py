@@ -1,6 +1,7 @@
 """Searches and packing against plain versions, in small blocks and on more rows than one task may hold."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -54,3 +55,15 @@ def test_packing_gathers_no_more_rows_than_the_budget_allows(spark):
     many = spark.range(200_000).select(F.lit("s").alias("source"), F.col("id").alias("doc_id"), F.lit(1).alias("n"))
     assert pack(many).count() == 100
     assert "collect_list" not in pack(many)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_squeezed_lines_take_linear_time(spark):
+    n = 20_000
+    long = "\n".join(f"  line   {i // 2}" for i in range(n))
+    odd = [None, "", "\n", "\n\n\n", "a", "a\n", "a\r\n", "a\n\n", "\n\na\n\n\n\nb \n b\n", " \n a  a\na a\n\n\n\na a", "a\n\t\na", "x\nx\nx\n\nx\n"]
+    want = [None, "", "", "", "a", "a", "a", "a\n", "a\n\nb [×2]", "a a [×2]\n\na a", "a\n\na", "x [×3]\n\nx"]
+    rows = spark.createDataFrame(list(enumerate([*odd, long])), "i int, t string").coalesce(1)
+    start = time.monotonic()
+    got = [r["x"] for r in rows.select("i", retrieval.normalize_whitespace(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert time.monotonic() - start < 30
+    assert got[:-1] == want and got[-1] == "\n".join(f"line {i} [×2]" for i in range(n // 2))
