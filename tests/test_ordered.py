@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import asof, bars, calibration, graph, indicators, outcomes, retrieval, structure, zones
+from tidewater.operators import asof, bars, calibration, graph, indicators, ordered, outcomes, retrieval, structure, zones
 from tidewater.streaming import live
 
 START = dt.datetime(2024, 1, 1)
@@ -258,3 +258,14 @@ def test_shapes_of_swings(spark):
     assert shapes([12, 8, 11, 9])["triangle"] == 0
     assert shapes([5, 10, 8, 11])["wedge"] == -1
     assert shapes([5, 20, 6, 30])["double"] is None
+
+
+def test_percentiles_in_ranges_are_those_of_one_group(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(900)) / 4).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(9, None), (10, 1.5), (11, float("inf")), (11, float("inf"))], "g long, v double"))
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = sorted(map(str, rows.groupBy("g").agg(*(F.percentile("v", F.lit(q)).alias(k) for k, q in shares.items())).collect()))
+    for size in (100, 1_000_000):
+        assert sorted(map(str, ordered.percentiles(rows, ["g"], "v", shares, range_rows=size).collect())) == want
+    plan = ordered.percentiles(rows, ["g"], "v", shares, range_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "part_" in plan

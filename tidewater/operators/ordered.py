@@ -58,3 +58,20 @@ def tile(n: Column, of: Column, tiles: int) -> Column:
     small, larger = F.floor(of / tiles), of % tiles
     head = larger * (small + 1)
     return F.when(n <= head, F.floor((n - 1) / (small + 1)) + 1).otherwise(larger + F.floor((n - 1 - head) / F.nullif(small, F.lit(0))) + 1)
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Exact percentiles of each group by name, linear between neighbouring values, as percentile() gives them; null for
+    groups without a value. Equal values are counted first, their running counts lie in ranges, and a percentile is the
+    least value that the count of its rank reaches, so that no task holds a group's values."""
+    counts = checkpointed(rows.groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count(value).alias("c_")))
+    upto = running(counts, by, ["v_"], {"upto_": F.col("c_")}, range_rows)
+    totals = counts.groupBy(*[F.col(k).alias(f"g{i}_") for i, k in enumerate(by)]).agg(F.sum("c_").alias("of_"))
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & upto[k].eqNullSafe(totals[f"g{i}_"])
+    place = {name: F.lit(q) * (F.col("of_") - 1) for name, q in shares.items()}
+    at = lambda rank: F.min(F.when(F.col("upto_") > rank, F.col("v_")))
+    found = upto.drop("of").join(totals, on).groupBy(*by, "of_").agg(*(c for name, p in place.items() for c in (at(F.floor(p)).alias(f"low_{name}"), at(F.ceil(p)).alias(f"high_{name}"))))
+    between = lambda low, high, p: F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+    return found.select(*by, *(between(F.col(f"low_{name}"), F.col(f"high_{name}"), p).alias(name) for name, p in place.items()))

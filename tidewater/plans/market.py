@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, bars, cross, indicators, options, outcomes, structure
+from ..operators import asof, bars, cross, indicators, options, ordered, outcomes, structure
 from ..session import table
 from .common import DAILY, HOURLY, NUMBERED, daily, event_ticks, hourly, r6, shown
 
@@ -466,7 +466,7 @@ def pivot(spark, d):
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.75, 0.9, 0.95)) + " FROM lineitem GROUP BY 1")
 def percentiles(spark, d):
-    return shown(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*(F.percentile("l_extendedprice", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.75, 0.9, 0.95))))
+    return shown(ordered.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {f"p{int(q * 100)}": q for q in (0.5, 0.75, 0.9, 0.95)}))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS n FROM lineitem) WHERE n % 7 = 0")
