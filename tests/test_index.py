@@ -1,12 +1,14 @@
 """The stored index gives the scores of a scan, takes further documents as they come, and skips blocks."""
 
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import retrieval
-from tidewater.operators.index import TermIndex
+from tidewater.operators.index import TermIndex, postings
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,17 @@ def test_blocks_that_cannot_hold_a_best_one_are_left_out(spark, texts, tmp_path)
     assert all(r["read"] < 0.8 * r["all"] for r in needed)
     plan = index.search(asked)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan
+
+
+def test_a_block_is_counted_in_one_task(spark, tmp_path):
+    """Words are counted where their block lies; blocks are bounded by bytes too, and nothing but postings is stored."""
+    block = pa.table({"block": pa.array([3] * 4, pa.int32()), "doc_id": [9, 2, 5, 7], "w": pa.array([["b", "a", "b"], ["a"], None, []], pa.list_(pa.string()))})
+    got = postings(block).sort_by("term").to_pylist()
+    assert [(r["term"], r["block"], r["ids"], r["tfs"], r["sizes"], r["n"], r["most"], r["least"]) for r in got[:2]] == [("a", 3, [2, 9], [1, 1], [1, 3], 2, 1, 1), ("b", 3, [9], [2], [3], 1, 2, 3)]
+    assert [got[2][k] for k in ("term", "docs", "sized", "words")] == [None, 4, 3, 4]
+    empty = postings(block.slice(2, 1)).to_pylist()
+    assert [(r["docs"], r["sized"], r["words"]) for r in empty] == [(1, 0, None)]
+    index = TermIndex(spark, f"{tmp_path}/index", buckets=8)
+    index.add(spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("much text "), 100_000).alias("text")))
+    assert spark.read.parquet(f"{tmp_path}/index/postings").where("term = 'much'").count() > 1
+    assert os.listdir(f"{tmp_path}/index") == ["postings"]
