@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidewater.llm import repeats
 from tidewater.llm.repeats import common_prefix, interval_tree, op7_repeats, remove_repeats
+from tidewater.llm.stored_sieve import FILE_BITS, stored_sieve
 
 from .helpers import frame, odd_rows, words
 
@@ -60,6 +62,30 @@ def test_a_small_sieve_changes_nothing(spark):
     assert sorted(map(tuple, few)) == sorted(map(tuple, many))
 
 
+def test_hot_groups_take_few_steps_and_nothing_of_the_sieve_comes_to_the_driver(spark, monkeypatch):
+    steps, cut = [], repeats.checkpoint
+    monkeypatch.setattr(repeats, "checkpoint", lambda df: steps.append(df) or cut(df))
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("a table was fetched whole"))
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh") for _ in range(190))
+    rows = [(i, f"{r.random()} " * r.randint(0, 4) + r.choice(["of " * r.randint(60, 120), passage + "xy"[i % 2] * r.randint(0, 30)]) + f" {r.random()}" * r.randint(0, 4)) for i in range(60)]
+    out = remove_repeats(frame(spark, rows), group_rows=3).selectExpr("doc_id", "n_bytes", "n_removed", "size(starts) n", "sha2(kept, 256) s").collect()
+    assert sorted(map(tuple, out)) == sorted((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200), strict=True))
+    assert len(steps) <= 4
+
+
+def test_a_stored_sieve_of_several_files_passes_what_it_holds(spark):
+    r = np.random.default_rng(1)
+    held = r.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    sieve = stored_sieve(spark.createDataFrame([(int(x),) for x in held], "h long"), 4 * FILE_BITS)
+    others = r.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    bit = lambda h: h.view(np.uint64) % np.uint64(4 * FILE_BITS)
+    assert sieve.passes(held).all()
+    assert (sieve.passes(others) == np.isin(bit(others), bit(held))).all()
+    assert not stored_sieve(spark.createDataFrame([], "h long"), 64).passes(held).any()
+    assert len(sieve.passes(held[:0])) == 0
+
+
 def test_interval_tree_finds_all_common_prefix_intervals():
     rows = sorted([b"banana", b"band", b"bandit", b"can", b"canal", b"x"])
     tree = set(interval_tree(common_prefix(rows)))

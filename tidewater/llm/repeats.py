@@ -10,6 +10,7 @@ anchor on, how many bytes L they also agree on before it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpoint, in_slices, mix, passes, read_spread, sieve_of, written
+from .common import MIX, checkpoint, in_slices, mix, read_spread, written
+from .stored_sieve import StoredSieve, stored_sieve
 
 LENGTH, GRAM = 200, 32
 SEGMENT = 1 << 20
@@ -26,6 +28,8 @@ SEGMENT = 1 << 20
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
 TEXT_BITS = 1 << 24
 GROUP_ROWS = 20_000
+#: Places that windows of one group of parts may start at, for groups of more rows; after the last each is by itself.
+PART_PLACES = (16, 1)
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -86,24 +90,28 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def _contexts(data: bytes, sieve: np.ndarray, bits: int, length: int):
-    """(anchor, context, place, left, right) of each anchor that may occur again; left is reversed."""
-    h, place, first, last = anchors(data, length)
-    for i in np.flatnonzero(passes(sieve, h, bits)).tolist() if len(h) else ():
-        p = int(place[i])
-        left, right = data[int(first[i]) : p][::-1], data[p : int(last[i]) + length]
-        yield int(h[i]), xxhash.xxh3_64_intdigest(left, xxhash.xxh3_64_intdigest(right)) - (1 << 63), p, left, right
+def _contexts(texts: Iterator[bytes], sieve: StoredSieve, length: int):
+    """(text's number, anchor, context, place, left, right) of each anchor that may occur again; left is reversed."""
+    for some in batched(enumerate(texts), 64):
+        found = [anchors(d, length) for _, d in some]
+        own = sieve.passes(np.concatenate([f[0] for f in found]))
+        start = 0
+        for (k, data), (h, place, first, last) in zip(some, found, strict=True):
+            for i in np.flatnonzero(own[start : start + len(h)]).tolist():
+                p = int(place[i])
+                left, right = data[int(first[i]) : p][::-1], data[p : int(last[i]) + length]
+                yield k, int(h[i]), xxhash.xxh3_64_intdigest(left, xxhash.xxh3_64_intdigest(right)) - (1 << 63), p, left, right
+            start += len(h)
 
 
-def _classes(texts: DataFrame, sieve, bits: int, length: int) -> DataFrame:
+def _classes(texts: DataFrame, sieve: StoredSieve, length: int) -> DataFrame:
     """Distinct contexts of repeated anchors, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             seen: dict[tuple[int, int], list] = {}
-            for d in _bytes(b.column(0)):
-                for a, c, _, left, right in _contexts(d, sieve.value, bits, length):
-                    seen.setdefault((a, c), [left, right, 0])[2] += 1
+            for _, a, c, _, left, right in _contexts(_bytes(b.column(0)), sieve, length):
+                seen.setdefault((a, c), [left, right, 0])[2] += 1
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -180,8 +188,7 @@ def _scan(length: int):
 
     def work(t: pa.Table) -> list[tuple]:
         group = t.column("group").to_numpy()
-        anchor, context = t.column("anchor").to_pylist(), t.column("context").to_pylist()
-        left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
+        anchor, context, before, after, left, right = (t.column(c).to_pylist() for c in ("anchor", "context", "before", "after", "left", "right"))
         lcp = common_prefix(right)
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         size = np.diff(edge)
@@ -191,11 +198,11 @@ def _scan(length: int):
             near = common_prefix([left[k] for i in two.tolist() for k in (i, i + 1)])[::2]
             reach = lcp[two]
             for i, n, r in zip(two.tolist(), near.tolist(), reach.tolist(), strict=True):
-                if n + r >= length:
-                    out += [(anchor[i], context[i], n, r), (anchor[i + 1], context[i + 1], n, r)]
+                if n + before[i] + r + after[i] >= length:
+                    out += [(anchor[k], context[k], n + before[k], r + after[k]) for k in (i, i + 1)]
         for i, m in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for k, n, r in repeats_of_group(left[i : i + m], lcp[i : i + m - 1], length):
-                out.append((anchor[i + k], context[i + k], n, r))
+            for k, n, r in repeats_of_group(left[i : i + m], lcp[i : i + m - 1], length - before[i] - after[i]):
+                out.append((anchor[i + k], context[i + k], n + before[i], r + after[i]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,38 +225,48 @@ def _scan(length: int):
     return run
 
 
-def _split_hot(groups: DataFrame, group_rows: int, length: int) -> tuple[DataFrame, DataFrame | None]:
-    """Groups of at most group_rows rows each, and what was found while larger ones were split.
-
-    All rows of a group agree on its common left and right context; if that is long enough, every row has it as a
-    repeat. A pair that agrees on more agrees on the next byte of one side: the group's rows go to a group for their
-    next left byte and to one for their next right byte, named by content, so that ways to the same group meet. Each
-    round makes a group's common context longer, so there are at most as many as a context has bytes.
-    """
-    found = None
-    while True:
-        size = groups.groupBy("group").agg(F.count("*").alias("rows"), *(f(c).alias(f"{c}_{f.__name__}") for c in ("left", "right") for f in (F.min, F.max)))
-        hot = checkpoint(size.where(F.col("rows") > group_rows))
-        if hot.isEmpty():
-            return groups, found
-
-        @F.pandas_udf("int")
-        def agree(a, b):
-            import pandas as pd
+def _parts(rows: DataFrame, places: int, length: int) -> DataFrame:
+    """The windows of each row, those that start at `places` neighbouring distances before the anchor together.
+
+    All windows of a part hold the same stretch of bytes around the anchor; its rows are in a group with those of their
+    group that agree on it, and keep of left and right what lies beyond. Equal windows are in the same part of their rows,
+    so what a row shares with any other of its group it shares with one in a group of its parts."""
+    need = F.lit(length) - F.col("before") - F.col("after")
+    least = F.greatest(need - F.octet_length("right"), F.lit(0))
+    numbers = F.sequence(F.floor(least / places).cast("int"), F.floor(F.octet_length("left") / places).cast("int"))
+    out = rows.select("*", need.cast("int").alias("need"), F.explode(numbers).alias("part"))
+    out = out.withColumn("l", F.col("part") * places).withColumn("r", F.greatest(F.col("need") - F.col("l") - places + 1, F.lit(0)))
+    cut = lambda c, start, size: F.substring(c, start, size)
+    one = F.lit(1)
+    return out.select(
+        F.xxhash64("group", "part", cut("left", one, F.col("l")), cut("right", one, F.col("r"))).alias("group"),
+        "anchor",
+        "context",
+        (F.col("before") + F.col("l")).alias("before"),
+        (F.col("after") + F.col("r")).alias("after"),
+        cut("left", F.col("l") + 1, F.lit(places - 1)).alias("left"),
+        cut("right", F.col("r") + 1, F.lit(places - 1)).alias("right"),
+    )
 
-            return pd.Series([int(common_prefix([bytes(x), bytes(y)])[0]) for x, y in zip(a, b, strict=True)])
 
-        hot = hot.select("group", agree("left_min", "left_max").alias("l"), agree("right_min", "right_max").alias("r"))
+def _split_hot(groups: DataFrame, group_rows: int, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of at most group_rows rows each, and what was found while larger ones were split: into parts of their
+    windows, and parts of too many rows into single windows. A single window that so many rows share is a repeat of each
+    of them. As many steps as PART_PLACES has, whatever the groups, and only rows of larger groups take part in them."""
+    out, early = None, None
+    for places in (*PART_PLACES, None):
+        hot = checkpoint(groups.groupBy("group").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows).select("group"))
+        if hot.isEmpty():
+            return groups if out is None else out.unionByName(groups), None
+        hot = F.broadcast(hot)  # of group_rows rows one
+        cold = groups.join(hot, "group", "left_anti")
+        out = cold if out is None else out.unionByName(cold)
         rows = groups.join(hot, "group")
-        more = rows.where(F.col("l") + F.col("r") >= length).select("anchor", "context", F.col("l").cast("long").alias("before"), F.col("r").cast("long").alias("after"))
-        found = more if found is None else found.unionByName(more)
-        one = F.lit(1)
-        by_left = rows.where(F.octet_length("left") > F.col("l")).withColumn("group", F.xxhash64("anchor", F.substring("left", one, F.col("l") + 1), F.substring("right", one, F.col("r"))))
-        by_right = rows.where(F.octet_length("right") > F.col("r")).withColumn("group", F.xxhash64("anchor", F.substring("left", one, F.col("l")), F.substring("right", one, F.col("r") + 1)))
-        cold = groups.join(hot.select("group"), "group", "left_anti")
-        columns = ["group", "anchor", "context", "left", "right"]
-        split = by_left.unionByName(by_right).unionByName(cold, allowMissingColumns=True).select(*columns)
-        groups = checkpoint(split.dropDuplicates(columns[:3]))
+        if places is None:
+            early = rows.select("anchor", "context", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
+        else:
+            groups = _parts(rows, places, length)
+    return out, early
 
 
 def repeated_spans(
@@ -264,29 +281,30 @@ def repeated_spans(
     repeated = checkpoint(_anchor_counts(texts, length))
     if filter_bits is None:
         filter_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * repeated.count()).bit_length()))
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(repeated, filter_bits))
-    classes = written(_classes(texts, sieve, filter_bits, length))
+    sieve = stored_sieve(repeated, filter_bits)
+    classes = written(_classes(texts, sieve, length))
     whole = classes.where("n > 1").select("anchor", "context", F.octet_length("left").cast("long").alias("before"), F.octet_length("right").cast("long").alias("after"))
-    groups = classes.select(F.col("anchor").alias("group"), "anchor", "context", "left", "right")
+    none = F.lit(0)
+    groups = classes.select(F.col("anchor").alias("group"), "anchor", "context", none.alias("before"), none.alias("after"), "left", "right")
     groups, early = _split_hot(groups, group_rows, length)
     found = groups.repartition("group").sortWithinPartitions("group", "right").mapInArrow(_scan(length), _FOUND)
     for more in (whole, early):
         found = found if more is None else found.unionByName(more)
-    # a table of its own leaves the join below free to split a context that very many places share
-    found = written(found.groupBy("anchor", "context").agg(F.collect_set(F.struct("before", "after")).alias("reach")))
+    # all spans of a context hold its anchor, so they are one; a table of its own leaves the join below free to split a
+    # context that very many places share
+    found = written(found.groupBy("anchor", "context").agg(F.max("before").alias("before"), F.max("after").alias("after")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             out: list[list[int]] = [[], [], [], [], []]
-            for hi, lo, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _bytes(b.column(2)), strict=True):
-                for a, c, p, _, _ in _contexts(d, sieve.value, filter_bits, length):
-                    for k, v in enumerate((hi, lo, a, c, p)):
-                        out[k].append(v)
+            hi, lo = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, a, c, p, _, _ in _contexts(_bytes(b.column(2)), sieve, length):
+                for k, v in enumerate((hi[i], lo[i], a, c, p)):
+                    out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["hi", "lo", "anchor", "context", "place"])
 
     at = texts.select("hi", "lo", "text").mapInArrow(places, "hi long, lo long, anchor long, context long, place long")
-    spans = at.join(found, ["anchor", "context"]).select("hi", "lo", "place", F.explode("reach").alias("r"))
-    spans = spans.select("hi", "lo", F.struct((F.col("place") - F.col("r.before")).alias("a"), (F.col("place") + F.col("r.after")).alias("b")).alias("s"))
+    spans = at.join(found, ["anchor", "context"]).select("hi", "lo", F.struct((F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b")).alias("s"))
     return spans.groupBy("hi", "lo").agg(F.collect_set("s").alias("s")).select("hi", "lo", F.col("s.a").alias("starts"), F.col("s.b").alias("ends"))
 
 
@@ -303,10 +321,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = written(repeated_spans(docs, id_col, text_col, length, **options))
     # texts that the sieve rules out have no spans and need not move
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(spans.select("hi"), TEXT_BITS))
+    sieve = stored_sieve(spans.select("hi"), TEXT_BITS)
 
     def moves(hi: pd.Series) -> pd.Series:
-        return pd.Series(passes(sieve.value, hi.to_numpy(np.int64), TEXT_BITS))
+        return pd.Series(sieve.passes(hi.to_numpy(np.int64)))
 
     texts = _texts(docs, id_col, text_col).withColumn("moves", F.pandas_udf(moves, "boolean")("hi"))
     none = F.lit(None).cast("array<long>")
